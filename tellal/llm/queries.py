@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, quality, winnow
+from . import bpe, chat, langid, ngram_join, quality, winnow
 from .common import remainder, table, texts
 
 
@@ -48,6 +48,28 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"), size=3, threshold="9/10")
+
+
+OP5_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) end as s from d),
+n as (select doc_id, len(s) as n from s),
+u as (select doc_id, unnest(s) as g from s),
+links as (
+  select a.doc_id as x, b.doc_id as y from u a join u b on a.g = b.g and a.doc_id < b.doc_id
+  join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, na.n, nb.n having 100 * count(*) >= 90 * (na.n + nb.n - count(*))),
+e as (select x, y from links union all select y, x from links),
+r(doc_id, to_id) as (select doc_id, doc_id from n union select r.doc_id, e.y from r join e on r.to_id = e.x)
+select n.doc_id, cast(n.n as bigint) as n_shingles, min(r.to_id) as component_id from n join r using (doc_id) group by n.doc_id, n.n
+"""
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -57,6 +79,7 @@ QUERIES = {
     "op2_compression_quality": op2_compression_quality,
     "op3_language_id": op3_language_id,
     "op4_winnowing": op4_winnowing,
+    "op5_ngram_join": op5_ngram_join,
     "op10_bpe": op10_bpe,
 }
-ORACLES = {"op1_chat_format": OP1_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op5_ngram_join": OP5_SQL}
