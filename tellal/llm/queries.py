@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, ngram_join, quality, winnow
+from . import bpe, chat, langid, ngram_join, quality, substring, winnow
 from .common import remainder, table, texts
 
 
@@ -70,6 +70,26 @@ select n.doc_id, cast(n.n as bigint) as n_shingles, min(r.to_id) as component_id
 """
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+OP6_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+runs as (
+  select doc_id, p, md5(array_to_string(w[p : p + 49], ' ')) as h
+  from (select doc_id, w, unnest(range(1, len(w) - 48)) as p from d where len(w) >= 50)),
+low as (select h, min(doc_id) as m from runs group by h),
+gone as (select doc_id, unnest(range(p, p + 50)) as k from runs join low using (h) where m < doc_id),
+k as (select doc_id, list(distinct k) as ks from gone group by doc_id),
+kept as (
+  select d.doc_id, len(w) as n, coalesce(len(ks), 0) as r,
+         case when ks is null then w else list_filter(list_transform(w, lambda x, i: case when list_contains(ks, i) then null else x end), lambda x: x is not null) end as w
+  from d left join k using (doc_id))
+select doc_id, cast(n as bigint) as n_words, cast(r as bigint) as n_removed, sha256(coalesce(array_to_string(w, ' '), '')) as kept_sha256 from kept
+"""
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -80,6 +100,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_winnowing": op4_winnowing,
     "op5_ngram_join": op5_ngram_join,
+    "op6_substring_dedup": op6_substring_dedup,
     "op10_bpe": op10_bpe,
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op5_ngram_join": OP5_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op5_ngram_join": OP5_SQL, "op6_substring_dedup": OP6_SQL}
