@@ -1,20 +1,22 @@
 """Exact Jaccard join on word shingles by T-occurrence search, up to connected components.
 
-1. Every text becomes a set of hashed shingles; equal sets are one class and go on as one
-   representative, so copies cost a count.
-2. A class's shingles are dealt into parts by hash, one part more than linked sets can differ in
-   elements: two linked sets agree in at least one whole part. Parts of a few elements are left out
-   where enough others must agree. Classes that share a part are candidates; their connected
-   groups are the shards of the index.
+1. Every text becomes a set of hashed shingles; equal sets are one class and go on as one, so
+   copies cost a count.
+2. Shingles have a fixed order: a sampled share of the hash range by how many classes have them,
+   rarest first, then the rest by hash. Linked sets share one of the first ``n - need + 1``
+   shingles, the prefix (``need``: the overlap a set of n asks for). A class whose sampled
+   shingles of its own alone fill the prefix links with nothing. The others' prefixes are inverted;
+   classes on a common list are candidates, and their connected groups are the shards of the index.
 3. Within a shard (in blocks where it is large), each set is a query on the inverted lists of the
    others: the short lists are merged and counted, the long ones are probed by binary search for
    what the short ones leave (DivideSkip), and sets that reach the overlap are linked. A candidate
    that is connected already needs no probe.
 4. Links and classes give components.
 
-Nulls and empty texts link with nothing and are their own component. A text of fewer words than a
-shingle has one element, its whole sequence. Repeated rows count once. Rows without a doc_id only
-join the component of a text equal to theirs. An empty table gives an empty result.
+Classes are told apart by 64 bits of a digest. Nulls and empty texts link with nothing and are their
+own component. A text of fewer words than a shingle has one element, its whole sequence. Repeated
+rows count once. Rows without a doc_id only join the component of a text equal to theirs. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,10 +38,10 @@ from .components import components
 #: Documents and shingles in one block of a shard.
 BLOCK_DOCS = 3000
 BLOCK_SHINGLES = 1_500_000
-#: Part signatures that one task brings together.
+#: Shingles that one task brings together.
 BUCKET = 1_000_000
-#: A part of fewer elements says little.
-WEAK = 3
+#: The sampled share of the shingles, as a multiple of the share that linked sets may differ in.
+SAMPLED = 2.0
 #: DivideSkip's cost of one binary search against one step of the merge.
 PROBE_COST = 0.0085
 REMEMBERED = 1_000_000
@@ -76,75 +78,130 @@ def shingle_set(text: str | None, size: int, known: WordHash) -> np.ndarray:
     return np.unique(total)
 
 
-class Parts:
-    """Signatures of the parts of a set, for a similarity threshold."""
-
-    def __init__(self, threshold: Fraction):
-        self.threshold = threshold
-        self.step = math.log(1 / float(threshold)) if threshold < 1 else 1.0
-
-    def levels(self, n: int) -> list[int]:
-        """Linked sets have sizes in the same band or in neighbouring ones, and meet at the level
-        of the smaller band."""
-        band = int(math.log(n) / self.step + 1e-9)
-        return [band - 1, band]
-
-    def parts(self, level: int) -> tuple[int, int]:
-        """How many parts there are at a level, and how many more than one must agree."""
-        largest = math.exp((level + 2) * self.step + 1e-6)
-        t = float(self.threshold)
-        differ = int((1 - t) / (1 + t) * 2 * largest + 1e-6)
-        spare = 2 + differ // 64 if differ >= 6 else 0
-        return differ + 1 + spare, spare
-
-    def signatures(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(shingles):
-            return np.zeros(0, np.uint64)
-        out = []
-        spread = mixed(shingles ^ SEEDS[1])
-        for level in self.levels(len(shingles)):
-            m, spare = self.parts(level)
-            part = (spread >> np.uint64(16)) % np.uint64(m)
-            part = part.astype(np.int64)
-            size = np.bincount(part, minlength=m)
-            total = np.zeros(m, np.uint64)
-            np.add.at(total, part, mixed(shingles + SEEDS[2]))
-            strong = size >= WEAK
-            use = strong if (~strong).sum() <= spare else np.ones(m, bool)
-            tag = mixed(np.arange(m, dtype=np.uint64) * SEEDS[3] + np.uint64((level + 4) & 0xFFFF))
-            out.append(mixed(total + tag + size.astype(np.uint64) * SEEDS[4])[use])
-        return np.concatenate(out)
+def needed(n: int, threshold: Fraction) -> int:
+    """Elements that a set of n shares with any set it links to."""
+    return -(-threshold.numerator * n // threshold.denominator)
+
+
+def split_sample(shingles: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """The sampled shingles, and those that the prefix needs beyond them, if it is longer."""
+    share = min(1.0, SAMPLED * (1 - float(threshold)) + 1e-3)
+    rank = mixed(shingles + SEEDS[3])
+    sampled = rank < np.uint64(int(share * (1 << 64) * (1 - 1e-12)))
+    more = len(shingles) - needed(len(shingles), threshold) + 1 - int(sampled.sum())
+    rest = ~sampled
+    return shingles[sampled], shingles[rest][np.argsort(rank[rest], kind="stable")[: max(0, more)]] if len(shingles) else shingles
+
+
+def class_of(shingles: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def read_sets(docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
-    """Per document: number of shingles, a digest of the set in two longs, part signatures."""
-    names = ["doc_id", "n_shingles", "c1", "c2", "signatures"]
+    """Per document: number of shingles, class, sampled shingles and those the prefix needs besides."""
+    names = ["doc_id", "n_shingles", "class", "sampled", "late"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, parts = WordHash(), Parts(threshold)
+        known = WordHash()
         for batch in batches:
-            n, c1, c2, signatures = [], [], [], []
+            rows: list[tuple] = []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, size, known)
-                d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                n.append(len(s))
-                c1.append(int(d[0]))
-                c2.append(int(d[1]))
-                signatures.append(parts.signatures(s).tobytes())
-            cols = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(signatures, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names)
+                sampled, late = split_sample(s, threshold)
+                rows.append((len(s), class_of(s), sampled.tobytes(), late.tobytes() if len(late) else None))
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names)
 
-    return in_batches(texts(docs), run, "doc_id long, n_shingles long, c1 long, c2 long, signatures binary")
+    return in_batches(texts(docs), run, "doc_id long, n_shingles long, class long, sampled binary, late binary")
+
+
+def shared_shingles(sets: DataFrame, total: int) -> DataFrame:
+    """Per class and bucket the sampled shingles that other classes have too, and how many have them."""
+    buckets = max(1, -(-total // BUCKET))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, first = np.unique(batch.column("class").to_numpy(), return_index=True)
+            blobs = batch.column("sampled")
+            own = [np.frombuffer(blobs[int(k)].as_py(), np.uint64) for k in first]
+            index = np.repeat(np.arange(len(node), dtype=np.uint16), [len(s) for s in own])
+            sig = np.concatenate(own) if own else np.zeros(0, np.uint64)
+            bucket = ((sig >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            sig, index, bucket = sig[order], index[order], bucket[order]
+            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(sig) else np.zeros(0, np.int64)
+            out: list[list] = [[], [], []]
+            for a, b in zip(cut, np.append(cut[1:], len(sig))):
+                used, local = np.unique(index[a:b], return_inverse=True)
+                out[0].append(sig[a:b].tobytes())
+                out[1].append(local.astype(np.uint16).tobytes())
+                out[2].append(node[used].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), *(pa.array(x, pa.binary()) for x in out)], ["bucket", "sig", "index", "nodes"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def shared() -> pa.RecordBatch:
+            sig = np.concatenate([np.frombuffer(s, np.uint64) for s, _, _ in held])
+            node = np.concatenate([np.frombuffer(n, np.int64)[np.frombuffer(i, np.uint16)] for _, i, n in held])
+            order = np.lexsort((node, sig))
+            sig, node = sig[order], node[order]
+            once = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
+            sig, node = sig[once], node[once]
+            cut = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+            many = np.diff(np.append(cut, len(sig)))
+            many = np.repeat(many, many)
+            use = many > 1
+            sig, node, many = sig[use], node[use], many[use].astype(np.uint32)
+            order = np.argsort(node, kind="stable")
+            sig, node, many = sig[order], node[order], many[order]
+            cut = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
+            ends = np.append(cut[1:], len(node))
+            return pa.RecordBatch.from_arrays([pa.array(node[cut]), pa.array([sig[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()), pa.array([many[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())], ["class", "shared", "many"])
+
+        for batch in batches:
+            for bucket, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sig", "index", "nodes"))):
+                if held and bucket != now:
+                    yield shared()
+                    held = []
+                now = bucket
+                held.append(blobs)
+        if held:
+            yield shared()
+
+    dealt = in_batches(sets.select("class", "sampled"), deal, "bucket long, sig binary, index binary, nodes binary")
+    return in_batches(dealt.repartition(min(buckets, 20_000), "bucket").sortWithinPartitions("bucket"), meet, "class long, shared binary, many binary")
+
+
+def prefixes(classes: DataFrame, shared: DataFrame, threshold: Fraction) -> DataFrame:
+    """node and signatures: the shingles of a class's prefix that another class may have."""
+    own = shared.groupBy("class").agg(F.collect_list(F.struct("shared", "many")).alias("parts"))
+    rows = classes.join(own, "class", "left").where("parts is not null or late is not null").select("class", "n_shingles", "n_sampled", "late", "parts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, out = [], []
+            for node, n, n_sampled, late, parts in zip(*(batch.column(c).to_pylist() for c in ("class", "n_shingles", "n_sampled", "late", "parts"))):
+                sig = np.frombuffer(b"".join(p["shared"] for p in parts or []), np.uint64)
+                many = np.frombuffer(b"".join(p["many"] for p in parts or []), np.uint32)
+                length = n - needed(n, threshold) + 1
+                take = min(length, n_sampled) - (n_sampled - len(sig))
+                if take > 0 or late:
+                    nodes.append(node)
+                    out.append(sig[np.lexsort((sig, many))[: max(0, take)]].tobytes() + (late or b""))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], ["node", "signatures"])
+
+    return in_batches(rows, run, "node long, signatures binary")
 
 
 def candidate_edges(classes: DataFrame, total: int) -> DataFrame:
-    """classes: rep, signatures. Edges from the smallest to each other class of a shared part."""
+    """classes: node, signatures. Edges from the smallest to each other class of a shared signature."""
     buckets = max(1, -(-total // BUCKET))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sigs = [np.frombuffer(b, np.uint64) for b in batch.column("signatures").to_pylist()]
-            owner = np.repeat(batch.column("rep").to_numpy(), [len(s) for s in sigs])
+            owner = np.repeat(batch.column("node").to_numpy(), [len(s) for s in sigs])
             sig = np.concatenate(sigs) if sigs else np.zeros(0, np.uint64)
             bucket = (sig >> np.uint64(20)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
@@ -255,13 +312,15 @@ def search_links(sets: list[np.ndarray], threshold: Fraction, side: np.ndarray |
 
 
 def link_shards(docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
-    """docs: doc_id, text, shard, b, b1, b2 (one row for each pair of blocks that the document's
-    block b takes part in). Links (a, b) that connect each pair of blocks."""
+    """docs: text, node (its class), shard, block and blocks. Links (a, b) between classes that
+    connect what is connected in each pair of a shard's blocks."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, names = WordHash(), ["doc_id", "shard", "block", "blocks", "n", "shingles"]
+        known, names = WordHash(), ["node", "shard", "block", "blocks"]
         for batch in batches:
             own = [shingle_set(t, size, known) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:4]), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names)
+            made = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], [*names, "n", "shingles"])
+            yield made.filter(pa.array([class_of(s) == node for s, node in zip(own, batch.column("node").to_pylist())], pa.bool_()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -272,20 +331,20 @@ def link_shards(docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([held[x][0] for x, _ in found], pa.int64()), pa.array([held[y][0] for _, y in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for doc, shard, block, b1, b2, s in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "shard", "block", "b1", "b2", "shingles"))):
+            for node, block, b1, b2, shard, s in zip(*(batch.column(c).to_pylist() for c in ("node", "block", "b1", "b2", "shard", "shingles"))):
                 if held and now != (shard, b1, b2):
                     yield links()
                     held = []
                 now = (shard, b1, b2)
-                if not held or held[-1] != (doc, block, s):
-                    held.append((doc, block, s))
+                if not held or held[-1][0] != node:
+                    held.append((node, block, s))
         if held:
             yield links()
 
-    have = in_batches(docs, sets, "doc_id long, shard long, block int, blocks int, n long, shingles binary")
+    have = in_batches(docs.select("text", "node", "shard", "block", "blocks"), sets, "node long, shard long, block int, blocks int, n long, shingles binary")
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("b1"), F.greatest("block", j).alias("b2"))))
-    spread = have.withColumn("p", pairs).select("doc_id", "shard", "block", "p.b1", "p.b2", "n", "shingles")
-    return in_batches(spread.repartition("shard", "b1", "b2").sortWithinPartitions("shard", "b1", "b2", "n", "doc_id"), run, "a long, b long")
+    spread = have.withColumn("p", pairs).select("node", "shard", "block", "p.b1", "p.b2", "n", "shingles")
+    return in_batches(spread.repartition("shard", "b1", "b2").sortWithinPartitions("shard", "b1", "b2", "n", "node"), run, "a long, b long")
 
 
 def similar_components(docs: DataFrame, size: int = 5, threshold: Fraction | str = Fraction(8, 10)) -> DataFrame:
@@ -293,15 +352,17 @@ def similar_components(docs: DataFrame, size: int = 5, threshold: Fraction | str
     every row; documents link when the Jaccard similarity of their shingle sets is at least the threshold."""
     threshold = Fraction(threshold)
     sets = stored(read_sets(docs, size, threshold))
-    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signatures").alias("signatures"))
-    total = sets.agg(F.sum(F.length("signatures") / 8).cast("long")).first()[0] or 0
-    shards = components(candidate_edges(classes.select("rep", "signatures"), total)).withColumnRenamed("component", "shard")
-    sized = sets.where("doc_id is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
-    members = stored(shards.join(sized, F.col("node") == F.col("doc_id")).select("doc_id", "shard", "n"))
-    blocks = members.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = members.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).drop("n")
-    links = link_shards(texts(docs).join(placed, "doc_id"), size, threshold)
-    own = sets.where("n_shingles > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
-    named = own.join(components(links), F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
-    rows = sets.drop("signatures").join(named, ["c1", "c2"], "left")
+    full = sets.where("n_shingles > 0 and doc_id is not null")
+    classes = stored(full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max(F.length("sampled") / 8).cast("int").alias("n_sampled"), F.max("late").alias("late")))
+    total = full.agg(F.sum(F.length("sampled") / 8).cast("long")).first()[0] or 0
+    chosen = stored(prefixes(classes, shared_shingles(full, total), threshold))
+    shards = components(candidate_edges(chosen, chosen.agg(F.sum(F.length("signatures") / 8).cast("long")).first()[0] or 0)).withColumnRenamed("component", "shard")
+    members = stored(shards.join(classes, F.col("node") == F.col("class")).select("node", "shard", "rep", "n_shingles"))
+    blocks = members.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = members.join(blocks, "shard").select("node", "shard", "blocks", F.col("rep").alias("doc_id"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    groups = components(link_shards(texts(docs).join(placed, "doc_id"), size, threshold))
+    named = groups.join(classes.select("class", "rep"), F.col("node") == F.col("class")).select("class", "rep", "component")
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = classes.select("class", "rep").join(named.join(least, "component").select("class", "component_id"), "class", "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
+    rows = sets.select("doc_id", "n_shingles", "class").join(linked, "class", "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
