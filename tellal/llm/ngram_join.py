@@ -360,7 +360,7 @@ def similar_components(docs: DataFrame, size: int = 5, threshold: Fraction | str
     members = stored(shards.join(classes, F.col("node") == F.col("class")).select("node", "shard", "rep", "n_shingles"))
     blocks = members.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = members.join(blocks, "shard").select("node", "shard", "blocks", F.col("rep").alias("doc_id"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    groups = components(link_shards(texts(docs).join(placed, "doc_id"), size, threshold))
+    groups = components(link_shards(texts(docs).join(placed.hint("merge"), "doc_id"), size, threshold))
     named = groups.join(classes.select("class", "rep"), F.col("node") == F.col("class")).select("class", "rep", "component")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     linked = classes.select("class", "rep").join(named.join(least, "component").select("class", "component_id"), "class", "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
