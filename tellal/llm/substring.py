@@ -205,7 +205,7 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     weight = F.when(F.col("hot"), F.col("runs") * window).otherwise(F.col("runs") + window - 1)
     shards = max(1, -(-(shared.agg(F.sum(weight)).first()[0] or 0) // SHARD_WORDS))
     of_doc = shared.distinct().groupBy("doc_id", "part").agg(F.collect_list(F.struct("anchor", "first", "runs", "hot")).alias("at"))
-    found = repeated_intervals(stretches(keyed.join(of_doc, ["doc_id", "part"]), shards, window), shards, window)
+    found = repeated_intervals(stretches(keyed.join(of_doc.hint("merge"), ["doc_id", "part"]), shards, window), shards, window)
     return found.distinct().groupBy("doc_id", "part").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
 
 
@@ -215,7 +215,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, keep_text: bool = True, k
     the words joined by one space. Columns named in keep pass through."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep).withColumn("part", F.hash("text"))
     kept_fields = [keyed.schema[c] for c in keep]
-    rows = keyed.join(removals(docs, window), ["doc_id", "part"], "left").select("doc_id", "text", "spans", *keep)
+    rows = keyed.join(removals(docs, window).hint("merge"), ["doc_id", "part"], "left").select("doc_id", "text", "spans", *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
