@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, ngram_join, quality, substring, winnow
+from . import bpe, chat, decontam, langid, ngram_join, quality, substring, winnow
 from .common import remainder, table, texts
 
 
@@ -90,6 +90,10 @@ select doc_id, cast(n as bigint) as n_words, cast(r as bigint) as n_removed, sha
 """
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -101,6 +105,7 @@ QUERIES = {
     "op4_winnowing": op4_winnowing,
     "op5_ngram_join": op5_ngram_join,
     "op6_substring_dedup": op6_substring_dedup,
+    "op9_decontamination": op9_decontamination,
     "op10_bpe": op10_bpe,
 }
 ORACLES = {"op1_chat_format": OP1_SQL, "op5_ngram_join": OP5_SQL, "op6_substring_dedup": OP6_SQL}
