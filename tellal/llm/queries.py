@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, ngram_join, quality, substring, winnow
+from . import bpe, chat, decontam, langid, license, ngram_join, quality, substring, token_count, winnow
 from .common import remainder, table, texts
 
 
@@ -90,6 +90,33 @@ select doc_id, cast(n as bigint) as n_words, cast(r as bigint) as n_removed, sha
 """
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.find_licenses(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+with t(license, notice) as (values %s),
+pairs_t as (
+  select license, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) as pairs
+  from (select license, string_split(trim(regexp_replace(lower(notice), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') as w from t)),
+units as (
+  select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line, unnest(string_split(text, chr(10))) as unit from documents where text is not null
+  union all select doc_id, 0, text from documents where contains(text, chr(10))),
+own as (
+  select doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) as own
+  from (select doc_id, line, string_split(trim(regexp_replace(lower(unit), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') as w from units)),
+scored as (
+  select doc_id, line, license, len(list_intersect(own, pairs)) * 2.0::double / (len(own) + len(pairs)) as dice
+  from own join pairs_t on len(own) between len(pairs) * %s and len(pairs) * %s)
+select doc_id, cast(line as int) as line, license, dice from scored where dice >= %s
+qualify row_number() over (partition by doc_id, line order by dice desc, license) = 1
+""" % (", ".join("('%s', '%s')" % x for x in license.TEMPLATES), license.THRESHOLD / (2 - license.THRESHOLD) - 0.001, (2 - license.THRESHOLD) / license.THRESHOLD + 0.001, license.THRESHOLD)
+
+
+def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_edited(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -105,7 +132,9 @@ QUERIES = {
     "op4_winnowing": op4_winnowing,
     "op5_ngram_join": op5_ngram_join,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_license_scan": op7_license_scan,
+    "op8_token_count": op8_token_count,
     "op9_decontamination": op9_decontamination,
     "op10_bpe": op10_bpe,
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op5_ngram_join": OP5_SQL, "op6_substring_dedup": OP6_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op5_ngram_join": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_license_scan": OP7_SQL}
