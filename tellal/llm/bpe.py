@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import in_batches, texts
+from .common import in_batches, texts, with_fields
 
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 RUNS = {k: regex.compile(p) for k, p in (("letter", r"\p{L}*"), ("digit", r"\p{N}*"), ("other", r"[^\s\p{L}\p{N}]*"), ("space", r"\s*"))}
@@ -272,7 +272,6 @@ def encode_texts(docs: DataFrame, path: str | None = None, keep_ids: bool = True
     """Per document its token count, digests of the ids and of the decoded text, and, unless
     keep_ids is false, the ids themselves. Columns named in keep pass through. One pass without a shuffle."""
     docs = texts(docs, *keep)
-    kept = [docs.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path or default_path())
@@ -299,4 +298,4 @@ def encode_texts(docs: DataFrame, path: str | None = None, keep_ids: bool = True
             yield pa.RecordBatch.from_arrays(cols + [batch.column(c) for c in keep], names + [*keep])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return in_batches(docs, run, schema + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept))
+    return in_batches(docs, run, with_fields(schema, docs, keep))

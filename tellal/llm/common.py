@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch, so that a batch of long texts stays small.
 BATCH_ROWS = 500
@@ -23,7 +24,23 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
-def in_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns in one struct, so that no name of theirs can clash."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    held = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(None).alias("none"))
+    return texts(docs, held.alias("rest"))
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in columns])
+
+
+def with_fields(schema: str, df: DataFrame, keep: tuple[str, ...]) -> StructType:
+    """The schema with the fields of df named in keep after its own."""
+    return StructType([*StructType.fromDDL(schema).fields, *(df.schema[c] for c in keep)])
+
+
+def in_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with batches of few rows: a batch holds BATCH_ROWS texts at most."""
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:

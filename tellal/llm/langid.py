@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, texts
+from .common import in_batches, texts, with_fields
 
 SAMPLE = 500
 SAMPLE_CHARS = 50_000
@@ -141,5 +141,4 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ()) -
                 out.append(1 / sum(math.exp(x - total[best]) for x in total))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(out, pa.float64()), *(batch.column(c) for c in keep)], ["doc_id", "lang_pred", "score", *keep])
 
-    kept = "".join(f", `{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return in_batches(docs, run, "doc_id long, lang_pred string, score double" + kept)
+    return in_batches(docs, run, with_fields("doc_id long, lang_pred string, score double", docs, keep))

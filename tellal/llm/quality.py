@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, texts
+from .common import in_batches, texts, with_fields
 
 SAMPLE = 1500
 SAMPLE_CHARS = 50_000
@@ -133,5 +133,4 @@ def score(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ()) -> D
                 out.append(model.base if d is None else float(1 / (1 + np.exp(-np.clip(model.slope * d + model.shift, -30, 30)))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64()), *(batch.column(c) for c in keep)], ["doc_id", "score", *keep])
 
-    kept = "".join(f", `{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return in_batches(docs, run, "doc_id long, score double" + kept)
+    return in_batches(docs, run, with_fields("doc_id long, score double", docs, keep))

@@ -21,6 +21,7 @@ smaller. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, stored
+from .common import in_batches, stored, with_fields
 from .fm_index import ShardIndex
 from .ngram_join import WordHash, word_hashes
 from .winnow import LOW, gram_hashes, window_minima
@@ -42,6 +43,7 @@ SHARD_WORDS = 300_000
 #: An anchor of more documents is dealt run by run.
 HOT = 4000
 BLOCK = 1 << 20
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 NONE = np.iinfo(np.int64).max
 
 
@@ -209,12 +211,23 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return found.distinct().groupBy("doc_id", "part").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
 
 
+def without(text: str, spans: list, total: int) -> str:
+    """The text without the words of the spans and the white space before each of them."""
+    gone = np.zeros(total + 1, bool)
+    for s in spans:
+        gone[s["begin"] : s["end"]] = True
+    starts, last, out = [m.span() for m in WORD.finditer(text)], 0, []
+    for k, (_, end) in enumerate(starts):
+        if not gone[k]:
+            out.append(text[last:end])
+        last = end
+    return "".join(out) + ("" if total and gone[total - 1] else text[last:])
+
+
 def deduplicate(docs: DataFrame, window: int = WINDOW, keep_text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row doc_id, n_words, n_removed, the SHA-256 of the words left, joined by one space, and,
-    unless keep_text is false, the text left: its own spacing where nothing was removed, else
-    the words joined by one space. Columns named in keep pass through."""
+    unless keep_text is false, the text left, in its own spacing. Columns named in keep pass through."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep).withColumn("part", F.hash("text"))
-    kept_fields = [keyed.schema[c] for c in keep]
     rows = keyed.join(removals(docs, window).hint("merge"), ["doc_id", "part"], "left").select("doc_id", "text", "spans", *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +245,8 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, keep_text: bool = True, k
                 n.append(total)
                 gone.append(total - len(words))
                 digest.append(hashlib.sha256(joined).hexdigest())
-                left.append(joined.decode() if spans else text)
+                if keep_text:
+                    left.append(without(text, spans, total) if spans else text)
             cols = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if keep_text:
@@ -241,4 +255,4 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, keep_text: bool = True, k
             yield pa.RecordBatch.from_arrays(cols + [batch.column(c) for c in keep], names + [*keep])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text
-    return in_batches(rows, run, schema + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept_fields))
+    return in_batches(rows, run, with_fields(schema, rows, keep))

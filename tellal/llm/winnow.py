@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, texts
+from .common import in_batches, texts, with_fields
 
 K = 16
 WINDOW = 16
@@ -104,8 +104,7 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             cols = [batch.column("doc_id"), pa.array([h.view(np.int64) for h, _ in out], pa.list_(pa.int64())), pa.array([p for _, p in out], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols + [batch.column(c) for c in keep], ["doc_id", "hashes", "positions", *keep])
 
-    kept = "".join(f", `{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return in_batches(docs, run, "doc_id long, hashes array<long>, positions array<long>" + kept)
+    return in_batches(docs, run, with_fields("doc_id long, hashes array<long>, positions array<long>", docs, keep))
 
 
 def edited(text: str, following: str) -> str:
