@@ -40,6 +40,8 @@ BLOCK_DOCS = 3000
 BLOCK_SHINGLES = 1_500_000
 #: Shingles that one task brings together.
 BUCKET = 1_000_000
+#: Buckets at least, so that a class's shared shingles fall into about as many rows at every size.
+FEWEST = 64
 #: The sampled share of the shingles, as a multiple of the share that linked sets may differ in.
 SAMPLED = 2.0
 #: DivideSkip's cost of one binary search against one step of the merge.
@@ -117,7 +119,7 @@ def read_sets(docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
 
 def shared_shingles(sets: DataFrame, total: int) -> DataFrame:
     """Per class and bucket the sampled shingles that other classes have too, and how many have them."""
-    buckets = max(1, -(-total // BUCKET))
+    buckets = max(FEWEST, -(-total // BUCKET))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
