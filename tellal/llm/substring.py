@@ -75,7 +75,7 @@ def split_by(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[li
 
 def shared_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     """doc_id, part, anchor, first, runs and hot of the stretches whose anchor lies in two documents."""
-    packed = np.dtype([("doc", "<i8"), ("part", "<i4"), ("first", "<i4"), ("runs", "<i4")])
+    packed = np.dtype([("doc", "<i8"), ("part", "<i4"), ("first", "<i4"), ("runs", "<u2")])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
@@ -106,7 +106,7 @@ def shared_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             docs_of = np.repeat(new_doc[ends - 1] - new_doc[cut] + 1, ends - cut) if len(h) else np.zeros(0, np.int64)
             use = docs_of > 1
             p = place[use]
-            cols = [p["doc"], p["part"], h[use].view(np.int64), p["first"], p["runs"], docs_of[use] > HOT]
+            cols = [p["doc"], p["part"], h[use].view(np.int64), p["first"], p["runs"].astype(np.int32), docs_of[use] > HOT]
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["doc_id", "part", "anchor", "first", "runs", "hot"])
 
         for batch in batches:
@@ -206,9 +206,9 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shared = stored(shared_anchors(keyed, window, buckets))
     weight = F.when(F.col("hot"), F.col("runs") * window).otherwise(F.col("runs") + window - 1)
     shards = max(1, -(-(shared.agg(F.sum(weight)).first()[0] or 0) // SHARD_WORDS))
-    of_doc = shared.distinct().groupBy("doc_id", "part").agg(F.collect_list(F.struct("anchor", "first", "runs", "hot")).alias("at"))
+    of_doc = shared.groupBy("doc_id", "part").agg(F.collect_set(F.struct("anchor", "first", "runs", "hot")).alias("at"))
     found = repeated_intervals(stretches(keyed.join(of_doc.hint("merge"), ["doc_id", "part"]), shards, window), shards, window)
-    return found.distinct().groupBy("doc_id", "part").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+    return found.groupBy("doc_id", "part").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
 
 
 def without(text: str, spans: list, total: int) -> str:
