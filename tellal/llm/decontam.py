@@ -43,11 +43,9 @@ def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
     points[white] = SPACE
     use = ~white
     use[1:] |= white[1:] & ~white[:-1]
-    if len(use):
-        use[0] = not white[0]
-        if white[-1]:
-            use[np.flatnonzero(~white)[-1] + 1 :] = False if (~white).any() else use[:]
     at = np.flatnonzero(use)
+    if len(at) and points[at[-1]] == SPACE:
+        at = at[:-1]
     return points[at], at
 
 

@@ -3,7 +3,9 @@
 A text's units are its lines and, where it has several, the whole text. Letters are lower-cased and all
 but letters and digits becomes a space. A unit whose set of word bigrams reaches ``THRESHOLD`` with a
 template's is reported with the best one. Two sets can only reach it if their sizes are close; a
-template is therefore listed under every size that could, and units meet templates by size.
+template is therefore listed under every size that could, and units meet templates by size. Nor can
+they if more than a share of the template's bigrams is missing: units without any of a few words
+that lie in more than that share are left out beforehand, which loses nothing.
 
 Null and empty texts and units of one word match nothing. Equal scores go to the licence that sorts
 first. Repeated rows are reported each. The templates are a fixed small table, so it is broadcast.
@@ -11,10 +13,15 @@ first. Repeated rows are reported each. The templates are a fixed small table, s
 
 from __future__ import annotations
 
+from functools import reduce
+
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+#: Words that many texts have; any choice of words is right, this one is quick.
+COMMON = frozenset("a and any by for in is of on or the this to under with work".split())
 # Notices as their licences' publishers word them.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -41,6 +48,23 @@ def bigrams(text: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
 
 
+def telling_words(templates: list[tuple[str, str]], threshold: float) -> list[str]:
+    """Words of which every unit that matches has one: for each template, words in more of its
+    bigrams than may be missing. Long words, and those chosen already, come first, common ones last."""
+    chosen: list[str] = []
+    for _, notice in templates:
+        words = regex.findall(r"[\p{L}\p{N}]+", notice.lower())
+        pairs = set(zip(words, words[1:]))
+        missing = len(pairs) - threshold / (2 - threshold) * len(pairs) + 1e-9
+        own: set[str] = set()
+        for word in sorted(set(words), key=lambda w: (w in COMMON, w not in chosen, -len(w), w)):
+            if sum(bool(own & {*p}) for p in pairs) > missing:
+                break
+            own.add(word)
+        chosen += sorted(own - {*chosen})
+    return chosen
+
+
 def template_sizes(spark: SparkSession, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
     """license, pairs and every number of bigrams with which a unit can reach the threshold."""
     t = spark.createDataFrame(templates, "license string, notice string").select("license", bigrams(F.col("notice")).alias("pairs"))
@@ -49,14 +73,21 @@ def template_sizes(spark: SparkSession, templates: list[tuple[str, str]], thresh
     return t.withColumn("size", F.explode(F.sequence(low, high)))
 
 
+def told(text: Column, words: list[str]) -> Column:
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+
+
 def find_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, line (from 1; 0 is the whole text), license and dice of every unit that matches."""
+    templates = templates or TEMPLATES
+    words = telling_words(templates, threshold)
     lines = F.split("text", "\n")
     whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(0).alias("line"), F.col("text").alias("unit")))).otherwise(F.array().cast("array<struct<line:int,unit:string>>"))
     each = F.transform(lines, lambda x, k: F.struct((k + 1).alias("line"), x.alias("unit")))
-    units = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.concat(whole, each)).alias("u"))
-    sized = units.where(F.length("u.unit") > 2).select("doc_id", "u.line", bigrams(F.col("u.unit")).alias("own")).withColumn("size", F.size("own").cast("long"))
-    table = F.broadcast(template_sizes(docs.sparkSession, templates or TEMPLATES, threshold))
+    units = docs.where("text is not null").where(told(F.col("text"), words)).select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.concat(whole, each)).alias("u"))
+    sized = units.where(told(F.col("u.unit"), words)).select("doc_id", "u.line", bigrams(F.col("u.unit")).alias("own")).withColumn("size", F.size("own").cast("long"))
+    table = F.broadcast(template_sizes(docs.sparkSession, templates, threshold))
     both = F.size(F.array_intersect("own", "pairs"))
     dice = both * 2.0 / (F.col("size") + F.size("pairs"))
     scored = sized.join(table, "size").select("doc_id", "line", "license", dice.alias("dice")).where(F.col("dice") >= threshold)
