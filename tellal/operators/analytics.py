@@ -17,9 +17,9 @@ def scope_order(scope: str = "province_scope") -> Column:
 
 
 def named(rows: DataFrame, star: Star) -> DataFrame:
-    """With the province's name; the table of provinces has 81 rows at most."""
+    """With the province's name."""
     names = star.province.select(F.col("code").alias("province_code"), F.col("name").alias("province_name"))
-    return rows.join(F.broadcast(names), "province_code", "left")
+    return rows.join(names, "province_code", "left")
 
 
 def with_metrics(rows: DataFrame, star: Star) -> DataFrame:
@@ -117,7 +117,7 @@ def summary_blocks(rows: DataFrame, catalog: DataFrame) -> DataFrame:
         F.array_distinct(F.flatten(F.collect_list(F.map_keys("metrics")))).alias("keys"),
     )
     ranked = (
-        parts.select("event_type", F.explode("keys").alias("metric_type")).join(F.broadcast(catalog), ["event_type", "metric_type"], "left")
+        parts.select("event_type", F.explode("keys").alias("metric_type")).join(catalog, ["event_type", "metric_type"], "left")
         .groupBy("event_type").agg(F.expr("transform(array_sort(collect_list(struct(coalesce(metric_ord, 2147483647) as o, metric_type))), x -> x.metric_type)").alias("columns"))
     )
     totals = rows.where("level = 'EVENT_TYPE'").select("event_type", "incident_count", "metrics")
@@ -143,5 +143,5 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     own = labels.select("event_type", "metric_type", "event_label", F.col("metric_label").alias("own_label"))
     any_ = labels.groupBy("metric_type").agg(F.min_by("metric_label", F.struct("event_ord", "metric_ord")).alias("any_label"))
     types = labels.groupBy("event_type").agg(F.first("event_label").alias("type_label"))
-    out = rows.join(F.broadcast(own.drop("event_label")), ["event_type", "metric_type"], "left").join(F.broadcast(any_), "metric_type", "left").join(F.broadcast(types), "event_type", "left")
+    out = rows.join(own.drop("event_label"), ["event_type", "metric_type"], "left").join(any_, "metric_type", "left").join(types, "event_type", "left")
     return out.withColumns({"event_label": F.coalesce("type_label", "event_type"), "metric_label": F.coalesce("own_label", "any_label", "metric_type")}).drop("own_label", "any_label", "type_label")

@@ -157,7 +157,7 @@ from c left join m on c.level = m.level and c.event_type is not distinct from m.
     "join_inner_metric": (lambda s: analytics.with_metrics(s.incident, s).groupBy("event_type", "metric_type").agg(F.count("*").alias("n")), STAR + ALL + "select event_type, metric_type, count(*) as n from i join incident_metric on incident_id = id group by 1, 2"),
     "join_left_province": (lambda s: analytics.named(s.incident, s).groupBy("province_name").agg(F.count("*").alias("n")), STAR + ALL + "select name as province_name, count(*) as n from i left join province on code = province_code group by 1"),
     "analysis_result_failed": (lambda s: s.result.where("status = 'FAILED'").select("raw_report_id", "analyzed_at", "failure_reason"), STAR + ALL + "select raw_report_id, analyzed_at, failure_reason from result where status = 'FAILED'"),
-    "unknown_province_codes": (lambda s: s.incident.where("province_code is not null").join(F.broadcast(s.province), F.col("province_code") == F.col("code"), "left_anti").groupBy("province_code").agg(F.count("*").alias("n")), STAR + ALL + "select province_code, count(*) as n from i where province_code is not null and not exists (select 1 from province where code = province_code) group by 1"),
+    "unknown_province_codes": (lambda s: s.incident.where("province_code is not null").join(s.province, F.col("province_code") == F.col("code"), "left_anti").groupBy("province_code").agg(F.count("*").alias("n")), STAR + ALL + "select province_code, count(*) as n from i where province_code is not null and not exists (select 1 from province where code = province_code) group by 1"),
     "invariants": (lambda s: s.violations(), "select unnest(['a province code if and only if the scope is SINGLE', 'one value per record and metric', 'a failure reason if and only if FAILED', 'a shared record has two provinces or more']) as rule, cast(0 as bigint) as n"),
     "signals_per_report": (
         lambda s: signals.signals(s).select("raw_report_id", F.size("incidents").cast("long").alias("n"), F.expr("array_join(transform(incidents, x -> concat(x.id, ':', array_join(transform(x.province_codes, c -> cast(c as string)), '+'))), ',')").alias("covered")),
