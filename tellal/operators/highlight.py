@@ -6,11 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def in_characters(texts: DataFrame) -> DataFrame:
+    """Keyword offsets in characters instead of UTF-16 units, of which some characters take two."""
+    wide = F.expr(r"if(raw_text rlike '[\\x{10000}-\\x{10FFFF}]', filter(sequence(0, length(raw_text) - 1), i -> ascii(substring(raw_text, i + 1, 1)) > 65535), cast(array() as array<int>))")
+    at = "x.{0} - size(filter(wide, (a, j) -> a + j < x.{0}))"
+    moved = f"transform(keywords, x -> named_struct('role', x.role, 'char_start', {at.format('char_start')}, 'char_end', {at.format('char_end')}))"
+    return texts.withColumn("wide", wide).withColumn("keywords", F.expr(moved)).drop("wide")
+
+
 def segments(texts: DataFrame) -> DataFrame:
-    """texts: id, raw_text, keywords (role, char_start, char_end). Pieces (id, begin, end, text, roles)
-    that together are the text; ranges outside it or without extent are dropped, and neighbours with
-    equal roles are one piece."""
+    """texts: id, raw_text, keywords (role, char_start, char_end in UTF-16 units). Pieces (id, begin,
+    end, text, roles) that together are the text, counted in characters; ranges outside it or without
+    extent are dropped, and neighbours with equal roles are one piece."""
     n = F.length("raw_text")
+    texts = in_characters(texts)
     valid = F.filter("keywords", lambda k: (k["char_start"] >= 0) & (k["char_end"] > k["char_start"]) & (k["char_end"] <= n))
     rows = texts.where(n > 0).select("id", "raw_text", valid.alias("k"))
     cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), F.length("raw_text")), F.transform("k", lambda x: x["char_start"]), F.transform("k", lambda x: x["char_end"]))))

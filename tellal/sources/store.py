@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.turkish import reporting_day
-from ..operators.extraction import LONGEST_REASON, extract
+from ..operators.extraction import LONGEST_REASON, outcomes, records, scan, understood
 from .catalog import Catalog
 from .reference_data import PROVINCES
 from .star import Star
@@ -68,6 +68,10 @@ class Store:
         except AnalysisException:
             return self.spark.createDataFrame([], SCHEMAS[table])
 
+    def exists(self, table: str) -> bool:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
+        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
     def append(self, table: str, rows: DataFrame, batch: str | None = None) -> None:
         """Adds rows, those of one batch in a folder of their own."""
         rows.select(*[f.name for f in StructType.fromDDL(SCHEMAS[table])]).write.mode("append").parquet(f"{self.path}/{table}/{batch or uuid.uuid4().hex}")
@@ -89,7 +93,8 @@ class Store:
         """Runs the extraction over raw reports and appends what it gives; never fails for one report.
         The day of a report is its submission day in the zone."""
         known = list(range(1, len(PROVINCES) + 1)) if provinces is None else [*provinces]
-        found, outcome = extract(reports.withColumn("ref_date", reporting_day("submitted_at", zone)), catalog, provinces)
+        read = understood(scan(reports.withColumn("ref_date", reporting_day("submitted_at", zone)), catalog, provinces)).persist()
+        found, outcome = records(read), outcomes(read)
         stamp = F.lit(run_ts).cast("timestamp")
         strange = F.exists(F.concat("shared_province_codes", F.array("province_code")), lambda c: c.isNotNull() & ~c.isin(*known))
         rows = found.withColumns({"run_ts": stamp, "created_at": stamp, "strange": strange, "id": F.xxhash64("raw_report_id", stamp, "ordinal")}).persist()
@@ -112,14 +117,21 @@ class Store:
         announced = self.read("analysis_result").where((F.col("run_ts") == stamp) & (F.col("status") == "ANALYZED")).select("raw_report_id", "run_ts")
         self.append("signal", announced.join(each, "raw_report_id", "left").withColumn("incidents", F.coalesce("incidents", F.array())))
         rows.unpersist()
+        read.unpersist()
 
     def reprocess(self, raw_report_ids: list[str], run_ts: dt.datetime, **options) -> None:
         """Runs stored reports again, with their original submission time."""
         self.analyse(self.read("raw_report").where(F.col("raw_report_id").isin(*raw_report_ids)), run_ts, **options)
 
     def unanalysed(self) -> DataFrame:
-        """Stored reports without any outcome: new ones, and those of a run that broke off."""
-        return self.read("raw_report").join(self.read("analysis_result").select("raw_report_id"), "raw_report_id", "left_anti")
+        """Stored reports without any outcome: new ones, and those of a run that broke off. Texts are
+        read only from the files that hold such reports; of the others, the ids."""
+        done = self.read("analysis_result").select("raw_report_id")
+        ids = self.read("raw_report").select("raw_report_id", F.col("_metadata.file_path").alias("file")) if self.exists("raw_report") else None
+        files = [r["file"] for r in ids.join(done, "raw_report_id", "left_anti").select("file").distinct().collect()] if ids else []
+        if not files:
+            return self.spark.createDataFrame([], SCHEMAS["raw_report"])
+        return self.spark.read.schema(SCHEMAS["raw_report"]).parquet(*files).join(done, "raw_report_id", "left_anti")
 
     def star(self) -> Star:
         """The store as it now reads."""

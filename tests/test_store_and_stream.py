@@ -94,6 +94,6 @@ def test_signals_matter_or_not(spark):
 
 
 def test_pieces_make_up_the_text(spark):
-    rows = spark.sql("select 1L as id, 'abc def' as raw_text, array(named_struct('role', 'DATE', 'char_start', 0, 'char_end', 3), named_struct('role', 'DATE', 'char_start', 3, 'char_end', 5), named_struct('role', 'X', 'char_start', 5, 'char_end', 5)) as keywords union all select 2L, 'xy', array()")
+    rows = spark.sql("select 1L as id, 'abc def' as raw_text, array(named_struct('role', 'DATE', 'char_start', 0, 'char_end', 3), named_struct('role', 'DATE', 'char_start', 3, 'char_end', 5), named_struct('role', 'X', 'char_start', 5, 'char_end', 5)) as keywords union all select 2L, 'xy', array() union all select 3L, '🙂 kaza 🙂', array(named_struct('role', 'M', 'char_start', 3, 'char_end', 7))")
     out = highlight.segments(rows).orderBy("id", "begin").collect()
-    assert [(r.id, r.text, r.roles) for r in out] == [(1, "abc d", ["DATE"]), (1, "ef", []), (2, "xy", [])]
+    assert [(r.id, r.text, r.roles) for r in out] == [(1, "abc d", ["DATE"]), (1, "ef", []), (2, "xy", []), (3, "🙂 ", []), (3, "kaza", ["M"]), (3, " 🙂", [])]
