@@ -29,14 +29,14 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_batches, stored, texts
 from .components import components
 
 #: Documents and shingles in one block of a shard.
-BLOCK_DOCS = 3000
+BLOCK_DOCS = 2000
 BLOCK_SHINGLES = 1_500_000
 #: Shingles that one task brings together.
 BUCKET = 1_000_000
@@ -46,6 +46,8 @@ FEWEST = 64
 SAMPLED = 2.0
 #: DivideSkip's cost of one binary search against one step of the merge.
 PROBE_COST = 0.0085
+#: Documents that stand for a component when blocks are first joined.
+DELEGATES = 8
 REMEMBERED = 1_000_000
 SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -273,12 +275,13 @@ class Index:
         return (self.keys[at] == want).reshape(len(elements), len(docs)).sum(0)
 
 
-def search_links(sets: list[np.ndarray], threshold: Fraction, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect what is connected among the sets; with sides, only links between sides."""
+def search_links(sets: list[np.ndarray], threshold: Fraction, side: np.ndarray | None = None, group: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect what is connected among the sets; with sides, only links between sides.
+    Sets of equal group number are known to be connected."""
     order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
     index = Index([sets[k] for k in order])
     sides = None if side is None else side[order]
-    root = np.arange(len(sets))
+    root = np.arange(len(sets)) if group is None else np.unique(group[order], return_inverse=True)[1]
     num, den = threshold.numerator, threshold.denominator
     links = []
     for q in range(1, len(sets)):
@@ -313,40 +316,91 @@ def search_links(sets: list[np.ndarray], threshold: Fraction, side: np.ndarray |
     return links
 
 
-def link_shards(docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
-    """docs: text, node (its class), shard, block and blocks. Links (a, b) between classes that
-    connect what is connected in each pair of a shard's blocks."""
+def shard_sets(docs: DataFrame, size: int) -> DataFrame:
+    """docs: text, node (its class), shard, block and blocks. The same with the shingles for the text."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, names = WordHash(), ["node", "shard", "block", "blocks"]
         for batch in batches:
             own = [shingle_set(t, size, known) for t in batch.column("text").to_pylist()]
             made = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], [*names, "n", "shingles"])
             yield made.filter(pa.array([class_of(s) == node for s, node in zip(own, batch.column("node").to_pylist())], pa.bool_()))
 
+    return in_batches(docs.select("text", "node", "shard", "block", "blocks"), run, "node long, shard long, block int, blocks int, n long, shingles binary")
+
+
+def links_within(sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """sets: node, shard, k1, k2, side, known, shingles, n. Links (a, b) that connect what is connected
+    among the rows of equal (shard, k1, k2): between sides where side is not null, and but for what
+    ``known``, the component so far, connects."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def links() -> pa.RecordBatch:
-            side = np.array([b for _, b, _ in held]) if now[1] != now[2] else None
-            found = search_links([np.frombuffer(s, np.uint64) for _, _, s in held], threshold, side)
+            sides = None if held[0][1] is None else np.array([h[1] for h in held])
+            found = search_links([np.frombuffer(h[3], np.uint64) for h in held], threshold, sides, np.array([h[2] for h in held]))
             return pa.RecordBatch.from_arrays([pa.array([held[x][0] for x, _ in found], pa.int64()), pa.array([held[y][0] for _, y in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for node, block, b1, b2, shard, s in zip(*(batch.column(c).to_pylist() for c in ("node", "block", "b1", "b2", "shard", "shingles"))):
-                if held and now != (shard, b1, b2):
+            for shard, k1, k2, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "k1", "k2", "node", "side", "known", "shingles"))):
+                if held and now != (shard, k1, k2):
                     yield links()
                     held = []
-                now = (shard, b1, b2)
-                if not held or held[-1][0] != node:
-                    held.append((node, block, s))
+                now = (shard, k1, k2)
+                if not held or held[-1][0] != row[0]:
+                    held.append(row)
         if held:
             yield links()
 
-    have = in_batches(docs.select("text", "node", "shard", "block", "blocks"), sets, "node long, shard long, block int, blocks int, n long, shingles binary")
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("b1"), F.greatest("block", j).alias("b2"))))
-    spread = have.withColumn("p", pairs).select("node", "shard", "block", "p.b1", "p.b2", "n", "shingles")
-    return in_batches(spread.repartition("shard", "b1", "b2").sortWithinPartitions("shard", "b1", "b2", "n", "node"), run, "a long, b long")
+    rows = sets.select("shard", "k1", "k2", "n", "node", "side", "known", "shingles")
+    return in_batches(rows.repartition("shard", "k1", "k2").sortWithinPartitions("shard", "k1", "k2", "n", "node"), run, "a long, b long")
+
+
+def blocks_of(shingles: str) -> Column:
+    """Blocks that the rows of a group need."""
+    return F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(shingles) / BLOCK_SHINGLES)).cast("int")
+
+
+def shard_components(sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """Components of the links within shards. A shard of one block is one search. In a larger one,
+
+    1. every block is searched by itself;
+    2. a few delegates of each component found are searched together, which joins most of what
+       belongs together;
+    3. whatever is not in the shard's largest component by then is compared with every block.
+
+    Two documents of different blocks and components have one outside the largest, so no link is
+    lost, and a group of near copies costs its size times what stays outside, not its square.
+    """
+    none = F.lit(None).cast("int").alias("side")
+    alone = sets.select("shard", F.col("block").alias("k1"), F.lit(0).alias("k2"), "n", "node", none, F.col("node").alias("known"), "shingles")
+    links = stored(links_within(alone, threshold))
+    large = sets.where("blocks > 1")
+    if not large.limit(1).count():
+        return components(links)
+
+    def grouped(so_far: DataFrame) -> DataFrame:
+        of = components(so_far)
+        return stored(large.drop("shingles").join(of, "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component"))
+
+    now = grouped(links)
+    first = Window.partitionBy("shard", "known").orderBy(F.xxhash64("node"))
+    few = now.withColumn("k", F.row_number().over(first)).withColumn("of", F.count("*").over(Window.partitionBy("shard", "known"))).where(f"of > 1 and k <= {DELEGATES}")
+    parts = few.groupBy("shard").agg(blocks_of("n").alias("parts"))
+    chosen = few.join(parts, "shard").select("shard", F.lit(-1).alias("k1"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int").alias("k2"), "node", none, "known")
+    links = stored(links.unionByName(links_within(chosen.join(large.select("node", "n", "shingles").distinct(), "node"), threshold)))
+
+    now = grouped(links)
+    sizes = now.groupBy("shard", "known").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("shard").agg(F.max_by("known", F.struct("size", "known")).alias("largest"))
+    apart = now.join(largest, "shard").where("known <> largest")
+    outside = apart.groupBy("shard").agg(blocks_of("n").alias("parts"))
+    probes = apart.join(outside, "shard").withColumn("k2", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int"))
+    probes = probes.withColumn("k1", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("k1 <> block").select("shard", "k1", "k2", "node", F.lit(1).alias("side"), "known")
+    against = now.join(outside, "shard").withColumn("k2", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("shard", F.col("block").alias("k1"), "k2", "node", F.lit(0).alias("side"), "known")
+    both = probes.unionByName(against).join(large.select("node", "n", "shingles").distinct(), "node")
+    return components(links.unionByName(links_within(both, threshold)))
 
 
 def similar_components(docs: DataFrame, size: int = 5, threshold: Fraction | str = Fraction(8, 10)) -> DataFrame:
@@ -360,9 +414,9 @@ def similar_components(docs: DataFrame, size: int = 5, threshold: Fraction | str
     chosen = stored(prefixes(classes, shared_shingles(full, total), threshold))
     shards = components(candidate_edges(chosen, chosen.agg(F.sum(F.length("signatures") / 8).cast("long")).first()[0] or 0)).withColumnRenamed("component", "shard")
     members = stored(shards.join(classes, F.col("node") == F.col("class")).select("node", "shard", "rep", "n_shingles"))
-    blocks = members.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    blocks = members.groupBy("shard").agg(blocks_of("n_shingles").alias("blocks"))
     placed = members.join(blocks, "shard").select("node", "shard", "blocks", F.col("rep").alias("doc_id"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    groups = components(link_shards(texts(docs).join(placed.hint("merge"), "doc_id"), size, threshold))
+    groups = shard_components(stored(shard_sets(texts(docs).join(placed.hint("merge"), "doc_id"), size)), threshold)
     named = groups.join(classes.select("class", "rep"), F.col("node") == F.col("class")).select("class", "rep", "component")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     linked = classes.select("class", "rep").join(named.join(least, "component").select("class", "component_id"), "class", "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
