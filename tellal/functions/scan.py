@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 import regex
 
@@ -53,6 +54,12 @@ SOFTENED = {"p": "b", "ç": "c", "t": "d", "k": "ğg"}
 SHARED_MARKER = rf"\b(?:(?:her\s+)?(?:iki|üç|dört|beş|altı|\d{{1,2}})\s+(?:il|şehir){LETTER}*|(?:il|şehir)ler{LETTER}*)\b"
 CIRCUMSTANCE = re.compile("(?:d[ae]|t[ae])$")
 CLUSTER = regex.compile(r"\X")
+#: What may make a cluster of several characters, or counts as white space for Python alone.
+NOT_PLAIN = regex.compile(r"[\p{M}\p{Cf}\r\x85\u1100-\u11FF\uA960-\uA97F\uD7B0-\uD7FF\U0001F1E6-\U0001F1FF\U0001F3FB-\U0001F3FF]")
+RUN = re.compile(r"\S+")
+FOLDED = str.maketrans(dict.fromkeys(APOSTROPHES, "'"))
+# A piece of text without which a date pattern cannot match; "0" stands for any digit.
+NEEDED = {"ISO": "0", "NUMERIC": "0", "NAMED": "0", "-2d": "gün", "-7d": "hafta", "-1m": "ay", "-1d": "dün", "0d": "bugün", "+0d": "bu", "window": "son"}
 
 
 def tr_lower(text: str) -> str:
@@ -65,6 +72,20 @@ def is_space(cluster: str) -> bool:
 
 def normalise(raw: str) -> tuple[str, list[int], list[int]]:
     """The normalised text and, for each of its characters, where its source begins and ends (code points)."""
+    if NOT_PLAIN.search(raw) or not unicodedata.is_normalized("NFC", raw):
+        return _normalise_clusters(raw)
+    text, words, begin, end = tr_lower(raw).translate(FOLDED), [], [], []
+    for m in RUN.finditer(text):
+        if words:
+            begin.append(end[-1])
+            end.append(m.start())
+        words.append(m[0])
+        begin.extend(range(m.start(), m.end()))
+        end.extend(range(m.start() + 1, m.end() + 1))
+    return " ".join(words), begin, end
+
+
+def _normalise_clusters(raw: str) -> tuple[str, list[int], list[int]]:
     out, begin, end = [], [], []
     for m in CLUSTER.finditer(raw):
         cluster = m[0]
@@ -96,8 +117,10 @@ def sentences(value: str) -> list[tuple[int, int]]:
         # leading dots inside a number or after an abbreviation end nothing; what follows them may
         while at < stop and value[at] == ".":
             between = at > 0 and value[at - 1].isdigit() and at + 1 < len(value) and value[at + 1].isdigit()
-            word = re.search(rf"{LETTER}*$", value[start:at])[0]
-            if not between and word not in ABBREVIATIONS:
+            word = at
+            while word > start and at - word < 6 and value[word - 1].isalpha():
+                word -= 1
+            if not between and value[word:at] not in ABBREVIATIONS:
                 break
             at += 1
         if at < stop and (stop == len(value) or value[stop].isspace()):
@@ -191,34 +214,49 @@ def keyword_pattern(keyword: str) -> re.Pattern:
     return re.compile(r"\b" + r"\s+".join([*front, stem]) + KEYWORD_ENDING + r"\b")
 
 
+def stems(keyword: str) -> tuple[str, ...]:
+    """Pieces of text without which a keyword cannot occur."""
+    *front, word = normalise(keyword)[0].split()
+    return (*front, word[:-1] if word[-1] in SOFTENED else word)
+
+
 class Scanner:
-    """The compiled patterns of a catalog and a list of provinces."""
+    """The compiled patterns of a catalog and a list of provinces. A pattern is tried only on texts that
+    hold the plain pieces it needs, which is far quicker to find out."""
 
     def __init__(self, catalog: Catalog, provinces: dict[int, str]):
         if not provinces:
             raise ValueError("no provinces to recognise")
         self.codes = {normalise(name)[0]: code for code, name in provinces.items()}
-        names = "|".join(map(re.escape, sorted(self.codes, key=lambda n: (-len(n), n))))
-        self.province = re.compile(rf"\b({names}){PROVINCE_ENDING}\b")
-        self.dates = {k: re.compile(p) for k, p in DATE_PATTERNS.items()}
+        self.dates = [(n, k, NEEDED[k], re.compile(p)) for n, (k, p) in enumerate(DATE_PATTERNS.items())]
         self.marker = re.compile(SHARED_MARKER)
-        self.triggers = [(e.key, n, k, keyword_pattern(w)) for n, e in enumerate(catalog.event_types) for k, w in enumerate(e.keywords)]
+        self.triggers = [(e.key, n, k, stems(w), keyword_pattern(w)) for n, e in enumerate(catalog.event_types) for k, w in enumerate(e.keywords)]
         listed = [(e.key, m.key, w) for e in catalog.event_types for m in e.metrics for w in m.keywords]
-        self.metrics = [(e, m, k, len(normalise(w)[0]), keyword_pattern(w)) for k, (e, m, w) in enumerate(listed)]
+        self.metrics = [(e, m, k, len(normalise(w)[0]), stems(w), keyword_pattern(w)) for k, (e, m, w) in enumerate(listed)]
+        self.provinces = lru_cache(maxsize=4096)(self._provinces)
+
+    @staticmethod
+    def _provinces(names: tuple[str, ...]) -> re.Pattern:
+        return re.compile(rf"\b({'|'.join(map(re.escape, sorted(names, key=lambda n: (-len(n), n))))}){PROVINCE_ENDING}\b")
 
     def hits(self, value: str) -> list[dict]:
         """Every pattern's hits: kind, key, detail, ord (of the pattern), begin, end."""
         out = []
-        for n, (key, pattern) in enumerate(self.dates.items()):
-            out += [dict(kind="DATE", key=key, detail="|".join(g or "" for g in m.groups()), ord=n, begin=m.start(), end=m.end()) for m in pattern.finditer(value)]
-        for m in self.province.finditer(value):
-            if not DISTRICT.match(value, m.end()):
-                out.append(dict(kind="PROVINCE", key=m[1], detail=str(self.codes[m[1]]), ord=0, begin=m.start(), end=m.end()))
-        out += [dict(kind="MARKER", key="", detail="", ord=0, begin=m.start(), end=m.end()) for m in self.marker.finditer(value)]
-        for event, type_ord, k, pattern in self.triggers:
-            out += [dict(kind="EVENT_TYPE", key=event, detail=str(k), ord=type_ord, begin=m.start(), end=m.end()) for m in pattern.finditer(value)]
-        for event, metric, k, size, pattern in self.metrics:
-            for m in pattern.finditer(value):
+        digits = any(c.isdigit() for c in value)
+        for n, key, need, pattern in self.dates:
+            if digits if need == "0" else need in value:
+                out += [dict(kind="DATE", key=key, detail="|".join(g or "" for g in m.groups()), ord=n, begin=m.start(), end=m.end()) for m in pattern.finditer(value)]
+        if there := tuple(n for n in self.codes if n in value):
+            for m in self.provinces(there).finditer(value):
+                if not DISTRICT.match(value, m.end()):
+                    out.append(dict(kind="PROVINCE", key=m[1], detail=str(self.codes[m[1]]), ord=0, begin=m.start(), end=m.end()))
+        if "il" in value or "şehir" in value:
+            out += [dict(kind="MARKER", key="", detail="", ord=0, begin=m.start(), end=m.end()) for m in self.marker.finditer(value)]
+        for event, type_ord, k, need, pattern in self.triggers:
+            if all(x in value for x in need):
+                out += [dict(kind="EVENT_TYPE", key=event, detail=str(k), ord=type_ord, begin=m.start(), end=m.end()) for m in pattern.finditer(value)]
+        for event, metric, k, size, need, pattern in self.metrics:
+            for m in pattern.finditer(value) if all(x in value for x in need) else ():
                 tail = re.match(rf"{LETTER}*", value[m.start() + size :])[0]
                 if not CIRCUMSTANCE.search(tail):
                     out.append(dict(kind="METRIC", key=event, detail=metric, ord=k, begin=m.start(), end=m.end()))
