@@ -50,7 +50,7 @@ def counted(units: DataFrame, key: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
-    """docs: doc_id, text, lang. Rows of equal text and language count once each."""
+    """docs: doc_id, text, lang."""
     known = docs.where("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = sorted(sizes)
