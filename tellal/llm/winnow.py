@@ -21,6 +21,8 @@ from .common import in_batches, texts, with_fields
 K = 16
 WINDOW = 16
 BLOCK = 1 << 20
+#: Ranges of ids at most: their first ids go to the driver. Rows stream, so a range may be long.
+MOST_RANGES = 10_000
 #: The hash keeps the upper bits; the lower ones order equal hashes in a block by position.
 LOW = np.uint64((1 << 21) - 1)
 BASE = 0x9E3779B97F4A7C15
@@ -153,7 +155,7 @@ def compare_edits(docs: DataFrame, rows_a_range: int = 20_000) -> DataFrame:
     alike the text's is to the edited text's and to the next document's, by ascending doc_id; after
     the last comes the first. Null ids sort first, equal ids by text."""
     docs = texts(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    ranges = max(1, -(-docs.count() // rows_a_range))
+    ranges = min(MOST_RANGES, max(1, -(-docs.count() // rows_a_range)))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
