@@ -17,10 +17,13 @@ def selected(star: Star, query: AnalyticsQuery) -> DataFrame:
         rows = rows.where(F.col("raw_report_id") == query.raw_report_id)
     if query.event_types:
         rows = rows.where(F.col("event_type").isin(*query.event_types))
+    by_month = "month" in rows.columns
     if query.date_from:
         rows = rows.where(F.col("occurred_on") >= F.lit(query.date_from))
+        rows = rows.where(F.col("month") >= F.lit(query.date_from.replace(day=1))) if by_month else rows
     if query.date_to:
         rows = rows.where(F.col("occurred_on") <= F.lit(query.date_to))
+        rows = rows.where(F.col("month") <= F.lit(query.date_to)) if by_month else rows
     if query.provinces:
         codes = ", ".join(f"{int(p)}S" for p in query.provinces)
         rows = rows.sparkSession.sql(

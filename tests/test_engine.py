@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tellal.engine import Engine
 from tellal.operators import analytics
 from tellal.plans.query import AnalyticsQuery, NotFound
+from tellal.sources.star import from_events, read_snapshot, write_snapshot
 
 DAY = dt.datetime(2020, 6, 15, 22, 30)
 
@@ -37,3 +38,13 @@ def test_from_submission_to_answers(spark, tmp_path):
 def test_an_empty_store_still_has_a_total(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "empty"))
     assert [(r.level, r.incident_count) for r in engine.summary().collect()] == [("TOTAL", 0)] and engine.time_series().count() == 0
+
+
+def test_a_snapshot_answers_the_same_and_reads_only_its_months(spark, tmp_path):
+    star = from_events(spark, "/root/testdata/sf0.001")
+    write_snapshot(star, str(tmp_path / "snap"))
+    again = read_snapshot(spark, str(tmp_path / "snap"))
+    query = AnalyticsQuery(("click",), (3, 7), dt.date(2024, 1, 5), dt.date(2024, 1, 20))
+    assert sorted(map(tuple, analytics.time_series(star, query).collect())) == sorted(map(tuple, analytics.time_series(again, query).collect()))
+    later = analytics.time_series(again, AnalyticsQuery(date_from=dt.date(2024, 2, 1)))
+    assert "PartitionFilters: [isnotnull(month" in later._jdf.queryExecution().toString() and later.count() == 0
