@@ -21,10 +21,8 @@ LEAST_SCORE = 0.5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language is found: null, without letters, or undecided."""
     model = langid.fit(docs.select("doc_id", "text", "lang"))
-    rows = packed(docs)
-    found = langid.predict(rows.withColumn("whole", F.struct("text", "rest")), model, ("whole",))
-    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return unpacked(kept.select("doc_id", "whole.text", "whole.rest"), docs.columns)
+    found = langid.predict(packed(docs), model, ("text", "rest"))
+    return unpacked(found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -119,8 +119,8 @@ class Scores(dict):
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score and the columns named in keep."""
-    docs = texts(docs, *keep)
+    """doc_id, lang_pred, score and the columns named in keep, of which the text may be one."""
+    docs = texts(docs, *(c for c in keep if c != "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(model)
