@@ -36,7 +36,7 @@ from .common import in_batches, stored, texts
 from .components import components
 
 #: Documents and shingles in one block of a shard.
-BLOCK_DOCS = 2000
+BLOCK_DOCS = 4000
 BLOCK_SHINGLES = 1_500_000
 #: Shingles that one task brings together.
 BUCKET = 1_000_000
