@@ -7,12 +7,30 @@ size; each is cut off from its lineage in the shared folder.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
 
+def as_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Within one task: edges that join the same nodes as (a, b), each from its group's smallest node."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(node))
+    while True:
+        least = np.minimum(label[x], label[y])
+        now = label.copy()
+        np.minimum.at(now, label[x], least)
+        np.minimum.at(now, label[y], least)
+        now = now[now]
+        if (now == label).all():
+            break
+        label = now
+    ends = label != np.arange(len(node))
+    return node[label[ends]], node[ends]
+
+
 def _stars(edges: DataFrame) -> bool:
     """Whether every node is either a centre or the end of one edge: one aggregation tells."""
     ends = edges.select(F.col("b").alias("node"), F.lit(1).alias("ends"), F.lit(0).alias("centre")).unionByName(edges.select(F.col("a").alias("node"), F.lit(0).alias("ends"), F.lit(1).alias("centre")))
@@ -23,7 +41,7 @@ def _stars(edges: DataFrame) -> bool:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_batches, stored, texts
-from .components import components
+from .components import as_stars, components
 
 #: Documents and shingles in one block of a shard.
 BLOCK_DOCS = 4000
@@ -199,7 +199,8 @@ def prefixes(classes: DataFrame, shared: DataFrame, threshold: Fraction) -> Data
 
 
 def candidate_edges(classes: DataFrame, total: int) -> DataFrame:
-    """classes: node, signatures. Edges from the smallest to each other class of a shared signature."""
+    """classes: node, signatures. Edges from the smallest to each other class of what shares signatures
+    within a bucket."""
     buckets = max(1, -(-total // BUCKET))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,8 +227,8 @@ def candidate_edges(classes: DataFrame, total: int) -> DataFrame:
             sig, owner = sig[order], owner[order]
             first = np.append(True, sig[1:] != sig[:-1])
             low = owner[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
-            pairs = np.unique(np.column_stack([low, owner])[low != owner], axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            a, b = as_stars(low[low != owner], owner[low != owner])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             for bucket, sig, owner in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sig", "owner"))):
@@ -340,7 +341,8 @@ def links_within(sets: DataFrame, threshold: Fraction) -> DataFrame:
         def links() -> pa.RecordBatch:
             sides = None if held[0][1] is None else np.array([h[1] for h in held])
             found = search_links([np.frombuffer(h[3], np.uint64) for h in held], threshold, sides, np.array([h[2] for h in held]))
-            return pa.RecordBatch.from_arrays([pa.array([held[x][0] for x, _ in found], pa.int64()), pa.array([held[y][0] for _, y in found], pa.int64())], ["a", "b"])
+            a, b = as_stars(*(np.array([held[f[k]][0] for f in found], np.int64) for k in (0, 1)))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
             for shard, k1, k2, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "k1", "k2", "node", "side", "known", "shingles"))):
