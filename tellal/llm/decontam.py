@@ -6,8 +6,8 @@ are counted in overlapping bands of diagonals; a band that reaches the bound mar
 banded alignment decides it. Case and runs of white space do not count as differences.
 
 A text that is null, empty or shorter than every item matches nothing. Items without text match
-nothing; an item shorter than a q-gram must occur as it is. Items of equal text each match. Rows
-repeat in the result as often as in the input.
+nothing; an item shorter than a q-gram must occur as it is. Items of equal text each match, and an
+item without an item_id does so with a null one. Rows repeat in the result as often as in the input.
 """
 
 from __future__ import annotations
@@ -190,7 +190,7 @@ def item_blocks(benchmark: DataFrame) -> list[Items]:
     blocks = -(-total // BLOCK_CHARS)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks)))
     for k in range(blocks):
-        rows = sorted((r["item_id"], r["text"]) for r in items.where(part == k).collect() if r["item_id"] is not None)
+        rows = sorted(((r["item_id"], r["text"]) for r in items.where(part == k).collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         yield [r[0] for r in rows], [normalised(r[1])[0] for r in rows]
 
 

@@ -264,6 +264,15 @@ def test_edited_leaks_are_found_and_a_large_benchmark_goes_in_blocks(spark, monk
     assert {(k, k) for k, _ in bench} <= found and {d for d, i in found if i == 97} == {k for k, _ in bench}
 
 
+def test_a_benchmark_item_without_an_id_is_found(spark):
+    item = "The committee will publish its findings about the river crossing before the end of the year."
+    docs = spark.createDataFrame([(1, f"Before. {item} After."), (2, "Nothing of it."), (3, None), (None, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (None, item), (5, item), (6, None)], "item_id long, text string")
+    found = sorted((r.doc_id or 0, r.item_id or 0) for r in decontam.find_leaks(docs, bench).collect())
+    assert found == [(0, 0), (0, 0), (0, 5), (1, 0), (1, 0), (1, 5)]
+    assert sorted(r.doc_id for r in decontam.drop_leaks(docs, bench.where("item_id is null")).collect()) == [2, 3]
+
+
 def test_alignment_is_the_plain_one():
     rnd = random.Random(7)
 
