@@ -9,6 +9,12 @@ that lie in more than that share are left out beforehand, which loses nothing.
 
 Null and empty texts and units of one word match nothing. Equal scores go to the licence that sorts
 first. Repeated rows are reported each. The templates are a fixed small table, so it is broadcast.
+
+Passages are found wherever they stand, wrapped over lines, inside a longer text or inside a line: a
+passage is a stretch of the whole text's words that begins and ends with a bigram of the template and
+has at most ``(2 - threshold) / threshold`` times its number of bigrams, repeated ones counted. A unit
+that reaches the threshold has more than a share of the template's bigrams, so only stretches with so
+many are compared, which loses nothing. Of passages that overlap, that with more of its template counts.
 """
 
 from __future__ import annotations
@@ -19,6 +25,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import TEXTS
+
 THRESHOLD = 0.8
 #: Words that many texts have; any choice of words is right, this one is quick.
 COMMON = frozenset("a and any by for in is of on or the this to under with work".split())
@@ -42,10 +50,15 @@ TEMPLATES = [
 ]
 
 
+def all_bigrams(text: Column) -> Column:
+    """The pairs of neighbouring words of a text, normalised, in order."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
+    return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+
+
 def bigrams(text: Column) -> Column:
     """The distinct pairs of neighbouring words of a text, normalised."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
-    return F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
+    return F.array_distinct(all_bigrams(text))
 
 
 def telling_words(templates: list[tuple[str, str]], threshold: float) -> list[str]:
@@ -93,3 +106,50 @@ def find_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     scored = sized.join(table, "size").select("doc_id", "line", "license", dice.alias("dice")).where(F.col("dice") >= threshold)
     best = scored.groupBy("doc_id", "line").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("b"))
     return best.select("doc_id", "line", "b.license", (-F.col("b.d")).alias("dice"))
+
+
+def bound(value: Column, use) -> Column:
+    """use of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def stretches(own: Column, t: Column, threshold: float) -> Column:
+    """For each start in a text's bigrams the best passage of a template: shared and dice (negative, for
+    sorting), license, start and last."""
+    n = F.size(t["pairs"])
+
+    def scored(p: Column, q: Column) -> Column:
+        def dice(piece: Column) -> Column:
+            shared = F.size(F.array_intersect(piece, t["pairs"]))
+            return F.struct((-shared).alias("shared"), (shared * -2.0 / (F.size(piece) + n)).alias("dice"), t["license"].alias("license"), p.alias("start"), q.alias("last"))
+
+        return bound(F.array_distinct(F.slice(own, p, q - p + 1)), dice)
+
+    def from_places(at: Column) -> Column:
+        def best(p: Column, k: Column) -> Column:
+            ends = F.filter(F.slice(at, k + t["need"], t["span"]), lambda q: q - p < t["span"])
+            return F.array_min(F.filter(F.transform(ends, lambda q: scored(p, q)), lambda x: -x["dice"] >= threshold))
+
+        return F.filter(F.transform(at, best), lambda x: x.isNotNull())
+
+    places = bound(F.array_intersect(own, t["pairs"]), lambda known: F.filter(F.sequence(F.lit(1), F.size(own)), lambda k: F.array_contains(known, F.get(own, k - 1))))
+    return bound(places, from_places)
+
+
+def find_passages(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, first_word (from 1), n_words, license and dice of every passage that matches."""
+    templates = templates or TEMPLATES + TEXTS
+    listed = docs.sparkSession.createDataFrame(templates, "license string, notice string").select("license", all_bigrams(F.col("notice")).alias("every")).withColumn("pairs", F.array_distinct("every"))
+    need = F.ceil(F.size("pairs") * (threshold / (2 - threshold)) - 1e-9).cast("int")
+    span = F.floor(F.size("every") * ((2 - threshold) / threshold) + 1e-9).cast("int")
+    listed = listed.agg(F.collect_list(F.struct("license", "pairs", need.alias("need"), span.alias("span"))).alias("listed"))
+    listed = listed.withColumn("known", F.array_distinct(F.flatten(F.transform("listed", lambda t: t["pairs"]))))
+    told_docs = docs.where("text is not null").where(told(F.col("text"), telling_words(templates, threshold)))
+    own = told_docs.select(F.col("doc_id").cast("long").alias("doc_id"), all_bigrams(F.col("text")).alias("own")).crossJoin(F.broadcast(listed))
+    held = own.withColumn("held", F.array_intersect("own", "known"))
+    likely = held.withColumn("likely", F.filter("listed", lambda t: F.size(F.array_intersect("held", t["pairs"])) >= t["need"])).where(F.size("likely") > 0)
+    found = likely.select("doc_id", F.array_sort(F.flatten(F.transform("likely", lambda t: stretches(F.col("own"), t, threshold)))).alias("found")).where(F.size("found") > 0)
+    none = F.filter("found", lambda x: F.lit(False))
+    apart = F.aggregate("found", none, lambda kept, x: F.when(F.exists(kept, lambda y: (x["start"] <= y["last"]) & (y["start"] <= x["last"])), kept).otherwise(F.concat(kept, F.array(x))))
+    rows = found.select("doc_id", F.explode(apart).alias("f"))
+    return rows.select("doc_id", F.col("f.start").alias("first_word"), (F.col("f.last") - F.col("f.start") + 2).alias("n_words"), "f.license", (-F.col("f.dice")).alias("dice"))

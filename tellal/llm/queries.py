@@ -113,6 +113,10 @@ qualify row_number() over (partition by doc_id, line order by dice desc, license
 """ % (", ".join("('%s', '%s')" % x for x in license.TEMPLATES), license.THRESHOLD / (2 - license.THRESHOLD) - 0.001, (2 - license.THRESHOLD) / license.THRESHOLD + 0.001, license.THRESHOLD)
 
 
+def op7_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.find_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_edited(table(spark, sf_dir, "documents"))
 
@@ -133,6 +137,7 @@ QUERIES = {
     "op5_ngram_join": op5_ngram_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_license_scan": op7_license_scan,
+    "op7_license_passages": op7_license_passages,
     "op8_token_count": op8_token_count,
     "op9_decontamination": op9_decontamination,
     "op10_bpe": op10_bpe,

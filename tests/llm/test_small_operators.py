@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -204,6 +206,51 @@ def test_licences(spark, odd, none):
     assert license.find_licenses(odd).count() == 0 and license.find_licenses(none).count() == 0
 
 
+def brute_passages(text, templates, threshold=0.8):
+    def pairs(t):
+        w = re.sub(r"[\W_]+", " ", t.lower()).strip().split(" ")
+        return [f"{a} {b}" for a, b in zip(w, w[1:])]
+
+    own, found = pairs(text), []
+    for name, notice in templates:
+        every = pairs(notice)
+        known, span = set(every), int(len(every) * (2 - threshold) / threshold + 1e-9)
+        for p in range(len(own)):
+            if own[p] in known:
+                scores = []
+                for q in range(p, min(p + span, len(own))):
+                    piece = set(own[p : q + 1])
+                    if own[q] in known and 2 * len(piece & known) / (len(piece) + len(known)) >= threshold:
+                        scores.append((-len(piece & known), -2 * len(piece & known) / (len(piece) + len(known)), name, p + 1, q + 1))
+                found += [min(scores)] if scores else []
+    kept = []
+    for x in sorted(found):
+        if not any(x[3] <= y[4] and y[3] <= x[4] for y in kept):
+            kept.append(x)
+    return sorted((start, last - start + 2, name, round(-dice, 9)) for _, dice, name, start, last in kept)
+
+
+def test_licences_wrapped_embedded_and_within_a_line(spark, odd, none):
+    full = {k: " ".join(t.split()) for k, t in license.TEXTS}
+    texts = [
+        "MIT License\n\nCopyright (c) 2020 A\n\n" + textwrap.fill(full["MIT"], 80),
+        "some words before " + full["MIT"].split(" The above")[0] + " and many words after it " * 30,
+        "We thank all who helped. Released under the MIT License. See the site for more.",
+        "// " + "\n// ".join(textwrap.wrap(full["Apache-2.0"], 60)) + "\nint main() {}",
+        textwrap.fill(full["BSD-2-Clause"], 70) + "\n\n" + textwrap.fill(full["BSD-3-Clause"], 70),
+        "Licensed under CC\nBY 4.0. Released under the MIT License. Released under the MIT License.",
+        "This program is free software and the license says nothing of the GNU General Public kind",
+        textwrap.fill(full["GPL-3.0"], 72) + "\n" + textwrap.fill(full["LGPL-2.1"].replace("useful", "of some use"), 72),
+    ]
+    rows = [*enumerate(texts), (2, texts[2]), (None, texts[2])]
+    out = license.find_passages(spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit("clash"))).collect()
+    expected = [(k, *x) for k, t in rows for x in brute_passages(t, license.TEMPLATES + license.TEXTS)]
+    assert sorted(((r.doc_id, r.first_word, r.n_words, r.license, round(r.dice, 9)) for r in out), key=str) == sorted(expected, key=str)
+    names = {k: [x[2] for x in brute_passages(t, license.TEMPLATES + license.TEXTS)] for k, t in enumerate(texts)}
+    assert names == {0: ["MIT"], 1: ["MIT"], 2: ["MIT"], 3: ["Apache-2.0"], 4: ["BSD-2-Clause", "BSD-3-Clause"], 5: ["CC-BY-4.0", "MIT", "MIT"], 6: [], 7: ["GPL-3.0", "LGPL-2.1"]}
+    assert license.find_passages(odd).count() == 0 and license.find_passages(none).count() == 0
+
+
 # 8
 
 
