@@ -100,12 +100,14 @@ def find_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     each = F.transform(lines, lambda x, k: F.struct((k + 1).alias("line"), x.alias("unit")))
     units = docs.where("text is not null").where(told(F.col("text"), words)).select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.concat(whole, each)).alias("u"))
     sized = units.where(told(F.col("u.unit"), words)).select("doc_id", "u.line", bigrams(F.col("u.unit")).alias("own")).withColumn("size", F.size("own").cast("long"))
-    table = F.broadcast(template_sizes(docs.sparkSession, templates, threshold))
-    both = F.size(F.array_intersect("own", "pairs"))
-    dice = both * 2.0 / (F.col("size") + F.size("pairs"))
-    scored = sized.join(table, "size").select("doc_id", "line", "license", dice.alias("dice")).where(F.col("dice") >= threshold)
-    best = scored.groupBy("doc_id", "line").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("b"))
-    return best.select("doc_id", "line", "b.license", (-F.col("b.d")).alias("dice"))
+    by_size = template_sizes(docs.sparkSession, templates, threshold).groupBy("size").agg(F.collect_list(F.struct("license", "pairs")).alias("listed"))
+
+    def scored(t: Column) -> Column:
+        return F.struct((F.size(F.array_intersect("own", t["pairs"])) * -2.0 / (F.col("size") + F.size(t["pairs"]))).alias("d"), t["license"].alias("license"))
+
+    best = F.array_min(F.filter(F.transform("listed", scored), lambda x: -x["d"] >= threshold))
+    rows = sized.join(F.broadcast(by_size), "size").select("doc_id", "line", best.alias("b")).where("b is not null")
+    return rows.select("doc_id", "line", "b.license", (-F.col("b.d")).alias("dice"))
 
 
 def bound(value: Column, use) -> Column:

@@ -206,6 +206,13 @@ def test_licences(spark, odd, none):
     assert license.find_licenses(odd).count() == 0 and license.find_licenses(none).count() == 0
 
 
+def test_licences_of_repeated_rows_and_rows_without_ids(spark):
+    mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
+    rows = spark.createDataFrame([(None, mit), (None, gpl), (7, mit), (7, mit), (8, mit), (8, gpl)], "doc_id long, text string")
+    out = sorted((str(r.doc_id), r.line, r.license) for r in license.find_licenses(rows).collect())
+    assert out == [("7", 1, "MIT"), ("7", 1, "MIT"), ("8", 1, "GPL-3.0"), ("8", 1, "MIT"), ("None", 1, "GPL-3.0"), ("None", 1, "MIT")]
+
+
 def brute_passages(text, templates, threshold=0.8):
     def pairs(t):
         w = re.sub(r"[\W_]+", " ", t.lower()).strip().split(" ")
