@@ -43,11 +43,19 @@ def with_fields(schema: str, df: DataFrame, keep: tuple[str, ...]) -> StructType
 def in_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with batches of few rows: a batch holds BATCH_ROWS texts at most."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+    # 0 and below mean no limit
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(fn, schema)
 
 
+def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of BATCH_ROWS rows at most, whatever the session's bound is."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(k, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors all see: below spark.checkpoint.dir, and only where
     that is unset (one machine, as in tests) below a local temporary folder."""

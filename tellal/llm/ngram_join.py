@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, stored, texts
+from .common import in_batches, sliced, stored, texts
 from .components import as_stars, components
 
 #: Documents and shingles in one block of a shard.
@@ -124,7 +124,7 @@ def shared_shingles(sets: DataFrame, total: int) -> DataFrame:
     buckets = max(FEWEST, -(-total // BUCKET))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             node, first = np.unique(batch.column("class").to_numpy(), return_index=True)
             blobs = batch.column("sampled")
             own = [np.frombuffer(blobs[int(k)].as_py(), np.uint64) for k in first]

@@ -6,11 +6,13 @@ import re
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tellal.llm import decontam, fm_index, langid, ngram_join, substring
+from tellal.llm.common import in_batches
 from tellal.llm.components import components
 
 DOCS = "doc_id long, text string, shard int, node string"
@@ -85,6 +87,37 @@ def test_join_of_nothing(spark):
     assert sorted(((str(r.doc_id), r.component_id) for r in alone), key=str) == sorted([("7", 7), ("None", 7), ("None", None)], key=str)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@pytest.mark.parametrize("limit", ["0", "-1", "10000", "300"])
+def test_batches_are_bounded_whatever_the_session_says(spark, limit):
+    before = spark.conf.get(ARROW_ROWS)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    try:
+        spark.conf.set(ARROW_ROWS, limit)
+        found = [r.n for r in in_batches(spark.range(0, 2000, 1, 1), sizes, "n long").collect()]
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+    assert sum(found) == 2000 and max(found) <= 500
+
+
+def test_shared_shingles_of_a_batch_of_many_classes(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "in_batches", lambda df, fn, schema: df.mapInArrow(fn, schema))
+    before = spark.conf.get(ARROW_ROWS)
+    sets = spark.range(0, 70_000, 1, 1).select(F.col("id").alias("class"), F.unhex(F.lpad(F.hex(F.when(F.col("id") < 69_990, F.col("id")).otherwise(5)), 16, "0")).alias("sampled"))
+    try:
+        spark.conf.set(ARROW_ROWS, "0")
+        found = {r["class"]: len(r.shared) // 8 for r in ngram_join.shared_shingles(sets, 70_000).collect() if r.shared}
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+    assert found == {5: 1} | {k: 1 for k in range(69_990, 70_000)}
+
+
 def test_t_occurrence_links_against_all_pairs():
     rnd = np.random.default_rng(8)
     base = [rnd.choice(300, 60, replace=False) for _ in range(6)]
