@@ -1,11 +1,17 @@
 """Byte-level BPE as a streaming transducer with bounded lookahead.
 
 ``sufficient_lookahead`` derives from the merge list how far to the right of a token the input can
-still change it; ``StreamEncoder`` takes a text in pieces of any size, emits tokens once they are
-stable and holds a bounded tail; ``StreamDecoder`` is an incremental byte-to-text state machine.
-
-Null text counts as empty: no tokens, the digest of nothing. Very long texts pass through in blocks,
-and a single unbroken run of letters, however long, is encoded in windows.
+still change it. Every text, short or long, goes through ``StreamEncoder`` in pieces of ``BLOCK``
+characters; it finds pre-tokens as they become certain and runs their bytes through ``ByteStream``,
+which emits tokens once they are stable. What is held is bounded: the characters that can still
+change a pre-token's end, and of a pre-token that goes on and on, a window of bytes. What the
+transducer emitted for a pre-token is remembered. ``StreamDecoder`` is an incremental byte-to-text
+state machine.
+
+Null text counts as empty: no tokens, the digest of nothing. Very long texts pass in blocks, and a
+single unbroken run of letters, however long, in windows. Rows repeat in the result as often as in
+the input; an empty table gives an empty result; columns that are not asked for are not looked at,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +33,8 @@ from .common import in_batches, texts, with_fields
 
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 RUNS = {k: regex.compile(p) for k, p in (("letter", r"\p{L}*"), ("digit", r"\p{N}*"), ("other", r"[^\s\p{L}\p{N}]*"), ("space", r"\s*"))}
-#: Characters of a text that are looked at together.
-BLOCK = 1 << 16
-#: A pre-token longer than this is encoded while it is still being read.
-LONG = 1 << 14
+#: Characters that the encoder is fed at a time.
+BLOCK = 1 << 12
 #: Where two neighbours never merge.
 NEVER = (1 << 60, -1)
 #: Pre-tokens that a worker remembers.
@@ -83,6 +87,8 @@ class Model:
         merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
         self.rank = {(a, b): (r, m) for r, (a, b, m) in reversed([*enumerate(merges)])}
         self.lookahead = sufficient_lookahead(merges, [len(b) for b in self.bytes_of])
+        #: Bytes that are merged at a time while a pre-token goes on; a token always fits.
+        self.window = 4 * self.lookahead
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -133,7 +139,7 @@ class Model:
 
 
 class Known(dict):
-    """Pre-token to tokens, computed at first sight; starts anew when full."""
+    """Pre-token to tokens, as the transducer emits them at first sight; starts anew when full."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -141,7 +147,8 @@ class Known(dict):
     def __missing__(self, piece: str) -> tuple[int, ...]:
         if len(self) >= REMEMBERED:
             self.clear()
-        out = tuple(self.model.merge(piece.encode()))
+        stream = ByteStream(self.model)
+        out = (*stream.feed(piece.encode()), *stream.finish())
         if len(piece) <= 64:
             self[piece] = out
         return out
@@ -153,18 +160,22 @@ def load(path: str) -> Model:
 
 
 class ByteStream:
-    """The tokens of one pre-token whose bytes arrive in parts."""
+    """The tokens of one pre-token whose bytes arrive in parts.
+
+    Bytes are held until ``lookahead`` more have arrived behind a token: from then on nothing that
+    may follow can change it. Of a run that does not end, ``lookahead`` bytes and one window stay.
+    """
 
     def __init__(self, model: Model):
         self.model, self.held = model, b""
-        self.window = max(4 * model.lookahead, 1 << 14)
 
     def feed(self, data: bytes) -> Iterator[int]:
         self.held += data
-        while len(self.held) > self.window + self.model.lookahead:
-            end, stable = 0, self.window
-            for i in self.model.merge(self.held[: self.window + self.model.lookahead]):
-                if end + len(self.model.bytes_of[i]) > stable:
+        window = self.model.window
+        while len(self.held) >= window + self.model.lookahead:
+            end = 0
+            for i in self.model.merge(self.held[: window + self.model.lookahead]):
+                if end + len(self.model.bytes_of[i]) > window:
                     break
                 end += len(self.model.bytes_of[i])
                 yield i
@@ -214,7 +225,7 @@ class StreamEncoder:
                 n += len(held[-1])
             self.tail = "".join(reversed(held))
         out.extend(chain.from_iterable(map(self.model.known.__getitem__, pieces)))
-        if len(self.tail) > LONG and len(held) == 1:
+        if len(self.tail) >= BLOCK and len(held) == 1:
             self.run = next(k for k in ("letter", "digit", "space", "other") if RUNS[k].fullmatch(self.tail[-1]))
             self.stream = ByteStream(self.model)
             self._go_on(self.tail, False, out, start=1)
@@ -250,18 +261,20 @@ class StreamDecoder:
 
 def encoded(model: Model, text: str) -> Iterator[array]:
     """The tokens of a text, block by block."""
-    if len(text) <= BLOCK and not (model.marks and model.marks.search(text)):
-        yield array("I", chain.from_iterable(map(model.known.__getitem__, SPLIT.findall(text)))) if len(text) <= LONG else _whole(model, text)
-        return
     stream = StreamEncoder(model)
     for k in range(0, len(text), BLOCK):
         yield stream.feed(text[k : k + BLOCK])
     yield stream.finish()
 
 
-def _whole(model: Model, text: str) -> array:
-    stream = StreamEncoder(model)
-    return stream.feed(text) + stream.finish()
+def pieces(model: Model, text: str) -> list[str]:
+    """A text's control strings and pre-tokens."""
+    out, at = [], 0
+    for m in model.marks.finditer(text) if model.marks else ():
+        out += SPLIT.findall(text[at : m.start()])
+        out.append(m[0])
+        at = m.end()
+    return out + SPLIT.findall(text[at:] if at else text)
 
 
 def encode(model: Model, text: str) -> list[int]:

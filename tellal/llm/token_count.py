@@ -3,10 +3,12 @@
 A document's pre-tokens lie in the leaves of a tree whose nodes hold the sums of characters and
 tokens below them. An edit finds its leaves by character position, re-encodes only the pre-tokens it
 touches with the context that their boundaries depend on, until old and new boundaries meet again,
-and renews the sums on the paths to the root.
+and renews the sums on the paths to the root. A leaf that outgrows ``LEAF`` pre-tokens twice over is
+split. Control strings are one token each, as in ``bpe``, also where an edit makes or breaks one.
 
-Null text counts as empty. An edit outside a text is moved to its end. Control strings count as
-ordinary text.
+Null text counts as empty. An edit outside a text is moved to its end. A very long text is one tree
+of its own; an edit within an unbroken run re-encodes the run. Rows repeat in the result as often as
+in the input, an empty table gives an empty result, and other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,27 +24,31 @@ from .common import in_batches, texts
 
 #: Pre-tokens in a leaf.
 LEAF = 64
-#: Characters behind a boundary that decide it.
-CONTEXT = 3
 
 
 class TokenTree:
     def __init__(self, model: bpe.Model, text: str):
-        self.known = model.known
-        pieces = bpe.SPLIT.findall(text)
+        self.model = model
+        #: Characters around a boundary that decide it.
+        self.context = model.hold
+        pieces = bpe.pieces(model, text)
         self.leaves = [pieces[k : k + LEAF] for k in range(0, len(pieces), LEAF)] or [[]]
-        self.width = 1 << (len(self.leaves) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for k, leaf in enumerate(self.leaves):
-            self._sum(k, leaf)
-        for k in range(self.width - 1, 0, -1):
-            self._join(k)
+        self._plant([self._sums(leaf) for leaf in self.leaves])
         #: Pre-tokens encoded by edits so far.
         self.encoded = 0
 
-    def _sum(self, k: int, leaf: list[str]) -> None:
-        self.chars[self.width + k] = sum(map(len, leaf))
-        self.tokens[self.width + k] = sum(map(len, map(self.known.__getitem__, leaf)))
+    def _sums(self, leaf: list[str]) -> tuple[int, int]:
+        known, special = self.model.known, self.model.special
+        return sum(map(len, leaf)), sum(1 if p in special else len(known[p]) for p in leaf)
+
+    def _plant(self, sums: list[tuple[int, int]]) -> None:
+        """The tree over leaves of these sums."""
+        self.width = 1 << (len(sums) - 1).bit_length()
+        empty = [0] * (self.width - len(sums))
+        self.chars = [0] * self.width + [c for c, _ in sums] + empty
+        self.tokens = [0] * self.width + [t for _, t in sums] + empty
+        for k in range(self.width - 1, 0, -1):
+            self._join(k)
 
     def _join(self, k: int) -> None:
         self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
@@ -73,55 +79,58 @@ class TokenTree:
         """Replaces ``removed`` characters from ``at`` on."""
         at = min(at, self.length)
         end = min(self.length, at + removed)
-        first, begin = self.find(max(0, at - CONTEXT))
-        # before: pre-tokens of the first leaf that no edit from here on can change
-        before, place = 0, begin
+        first, place = self.find(max(0, at - self.context))
         leaf = self.leaves[first]
-        while before < len(leaf) and place + len(leaf[before]) <= at - CONTEXT:
+        # before: pre-tokens of the first leaf that no edit from here on can change
+        before = 0
+        while before < len(leaf) and place + len(leaf[before]) <= at - self.context:
             place += len(leaf[before])
             before += 1
-        # old: what follows, leaf by leaf, with the ends of its pre-tokens in the old text
-        last, old, ends, at_end = first, leaf[before:], [], place
-        for p in old:
-            at_end += len(p)
-            ends.append(at_end)
+        old, last, reach = leaf[before:], first, place + sum(map(len, leaf[before:]))
+        more, shift = 0, len(inserted) - (end - at)
         while True:
-            while at_end < end + CONTEXT and last + 1 < len(self.leaves):
-                last, old, at_end = self._further(last, old, ends, at_end)
+            while last + 1 < len(self.leaves) and (more > 0 or reach < end + self.context):
+                last, more = last + 1, more - 1
+                old = old + self.leaves[last]
+                reach += self.chars[self.width + last]
             source = "".join(old)
-            new = bpe.SPLIT.findall(source[: at - place] + inserted + source[end - place :])
-            shift = len(inserted) - (end - at)
-            meets = {e: k for k, e in enumerate(ends) if e >= end}
-            spot, used, cut = place, [], None
-            whole = last + 1 >= len(self.leaves)
-            limit = at_end + shift
-            for p in new:
-                spot += len(p)
-                used.append(p)
-                if spot - shift in meets and spot >= at + len(inserted) and (whole or limit - spot >= CONTEXT):
-                    cut = meets[spot - shift]
-                    break
-            if cut is not None or whole:
+            new = bpe.pieces(self.model, source[: at - place] + inserted + source[end - place :])
+            used, rest = self._until_they_meet(old, new, place, end, shift, last + 1 == len(self.leaves))
+            if used:
                 break
-            last, old, at_end = self._further(last, old, ends, at_end)
-        rest = old[cut + 1 :] if cut is not None else []
+            more = last - first + 1
         self.encoded += len(used)
         self._replace(first, last, leaf[:before] + used + rest)
 
-    def _further(self, last: int, old: list[str], ends: list[int], at_end: int) -> tuple[int, list[str], int]:
-        more = self.leaves[last + 1]
-        for p in more:
-            at_end += len(p)
-            ends.append(at_end)
-        return last + 1, old + more, at_end
+    def _until_they_meet(self, old: list[str], new: list[str], place: int, end: int, shift: int, whole: bool) -> tuple[list[str], list[str]]:
+        """The new pre-tokens up to where they end at an old boundary behind the edit, and the old
+        ones from there on; nothing if more text is needed to tell."""
+        spots, spot = {}, place
+        for k, p in enumerate(old, 1):
+            spot += len(p)
+            if spot >= end:
+                spots[spot + shift] = k
+        limit, spot = spot + shift, place
+        for k, p in enumerate(new, 1):
+            spot += len(p)
+            if spot in spots and (whole or limit - spot >= self.context):
+                return new[:k], old[spots[spot] :]
+        return (new or [""], []) if whole else ([], [])
 
     def _replace(self, first: int, last: int, pieces: list[str]) -> None:
+        pieces = [p for p in pieces if p]
         n = last - first + 1
-        size = -(-len(pieces) // n) if pieces else 0
+        if len(pieces) > 2 * LEAF * n:
+            cut = [pieces[k : k + LEAF] for k in range(0, len(pieces), LEAF)]
+            sums = list(zip(self.chars[self.width :], self.tokens[self.width :]))[: len(self.leaves)]
+            self.leaves[first : last + 1] = cut
+            self._plant(sums[:first] + [self._sums(leaf) for leaf in cut] + sums[last + 1 :])
+            return
+        size = -(-len(pieces) // n)
         paths = set()
         for k in range(n):
-            self.leaves[first + k] = pieces[k * size : (k + 1) * size] if size else []
-            self._sum(first + k, self.leaves[first + k])
+            leaf = self.leaves[first + k] = pieces[k * size : (k + 1) * size] if size else []
+            self.chars[self.width + first + k], self.tokens[self.width + first + k] = self._sums(leaf)
             paths.add((self.width + first + k) // 2)
         while paths - {0}:
             for k in paths:

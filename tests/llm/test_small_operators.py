@@ -53,7 +53,7 @@ def test_bpe_is_the_librarys(odd, documents, tokenizer):
 
 
 def test_bpe_streams_in_any_pieces(tokenizer, monkeypatch):
-    monkeypatch.setattr(bpe, "LONG", 20)
+    monkeypatch.setattr(bpe, "BLOCK", 20)
     model, rnd = bpe.load(bpe.default_path()), random.Random(1)
     parts = ["a", "b", " ", "  ", "\n", "'", "'l", "'re", "l", "<|endoftext|>", "<|endo", "ftext|>", "é", "中", "1", "!", "the", "🙂", "\xa0"]
     for _ in range(1500):
@@ -67,11 +67,42 @@ def test_bpe_streams_in_any_pieces(tokenizer, monkeypatch):
         assert out + list(stream.finish()) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("letters", ["a", "ab", "the", " ", "!", "é", "=-"])
-def test_bpe_of_an_unbroken_run(tokenizer, letters):
-    rnd = random.Random(2)
+@pytest.mark.parametrize("text", ["The end's near, it'll be 1234!  \n x <|endoftext|>\n\n  é中🙂", "a" * 60 + "   b", "<|endo<|endoftext|>ftext|> we're  "])
+def test_bpe_of_every_piece_size_is_the_librarys(tokenizer, text):
+    model, ids = bpe.load(bpe.default_path()), tokenizer.encode(text, add_special_tokens=False).ids
+    for size in range(1, len(text) + 2):
+        stream = bpe.StreamEncoder(model)
+        out = [i for k in range(0, len(text), size) for i in stream.feed(text[k : k + size])] + list(stream.finish())
+        assert out == ids
+
+
+def test_bpe_emits_while_it_reads_and_holds_little(documents, tokenizer):
+    model = bpe.load(bpe.default_path())
+    text = max((r.text or "" for r in documents.collect()), key=len) + "long" * 50_000
+    stream, n = bpe.StreamEncoder(model), 0
+    for k in range(0, len(text), bpe.BLOCK):
+        n += len(stream.feed(text[k : k + bpe.BLOCK]))
+        assert len(stream.tail) < 2 * bpe.BLOCK and (not stream.stream or len(stream.stream.held) < model.window + model.lookahead)
+    assert n > 0.99 * len(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "the", " ", "!", "é", "=-", "etaoins", "abcdefghijklmnopqrstuvwxyz"])
+def test_bpe_of_an_unbroken_run(tokenizer, letters, monkeypatch):
+    rnd, model = random.Random(2), bpe.load(bpe.default_path())
     text = "".join(rnd.choice(letters) for _ in range(60_000))
-    assert bpe.encode(bpe.load(bpe.default_path()), text) == tokenizer.encode(text, add_special_tokens=False).ids
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    assert bpe.encode(model, text) == ids
+    # no more than a token is merged ahead of what must be held
+    monkeypatch.setattr(model, "window", max(map(len, model.bytes_of)))
+    assert bpe.encode(model, text) == ids
+
+
+def test_odd_tables_of_the_row_operators(spark, odd, none):
+    """Repeated rows, ids that are null, clashing names and empty tables."""
+    clash = odd.unionByName(odd).withColumnsRenamed({"lang": "ids", "extra": "n_tokens"})
+    for found in (bpe.encode_texts(clash), token_count.count_edited(clash)):
+        assert found.count() == 2 * (len(ODD) + 1)
+    assert bpe.encode_texts(none).count() == 0 and token_count.count_edited(none).count() == 0
 
 
 def test_decoder_waits_for_whole_characters():
@@ -263,24 +294,38 @@ def test_licences_wrapped_embedded_and_within_a_line(spark, odd, none):
 
 def test_edited_counts_are_recounts(monkeypatch, tokenizer):
     monkeypatch.setattr(token_count, "LEAF", 4)
-    ordinary = Tokenizer.from_file(bpe.default_path())
-    ordinary.encode_special_tokens = True
     model, rnd = bpe.load(bpe.default_path()), random.Random(5)
-    parts = ["a", "b", " ", "  ", "\n", "'", "'ll", "l", "s", "é", "1", "!", "-", "the ", " word", "\t"]
+    parts = ["a", "b", " ", "  ", "\n", "'", "'ll", "l", "s", "é", "1", "!", "-", "the ", " word", "\t", "<|endoftext|>", "<|endof", "text|>"]
     for _ in range(1500):
         text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 80)))
         tree = token_count.TokenTree(model, text)
-        for _ in range(3):
-            at, removed, inserted = rnd.randint(0, len(text) + 2), rnd.choice([0, 1, 3, 20]), "".join(rnd.choice(parts) for _ in range(rnd.choice([0, 1, 4])))
+        for _ in range(4):
+            at, removed, inserted = rnd.randint(0, len(text) + 2), rnd.choice([0, 1, 3, 20]), "".join(rnd.choice(parts) for _ in range(rnd.choice([0, 1, 4, 40])))
             tree.edit(at, removed, inserted)
             at = min(at, len(text))
             text = text[:at] + inserted + text[at + removed :]
-            assert tree.text() == text and tree.count == len(ordinary.encode(text, add_special_tokens=False).ids)
+            assert tree.text() == text and tree.count == len(tokenizer.encode(text, add_special_tokens=False).ids)
+            assert max(map(len, tree.leaves)) <= 2 * token_count.LEAF
+
 
+def test_many_insertions_keep_leaves_small_and_edits_local():
+    tree = token_count.TokenTree(bpe.load(bpe.default_path()), "one two three. " * 200)
+    for k in range(2000):
+        tree.edit(100, 0, f" word{k % 7}")
+    assert max(map(len, tree.leaves)) <= 2 * token_count.LEAF and tree.encoded < 2000 * 30
 
-def test_edits_touch_few_pre_tokens(spark, odd, documents):
-    rows = token_count.count_edited(documents).collect()
-    assert max(r.n_encoded for r in rows) < 60 and token_count.count_edited(odd).count() == len(ODD) + 1
+
+def test_edited_counts_of_documents_are_the_librarys(spark, odd, documents, tokenizer):
+    for docs in (odd, documents):
+        before = {r.doc_id: r.text or "" for r in docs.collect()}
+        for r in token_count.count_edited(docs).collect():
+            text = before[r.doc_id]
+            assert r.n_tokens == len(tokenizer.encode(text, add_special_tokens=False).ids)
+            for at, removed, inserted in token_count.sample_edits(text):
+                at = min(at, len(text))
+                text = text[:at] + inserted + text[at + removed :]
+            assert r.n_tokens_edited == len(tokenizer.encode(text, add_special_tokens=False).ids)
+            assert r.edited_sha256 == hashlib.sha256(text.encode()).hexdigest() and (r.n_encoded < 60 or r.doc_id == 7)
 
 
 # 9
