@@ -1,13 +1,17 @@
 """Chat formatting with typed content parts.
 
 A turn's content is a list of parts (text, image, audio, document). A visitor flattens them, in
-order, into one string: text is escaped, every attachment leaves a numbered placeholder, and its
-reference and the tokens it will expand to are recorded beside the string. The template marks each
-turn; control strings that occur in a text are rewritten so that none is left, and can be restored.
+order, into one string: text is escaped, every attachment leaves a placeholder numbered through the
+conversation, and its reference and the tokens it will expand to are recorded beside the string. A
+part of any other type leaves an ``OTHER`` placeholder, expands to no tokens and keeps its type and
+reference. The template marks each turn; control strings that occur in a text are rewritten so that
+none is left, and can be restored.
 
 Nulls: a null text or role counts as empty, a null turn number sorts first, rows with a null
-conv_id form one conversation. Turns that share a number are ordered by role and text; repeated
-rows stay repeated turns. An empty table gives no conversations.
+conv_id form one conversation, a null part is left out. Turns that share a number are ordered by
+their formatted piece; repeated rows stay repeated turns. Very long texts and conversations stream.
+Columns besides conv_id, turn, role and text or parts are not looked at. An empty table gives no
+conversations.
 """
 
 from __future__ import annotations
@@ -18,14 +22,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_batches
 
 TURN_OPEN, HEAD_END, TURN_CLOSE = "<s>", "\n", "</s>"
 #: Strings that mean something to a template or a tokenizer; none may be left in a text.
-CONTROL = re.compile(r"\\|</?s>|<</?SYS>>|\[/?INST\]|<\|[a-z_]+\|>|\[(?:IMAGE|AUDIO|DOCUMENT) \d+\]")
+CONTROL = re.compile(r"\\|</?s>|<</?SYS>>|\[/?INST\]|<\|[a-z_]+\|>|\[(?:IMAGE|AUDIO|DOCUMENT|OTHER) \d+\]")
 LETTER = {"\\": "\\b", "<": "\\l", "[": "\\o"}
 BACK = {"b": "\\", "l": "<", "o": "[", "n": "\n"}
 #: Tokens that a unit of an attachment expands to: an image tile, a second of audio, a page.
@@ -50,28 +54,33 @@ class Flattened:
     attachments: list[dict] = field(default_factory=list)
 
     def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_unknown)(part)
+        getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
         self.text.append(escape(part.get("text") or ""))
 
     def attach(self, part: dict) -> None:
         kind = part["type"]
-        mark = f"[{kind.upper()} {self.first + len(self.attachments)}]"
-        self.text.append(mark)
-        self.attachments.append({"placeholder": mark, "kind": kind, "ref": part.get("ref"), "tokens": TOKENS_PER_UNIT[kind] * max(1, part.get("units") or 1)})
+        self.mark(kind, part, TOKENS_PER_UNIT[kind] * max(1, part.get("units") or 1))
 
     visit_image = visit_audio = visit_document = attach
 
-    def visit_unknown(self, part: dict) -> None:
-        raise ValueError(f"no such content part: {part.get('type')}")
+    def visit_other(self, part: dict) -> None:
+        self.mark("other", part, 0)
+
+    def mark(self, kind: str, part: dict, tokens: int) -> None:
+        mark = f"[{kind.upper()} {self.first + len(self.attachments)}]"
+        self.text.append(mark)
+        self.attachments.append({"placeholder": mark, "kind": part["type"], "ref": part.get("ref"), "tokens": tokens})
 
 
-def format_turn(role: str | None, parts: list[dict]) -> tuple[str, int, int, list[dict]]:
-    """The turn in the template, where its content begins and ends there, and its attachments."""
-    seen = Flattened()
+def format_turn(role: str | None, parts: list[dict | None], first: int = 1) -> tuple[str, int, int, list[dict]]:
+    """The turn in the template, where its content begins and ends there, and its attachments, whose
+    numbers begin with ``first``."""
+    seen = Flattened(first)
     for part in parts:
-        seen.visit(part)
+        if part is not None:
+            seen.visit(part)
     head = TURN_OPEN + escape(role or "").replace("\n", "\\n") + HEAD_END
     body = "".join(seen.text)
     return head + body + TURN_CLOSE, len(head), len(head) + len(body), seen.attachments
@@ -87,19 +96,23 @@ def format_turns(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     loss mask (empty for other roles), its attachments and the tokens they expand to.
 
     turns: conv_id, turn, role and either parts (typed) or text. The pieces of a conversation,
-    ordered by turn, are its formatted text; placeholders are numbered within a turn. No shuffle.
+    ordered by turn, are its formatted text. Texts need no shuffle; parts need one, of the numbers of
+    attachments before each turn, which are a running sum over the conversation.
     """
+    ids = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role")]
     if "parts" in turns.columns:
-        content = F.col("parts").cast(PARTS)
+        rows = turns.select(*ids, F.col("parts").cast(PARTS).alias("parts"))
+        own = F.size(F.filter(F.coalesce("parts", F.array()), lambda p: F.coalesce(p["type"], F.lit("text")) != "text"))
+        earlier = Window.partitionBy("conv_id").orderBy("turn", "role", F.to_json("parts")).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("first", F.coalesce(F.sum(own).over(earlier), F.lit(0)).cast("int") + 1)
     else:
-        plain = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("units"))
-        content = F.array(plain)
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), content.alias("parts"))
+        plain = F.struct(F.lit("text").alias("type"), F.col("text").cast("string").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("units"))
+        rows = turns.select(*ids, F.array(plain).alias("parts"), F.lit(1).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.list_(pa.struct([("placeholder", pa.string()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int32())]))
         for batch in batches:
-            out = [format_turn(role, parts or []) for role, parts in zip(batch.column("role").to_pylist(), batch.column("parts").to_pylist())]
+            out = [format_turn(role, parts or [], first) for role, parts, first in zip(*(batch.column(c).to_pylist() for c in ("role", "parts", "first")))]
             under = [r == loss_role for r in batch.column("role").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -161,13 +174,15 @@ def digest_conversations(segments: DataFrame) -> DataFrame:
 def conversation_texts(segments: DataFrame) -> DataFrame:
     """One row per conversation: its whole formatted text, loss spans in it, and its attachments.
     For conversations whose text fits a row; digest_conversations has no such bound."""
-    piece = F.struct("turn", "segment", "loss_start", "loss_end", "attachments")
-    grouped = segments.groupBy("conv_id").agg(F.sort_array(F.collect_list(piece)).alias("p"), F.sum("expanded_tokens").alias("expanded_tokens"))
-    before = F.expr("transform(p, (x, k) -> aggregate(slice(p, 1, k), 0, (n, y) -> n + length(y.segment)))")
-    return grouped.withColumn("before", before).select(
+    order = Window.partitionBy("conv_id").orderBy("turn", "segment")
+    at = F.coalesce(F.sum(F.length("segment")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    placed = segments.withColumn("at", at).withColumn("k", F.row_number().over(order))
+    piece = F.struct("k", "segment", (F.col("at") + F.col("loss_start")).alias("start"), (F.col("at") + F.col("loss_end")).alias("end"), "attachments")
+    grouped = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(piece)).alias("p"), F.sum("expanded_tokens").alias("expanded_tokens"))
+    return grouped.select(
         "conv_id",
         F.expr("array_join(transform(p, x -> x.segment), '')").alias("formatted"),
-        F.expr("filter(transform(p, (x, k) -> named_struct('start', before[k] + x.loss_start, 'end', before[k] + x.loss_end)), s -> s.end > s.start)").alias("loss_spans"),
+        F.expr("transform(filter(p, x -> x.end > x.start), x -> named_struct('start', x.start, 'end', x.end))").alias("loss_spans"),
         F.expr("flatten(transform(p, x -> x.attachments))").alias("attachments"),
         "expanded_tokens",
     )

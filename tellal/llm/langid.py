@@ -4,34 +4,39 @@ A known word scores its log frequency in each language. An unseen word is cut in
 n-grams the model knows, ``LONGEST`` characters first, shorter ones where those are unknown. The
 sum over a text, made a posterior, gives language and score.
 
-A model is fitted on a bounded sample: about ``SAMPLE`` documents of each language, of at most
-``SAMPLE_CHARS`` characters; prediction reads every whole text, without a shuffle. Text that is
-null or holds no letter is ``und`` with score 0, and so is every text if no language was learned.
-Ties go to the language that sorts first.
+A model is fitted on a bounded sample: about ``SAMPLE`` documents of each of the ``MOST_LANGUAGES``
+languages that most documents have, of a longer one a slice of ``SAMPLE_CHARS`` characters from
+somewhere in it; only languages that the sample holds countable units of are ever predicted.
+Prediction reads every whole text, however long, without a shuffle. Text that is null or holds no
+letter (digits, fractions and Roman numeral signs are none) is ``und`` with score 0, and so is every
+text if no language was learned. Ties go to the language that sorts first. Repeated rows are
+predicted each, rows without a doc_id like others, an empty table gives an empty result, and columns
+are passed on only where they are named in ``keep``.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_batches, texts, with_fields
 
 SAMPLE = 500
-SAMPLE_CHARS = 50_000
+SAMPLE_CHARS = 20_000
+MOST_LANGUAGES = 500
 LONGEST = 5
 #: A word or n-gram must occur so often in the sample to be known.
 LEAST = 3
 #: Evidence beyond so many words does not sharpen the score further.
 ENOUGH = 30
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")
 REMEMBERED = 400_000
 UNKNOWN = "und"
 
@@ -52,13 +57,14 @@ def counted(units: DataFrame, key: str) -> DataFrame:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """docs: doc_id, text, lang."""
     known = docs.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    languages = sorted(sizes)
-    if not languages:
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    if not sizes:
         return LanguageModel([], {}, {}, np.zeros((0, 0)), np.zeros((0, 0)))
     million = 1_000_000
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(million, million * sample // sizes[lang] + 1))])
-    some = known.where((F.pmod(F.xxhash64("doc_id"), F.lit(million)) < share[F.col("lang")]) & (F.length("text") <= SAMPLE_CHARS))
+    share = F.create_map(*[F.lit(x) for lang in sizes for x in (lang, min(million, million * sample // sizes[lang] + 1))])
+    some = known.withColumn("h", F.xxhash64("doc_id", "text")).where(F.pmod("h", F.lit(million)) < share[F.col("lang")])
+    begin = F.pmod(F.col("h"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    some = some.select("lang", F.substring(F.col("text"), begin, F.lit(SAMPLE_CHARS)).alias("text"))
     words = some.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     words = words.where(F.length("word") <= 64).persist()
     marked = words.withColumn("w", F.concat(F.lit(" "), F.col("word"), F.lit(" ")))
@@ -66,16 +72,22 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     grams = counted(marked.select("lang", "n", F.explode(cut).alias("gram")), "gram")
     rows_w, rows_g = counted(words, "word").collect(), grams.collect()
     words.unpersist()
+    languages = sorted({r["lang"] for r in [*rows_w, *rows_g]})
     order = {lang: k for k, lang in enumerate(languages)}
 
     def logs(rows: list, key: str) -> tuple[dict[str, int], np.ndarray]:
+        """Log relative frequencies. What a language lacks counts the same in every language: half an
+        occurrence in the largest sample; and a sample below a tenth of the largest counts as a tenth,
+        so that few words or none are no advantage."""
         index: dict[str, int] = {}
         for u in sorted({r[key] for r in rows}):
             index[u] = len(index)
-        count = np.full((len(index), len(languages)), 0.5)
+        count = np.zeros((len(index), len(languages)))
         for r in rows:
             count[index[r[key]], order[r["lang"]]] += r["n"]
-        return index, np.log(count / count.sum(0)) if len(index) else count
+        total = count.sum(0)
+        most = max(1.0, total.max(initial=0))
+        return index, np.log(np.maximum(count / np.maximum(total, most / 10), 0.5 / most))
 
     words_at, log_words = logs(rows_w, "word")
     grams_at, log_grams = logs(rows_g, "gram")
@@ -88,7 +100,7 @@ class Scores(dict):
     def __init__(self, model: LanguageModel):
         self.model, n = model, len(model.languages)
         self.rows = np.zeros((1 << 12, n), np.float32)
-        self.floor = model.log_grams.min(0) if len(model.grams) else np.zeros(n, np.float32)
+        self.floor = np.zeros(n, np.float32)
 
     def __missing__(self, word: str) -> int:
         k = len(self)

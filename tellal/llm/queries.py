@@ -20,13 +20,17 @@ OP1_SQL = r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
-  union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+  union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+p as (
+  select *, '<s>' || replace(regexp_replace(regexp_replace(replace(role, '\', '\b'), '<(/?s>|</?SYS>>|\|[a-z_]+\|>)', '\\l\1', 'g'), '\[(/?INST\]|(?:IMAGE|AUDIO|DOCUMENT|OTHER) \d+\])', '\\o\1', 'g'), chr(10), '\n') || chr(10)
+    || regexp_replace(regexp_replace(replace(text, '\', '\b'), '<(/?s>|</?SYS>>|\|[a-z_]+\|>)', '\\l\1', 'g'), '\[(/?INST\]|(?:IMAGE|AUDIO|DOCUMENT|OTHER) \d+\])', '\\o\1', 'g') || '</s>' as piece
+  from t)
 select cast(conv_id as bigint) as conv_id, count(*) as n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, piece)) as turns_sha256,
        cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
-       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-       cast(sum(8 + length(role) + length(regexp_replace(text, '(\\|</?s>|<</?SYS>>|\[/?INST\]|<\|[a-z_]+\|>|\[(?:IMAGE|AUDIO|DOCUMENT) \d+\])', '+\1', 'g'))) as bigint) as formatted_chars
-from t group by conv_id
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, piece) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum(length(piece)) as bigint) as formatted_chars
+from p group by conv_id
 """
 
 
@@ -99,17 +103,18 @@ with t(license, notice) as (values %s),
 pairs_t as (
   select license, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) as pairs
   from (select license, string_split(trim(regexp_replace(lower(notice), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') as w from t)),
+d as (select row_number() over () as r, doc_id, text from documents where text is not null),
 units as (
-  select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line, unnest(string_split(text, chr(10))) as unit from documents where text is not null
-  union all select doc_id, 0, text from documents where contains(text, chr(10))),
+  select r, doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line, unnest(string_split(text, chr(10))) as unit from d
+  union all select r, doc_id, 0, text from d where contains(text, chr(10))),
 own as (
-  select doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) as own
-  from (select doc_id, line, string_split(trim(regexp_replace(lower(unit), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') as w from units)),
+  select r, doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) as own
+  from (select r, doc_id, line, string_split(trim(regexp_replace(lower(unit), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') as w from units)),
 scored as (
-  select doc_id, line, license, len(list_intersect(own, pairs)) * 2.0::double / (len(own) + len(pairs)) as dice
+  select r, doc_id, line, license, len(list_intersect(own, pairs)) * 2.0::double / (len(own) + len(pairs)) as dice
   from own join pairs_t on len(own) between len(pairs) * %s and len(pairs) * %s)
 select doc_id, cast(line as int) as line, license, dice from scored where dice >= %s
-qualify row_number() over (partition by doc_id, line order by dice desc, license) = 1
+qualify row_number() over (partition by r, line order by dice desc, license) = 1
 """ % (", ".join("('%s', '%s')" % x for x in license.TEMPLATES), license.THRESHOLD / (2 - license.THRESHOLD) - 0.001, (2 - license.THRESHOLD) / license.THRESHOLD + 0.001, license.THRESHOLD)
 
 

@@ -3,7 +3,9 @@
 The rolling hashes of all character k-grams are cut into windows; each window keeps its smallest
 hash, the rightmost of equal ones, with its position. Two texts that share a passage of
 ``K + WINDOW - 1`` characters share a fingerprint from it; positions tell where. A text shorter than a
-k-gram has one hash of its whole, an empty or null one has none.
+k-gram has one hash of its whole, an empty or null one has none. Very long texts are hashed in
+blocks. Repeated rows have a fingerprint each; other columns pass through only where they are asked
+for by name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -120,7 +122,7 @@ def with_successors(docs: DataFrame, ranges: int) -> DataFrame:
     the next one (the first of all after the last), marked by ``lead``; sorted within partitions.
 
     Ranges come from quantiles of the ids, so texts move once; what goes to the driver is one id
-    for each range, and tasks look ranges up by binary search.
+    for each range, and tasks look ranges up by binary search. A range is a partition.
     """
     cuts = np.array(sorted(set(docs.stat.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else [], np.int64)
 
@@ -147,13 +149,15 @@ def with_successors(docs: DataFrame, ranges: int) -> DataFrame:
                 some = batch.take(pa.array(again))
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text"), pa.array([lent[ids[k]] for k in again], pa.int32()), pa.array([True] * len(again))], names)
 
-    return in_batches(docs, deal, "doc_id long, text string, bucket int, lead boolean").repartition(ranges, "bucket").sortWithinPartitions("bucket", "lead", "doc_id", "text")
+    return in_batches(docs, deal, "doc_id long, text string, bucket int, lead boolean").repartitionById(ranges, F.col("bucket")).sortWithinPartitions("bucket", "lead", "doc_id", "text")
 
 
-def compare_edits(docs: DataFrame, rows_a_range: int = 20_000) -> DataFrame:
+def compare_edits(docs: DataFrame, rows_a_range: int = 4_000) -> DataFrame:
     """Per document the fingerprints of its text and of its edited text (see ``edited``), and how
     alike the text's is to the edited text's and to the next document's, by ascending doc_id; after
-    the last comes the first. Null ids sort first, equal ids by text."""
+    the last comes the first. Null ids sort first, equal ids by text; of equal rows each follows the
+    one before. The fingerprint is a digest of the selected hashes with their positions, which
+    ``fingerprints`` returns themselves."""
     docs = texts(docs).withColumn("text", F.coalesce("text", F.lit("")))
     ranges = min(MOST_RANGES, max(1, -(-docs.count() // rows_a_range)))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

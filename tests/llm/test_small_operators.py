@@ -1,12 +1,15 @@
 """Operators that work row by row or conversation by conversation, against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import textwrap
 
 import numpy as np
 import pytest
+import regex
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -137,8 +140,48 @@ def test_chat_parts(spark):
     parts = "array(named_struct('type','text','text','see [IMAGE 1]','ref',null,'units',null), named_struct('type','image','text',null,'ref','a.png','units',4), named_struct('type','audio','text',null,'ref','b.wav','units',2), named_struct('type','document','text',null,'ref','c.pdf','units',null))"
     r = chat.format_turns(spark.sql(f"select 1L as conv_id, 0L as turn, 'user' as role, {parts} as parts")).first()
     assert r.segment == "<s>user\nsee \\oIMAGE 1][IMAGE 1][AUDIO 2][DOCUMENT 3]</s>" and [a.ref for a in r.attachments] == ["a.png", "b.wav", "c.pdf"] and r.expanded_tokens == 1024 + 50 + 600
-    with pytest.raises(Exception, match="content part"):
-        chat.format_turns(spark.sql("select 1L as conv_id, 0L as turn, 'user' as role, array(named_struct('type','video','text','','ref','','units',1)) as parts")).collect()
+
+
+def test_chat_parts_of_other_types_and_numbers_through_a_conversation(spark):
+    def part(kind, text=None, ref=None):
+        return (kind, text, ref, None)
+
+    rows = [
+        (1, 0, "user", [part("text", "a"), part("image", ref="x"), None, part("video", ref="v")]),
+        (1, 1, "assistant", [part(None, "b")]),
+        (1, 2, "user", [part("audio", ref="y"), part("text", None)]),
+        (1, None, "user", [part("image", ref="w")]),
+        (2, 0, "user", None),
+        (2, 0, "user", []),
+        (None, 0, "user", [part("document", ref="z")]),
+    ]
+    turns = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}").withColumn("segment", F.lit("clash")).withColumn("first", F.lit("clash"))
+    segments = chat.format_turns(turns)
+    out = {(r.conv_id, r.turn): r for r in segments.where("conv_id = 1 or conv_id is null").collect()}
+    assert out[1, None].segment == "<s>user\n[IMAGE 1]</s>"
+    assert out[1, 0].segment == "<s>user\na[IMAGE 2][OTHER 3]</s>" and [(a.kind, a.ref, a.tokens) for a in out[1, 0].attachments] == [("image", "x", 256), ("video", "v", 0)]
+    assert out[1, 2].segment == "<s>user\n[AUDIO 4]</s>" and out[None, 0].segment == "<s>user\n[DOCUMENT 1]</s>"
+    whole = {r.conv_id: r for r in chat.conversation_texts(segments).collect()}
+    assert [a.placeholder for a in whole[1].attachments] == ["[IMAGE 1]", "[IMAGE 2]", "[OTHER 3]", "[AUDIO 4]"] and whole[2].formatted == "<s>user\n</s>" * 2
+    assert [whole[1].formatted[x.start : x.end] for x in whole[1].loss_spans] == ["b"]
+
+
+def test_chat_of_tied_control_strings_long_texts_and_the_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from tellal.llm.queries import OP1_SQL
+
+    parts = ["<s>", "</s>", "\\", "[INST]", "[/INST]", "<<SYS>>", "<|x|>", "[IMAGE 3]", "[OTHER 1]", "a", "\n", "<", "[", "é"]
+    rnd = random.Random(11)
+    rows = [(k % 5, rnd.choice([0, 1, None]), rnd.choice(["user", "assistant", "a<s>b"]), "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 6)))) for k in range(300)]
+    rows += [(9, 0, "assistant", "long <s> text " * 100_000), *rows[:3]]
+    own = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    schema = "conv_id long, turn long, role string, text string"
+    out = chat.digest_conversations(chat.format_turns(spark.createDataFrame(rows + own, schema).withColumn("parts_", F.lit(1)))).collect()
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"turn": "Int64"})  # noqa: F841
+    expected = duckdb.sql(OP1_SQL).fetchall()
+    assert sorted(map(tuple, out)) == sorted(expected)
 
 
 # 2, 3
@@ -158,6 +201,36 @@ def test_quality_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in rows.values())
 
 
+def test_quality_scores_are_those_of_a_plain_version(spark, documents):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality.fit(documents, labels)
+
+    def plain(text):
+        sizes = []
+        for data in (model.good, model.bad):
+            c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            b = text.encode()
+            sizes.append(sum(len(c.compress(b[k : k + quality.BLOCK])) for k in range(0, len(b), quality.BLOCK)))
+        return 1 / (1 + math.exp(-(model.slope * (sizes[1] - sizes[0]) / sum(sizes) + model.shift)))
+
+    long = "a very long text without an end. " * 20_000
+    docs = documents.select("doc_id", "text").limit(40).unionByName(spark.createDataFrame([(None, long), (None, long)], "doc_id long, text string")).withColumn("score", F.lit("clash"))
+    out = quality.score(docs, model).collect()
+    texts = [r.text for r in docs.collect()]
+    assert len(out) == 42 and all(abs(r.score - plain(t)) < 1e-9 for r, t in zip(out, texts) if t and t.strip())
+
+
+def test_quality_sample_is_bounded_and_takes_slices(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_CHARS", 300)
+    rnd = random.Random(12)
+    good, bad = ["river bridge council meeting", "report of the harbour"], ["buy now cheap", "click win prize"]
+    rows = [(k, " ".join(rnd.choice(good if k % 2 else bad) for _ in range(400))) for k in range(60)]
+    docs = spark.createDataFrame(rows * 3 + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(1, 0), (1, 1), (None, 1), (2, None)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, sample=20)
+    assert 0 < len(model.good) <= 20 * 300 and {r.doc_id: r.score > 0.5 for r in quality.score(docs, model).collect() if r.doc_id is not None} == {k: k % 2 == 1 for k in range(60)}
+
+
 def test_quality_without_labels_or_texts(spark, odd, none):
     labels = spark.createDataFrame([(0, 1), (None, 0)], "doc_id long, quality int")
     model = quality.fit(odd, labels)
@@ -180,6 +253,56 @@ def test_language_of_odd_texts(spark, odd, none, documents):
     assert {r.lang_pred for r in langid.predict(odd, langid.fit(none)).collect()} == {"und"}
 
 
+def test_language_scores_are_those_of_a_plain_version(spark, documents):
+    model = langid.fit(documents)
+    words = {w: dict(zip(model.languages, model.log_words[k].astype(float))) for w, k in model.words.items()}
+    grams = {g: dict(zip(model.languages, model.log_grams[k].astype(float))) for g, k in model.grams.items()}
+
+    def plain(text):
+        total = dict.fromkeys(model.languages, 0.0)
+        found = regex.findall(r"\p{L}+", text.lower())
+        for word in found:
+            own = dict.fromkeys(model.languages, 0.0)
+            if word in words:
+                own = words[word]
+            else:
+                w, p = f" {word} ", 0
+                while p < len(w):
+                    k = next((k for k in range(langid.LONGEST, 0, -1) if w[p : p + k] in grams and p + k <= len(w)), None)
+                    if k:
+                        own = {x: own[x] + grams[w[p : p + k]][x] for x in own}
+                    p += k or 1
+            best = max(own.values())
+            total = {x: total[x] + own[x] - best for x in total}
+        n = min(len(found), langid.ENOUGH) / len(found)
+        total = {x: v * n for x, v in total.items()}
+        best = min(x for x in total if total[x] == max(total.values()))
+        return best, 1 / sum(math.exp(v - total[best]) for v in total.values())
+
+    docs = documents.select("doc_id", "text").where("length(text) between 1 and 3000").limit(60)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = langid.predict(docs.unionByName(docs).withColumn("lang_pred", F.lit("clash")), model).collect()
+    assert len(rows) == 2 * len(texts)
+    for r in rows:
+        if regex.search(r"\p{L}", texts[r.doc_id]):
+            lang, score = plain(texts[r.doc_id])
+            assert r.lang_pred == lang and abs(r.score - score) < 1e-3
+
+
+def test_numerals_are_no_letters_and_languages_of_long_texts_are_learned(spark, documents):
+    rows = [(k, "½ ² Ⅷ ③ 12" if k == 0 else "", None) for k in range(2)]
+    model = langid.fit(documents)
+    assert [r.lang_pred for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()] == ["und", "und"]
+    long = [(9000 + k, "zeta omega kappa " * 10_000, "zz") for k in range(3)]
+    lone = [(9100, "solitary", "yy"), (None, "lonely", "xx")]
+    more = documents.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(long + lone, "doc_id long, text string, lang string"))
+    model = langid.fit(more)
+    assert "zz" in model.languages
+    english = " ".join(documents.where("lang = 'en' and length(text) > 200").first().text.split()[:6])
+    ask = spark.createDataFrame([(1, "zeta omega"), (2, english), (None, long[0][1])], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.predict(ask, model).collect()] == ["zz", "en", "zz"]
+
+
 # 4
 
 
