@@ -2,7 +2,8 @@
 
 Every round turns the edges into stars around ever smaller numbers: first each node hands its larger
 neighbours its smallest one, then its smaller ones. Rounds grow with the logarithm of a component's
-size; each is cut off from its lineage in the shared folder.
+size; each is cut off from its lineage in the shared folder. A node with very many neighbours is
+joined with them where they are (see ``hot``).
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import hot
 from .common import stored
 
 
@@ -38,10 +40,10 @@ def _stars(edges: DataFrame) -> bool:
     return not odd.limit(1).count()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b")
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return hot.left_join(both.where("b > a"), least, "a", "n", total).select(F.col("m").alias("a"), "b").where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -56,5 +58,5 @@ def components(edges: DataFrame) -> DataFrame:
     component is its smallest node. Loops, repeats and nulls among the edges have no effect."""
     now = stored(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     while not _stars(now):
-        now = stored(_small_star(_large_star(now)))
+        now = stored(_small_star(_large_star(now, now.count())))
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
