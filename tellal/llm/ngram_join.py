@@ -382,7 +382,7 @@ def search_links(sets: list[np.ndarray], threshold: Fraction, side: np.ndarray |
         docs, begins = index.lists(short, lo, q)
         # the last set on a short list is likely a copy: once linked, its component needs no merge
         some = np.unique(docs[begins[1:][np.diff(begins) > 0] - 1])[-GUESSES:]
-        if some := [d for d in some.tolist() if root[d] != root[q]]:
+        if some := [d for d in some.tolist() if root[d] != root[q] and (sides is None or sides[d] != sides[q])]:
             some = np.array(some)
             linked(q, some, index.probed(elements, some))
         apart = root[docs] != root[q]
