@@ -212,10 +212,10 @@ def brute_removals(rows, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [4000, 3])
+@pytest.mark.parametrize("many", [4000, 12, 3])
 @pytest.mark.parametrize("window", [50, 10])
-def test_removed_words_are_those_of_brute_force(spark, monkeypatch, hot, window):
-    monkeypatch.setattr(substring, "HOT", hot)
+def test_removed_words_are_those_of_brute_force(spark, monkeypatch, many, window):
+    monkeypatch.setattr(substring, "HOT", many)
     monkeypatch.setattr(substring, "SHARD_WORDS", 3000)
     rows = made(9)
     docs = spark.createDataFrame(rows, DOCS)
@@ -245,15 +245,54 @@ def test_anchors_in_blocks(monkeypatch):
     assert (spread[0] == spread[1]).all() and len(spread[0]) == 451
 
 
-def test_backward_search_matches_plain_search():
+def test_a_passage_in_every_document(spark, monkeypatch):
+    monkeypatch.setattr(substring, "HOT", 20)
+    rnd = random.Random(15)
+    words = [f"w{k}" for k in range(300)]
+    passage = [rnd.choice(words) for _ in range(70)]
+    rows = []
+    for k in range(150):
+        own = [rnd.choice(words) for _ in range(rnd.randint(0, 40))]
+        at = rnd.randint(0, len(own))
+        rows.append((k, " ".join(own[:at] + passage[: rnd.choice([70, 70, 60])] + own[at:]), 1, "x"))
+    rows.append((-1, " ".join(["again"] * 3000), 1, "x"))
+    rows.append((500, " ".join(["again"] * 200), 1, "x"))
+    expected = brute_removals(rows, 50)
+    for r in substring.deduplicate(spark.createDataFrame(rows, DOCS)).collect():
+        assert WORD.findall(r.text) == expected[r.doc_id][0]
+
+
+def test_matching_statistics_of_texts_that_the_index_does_not_hold():
     rng = np.random.default_rng(0)
-    for _ in range(30):
-        n, window, letters = int(rng.integers(1, 12)), int(rng.integers(2, 7)), int(rng.integers(2, 6))
-        seqs = [rng.integers(0, letters, rng.integers(window, 20)) for _ in range(n)]
+
+    def having(seqs, x):
+        return [j for j, t in enumerate(seqs) if any((t[p : p + len(x)] == x).all() for p in range(len(t) - len(x) + 1))]
+
+    for _ in range(40):
+        n, window, letters = int(rng.integers(1, 12)), int(rng.integers(1, 9)), int(rng.integers(1, 7))
+        seqs = [rng.integers(0, letters, rng.integers(1, 25)) for _ in range(n)]
         owner = rng.integers(0, 100, n)
-        found = fm_index.ShardIndex(seqs, owner, window).stream(seqs)
-        for s, f in zip(seqs, found):
-            assert list(f) == [min(owner[j] for j, t in enumerate(seqs) if any((t[p : p + window] == s[k : k + window]).all() for p in range(len(t) - window + 1))) for k in range(len(s) - window + 1)]
+        asked = [rng.integers(-1, letters + 2, rng.integers(0, 40)) for _ in range(4)]
+        for _ in range(3):
+            s = seqs[rng.integers(n)]
+            asked.append(np.concatenate([rng.integers(-1, letters + 2, 3), s[rng.integers(0, len(s)) :], s, rng.integers(0, letters, 2)]))
+        for s, length, least in zip(asked, *fm_index.ShardIndex(seqs, owner, window).stream(asked)):
+            for k in range(len(s)):
+                best = next(m for m in range(len(s) - k, -1, -1) if not m or having(seqs, s[k : k + m]))
+                assert length[k] == best
+                assert least[k] == (min(owner[j] for j in having(seqs, s[k : k + window])) if best >= window else fm_index.NONE)
+
+
+def test_nearest_smaller_values():
+    rng = np.random.default_rng(1)
+    for n in (1, 60, 64, 65, 5000):
+        values = np.concatenate([[0], rng.integers(0, 9, n), [0]]).astype(np.uint8)
+        values[3:-3][: n // 2] = 9
+        at, v = rng.integers(0, n + 2, 200), rng.integers(1, 10, 200)
+        for back in (True, False):
+            found = fm_index.Minima(values).smaller(at, v, back)
+            for p, x, f in zip(at, v, found):
+                assert f == (max(k for k in range(p + 1) if values[k] < x) if back else min(k for k in range(p, n + 2) if values[k] < x))
 
 
 def test_pipeline_stage_by_stage(spark):
