@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tellal.llm import bpe, decontam, langid, ngram_join, substring
-from tellal.llm.common import packed, shared_dir, table, unpacked
+from tellal.llm.common import packed, scratch, shared_dir, table, unpacked
 
 #: A prediction of less than this is no language.
 LEAST_SCORE = 0.5
@@ -26,13 +26,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group of five-word shingle sets with a
-    Jaccard similarity of 0.8 or more, and rows without a doc_id. A doc_id stays once."""
-    groups = ngram_join.similar_components(docs, size=5, threshold="8/10")
-    first = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = packed(docs).join(first.hint("merge"), "doc_id")
+    """Keeps one row of each group of texts whose five-word shingle sets have a Jaccard similarity of
+    0.8 or more: that of the smallest doc_id. Texts without words are in no group: of them, and of
+    any group, only rows with the same doc_id and text are one. Rows without a doc_id stay."""
+    groups = ngram_join.similar_components(docs, size=5, threshold="8/10", with_groups=True).where("doc_id is not null")
+    rows = groups.groupBy("group", "doc_id", "part").agg(F.count("*").alias("rows"))
+    first = rows.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "part", "rows")).alias("f")).select("f.*")
+    first = first.unionByName(rows.where("group is null").drop("group"))
+    kept = packed(docs).withColumn("part", F.xxhash64("text")).join(first.hint("merge"), ["doc_id", "part"])
     if first.where("rows > 1").limit(1).count():
-        kept = kept.where("rows = 1").unionByName(kept.where("rows > 1").dropDuplicates(["doc_id"]))
+        alike = Window.partitionBy("doc_id", "part").orderBy(F.xxhash64("rest"))
+        again = kept.where("rows > 1").withColumn("k", F.row_number().over(alike)).where("k = 1").drop("k")
+        kept = kept.where("rows = 1").unionByName(again)
     return unpacked(kept, docs.columns).unionByName(docs.where("doc_id is null"))
 
 
@@ -68,6 +73,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
