@@ -2,30 +2,40 @@
 
 An item of m characters, aligned with at most e edits, keeps m - q + 1 - q e of its q-grams, all on
 diagonals that are no more than e apart (the q-gram lemma). Shared q-grams of a document and an item
-are counted in overlapping bands of diagonals; a band that reaches the bound marks a region, and a
-banded alignment decides it. Case and runs of white space do not count as differences.
-
-A text that is null, empty or shorter than every item matches nothing. Items without text match
-nothing; an item shorter than a q-gram must occur as it is. Items of equal text each match, and an
-item without an item_id does so with a null one. Rows repeat in the result as often as in the input.
+are counted in overlapping bands of diagonals; a band that reaches the bound marks a region, and an
+alignment that keeps to the band decides it. Case and runs of white space do not count as
+differences. An item of more than ``LONG`` characters counts where an excerpt of it occurs: it is
+searched as overlapping segments, of which any stretch of ``LONG`` characters holds one.
+
+At most ``EDIT_RATE`` of an item's (or segment's) characters may differ, and no more than the lemma's
+bound allows: an item under two q-grams must occur as it is, as must one shorter than a q-gram. A
+text that is null, empty or shorter than every item matches nothing; very long texts are searched
+whole. Items without text match nothing; items of equal text each match, and an item without an
+item_id does so with a null one. Of equally good places of an item in a document the band with most
+shared q-grams counts. Rows repeat in the result as often as in the input; other columns, whatever
+their names, are left as they are by ``drop_leaks`` and not looked at by ``find_leaks``. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches
+from .common import in_batches, stored, texts
 from .winnow import code_points, gram_hashes
 
 Q = 8
 #: Edits allowed per character of an item.
 EDIT_RATE = 0.08
+#: Items of more characters are searched as segments of SEGMENT characters, STRIDE apart.
+LONG, SEGMENT, STRIDE = 600, 400, 200
 #: Characters of benchmark text that go to the tasks at once; a larger benchmark goes in blocks.
 BLOCK_CHARS = 2_000_000
 #: A first look-up in a bit table of 2 ** TABLE_BITS entries.
@@ -62,8 +72,10 @@ class Items:
     points: list[np.ndarray]
 
     def __post_init__(self):
-        order = [k for k, p in enumerate(self.points) if len(p)]
-        self.ids, self.points = [self.ids[k] for k in order], [self.points[k] for k in order]
+        cut = [(k, part) for k, p in enumerate(self.points) for part in segments(p)]
+        #: Of each pattern, the number of its item.
+        self.of = [k for k, _ in cut]
+        self.points = [part for _, part in cut]
         self.size = np.array([len(p) for p in self.points], np.int64)
         self.edits = np.array([allowed(len(p)) for p in self.points], np.int64)
         self.bound = self.size - Q + 1 - Q * self.edits
@@ -78,9 +90,9 @@ class Items:
         self.start = np.append(first, len(h))
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[(self.gram >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-        large = [k for k in range(len(self.points)) if k not in set(self.tiny)]
-        self.reach = int(max((self.size[k] + self.edits[k] for k in large), default=0))
-        self.least = int(min((self.bound[k] for k in large), default=0))
+        large = self.size >= Q
+        self.reach = int((self.size + self.edits)[large].max(initial=0))
+        self.least = int(self.bound[large].min()) if large.any() else 0
         #: Wide enough that every band of diagonals, overlapping by the edits, holds an alignment.
         self.band = 1 << max(4, int(self.edits.max(initial=0)).bit_length())
 
@@ -133,96 +145,127 @@ class Items:
         """(item id, begin, end, edits) of the best alignment of each item, in characters of the text."""
         points, where = normalised(text or "")
         best: dict[int, tuple[int, int, int]] = {}
-        for item, low, high in self.regions(points):
-            pattern, e = self.points[item], int(self.edits[item])
+        for k, low, high in self.regions(points):
+            item = self.of[k]
             if item in best and not best[item][2]:
                 continue
-            begin, end = max(0, low), min(len(points), high + len(pattern) + e)
-            found = align(pattern, points[begin:end], e)
+            found = align(self.points[k], points, low, high, int(self.edits[k]))
             if found and (item not in best or found[2] < best[item][2]):
-                best[item] = (begin + found[0], begin + found[1], found[2])
-        for item in self.tiny:
-            found = points.tobytes().find(self.points[item].tobytes())
-            while found >= 0 and found % 4:
-                found = points.tobytes().find(self.points[item].tobytes(), found + 1)
-            if found >= 0:
-                best[item] = (found // 4, found // 4 + len(self.points[item]), 0)
+                best[item] = found
+        for k in self.tiny:
+            at = place_of(self.points[k], points)
+            if at >= 0:
+                best[self.of[k]] = (at, at + len(self.points[k]), 0)
         return [(self.ids[k], int(where[a]), int(where[b - 1]) + 1, e) for k, (a, b, e) in sorted(best.items()) if b > a]
 
 
-def align(pattern: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int, int] | None:
-    """Where in the region the whole pattern lies with fewest edits, if these are at most ``most``."""
-    at = region.tobytes().find(pattern.tobytes())
-    if at >= 0 and at % 4 == 0:
-        return at // 4, at // 4 + len(pattern), 0
-    down = last_row(pattern, region, most)
-    if down is None:
-        return None
-    end = int(down.argmin())
-    edits = int(down[end])
-    if edits > most:
+def segments(points: np.ndarray) -> list[np.ndarray]:
+    """An item's patterns: itself, or of a long one its segments, the last one up to its end."""
+    if len(points) <= LONG:
+        return [points] if len(points) else []
+    return [points[k : k + SEGMENT] for k in [*range(0, len(points) - SEGMENT, STRIDE), len(points) - SEGMENT]]
+
+
+def place_of(pattern: np.ndarray, points: np.ndarray) -> int:
+    """Where the pattern first occurs as it is, or -1."""
+    data, sought = points.tobytes(), pattern.tobytes()
+    at = data.find(sought)
+    while at >= 0 and at % 4:
+        at = data.find(sought, at + 1)
+    return at // 4 if at >= 0 else -1
+
+
+def align(pattern: np.ndarray, points: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
+    """(begin, end, edits) of where the whole pattern lies in the points with fewest edits, by
+    alignments on the diagonals from low up to high; None if more than ``most`` are needed."""
+    down = last_row(pattern, points, low, high, most)
+    if down is None or down.min() > most:
         return None
-    part = region[max(0, end - len(pattern) - edits) : end]
-    back = last_row(pattern[::-1], part[::-1], len(pattern), anchored=True)
-    return end - int(back.argmin()), end, edits
-
-
-def last_row(pattern: np.ndarray, region: np.ndarray, most: int, anchored: bool = False) -> np.ndarray | None:
-    """Edit distances of the pattern to what ends at each place of the region, or None as soon as all
-    exceed ``most``; anchored: to the region's prefixes."""
-    n = len(region)
-    steps = np.arange(n + 1)
-    row = steps.copy() if anchored else np.zeros(n + 1, np.int64)
-    for k, c in enumerate(pattern):
-        if k % 16 == 15 and row.min() > most:
+    k = int(down.argmin())
+    end, edits = len(pattern) + low + k, int(down[k])
+    part = points[max(0, end - len(pattern) - edits) : end][::-1]
+    back = last_row(pattern[::-1], part, -edits, edits + 1, edits, anchored=True)
+    return end - (len(pattern) - edits + int(back.argmin())), end, edits
+
+
+#: More than any distance.
+FAR = 1 << 40
+
+
+def last_row(pattern: np.ndarray, points: np.ndarray, low: int, high: int, most: int, anchored: bool = False) -> np.ndarray | None:
+    """For each diagonal d from low up to high the edit distance of the pattern to what ends at
+    len(pattern) + d in the points and begins anywhere, or, if anchored, at their start. Only cells
+    of these diagonals are computed. None as soon as all exceed ``most``."""
+    n, width = len(points), high - low
+    steps = np.arange(width)
+    starts = steps + low
+    row = np.where((starts < 0) | (starts > n), FAR, np.where(anchored, starts, 0))
+    # no character is the pad's
+    pad = np.full(max(0, -low) + 1, 0xFFFFFFFF, np.uint32)
+    padded = np.concatenate([pad, points[: max(0, len(pattern) + high)], np.full(max(0, len(pattern) + high - n) + 1, 0xFFFFFFFF, np.uint32)])
+    for i, c in enumerate(pattern, 1):
+        if i % 16 == 0 and row.min() > most:
             return None
-        now = np.empty(n + 1, np.int64)
-        now[0] = k + 1
-        now[1:] = np.minimum(row[1:] + 1, row[:-1] + (region != c))
-        row = np.minimum.accumulate(now - steps) + steps
+        begin = len(pad) + i + low - 1
+        now = row + (padded[begin : begin + width] != c)
+        now[:-1] = np.minimum(now[:-1], row[1:] + 1)
+        now = np.minimum.accumulate(now - steps) + steps
+        now[max(0, n - i - low + 1) :] = FAR
+        row = now
     return row
 
 
-def item_blocks(benchmark: DataFrame) -> list[Items]:
-    """The benchmark in blocks of a bounded size; each is collected by itself when it is used."""
+def item_blocks(benchmark: DataFrame) -> tuple[int, Callable[[int], tuple[list[int], list[np.ndarray]]]]:
+    """In how many blocks of a bounded size the benchmark goes, and how one of them is fetched."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.length("text")).cast("long")).first()[0] or 0
     blocks = -(-total // BLOCK_CHARS)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks)))
-    for k in range(blocks):
+
+    def fetch(k: int) -> tuple[list[int], list[np.ndarray]]:
         rows = sorted(((r["item_id"], r["text"]) for r in items.where(part == k).collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-        yield [r[0] for r in rows], [normalised(r[1])[0] for r in rows]
+        return [r[0] for r in rows], [normalised(r[1])[0] for r in rows]
+
+    return blocks, fetch
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, begin, end and edits of every item that a document holds."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id, item_id, begin, end and edits of every item that a document holds. One pass for each
+    block of the benchmark; the result of one is written before the next is fetched, so that the
+    driver holds one block."""
+    docs = texts(docs)
     names, schema = ["doc_id", "item_id", "begin", "end", "edits"], "doc_id long, item_id long, begin long, end long, edits int"
-    out = None
-    for ids, points in item_blocks(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, points=points) -> Iterator[pa.RecordBatch]:
+    def search(ids: list[int], points: list[np.ndarray]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = Items(ids, points)
             for batch in batches:
                 rows = [(doc, *m) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for m in items.matches(text)]
                 types = [pa.int64()] * 4 + [pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
-        found = in_batches(docs, run, schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+        return in_batches(docs, run, schema)
+
+    blocks, fetch = item_blocks(benchmark)
+    found = [stored(search(*fetch(k))) if blocks > 1 else search(*fetch(k)) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    text_at = docs.columns.index("text")
-    for ids, points in item_blocks(benchmark):
+    text_at, schema = docs.columns.index("text"), docs.schema
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, points=points) -> Iterator[pa.RecordBatch]:
+    def without(docs: DataFrame, ids: list[int], points: list[np.ndarray]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = Items(ids, points)
             for batch in batches:
                 clean = [not items.matches(text) for text in batch.column(text_at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = in_batches(docs, run, docs.schema)
+        return in_batches(docs, run, schema)
+
+    blocks, fetch = item_blocks(benchmark)
+    for k in range(blocks):
+        docs = without(docs, *fetch(k))
+        docs = stored(docs) if blocks > 1 else docs
     return docs

@@ -495,20 +495,64 @@ def test_a_benchmark_item_without_an_id_is_found(spark):
     assert sorted(r.doc_id for r in decontam.drop_leaks(docs, bench.where("item_id is null")).collect()) == [2, 3]
 
 
-def test_alignment_is_the_plain_one():
-    rnd = random.Random(7)
+def edit_distances(p, t):
+    """The least number of edits that turn p into some stretch of t."""
+    row = [0] * (len(t) + 1)
+    for k, c in enumerate(p):
+        now = [k + 1]
+        for j, d in enumerate(t):
+            now.append(min(row[j + 1] + 1, now[-1] + 1, row[j] + (c != d)))
+        row = now
+    return min(row)
 
-    def plain(p, t):
-        row = [0] * (len(t) + 1)
-        for k, c in enumerate(p):
-            now = [k + 1]
-            for j, d in enumerate(t):
-                now.append(min(row[j + 1] + 1, now[-1] + 1, row[j] + (c != d)))
-            row = now
-        return min(row)
 
-    for _ in range(300):
+def test_alignment_is_the_plain_one():
+    rnd = random.Random(7)
+    for _ in range(400):
         p, t = ("".join(rnd.choice("abc") for _ in range(rnd.randint(1, 20))) for _ in range(2))
-        found = decontam.align(winnow.code_points(p), winnow.code_points(t), 4)
-        best = plain(p, t)
-        assert (found is None) == (best > 4) and (found is None or found[2] == best)
+        best = edit_distances(p, t)
+        found = decontam.align(winnow.code_points(p), winnow.code_points(t), -len(p), len(t) + 1, 4)
+        assert (found is None) == (best > 4) and (found is None or found[2] == best == edit_distances(p, t[found[0] : found[1]]) and abs(found[1] - found[0] - len(p)) <= best)
+        # within a band nothing better is found, and what lies on its diagonals is
+        low = rnd.randint(-3, 10)
+        part = decontam.align(winnow.code_points(p), winnow.code_points(t), low, low + 4, 20)
+        assert part is None or part[2] >= best
+        whole = decontam.align(winnow.code_points(p), winnow.code_points("z" * 7 + p + "zz"), 5, 9, 3)
+        assert whole == (7, 7 + len(p), 0)
+
+
+def test_leaks_are_exactly_what_edit_distances_say(spark):
+    rnd = random.Random(16)
+    letters = "abcdefgh "
+    items = ["".join(rnd.choice(letters) for _ in range(n)).strip() for n in (5, 7, 8, 15, 16, 24, 40, 60, 90, 120, 40)]
+    items[-1] = items[6]
+    docs = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rnd.randint(0, 3)):
+            s = list(rnd.choice(items))
+            for _ in range(rnd.choice([0, 1, 2, 4, 6, 9])):
+                at = rnd.randrange(len(s) + 1)
+                s[at : at + rnd.randint(0, 1)] = rnd.choice(["", "a", "b", "xy"])
+            parts += ["".join(s), "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 30)))]
+        docs.append("".join(parts))
+    flat = lambda s: " ".join(s.lower().split())
+    expected = {(d, i) for d, t in enumerate(docs) for i, p in enumerate(items) if edit_distances(flat(p), flat(t)) <= decontam.allowed(len(flat(p)))}
+    rows = spark.createDataFrame([*enumerate(docs)], "doc_id long, text string").withColumn("begin", F.lit("clash"))
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    out = decontam.find_leaks(rows, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in out} == expected and len(out) == len(expected)
+    for r in out:
+        assert edit_distances(flat(items[r.item_id]), flat(docs[r.doc_id][r.begin : r.end])) == r.edits
+    clean = decontam.drop_leaks(rows, bench)
+    assert clean.columns == rows.columns and {r.doc_id for r in clean.collect()} == set(range(len(docs))) - {d for d, _ in expected}
+
+
+def test_an_excerpt_of_a_long_item_counts_and_of_a_short_one_does_not(spark):
+    rnd = random.Random(17)
+    words = ["river", "bridge", "harbour", "council", "winter", "paper", "letter", "seven", "green", "market"]
+    long, short = (" ".join(rnd.choice(words) + str(rnd.randrange(100)) for _ in range(n)) for n in (260, 40))
+    rows = [(1, "before " + long[300:900] + " after"), (2, long[: decontam.LONG // 2]), (3, short[: len(short) // 2]), (4, "x " + long.upper()), (5, " ".join(words) + "\n" + short), (6, "very long " * 200_000 + short)]
+    bench = spark.createDataFrame([(1, long), (2, short), (3, None)], "item_id long, text string")
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()) == [(1, 1), (1, 1), (4, 1), (5, 2), (6, 2)]
