@@ -23,7 +23,7 @@ class Engine:
     def submit(self, submissions: DataFrame, run_ts: dt.datetime) -> DataFrame:
         """Stores and analyses texts (raw_text, submitted_at); receipts with newly_stored."""
         receipts = self.store.submit(submissions)
-        self.store.analyse(self.store.unanalysed(), run_ts, catalog=self.catalog)
+        self.store.analyse_pending(run_ts, catalog=self.catalog)
         return receipts
 
     def reprocess(self, raw_report_ids: list[str], run_ts: dt.datetime) -> None:

@@ -25,9 +25,11 @@ WORDS = {w: n for n, w in enumerate("sıfır bir iki üç dört beş altı yedi
 TENS = {w: 10 * n for n, w in enumerate("on yirmi otuz kırk elli altmış yetmiş seksen doksan".split(), 1)}
 SCALES = {"yüz": 100, "bin": 10**3, "milyon": 10**6, "milyar": 10**9}
 LARGEST = 2**63 - 1
+# Dates and road codes, whose figures are no counts.
 NOT_NUMBERS = re.compile(r"[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}|[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}")
 ROUTE_CODE = re.compile(rf"(?a:\b){LETTER}{{1,3}}-[0-9]+(?a:\b)")
-ATOM = re.compile(rf"(?P<digits>[0-9]{{1,3}}(?:\.[0-9]{{3}})+|[0-9]+(?P<decimal>,[0-9]+)?)|{LETTER}+")
+#: Figures, and runs of letters that are a number word.
+ATOM = re.compile(rf"(?P<digits>[0-9]{{1,3}}(?:\.[0-9]{{3}})+|[0-9]+(?P<decimal>,[0-9]+)?)|(?<!{LETTER})(?:{'|'.join([*WORDS, *TENS, *SCALES])})(?!{LETTER})")
 # Month names, the endings that time words take, and phrases that shift the date.
 MONTHS = "ocak şubat mart nisan mayıs haziran temmuz ağustos eylül ekim kasım aralık".split()
 TIME_ENDING = "(?:l[ıi]k|l[ae]r[ıi]nd[ae]|t[ae]|d[ae]|k[iıuü]|[ıiuü]n)?"
@@ -50,6 +52,8 @@ KEYWORD_ENDING = (
     "(?:l[ae]r|l[ıiuü]k?|d[aeıiuü]n?|t[aeıiuü]n?|[ae]rken|[ae]r[ae]k|[ıiuü]nc[ae]|n[ıiuü]n|nd[ae]n?|n[ıiuü]|s[ıiuü]"
     "|[ıiuü]yor|m[ae]k|m[ıiuü]ş|[ae]n|y[ae]|[ıiuü]p|[ıiuü]n|[aeıiuü]){0,3}"
 )
+# Final consonants that soften, words that mark figures shared by provinces, and the ending
+# of a circumstance.
 SOFTENED = {"p": "b", "ç": "c", "t": "d", "k": "ğg"}
 SHARED_MARKER = rf"\b(?:(?:her\s+)?(?:iki|üç|dört|beş|altı|\d{{1,2}})\s+(?:il|şehir){LETTER}*|(?:il|şehir)ler{LETTER}*)\b"
 CIRCUMSTANCE = re.compile("(?:d[ae]|t[ae])$")
@@ -57,7 +61,7 @@ CLUSTER = regex.compile(r"\X")
 #: What may make a cluster of several characters, or counts as white space for Python alone.
 NOT_PLAIN = regex.compile(r"[\p{M}\p{Cf}\r\x85\u1100-\u11FF\uA960-\uA97F\uD7B0-\uD7FF\U0001F1E6-\U0001F1FF\U0001F3FB-\U0001F3FF]")
 RUN = re.compile(r"\S+")
-FOLDED = str.maketrans(dict.fromkeys(APOSTROPHES, "'"))
+DIGIT = re.compile(r"\d")
 # A piece of text without which a date pattern cannot match; "0" stands for any digit.
 NEEDED = {"ISO": "0", "NUMERIC": "0", "NAMED": "0", "-2d": "gün", "-7d": "hafta", "-1m": "ay", "-1d": "dün", "0d": "bugün", "+0d": "bu", "window": "son"}
 
@@ -70,11 +74,27 @@ def is_space(cluster: str) -> bool:
     return all(c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f" or unicodedata.category(c) in ("Zs", "Zl", "Zp") for c in cluster)
 
 
+def folded(text: str) -> str:
+    """Lower-cased, with one kind of apostrophe."""
+    for c in APOSTROPHES:
+        text = text.replace(c, "'")
+    return tr_lower(text)
+
+
+def plain(raw: str) -> bool:
+    return not NOT_PLAIN.search(raw) and unicodedata.is_normalized("NFC", raw)
+
+
+def normalised(raw: str) -> str:
+    """The normalised text alone."""
+    return " ".join(folded(raw).split()) if plain(raw) else _normalise_clusters(raw)[0]
+
+
 def normalise(raw: str) -> tuple[str, list[int], list[int]]:
     """The normalised text and, for each of its characters, where its source begins and ends (code points)."""
-    if NOT_PLAIN.search(raw) or not unicodedata.is_normalized("NFC", raw):
+    if not plain(raw):
         return _normalise_clusters(raw)
-    text, words, begin, end = tr_lower(raw).translate(FOLDED), [], [], []
+    text, words, begin, end = folded(raw), [], [], []
     for m in RUN.finditer(text):
         if words:
             begin.append(end[-1])
@@ -161,16 +181,20 @@ class Sum:
 
 def number_parts(value: str) -> list[tuple[int | None, int | None, int, int]]:
     """(value, rank, begin, end) of figures and number words; a value of None is no count."""
-    veiled = [m.span() for p in (NOT_NUMBERS, ROUTE_CODE) for m in p.finditer(value)]
-    out = []
+    veiled = sorted(m.span() for p in (NOT_NUMBERS, ROUTE_CODE) for m in p.finditer(value))
+    out, k, covered = [], 0, 0
     for m in ATOM.finditer(value):
         a, b = m.span()
-        if any(a < y and x < b for x, y in veiled):
+        # covered: where the veiled spans that begin before b end
+        while k < len(veiled) and veiled[k][0] < b:
+            covered = max(covered, veiled[k][1])
+            k += 1
+        if a < covered:
             continue
         if m["digits"]:
             n = None if m["decimal"] else int(m[0].replace(".", ""))
             out.append((None if n is None or n > LARGEST else n, 2, a, b))
-        elif m[0] in WORDS or m[0] in TENS or m[0] in SCALES:
+        else:
             word = m[0]
             out.append((WORDS[word], 0, a, b) if word in WORDS else (TENS[word], 1, a, b) if word in TENS else (SCALES[word], None, a, b))
     return out
@@ -242,7 +266,7 @@ class Scanner:
     def hits(self, value: str) -> list[dict]:
         """Every pattern's hits: kind, key, detail, ord (of the pattern), begin, end."""
         out = []
-        digits = any(c.isdigit() for c in value)
+        digits = DIGIT.search(value) is not None
         for n, key, need, pattern in self.dates:
             if digits if need == "0" else need in value:
                 out += [dict(kind="DATE", key=key, detail="|".join(g or "" for g in m.groups()), ord=n, begin=m.start(), end=m.end()) for m in pattern.finditer(value)]

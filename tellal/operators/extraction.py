@@ -1,24 +1,28 @@
 """From raw texts to records: one scan in Python, everything it implies in column expressions.
 
-A report's hits stay in its row as arrays, so dates, classification and attribution need no shuffle;
-only assembling records groups by report.
+A report's hits stay in its row as arrays, so dates, classification, attribution and the assembly of
+records need no shuffle, and nothing is copied for each number of a text.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scan import MONTHS, Scanner, normalise, numbers, sentences
+from ..functions.scan import MONTHS, Scanner, normalise, normalised, numbers, sentences
 from ..sources.catalog import OTHER, Catalog, load_catalog
 from ..sources.reference_data import PROVINCES
 
 DATE_ASSUMED = "No date was found in the text; the submission date was used."
 NOT_RECOGNISED = "No known event type matched this text. It was stored as OTHER and can be reprocessed once the catalog recognises it."
 LONGEST_REASON = 1024
+#: Characters of two UTF-16 units.
+WIDE = re.compile("[\U00010000-\U0010ffff]")
 SPAN = pa.struct([("begin", pa.int32()), ("end", pa.int32())])
 NUMBER = pa.struct([("value", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("notation", pa.string())])
 HIT = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("ord", pa.int32()), ("kind", pa.string()), ("key", pa.string()), ("detail", pa.string()), ("raw", pa.string()), ("char_start", pa.int32()), ("char_end", pa.int32())])
@@ -29,14 +33,15 @@ SCANNED = (
 
 
 def scan_one(scanner: Scanner, raw: str) -> tuple[str, list, list, list]:
-    value, begin, end = normalise(raw)
-    units = [0] * (len(raw) + 1)
-    for k, c in enumerate(raw):
-        units[k + 1] = units[k] + 1 + (c > "￿")
+    """Where a hit stands in the source is looked up for hits alone."""
+    value = normalised(raw)
     hits = scanner.hits(value)
-    for h in hits:
-        a, b = begin[h["begin"]], end[h["end"] - 1]
-        h.update(raw=raw[a:b], char_start=units[a], char_end=units[b])
+    if hits:
+        _, begin, end = normalise(raw)
+        wide = [m.start() for m in WIDE.finditer(raw)]
+        for h in hits:
+            a, b = begin[h["begin"]], end[h["end"] - 1]
+            h.update(raw=raw[a:b], char_start=a + bisect_left(wide, a), char_end=b + bisect_left(wide, b))
     return value, [dict(begin=a, end=b) for a, b in sentences(value)], [dict(value=v, begin=a, end=b, notation=n) for v, a, b, n in numbers(value)], hits
 
 
@@ -135,26 +140,27 @@ KEYWORD = "struct<keyword:string,role:string,char_start:int,char_end:int>"
 
 
 def records(rows: DataFrame) -> DataFrame:
-    """One row per record of each report: its date, scope, type, metrics and evidence, by ordinal."""
-    wide = rows.where("failure_reason is null").select("raw_report_id", "ref_date", "day", "provs", "codes", "hits", F.size("types").alias("n_types"), F.explode("given").alias("g"))
-    grouped = wide.groupBy("raw_report_id", F.col("g.type").alias("event_type"), F.col("g.shared").alias("is_shared"), F.col("g.code").alias("province_code")).agg(
-        F.min("g.pos").alias("pos"), F.array_sort(F.collect_list("g")).alias("g"), *(F.first(c).alias(c) for c in ("ref_date", "day", "provs", "codes", "hits", "n_types"))
-    )
-    counted = "filter(g, x -> x.fits and x.metric is not null)"
+    """One row per record of each report: its date, scope, type, metrics and evidence, by ordinal. A
+    record is one event type in one place; its attributions are picked out within the report's row."""
+    key = "named_struct('type', x.type, 'shared', x.shared, 'code', x.code)"
+    same = "x.type = k.type and x.shared = k.shared and x.code <=> k.code"
+    counted = "filter(given, x -> %s and x.fits and x.metric is not null)" % same
     metrics = f"transform(array_distinct(transform({counted}, x -> x.metric)), m -> named_struct('metric_type', m, 'metric_value', aggregate(filter({counted}, x -> x.metric = m), 0L, (n, x) -> n + x.value)))"
     word = "named_struct('keyword', {x}.raw, 'role', '{r}', 'char_start', {x}.char_start, 'char_end', {x}.char_end)"
     evidence = [
         f"transform({counted}, x -> {word.format(x='x', r='METRIC')})",
         f"if(day is null, cast(array() as array<{KEYWORD}>), array({word.format(x='day', r='DATE')}))",
-        f"transform(filter(provs, p -> is_shared or cast(p.detail as smallint) = province_code), p -> {word.format(x='p', r='PROVINCE')})",
-        f"transform(filter(hits, h -> h.kind = 'EVENT_TYPE' and h.key = event_type), h -> {word.format(x='h', r='EVENT_TYPE')})",
+        f"transform(filter(provs, p -> k.shared or cast(p.detail as smallint) = k.code), p -> {word.format(x='p', r='PROVINCE')})",
+        f"transform(filter(hits, h -> h.kind = 'EVENT_TYPE' and h.key = k.type), h -> {word.format(x='h', r='EVENT_TYPE')})",
     ]
-    ordinal = F.expr("row_number() over (partition by raw_report_id order by pos)") - 1
-    return grouped.select(
-        "raw_report_id", ordinal.cast("int").alias("ordinal"), F.coalesce("day.date", "ref_date").alias("occurred_on"), F.coalesce("day.source", F.lit("DEFAULTED")).alias("date_source"),
-        F.expr("CASE WHEN is_shared THEN 'SHARED' WHEN province_code is null THEN 'UNKNOWN' ELSE 'SINGLE' END").alias("province_scope"), "province_code",
-        F.expr("if(is_shared, array_sort(codes), cast(array() as array<smallint>))").alias("shared_province_codes"), "event_type",
-        F.when(F.col("n_types") == 0, "UNCLASSIFIED").otherwise("CLASSIFIED").alias("classification"), F.expr(metrics).alias("metrics"), F.expr(f"concat({', '.join(evidence)})").alias("keywords"),
+    made = f"transform(array_distinct(transform(given, x -> {key})), (k, i) -> named_struct('ordinal', i, 'k', k, 'metrics', {metrics}, 'keywords', concat({', '.join(evidence)})))"
+    few = rows.where("failure_reason is null").select("raw_report_id", "ref_date", "day", "codes", F.size("types").alias("n_types"), F.expr(made).alias("made"))
+    each = few.select("raw_report_id", "ref_date", "day", "codes", "n_types", F.explode("made").alias("r"))
+    return each.select(
+        "raw_report_id", F.col("r.ordinal").cast("int").alias("ordinal"), F.coalesce("day.date", "ref_date").alias("occurred_on"), F.coalesce("day.source", F.lit("DEFAULTED")).alias("date_source"),
+        F.expr("CASE WHEN r.k.shared THEN 'SHARED' WHEN r.k.code is null THEN 'UNKNOWN' ELSE 'SINGLE' END").alias("province_scope"), F.col("r.k.code").alias("province_code"),
+        F.expr("if(r.k.shared, array_sort(codes), cast(array() as array<smallint>))").alias("shared_province_codes"), F.col("r.k.type").alias("event_type"),
+        F.when(F.col("n_types") == 0, "UNCLASSIFIED").otherwise("CLASSIFIED").alias("classification"), F.col("r.metrics").alias("metrics"), F.col("r.keywords").alias("keywords"),
     )
 
 

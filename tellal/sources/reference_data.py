@@ -60,5 +60,6 @@ event-types:
 
 
 def provinces(spark: SparkSession) -> DataFrame:
-    """code and name of the 81 provinces."""
-    return spark.createDataFrame(list(enumerate(PROVINCES, 1)), "code short, name string")
+    """code and name of the 81 provinces, as literal rows: Spark knows their size and broadcasts them."""
+    rows = ", ".join(f"({k}S, '{name}')" for k, name in enumerate(PROVINCES, 1))
+    return spark.sql(f"select * from values {rows} as p(code, name)")

@@ -3,11 +3,16 @@
 Nothing is updated in place. A report's outcome is that of its latest run; its records are those of
 its latest run that succeeded, so a failed rerun leaves the older records standing and an empty one
 hides them. A run's outcome is written last: rows of a run that broke off before are never read.
+
+Raw reports lie in folders by the first digits of their digest and by batch, so a batch is compared
+with the folders of its own digests, and a batch whose analysis broke off is found by its marker,
+however large the store is. One writer at a time: two could store the same text twice.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,7 +23,7 @@ from pyspark.sql.utils import AnalysisException
 from ..functions.turkish import reporting_day
 from ..operators.extraction import LONGEST_REASON, outcomes, records, scan, understood
 from .catalog import Catalog
-from .reference_data import PROVINCES
+from .reference_data import PROVINCES, provinces
 from .star import Star
 
 LONGEST_TEXT = 10_000
@@ -26,12 +31,25 @@ SCHEMAS = {
     "raw_report": "raw_report_id string, raw_text string, text_hash string, submitted_at timestamp",
     "analysis_result": "raw_report_id string, run_ts timestamp, status string, analyzed_at timestamp, incident_count int, failure_reason string, warnings array<string>",
     "incident": "raw_report_id string, run_ts timestamp, id bigint, occurred_on date, date_source string, province_scope string, province_code smallint, event_type string, classification string, created_at timestamp",
-    "incident_metric": "raw_report_id string, run_ts timestamp, incident_id bigint, metric_type string, metric_value int",
+    "incident_metric": "raw_report_id string, run_ts timestamp, incident_id bigint, metric_type string, metric_value bigint",
     "incident_shared_province": "raw_report_id string, run_ts timestamp, incident_id bigint, province_code smallint",
     "incident_keyword": "raw_report_id string, run_ts timestamp, incident_id bigint, keyword string, keyword_role string, char_start int, char_end int",
     "signal": "raw_report_id string, run_ts timestamp, incidents array<struct<id:bigint,occurred_on:date,event_type:string,province_codes:array<smallint>>>",
 }
 
+#: Folders of raw reports, of the letter h and the digest's first digits.
+FOLDERS = "prefix string, batch string"
+PREFIX = "concat('h', substring(text_hash, 1, 2))"
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or, where that is unset
+    and all run on one machine, a local one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(root or tempfile.mkdtemp()).rstrip('/')}/store-{uuid.uuid4().hex}"
+
 
 def utf16_length(text: str) -> F.Column:
     """Length in UTF-16 units: characters beyond the basic plane count twice."""
@@ -61,31 +79,62 @@ def first_of_each(rows: DataFrame) -> DataFrame:
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        #: Batches stored by this object that nobody has begun to analyse.
+        self.fresh: set[str] = set()
 
     def read(self, table: str) -> DataFrame:
+        if table == "raw_report":
+            return self._raw(f"{self.path}/raw_report").drop("prefix", "batch")
         try:
             return self.spark.read.schema(SCHEMAS[table]).option("recursiveFileLookup", "true").parquet(f"{self.path}/{table}")
         except AnalysisException:
             return self.spark.createDataFrame([], SCHEMAS[table])
 
-    def exists(self, table: str) -> bool:
-        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-
-    def append(self, table: str, rows: DataFrame, batch: str | None = None) -> None:
-        """Adds rows, those of one batch in a folder of their own."""
-        rows.select(*[f.name for f in StructType.fromDDL(SCHEMAS[table])]).write.mode("append").parquet(f"{self.path}/{table}/{batch or uuid.uuid4().hex}")
+    def _raw(self, *paths: str) -> DataFrame:
+        """Raw reports below the paths, of which some may not exist, with their folders."""
+        schema = f"{SCHEMAS['raw_report']}, {FOLDERS}"
+        there = [p for p in paths if self._files(p)]
+        if not there:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/raw_report").parquet(*there)
+
+    def _hadoop(self, path: str) -> tuple:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+    def _files(self, path: str) -> list[str]:
+        """What a path, possibly with wildcards, names."""
+        system, folder = self._hadoop(path)
+        return [f.getPath().toString() for f in system.globStatus(folder) or ()]
+
+    def append(self, table: str, rows: DataFrame) -> DataFrame:
+        """Adds rows, in a folder of their own; returns what was added."""
+        folder = f"{self.path}/{table}/{uuid.uuid4().hex}"
+        rows.select(*[f.name for f in StructType.fromDDL(SCHEMAS[table])]).write.mode("append").parquet(folder)
+        return self.spark.read.schema(SCHEMAS[table]).parquet(folder)
 
     def submit(self, submissions: DataFrame) -> DataFrame:
         """Stores new texts; receipts: raw_text, raw_report_id, submitted_at, newly_stored, error_code.
-        A text that is stored already is answered with the stored report, which stays the first."""
+        A text that is stored already is answered with the stored report, which stays the first; of
+        equal texts of one batch the first submission alone is newly stored."""
+        batch = uuid.uuid4().hex
         checked = validated(submissions)
         mine = hashed(checked.where("error_code is null"))
-        fresh = first_of_each(mine).join(self.read("raw_report"), "text_hash", "left_anti")
-        batch = uuid.uuid4().hex
-        self.append("raw_report", fresh.repartition(F.col("text_hash")), batch)
-        stored = self.read("raw_report").select("text_hash", "raw_report_id", "submitted_at", F.col("_metadata.file_path").contains(batch).alias("newly_stored"))
-        accepted = mine.select("raw_text", "text_hash").join(stored, "text_hash").withColumn("error_code", F.lit(None).cast("string")).drop("text_hash")
+        firsts = first_of_each(mine).withColumn("prefix", F.expr(PREFIX))
+        folders = [r["prefix"] for r in firsts.select("prefix").distinct().collect()]
+        older = self._raw(*(f"{self.path}/raw_report/prefix={p}" for p in folders)).where(F.col("batch") != batch)
+        older = older.groupBy("text_hash").agg(F.min_by(F.struct("raw_report_id", "submitted_at"), F.struct("submitted_at", "raw_report_id")).alias("old"))
+        known = firsts.join(older, "text_hash", "left")
+        fresh = known.where("old is null").select("raw_report_id", "raw_text", "text_hash", "submitted_at", "prefix", F.lit(batch).alias("batch"))
+        system, marker = self._hadoop(f"{self.path}/_pending/{batch}")
+        system.mkdirs(marker)
+        self.fresh.add(batch)
+        fresh.repartition("prefix").write.mode("append").partitionBy("prefix", "batch").parquet(f"{self.path}/raw_report")
+        told = known.select("text_hash", F.coalesce("old", F.struct("raw_report_id", "submitted_at")).alias("r"), F.col("old").isNull().alias("is_new"))
+        order = Window.partitionBy("text_hash").orderBy("submitted_at", "raw_report_id")
+        accepted = mine.withColumn("k", F.row_number().over(order)).select("raw_text", "text_hash", "k").join(told, "text_hash").select(
+            "raw_text", "r.raw_report_id", "r.submitted_at", (F.col("is_new") & (F.col("k") == 1)).alias("newly_stored"), F.lit(None).cast("string").alias("error_code")
+        )
         none = [F.lit(None).cast(t).alias(c) for c, t in (("raw_report_id", "string"), ("submitted_at", "timestamp"), ("newly_stored", "boolean"))]
         return accepted.unionByName(checked.where("error_code is not null").select("raw_text", *none, "error_code"))
 
@@ -101,7 +150,7 @@ class Store:
         bad = rows.where("strange").select("raw_report_id").distinct().withColumn("unknown", F.lit(True))
         good = rows.join(bad, "raw_report_id", "left_anti")
         self.append("incident", good)
-        self.append("incident_metric", good.select("raw_report_id", "run_ts", F.col("id").alias("incident_id"), F.explode("metrics").alias("m")).select("raw_report_id", "run_ts", "incident_id", "m.metric_type", F.expr("try_cast(m.metric_value as int)").alias("metric_value")).where("metric_value is not null"))
+        self.append("incident_metric", good.select("raw_report_id", "run_ts", F.col("id").alias("incident_id"), F.explode("metrics").alias("m")).select("raw_report_id", "run_ts", "incident_id", "m.metric_type", "m.metric_value"))
         self.append("incident_shared_province", good.select("raw_report_id", "run_ts", F.col("id").alias("incident_id"), F.explode("shared_province_codes").alias("province_code")))
         self.append("incident_keyword", good.select("raw_report_id", "run_ts", F.col("id").alias("incident_id"), F.explode("keywords").alias("k")).select("raw_report_id", "run_ts", "incident_id", F.substring("k.keyword", 1, 128).alias("keyword"), F.col("k.role").alias("keyword_role"), "k.char_start", "k.char_end"))
         counts = good.groupBy("raw_report_id").agg(F.count("*").cast("int").alias("n"))
@@ -111,10 +160,10 @@ class Store:
             "raw_report_id", stamp.alias("run_ts"), F.when(failed, "FAILED").otherwise("ANALYZED").alias("status"), stamp.alias("analyzed_at"),
             F.when(failed, 0).otherwise(F.coalesce("n", F.lit(0))).alias("incident_count"), reason.alias("failure_reason"), F.when(failed, F.array().cast("array<string>")).otherwise(F.col("warnings")).alias("warnings"),
         )
-        self.append("analysis_result", result)
+        written = self.append("analysis_result", result)
         codes = F.when(F.col("province_code").isNotNull(), F.array("province_code")).otherwise(F.col("shared_province_codes"))
         each = good.groupBy("raw_report_id").agg(F.array_sort(F.collect_list(F.struct("id", "occurred_on", "event_type", codes.alias("province_codes")))).alias("incidents"))
-        announced = self.read("analysis_result").where((F.col("run_ts") == stamp) & (F.col("status") == "ANALYZED")).select("raw_report_id", "run_ts")
+        announced = written.where("status = 'ANALYZED'").select("raw_report_id", "run_ts")
         self.append("signal", announced.join(each, "raw_report_id", "left").withColumn("incidents", F.coalesce("incidents", F.array())))
         rows.unpersist()
         read.unpersist()
@@ -123,28 +172,44 @@ class Store:
         """Runs stored reports again, with their original submission time."""
         self.analyse(self.read("raw_report").where(F.col("raw_report_id").isin(*raw_report_ids)), run_ts, **options)
 
-    def unanalysed(self) -> DataFrame:
-        """Stored reports without any outcome: new ones, and those of a run that broke off. Texts are
-        read only from the files that hold such reports; of the others, the ids."""
-        done = self.read("analysis_result").select("raw_report_id")
-        ids = self.read("raw_report").select("raw_report_id", F.col("_metadata.file_path").alias("file")) if self.exists("raw_report") else None
-        files = [r["file"] for r in ids.join(done, "raw_report_id", "left_anti").select("file").distinct().collect()] if ids else []
-        if not files:
-            return self.spark.createDataFrame([], SCHEMAS["raw_report"])
-        return self.spark.read.schema(SCHEMAS["raw_report"]).parquet(*files).join(done, "raw_report_id", "left_anti")
+    def pending(self) -> list[str]:
+        """Batches whose analysis has not come to its end."""
+        return [p.rsplit("/", 1)[1] for p in self._files(f"{self.path}/_pending/*")]
+
+    def unanalysed(self, batches: list[str] | None = None) -> DataFrame:
+        """Reports of pending batches without any outcome: new ones, and those of a run that broke off.
+        Outcomes are looked up only for batches that another run may have begun."""
+        batches = self.pending() if batches is None else batches
+        reports = self._raw(*(f for b in batches for f in self._files(f"{self.path}/raw_report/prefix=*/batch={b}")))
+        new, begun = reports.where(F.col("batch").isin(*self.fresh)), reports.where(~F.col("batch").isin(*self.fresh))
+        if set(batches) - self.fresh:
+            new = new.unionByName(begun.join(self.read("analysis_result").select("raw_report_id"), "raw_report_id", "left_anti"))
+        return new.drop("prefix", "batch")
+
+    def analyse_pending(self, run_ts: dt.datetime, **options) -> None:
+        """Analyses what is pending and takes the batches' markers away."""
+        batches = self.pending()
+        if not batches:
+            return
+        reports = self.unanalysed(batches)
+        self.fresh.difference_update(batches)
+        self.analyse(reports, run_ts, **options)
+        for batch in batches:
+            system, marker = self._hadoop(f"{self.path}/_pending/{batch}")
+            system.delete(marker, True)
 
     def star(self) -> Star:
         """The store as it now reads."""
         runs = self.read("analysis_result")
         good = latest(runs.where("status = 'ANALYZED'")).select("raw_report_id", "run_ts")
         current = {t: self.read(t).join(good, ["raw_report_id", "run_ts"], "left_semi") for t in ("incident", "incident_metric", "incident_shared_province", "incident_keyword")}
-        province = self.spark.createDataFrame(list(enumerate(PROVINCES, 1)), "code short, name string")
+        province = provinces(self.spark)
         incident = current["incident"].drop("run_ts")
         children = [current[t].drop("raw_report_id", "run_ts") for t in ("incident_metric", "incident_shared_province", "incident_keyword")]
         return Star(incident, *children, province, latest(runs).drop("run_ts"))
 
 
 def latest(runs: DataFrame) -> DataFrame:
-    """Each report's latest run."""
-    by_report = Window.partitionBy("raw_report_id").orderBy(F.col("run_ts").desc())
-    return runs.withColumn("k", F.row_number().over(by_report)).where("k = 1").drop("k")
+    """Each report's latest run, by partial aggregation."""
+    rest = [c for c in runs.columns if c != "raw_report_id"]
+    return runs.groupBy("raw_report_id").agg(F.max_by(F.struct(*rest), "run_ts").alias("r")).select("raw_report_id", *(f"r.{c}" for c in rest))

@@ -21,14 +21,14 @@ def submissions(spark: SparkSession, folder: str) -> DataFrame:
 def ingest(stream: DataFrame, store: Store, checkpoint: str, clock: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.timezone.utc), trigger: dict | None = None, **options) -> StreamingQuery:
     """Stores, analyses and announces every micro-batch.
 
-    Texts are compared with the stored ones instead of kept in the stream's state, which would grow
-    for ever. Work is chosen by what has no outcome yet, so a batch that is run again after a failure
-    repeats nothing that was finished and misses nothing that was not.
+    Texts are compared with the stored ones of equal first digits instead of kept in the stream's
+    state, which would grow for ever. Work is chosen by what is pending, so a batch that is run again
+    after a failure repeats nothing that was finished and misses nothing that was not.
     """
 
     def batch(rows: DataFrame, _: int) -> None:
         store.submit(rows)
-        store.analyse(store.unanalysed(), clock(), **options)
+        store.analyse_pending(clock(), **options)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

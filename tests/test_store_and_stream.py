@@ -66,6 +66,69 @@ def test_submitting_again_gives_the_stored_report(store, spark):
     assert receipts[TEXTS[0]].submitted_at == dt.datetime(2020, 6, 15, 10, 0, 0, 123000)
 
 
+def test_equal_texts_of_one_batch_have_one_new_receipt_and_a_batch_reads_its_own_folders(spark, tmp_path, monkeypatch):
+    own = Store(spark, str(tmp_path / "s"))
+    schema = "raw_text string, submitted_at timestamp"
+    texts = [f"metin {k}" for k in range(60)]
+    first = own.submit(spark.createDataFrame([(t, LATE) for t in texts] + [(t, EARLY) for t in texts[:5]] * 3, schema)).collect()
+    assert len(first) == 75 and sum(r.newly_stored for r in first) == 60
+    assert all(r.submitted_at == (EARLY if texts.index(r.raw_text) < 5 else LATE) for r in first)
+    assert own.read("raw_report").count() == 60 and len(own.pending()) == 1 and own.unanalysed().count() == 60
+    read = []
+    monkeypatch.setattr(Store, "_raw", lambda self, *paths, raw=Store._raw: (read.append(len([p for p in paths if self._files(p)])), raw(self, *paths))[1])
+    again = own.submit(spark.createDataFrame([(texts[0], EARLY), ("yeni", EARLY), ("yeni", EARLY), ("yeni", LATE)], schema)).collect()
+    assert sorted((r.raw_text, r.newly_stored) for r in again) == [(texts[0], False), ("yeni", False), ("yeni", False), ("yeni", True)]
+    assert max(read) <= 2 and own.read("raw_report").count() == 61
+
+
+def test_a_broken_off_analysis_is_taken_up_and_finished_reports_are_left(spark, tmp_path):
+    folder = str(tmp_path / "s")
+    began = Store(spark, folder)
+    began.submit(spark.createDataFrame([(t, EARLY) for t in TEXTS], "raw_text string, submitted_at timestamp")).collect()
+    # of three reports one had its outcome written when the process died
+    done = began.read("raw_report").first().raw_report_id
+    began.analyse(began.read("raw_report").where(F.col("raw_report_id") == done), EARLY)
+    later = Store(spark, folder)
+    assert len(later.pending()) == 1 and later.unanalysed().count() == 2
+    later.analyse_pending(LATE)
+    assert not later.pending() and later.unanalysed().count() == 0 and later.read("analysis_result").count() == 3 and later.read("signal").count() == 3
+    later.analyse_pending(LATE)
+    assert later.read("analysis_result").count() == 3
+
+
+def test_one_report_that_fails_does_not_stop_the_others_and_sums_beyond_an_int_are_kept(spark, tmp_path):
+    own = Store(spark, str(tmp_path / "s"))
+    large = "Ankara'da 2.000.000.000 yeni vaka tespit edildi. Ankara'da 2.000.000.000 yeni vaka tespit edildi."
+    reports = spark.createDataFrame([("a", None, "h", EARLY), ("b", large, "h", EARLY), ("c", "Hiçbir şey yok.", "h", EARLY)], "raw_report_id string, raw_text string, text_hash string, submitted_at timestamp")
+    own.analyse(reports, EARLY)
+    out = {r.raw_report_id: r for r in own.star().result.collect()}
+    assert {k: r.status for k, r in out.items()} == {"a": "FAILED", "b": "ANALYZED", "c": "ANALYZED"}
+    assert out["a"].failure_reason == "ValueError: text must not be null" and out["a"].warnings == [] and len(out["c"].warnings) == 2
+    assert [r.metric_value for r in own.star().metric.collect()] == [4_000_000_000]
+    assert sorted(r.raw_report_id for r in own.read("signal").collect()) == ["b", "c"]
+
+
+def test_refreshes_come_at_once_and_then_together(spark, tmp_path):
+    """The first signal is shown at once, a burst that follows together at the end of the interval."""
+    import time
+
+    signals = tmp_path / "signal"
+    signals.mkdir()
+    row = spark.createDataFrame([("r", EARLY, [])], "raw_report_id string, run_ts timestamp, incidents array<struct<id:bigint,occurred_on:date,event_type:string,province_codes:array<smallint>>>").coalesce(1)
+    shown = []
+    query = ingest.refreshes(ingest.signal_stream(spark, Store(spark, str(tmp_path))), lambda rows: shown.append(rows.count()), str(tmp_path / "cp"), every="6 seconds")
+    try:
+        time.sleep(2)
+        for _ in range(4):
+            row.write.mode("append").parquet(str(signals))
+        deadline = time.time() + 60
+        while sum(shown) < 4 and time.time() < deadline:
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    assert sum(shown) == 4 and len(shown) <= 2
+
+
 def test_a_rerun_replaces_and_a_failed_one_does_not(store):
     star = store.star()
     report = star.incident.where("event_type = 'EPIDEMIC'").first().raw_report_id
