@@ -8,7 +8,9 @@ they if more than a share of the template's bigrams is missing: units without an
 that lie in more than that share are left out beforehand, which loses nothing.
 
 Null and empty texts and units of one word match nothing. Equal scores go to the licence that sorts
-first. Repeated rows are reported each. The templates are a fixed small table, so it is broadcast.
+first. Repeated rows, rows that share a doc_id and rows without one are reported each; a very long text
+is one whole unit and as many as it has lines; other columns, whatever their names, are not looked at;
+an empty table gives an empty result. The templates are a fixed small table, so it is broadcast.
 
 Passages are found wherever they stand, wrapped over lines, inside a longer text or inside a line: a
 passage is a stretch of the whole text's words that begins and ends with a bigram of the template and
