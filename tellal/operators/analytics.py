@@ -41,10 +41,18 @@ def time_series(star: Star, query: AnalyticsQuery = AnalyticsQuery(), grouping:
     return daily.select("occurred_on", *keys, "value")
 
 
+def by_name(name: str = "province_name") -> Column:
+    return F.expr(f"collate({name}, 'tr')").asc_nulls_last()
+
+
+def point_order(points: DataFrame) -> list[Column | str]:
+    place = [scope_order(), by_name()] if "province_scope" in points.columns else []
+    return ["event_type", "metric_type", *place, "occurred_on"]
+
+
 def in_order(points: DataFrame) -> DataFrame:
     """Points in the order in which they are shown."""
-    place = [scope_order(), F.expr("collate(province_name, 'tr')").asc_nulls_last()] if "province_scope" in points.columns else []
-    return points.orderBy("event_type", "metric_type", *place, "occurred_on")
+    return points.orderBy(*point_order(points))
 
 
 def _levels(rows: DataFrame, bottom: list[str], sets: list[list[str]], measure: Column, name: str) -> DataFrame:
@@ -82,9 +90,17 @@ def summary(star: Star, query: AnalyticsQuery = AnalyticsQuery()) -> DataFrame:
     return summary_counts(star, query).join(totals, same, "left").select(*keys, "province_name", "incident_count", F.coalesce("metrics", F.create_map().cast("map<string,bigint>")).alias("metrics"))
 
 
+def summary_order() -> list[Column]:
+    return [F.when(F.col("level") == "TOTAL", 1).otherwise(0), F.col("event_type").asc_nulls_last(), F.when(F.col("level") == "BREAKDOWN", 0).otherwise(1), scope_order(), by_name()]
+
+
 def summary_in_order(rows: DataFrame) -> DataFrame:
-    level = F.when(F.col("level") == "BREAKDOWN", 0).otherwise(1)
-    return rows.orderBy(F.when(F.col("level") == "TOTAL", 1).otherwise(0), F.col("event_type").asc_nulls_last(), level, scope_order(), F.expr("collate(province_name, 'tr')").asc_nulls_last())
+    return rows.orderBy(*summary_order())
+
+
+def numbered(rows: DataFrame, order: list[Column | str]) -> DataFrame:
+    """Aggregated rows, which are few, with their position from 1."""
+    return rows.withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
 
 def nested_series(points: DataFrame) -> DataFrame:
@@ -135,7 +151,13 @@ def total_metric_keys(rows: DataFrame) -> DataFrame:
 
 
 def province_label(scope: str = "province_scope", name: str = "province_name") -> Column:
-    return F.when(F.col(scope) == "SINGLE", F.col(name)).when(F.col(scope) == "SHARED", "shared").otherwise("unknown")
+    return F.when(F.col(scope) == "SINGLE", F.coalesce(name, F.lit("unknown"))).when(F.col(scope) == "SHARED", "shared").otherwise("unknown")
+
+
+def province_line(shared: str = "shared_across") -> Column:
+    """Who a record belongs to, in a line: its province, or that it is shared and among which."""
+    note = F.concat(F.lit("not split among "), F.array_join(F.transform(shared, lambda p: p["name"]), ", "))
+    return F.concat_ws(" - ", province_label(), F.when(F.col("province_scope") == "SHARED", note))
 
 
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:

@@ -98,3 +98,38 @@ class UrlFilters:
         shown = int(one("page")) if one("page").isdigit() and int(one("page")) > 0 else 1
         query = AnalyticsQuery(tuple(sorted({x.strip() for x in many("eventType")} - {""})), tuple(codes), day("from"), day("to"), one("keyword"))
         return cls(query, Page(shown - 1, sort=SORTS.get(one("sort"), SORTS["date-desc"])))
+
+
+@dataclass(frozen=True)
+class ChartOptions:
+    """What a chart draws of the selected records, as a URL holds it; it narrows no filter and no total."""
+
+    KEYS = ("chart", "metric", "breakdown", "cumulative")
+    event_type: str | None = None
+    metric: str | None = None
+    by_province: bool = False
+    cumulative: bool = False
+
+    @classmethod
+    def parse(cls, params: Mapping[str, str]) -> ChartOptions:
+        return cls(_present(params.get("chart")), _present(params.get("metric")), params.get("breakdown") == "province", params.get("cumulative") == "true")
+
+    def written(self, params: Mapping[str, str]) -> dict[str, str]:
+        """The parameters with the chart's own keys written anew, defaults left out, and all others as they are."""
+        own = {"chart": self.event_type, "metric": self.metric, "breakdown": "province" if self.by_province else None, "cumulative": "true" if self.cumulative else None}
+        return {k: v for k, v in params.items() if k not in self.KEYS} | {k: v for k, v in own.items() if v}
+
+    def drawn_type(self, filtered: Sequence[str], catalog: Sequence[str]) -> str | None:
+        """The chosen type if the filters (or, without any, the catalog) allow it, else the first allowed one."""
+        return _chosen(self.event_type, filtered or catalog)
+
+    def drawn_metric(self, available: Sequence[str]) -> str | None:
+        """The metric compared across provinces: the chosen one if the type has it, else its first."""
+        return _chosen(self.metric, available)
+
+    def grouping(self) -> ProvinceGrouping:
+        return ProvinceGrouping.PROVINCE if self.by_province else ProvinceGrouping.NONE
+
+
+def _chosen(wanted: str | None, allowed: Sequence[str]) -> str | None:
+    return wanted if wanted in allowed else next(iter(allowed), None)

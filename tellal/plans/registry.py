@@ -14,8 +14,9 @@ from ..operators.filters import selected
 from ..sources import catalog as catalogs
 from ..sources.reference_data import PROVINCES
 from ..sources.star import from_events
-from ..sources.store import first_of_each, hashed, validated
-from .query import AnalyticsQuery, IncidentQuery, Page, ProvinceGrouping
+from ..sources.store import Store, first_of_each, hashed, latest, validated, work_folder
+from ..streaming import ingest
+from .query import AnalyticsQuery, ChartOptions, IncidentQuery, Page, ProvinceGrouping
 
 BY_PROVINCE = ProvinceGrouping.PROVINCE
 FROM, TO = dt.date(2024, 1, 5), dt.date(2024, 1, 20)
@@ -42,7 +43,9 @@ province as (select cast(n_nationkey + 1 as smallint) as code, n_name as name fr
 result as (
   select lpad(cast(event_id - event_id % 3 as varchar), 24, '0') as raw_report_id, case when min(event_id) % 21 = 0 then 'FAILED' else 'ANALYZED' end as status,
          max(ts) as analyzed_at, cast(case when min(event_id) % 21 = 0 then 0 else count(*) end as int) as incident_count,
-         case when min(event_id) % 21 = 0 then 'java.lang.IllegalStateException: boom' end as failure_reason
+         case when min(event_id) % 21 = 0 then 'java.lang.IllegalStateException: boom' end as failure_reason,
+         case when min(event_id) % 21 = 0 then '' else concat_ws('|', case when bool_or(event_id % 3 = 2) then 'No date was found in the text; the submission date was used.' end,
+           case when bool_or(event_id % 11 = 0) then 'No known event type matched this text. It was stored as OTHER and can be reprocessed once the catalog recognises it.' end) end as warnings
   from events group by 1),
 """
 ALL = "i as (select * from incident)\n"
@@ -96,6 +99,12 @@ def _flat_detail(rows: DataFrame) -> DataFrame:
     )
 
 
+def _warned(rows: DataFrame) -> DataFrame:
+    """Warnings as text."""
+    return rows.withColumn("warnings", F.array_join("warnings", "|"))
+
+
+LABELS = [(0, "view", "Views", 0, "M_A", "A of views"), (1, "click", "Clicks", 0, "M_A", "A of clicks"), (1, "click", "Clicks", 1, "M_C", "C")]
 PAGE_SQL = "select id, raw_report_id, occurred_on, event_type, province_scope, province_code from i order by occurred_on desc, id desc limit 20"
 DETAIL_SQL = """select id, event_type, name as province_name,
   coalesce((select string_agg(cast(province_code as varchar), ',' order by s.province_code) from shared s where s.incident_id = i.id), '') as shared,
@@ -151,7 +160,67 @@ from c left join m on c.level = m.level and c.event_type is not distinct from m.
     "list_total_pages": (lambda s: listing.page_totals(selected(s, COMBINED), 20), STAR + picked(EVERY) + "select count(*) as total_elements, cast(ceil(count(*) / 20.0) as bigint) as total_pages from i"),
     "incident_detail_nested": (lambda s: _flat_detail(listing.incidents(s)), STAR + ALL + DETAIL_SQL),
     "incident_by_raw_report": (lambda s: _page_columns(selected(s, IncidentQuery(raw_report_id=" 000000000000000000000030 "))), STAR + picked("raw_report_id = '000000000000000000000030'") + "select id, raw_report_id, occurred_on, event_type, province_scope, province_code from i"),
-    "report_outcome": (lambda s: listing.latest_outcome(s, "000000000000000000000021"), STAR + ALL + "select raw_report_id, status, analyzed_at, incident_count from result where raw_report_id = '000000000000000000000021'"),
+    "report_outcome": (lambda s: _warned(listing.latest_outcome(s, "000000000000000000000027")), STAR + ALL + "select raw_report_id, status, analyzed_at, incident_count, warnings from result where raw_report_id = '000000000000000000000027'"),
+    "report_warnings": (lambda s: _warned(s.result).groupBy("status", "warnings").agg(F.count("*").alias("n")), STAR + ALL + "select status, warnings, count(*) as n from result group by 1, 2"),
+    "outcomes_page": (
+        lambda s: listing.with_totals(s.result.where("status = 'FAILED'"), Page(1, 10, (("analyzed_at", False), ("raw_report_id", True)))).select("raw_report_id", "analyzed_at", "total_elements", "total_pages"),
+        STAR + ALL + "select raw_report_id, analyzed_at, count(*) over () as total_elements, cast(ceil(count(*) over () / 10.0) as bigint) as total_pages from result where status = 'FAILED' order by analyzed_at desc, raw_report_id limit 10 offset 10",
+    ),
+    "series_in_order": (
+        lambda s: (lambda p: analytics.numbered(p, analytics.point_order(p)))(analytics.time_series(s, AnalyticsQuery(date_to=TO), BY_PROVINCE).where("province_code is null or province_code <= 25")),
+        f"select *, row_number() over (order by event_type, metric_type, case province_scope when 'SINGLE' then 0 when 'SHARED' then 1 else 2 end, province_name nulls last, occurred_on)::int as position from ({series_sql(f"occurred_on <= date '{TO}'", place=True)}) where province_code is null or province_code <= 25",
+    ),
+    "summary_in_order": (
+        lambda s: analytics.numbered(analytics.summary_counts(s).where("province_code is null or province_code <= 25"), analytics.summary_order()),
+        f"select *, row_number() over (order by level = 'TOTAL', event_type nulls last, level <> 'BREAKDOWN', case province_scope when 'SINGLE' then 0 when 'SHARED' then 1 else 2 end, province_name nulls last)::int as position from ({counts_sql()}) where province_code is null or province_code <= 25",
+    ),
+    "summary_blocks": (
+        lambda s: analytics.summary_blocks(analytics.summary(s, AnalyticsQuery(date_to=TO)), s.incident.select("event_type").distinct().select("event_type", F.lit("M_B").alias("metric_type"), F.lit(0).alias("metric_ord"))).select(
+            "event_type", "incident_count", F.array_join("columns", ",").alias("columns"), F.expr("array_join(transform(array_sort(map_entries(metrics)), x -> concat(x.key, '=', x.value)), ',')").alias("metrics"),
+            F.expr("array_join(transform(rows, x -> concat(coalesce(cast(x.province_code as string), x.province_scope), '=', x.incident_count)), ',')").alias("rows"),
+        ),
+        STAR + picked(f"occurred_on <= date '{TO}'") + """, n as (select event_type, province_scope, province_code, name, count(*) as n from i left join province on code = province_code group by all),
+m as (select event_type, metric_type, sum(metric_value) as v from i join incident_metric on incident_id = id group by all)
+select event_type, cast(sum(n) as bigint) as incident_count,
+  (select string_agg(metric_type, ',' order by case metric_type when 'M_B' then 0 else 1 end, metric_type) from m where m.event_type = n.event_type) as columns,
+  coalesce((select string_agg(metric_type || '=' || v, ',' order by metric_type) from m where m.event_type = n.event_type), '') as metrics,
+  string_agg(coalesce(cast(province_code as varchar), province_scope) || '=' || n, ',' order by case province_scope when 'SINGLE' then 0 when 'SHARED' then 1 else 2 end, name nulls first, province_code) as rows
+from n group by event_type""",
+    ),
+    "summary_total_metrics": (
+        lambda s: analytics.total_metric_keys(analytics.summary(s)).select(F.array_join("metric_types", ",").alias("metric_types")),
+        STAR + ALL + "select string_agg(metric_type, ',' order by metric_type) as metric_types from (select distinct metric_type from i join incident_metric on incident_id = id)",
+    ),
+    "chart_lines_by_province": (
+        lambda s: analytics.chart_lines(analytics.time_series(s, grouping=ChartOptions("click", "M_B", True).grouping()), "click", ChartOptions("click", "M_B", True).drawn_metric(["M_A", "M_B"])),
+        f"select * from ({series_sql(place=True)}) where event_type = 'click' and metric_type = 'M_B'",
+    ),
+    "chart_lines_of_a_type": (
+        lambda s: analytics.chart_lines(analytics.time_series(s, cumulative=True), ChartOptions("none", cumulative=True).drawn_type((), ["view", "click"]), "M_B"),
+        f"select * from ({series_sql(cumulative=True)}) where event_type = 'view'",
+    ),
+    "labels_with_fallbacks": (
+        lambda s: analytics.labelled(analytics.with_metrics(s.incident, s).select("event_type", "metric_type").distinct(), s.incident.sparkSession.createDataFrame(LABELS, "event_ord int, event_type string, event_label string, metric_ord int, metric_type string, metric_label string")),
+        STAR + ALL + f""", l as (select * from (values {', '.join(map(str, LABELS))}) as l(event_ord, event_type, event_label, metric_ord, metric_type, metric_label))
+select event_type, metric_type, coalesce((select max(event_label) from l where l.event_type = p.event_type), event_type) as event_label,
+  coalesce((select max(metric_label) from l where l.event_type = p.event_type and l.metric_type = p.metric_type), (select arg_min(metric_label, event_ord * 100 + metric_ord) from l where l.metric_type = p.metric_type), metric_type) as metric_label
+from (select distinct event_type, metric_type from i join incident_metric on incident_id = id) p""",
+    ),
+    "province_lines": (
+        lambda s: listing.incidents(s).select("id", analytics.province_line().alias("line")),
+        STAR + ALL + """select id, case province_scope when 'SINGLE' then coalesce(name, 'unknown') when 'UNKNOWN' then 'unknown'
+  else 'shared - not split among ' || coalesce((select string_agg(p.name, ', ' order by s.province_code) from shared s join province p on p.code = s.province_code where s.incident_id = i.id), '') end as line
+from (select * from i order by occurred_on desc, id desc limit 20) i left join province on code = province_code""",
+    ),
+    "incident_by_id": (lambda s: _flat_detail(listing.by_id(s, 37)), STAR + ALL + DETAIL_SQL.replace("order by occurred_on desc, id desc limit 20", "where id = 37")),
+    "list_after_key": (
+        lambda s: _page_columns(listing.after(s.incident, {"occurred_on": TO, "id": 500})),
+        STAR + picked(f"occurred_on < date '{TO}' or occurred_on = date '{TO}' and id < 500") + PAGE_SQL,
+    ),
+    "latest_runs": (
+        lambda s: latest(s.incident.select("raw_report_id", F.timestamp_seconds("id").alias("run_ts"), F.when(F.col("id") % 2 == 0, "ANALYZED").otherwise("FAILED").alias("status"))).select("raw_report_id", "run_ts", "status"),
+        STAR + ALL + "select raw_report_id, make_timestamp(max(id) * 1000000) as run_ts, case when max(id) % 2 = 0 then 'ANALYZED' else 'FAILED' end as status from i group by 1",
+    ),
     "records_with_outcome": (lambda s: listing.of_report(s).groupBy("status", "event_type").agg(F.count("*").alias("n")), STAR + ALL + "select status, event_type, count(*) as n from i join result using (raw_report_id) group by 1, 2"),
     "unclassified_gap_report": (lambda s: s.incident.where("classification = 'UNCLASSIFIED'").groupBy("occurred_on").agg(F.count("*").alias("n")), STAR + picked("classification = 'UNCLASSIFIED'") + "select occurred_on, count(*) as n from i group by 1"),
     "join_inner_metric": (lambda s: analytics.with_metrics(s.incident, s).groupBy("event_type", "metric_type").agg(F.count("*").alias("n")), STAR + ALL + "select event_type, metric_type, count(*) as n from i join incident_metric on incident_id = id group by 1, 2"),
@@ -252,7 +321,21 @@ def highlight_segments(spark: SparkSession) -> DataFrame:
     return highlight.segments(texts).select("id", "begin", "end", "text", F.array_join("roles", ",").alias("roles"))
 
 
+ODD_TEXTS = {
+    "1": (None, "FAILED", "ValueError: text must not be null", ""), "2": ("20.04.2020 tarihinde Ankara'da 15 yeni vaka tespit edildi.", "ANALYZED", None, ""),
+    "3": ("Ankara'da 15 yeni vaka tespit edildi.", "ANALYZED", None, extraction.DATE_ASSUMED), "4": ("Hiçbir şey yok.", "ANALYZED", None, f"{extraction.DATE_ASSUMED}|{extraction.NOT_RECOGNISED}"),
+    "5": ("3 Mayıs 2020 günü toplantı yapıldı.", "ANALYZED", None, extraction.NOT_RECOGNISED),
+}
+
+
+def outcomes_isolated(spark: SparkSession) -> DataFrame:
+    """One report that cannot be read among others."""
+    _, found = extraction.extract(_literals(spark, [(k, v[0], REF) for k, v in ODD_TEXTS.items()]))
+    return _warned(found)
+
+
 LITERAL_QUERIES = {
+    "outcomes_isolated": (outcomes_isolated, _values([(k, *("null::varchar" if x is None else x for x in v[1:])) for k, v in ODD_TEXTS.items()], "raw_report_id, status, failure_reason, warnings").replace("'null::varchar'", "null::varchar")),
     "golden_permutations": (golden, GOLDEN_SQL),
     "number_words": (lambda s: _understood(s, NUMBER_TEXTS, "array_join(transform(numbers, n -> cast(n.value as string)), ',')"), _expected(NUMBER_TEXTS)),
     "date_resolution": (lambda s: _understood(s, DATE_TEXTS, "concat(coalesce(day.date, ref_date), ' ', coalesce(day.source, 'DEFAULTED'))"), _expected(DATE_TEXTS)),
@@ -278,8 +361,57 @@ def _submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select(F.lpad(F.col("doc_id").cast("string"), 24, "0").alias("raw_report_id"), F.col("text").alias("raw_text"), F.timestamp_seconds("doc_id").alias("submitted_at"))
 
 
+ERROR_SQL = "case when trim(text) = '' then 'report.text.blank' when length(text) + length(text) - length(regexp_replace(text, '[\\x{10000}-\\x{10FFFF}]', '', 'g')) > 10000 then 'report.text.too-long' end"
+
+
+def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text submitted twice in one batch, then all once more: how the submissions are answered."""
+    store, texts = Store(spark, work_folder(spark)), _submitted(spark, sf_dir).drop("raw_report_id")
+    first, again = store.submit(texts.unionByName(texts)), store.submit(texts)
+    answered = first.withColumn("batch", F.lit(1)).unionByName(again.withColumn("batch", F.lit(2)))
+    return answered.groupBy("batch", F.coalesce("error_code", F.when(F.col("newly_stored"), "new").otherwise("known")).alias("answer")).agg(F.count("*").alias("n"))
+
+
+RECEIPTS_SQL = f"""with d as (select text, {ERROR_SQL} as e from documents), n as (select count(*) as n, count(distinct text) as m from d where e is null)
+select * from (
+  select 1::int as batch, e as answer, 2 * count(*) as n from d where e is not null group by e union all select 2, e, count(*) from d where e is not null group by e
+  union all select 1, 'new', m from n union all select 1, 'known', 2 * n - m from n union all select 2, 'known', n from n) where n > 0"""
+
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that arrive as JSON lines, stored, analysed and announced by a stream: what each left behind."""
+    folder = work_folder(spark)
+    _submitted(spark, sf_dir).select("raw_text", "submitted_at").write.json(f"{folder}/arriving")
+    store = Store(spark, f"{folder}/store")
+    ingest.ingest(ingest.submissions(spark, f"{folder}/arriving"), store, f"{folder}/checkpoint", clock=lambda: dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)).awaitTermination()
+    announced = store.read("signal").groupBy("raw_report_id").agg(F.count("*").alias("n_signals"))
+    return store.read("raw_report").join(store.star().result, "raw_report_id").join(announced, "raw_report_id", "left").select("text_hash", "submitted_at", "status", "analyzed_at", "n_signals")
+
+
+STREAM_SQL = f"select sha256(text) as text_hash, make_timestamp(min(doc_id) * 1000000) as submitted_at, 'ANALYZED' as status, timestamp '2024-01-01' as analyzed_at, 1::bigint as n_signals from documents where {ERROR_SQL} is null group by text"
+
+
+def records_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a report, whose record follows from the order's columns; figures beyond an int are no counts."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    place = F.element_at(F.array(*map(F.lit, PROVINCES)), (F.col("o_custkey") % 81 + 1).cast("int"))
+    text = F.concat(F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(" tarihinde "), place, F.lit("'da "), (F.col("o_orderkey") * 100_000).cast("string"), F.lit(" yeni vaka tespit edildi."))
+    found, _ = extraction.extract(orders.select(F.col("o_orderkey").cast("string").alias("raw_report_id"), text.alias("raw_text"), F.lit(REF).cast("date").alias("ref_date")))
+    metric = F.expr("array_join(transform(metrics, m -> concat(m.metric_type, '=', m.metric_value)), ',')")
+    return found.select(F.col("raw_report_id").cast("long").alias("order_key"), "ordinal", "occurred_on", "date_source", "province_scope", F.col("province_code").cast("int").alias("province_code"), "event_type", metric.alias("metrics"), F.size("keywords").alias("n_keywords"))
+
+
+RECORDS_SQL = """select cast(o_orderkey as bigint) as order_key, 0 as ordinal, cast(o_orderdate as date) as occurred_on, 'EXPLICIT' as date_source, 'SINGLE' as province_scope, cast(o_custkey % 81 + 1 as int) as province_code, 'EPIDEMIC' as event_type,
+  case when o_orderkey * 100000 <= 2147483647 then 'NEW_CASE=' || (o_orderkey * 100000) else '' end as metrics, case when o_orderkey * 100000 <= 2147483647 then 4 else 3 end as n_keywords from orders"""
 DIGITS = r"[0-9]{1,3}(?:\.[0-9]{3})+|[0-9]+(?:,[0-9]+)?"
 TEXT_QUERIES = {
+    "receipts": (receipts, RECEIPTS_SQL),
+    "stream_ingest": (stream_ingest, STREAM_SQL),
+    "records_of_orders": (records_of_orders, RECORDS_SQL),
+    "raw_reports_page": (
+        lambda s, d: listing.with_totals(first_of_each(hashed(_submitted(s, d))), Page(2, 20, (("submitted_at", False), ("raw_report_id", False)))).select("raw_report_id", "submitted_at", "total_elements", "total_pages"),
+        "select lpad(cast(doc_id as varchar), 24, '0') as raw_report_id, make_timestamp(doc_id * 1000000) as submitted_at, count(*) over () as total_elements, cast(ceil(count(*) over () / 20.0) as bigint) as total_pages from (select min(doc_id) as doc_id from documents group by text) order by submitted_at desc limit 20 offset 40",
+    ),
     "dedup_sha256": (
         lambda s, d: first_of_each(hashed(_submitted(s, d))).select("raw_report_id", "text_hash"),
         "select min(lpad(cast(doc_id as varchar), 24, '0')) as raw_report_id, sha256(text) as text_hash from documents group by 2",

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.extraction import DATE_ASSUMED, NOT_RECOGNISED
+
 
 @dataclass
 class Star:
@@ -82,5 +84,6 @@ def from_events(spark: SparkSession, sf_dir: str) -> Star:
     result = e.groupBy(report.alias("raw_report_id")).agg(
         F.when(failed, "FAILED").otherwise("ANALYZED").alias("status"), F.max("ts").alias("analyzed_at"),
         F.when(failed, 0).otherwise(F.count("*")).cast("int").alias("incident_count"), F.when(failed, "java.lang.IllegalStateException: boom").alias("failure_reason"),
+        F.filter(F.array(F.when(~failed & F.bool_or(k % 3 == 2), DATE_ASSUMED), F.when(~failed & F.bool_or(other), NOT_RECOGNISED)), lambda w: w.isNotNull()).alias("warnings"),
     )
     return Star(incident, first.unionByName(second), shared, keyword, province, result)

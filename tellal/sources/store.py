@@ -138,6 +138,10 @@ class Store:
         none = [F.lit(None).cast(t).alias(c) for c, t in (("raw_report_id", "string"), ("submitted_at", "timestamp"), ("newly_stored", "boolean"))]
         return accepted.unionByName(checked.where("error_code is not null").select("raw_text", *none, "error_code"))
 
+    def reports_of(self, text_hash: str) -> DataFrame:
+        """The report of a digest, from the folder of its first digits."""
+        return self._raw(f"{self.path}/raw_report/prefix=h{text_hash[:2]}").drop("prefix", "batch").where(F.col("text_hash") == text_hash)
+
     def analyse(self, reports: DataFrame, run_ts: dt.datetime, catalog: Catalog | None = None, provinces: dict[int, str] | None = None, zone: str = "Europe/Istanbul") -> None:
         """Runs the extraction over raw reports and appends what it gives; never fails for one report.
         The day of a report is its submission day in the zone."""
