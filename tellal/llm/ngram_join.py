@@ -452,44 +452,41 @@ def blocks_of(shingles: str) -> Column:
 
 
 def on_lists(chosen: DataFrame) -> DataFrame:
-    """chosen: node, signatures, known. One row for each node and signature."""
+    """chosen: node, signatures, known, shard, block. One row for each node and signature (list)."""
+    names = ["node", "known", "shard", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sigs = [np.frombuffer(b, np.int64) for b in batch.column("signatures").to_pylist()]
             n = [len(s) for s in sigs]
-            rows = [np.repeat(batch.column(c).to_numpy(), n) for c in ("node", "known")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)), *map(pa.array, rows)], ["list", "node", "known"])
+            rows = [np.repeat(batch.column(c).to_numpy(), n) for c in names]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)), *map(pa.array, rows)], ["list", *names])
 
-    return in_batches(chosen.select("node", "signatures", "known"), run, "list long, node long, known long")
+    return in_batches(chosen.select("signatures", *names), run, "list long, node long, known long, shard long, block int")
 
 
 def links_on_lists(rows: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """rows: list, node, known (its component so far); sets: node, n, shingles. Links that connect what
-    is connected on each list, but for what is known.
-
-    Lists on which only one component is left need nothing, and of lists with the same members one is
-    searched. A list of more than a block is searched as its nodes outside its largest component, in
-    parts, against each block: two nodes of different components have one outside the largest."""
-    h = F.xxhash64("node")
-    lists = rows.groupBy("list").agg(F.count("*").alias("many"), F.min("known").alias("low"), F.max("known").alias("high"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("y"))
-    open_ = lists.where("low <> high").groupBy("many", "x", "y").agg(F.min("list").alias("list")).select("list", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    members = stored(rows.withColumn("salt", F.pmod(h, F.lit(SALTS)).cast("int")).join(open_, ["list", "salt"]).drop("salt"))
-    members = members.join(sets.select("node", "n"), "node")
-    blocks = members.groupBy("list").agg(blocks_of("n").alias("blocks"))
-    placed = members.join(blocks, "list").select(F.col("list").alias("shard"), "blocks", F.pmod(h, F.col("blocks")).cast("int").alias("block"), "node", "known", "n")
-    none = F.lit(None).cast("int").alias("side")
-    one = placed.where("blocks = 1").select("shard", F.lit(0).alias("k1"), F.lit(0).alias("k2"), "node", none, "known")
-    large = placed.where("blocks > 1")
-    sizes = large.groupBy("shard", "known").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("shard").agg(F.max_by("known", F.struct("size", "known")).alias("largest"))
-    apart = large.join(largest, "shard").where("known <> largest")
-    outside = apart.groupBy("shard").agg(blocks_of("n").alias("parts"))
-    probes = apart.join(outside, "shard").withColumn("k2", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int"))
-    probes = probes.withColumn("k1", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("shard", "k1", "k2", "node", F.lit(1).alias("side"), "known")
-    against = large.join(outside, "shard").withColumn("k2", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("shard", F.col("block").alias("k1"), "k2", "node", F.lit(0).alias("side"), "known")
-    asked = one.unionByName(probes).unionByName(against)
-    return links_within(asked.join(sets.select("node", "n", "shingles"), "node"), threshold)
+    """rows: list, node, known (its component so far), shard, block; sets: node, n, shingles. Links
+    that connect what is connected on each list, but for what is known.
+
+    Lists on which only one component is left need nothing. Of two nodes of different components on a
+    list one is outside the list's largest component: such a node is a query to the other blocks that
+    have a node on one of its lists, to each once, whichever lists lead there. A block with many
+    queries gets them in parts.
+    """
+    sizes = rows.groupBy("list", "known").agg(F.count("*").alias("size"))
+    open_ = sizes.groupBy("list").agg(F.max_by("known", F.struct("size", "known")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = open_.select("list", "largest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    touched = stored(salted.join(open_, ["list", "salt"]).drop("salt"))
+    there = touched.select("list", F.col("block").alias("k1")).distinct()
+    asking = touched.where("known <> largest").join(there, "list").where("k1 <> block").select("node", "known", "shard", "k1").distinct()
+    probes = stored(asking.join(sets.select("node", "n"), "node"))
+    parts = probes.groupBy("shard", "k1").agg(blocks_of("n").alias("parts"))
+    asked = probes.join(parts, ["shard", "k1"]).select("shard", "k1", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int").alias("k2"), "node", F.lit(1).alias("side"), "known")
+    members = touched.select("node", "known", "shard", F.col("block").alias("k1")).distinct().join(parts, ["shard", "k1"])
+    against = members.select("shard", "k1", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k2"), "node", F.lit(0).alias("side"), "known")
+    return links_within(asked.unionByName(against).join(sets.select("node", "n", "shingles"), "node"), threshold)
 
 
 def shard_components(sets: DataFrame, chosen: DataFrame, threshold: Fraction) -> DataFrame:
@@ -502,8 +499,8 @@ def shard_components(sets: DataFrame, chosen: DataFrame, threshold: Fraction) ->
     3. the lists of the prefixes on which different components still meet are searched.
 
     Sets that link share a list of their prefixes, so no link is lost; lists of one group of near
-    copies are done after the second step, and a chain of lists that connects what does not link
-    costs its lists, each by itself.
+    copies are done after the second step, and of a chain of lists that connects what does not link
+    only blocks that a list connects are compared.
     """
     none = F.lit(None).cast("int").alias("side")
     alone = sets.select("shard", F.col("block").alias("k1"), F.lit(0).alias("k2"), "n", "node", none, F.col("node").alias("known"), "shingles")
@@ -526,7 +523,7 @@ def shard_components(sets: DataFrame, chosen: DataFrame, threshold: Fraction) ->
     links = stored(links.unionByName(links_within(delegates.join(large.select("node", "n", "shingles"), "node"), threshold)))
 
     now = grouped(links)
-    rows = on_lists(chosen.join(now.select("node", "known"), "node"))
+    rows = on_lists(chosen.join(now.select("node", "known", "shard", "block"), "node"))
     return components(links.unionByName(links_on_lists(rows, large, threshold)))
 
 
