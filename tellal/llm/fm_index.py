@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 NONE = np.iinfo(np.int64).max
+#: The bits below each of a word's 64.
+BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 class Bits:
@@ -23,8 +25,7 @@ class Bits:
     def ones(self, at: np.ndarray) -> np.ndarray:
         """How many bits are set before each place."""
         word = at >> 6
-        low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & low)
+        return self.before[word] + np.bitwise_count(self.words[word] & BELOW[at & 63])
 
 
 class WaveletMatrix:
@@ -32,21 +33,27 @@ class WaveletMatrix:
 
     def __init__(self, symbols: np.ndarray, width: int):
         self.n, self.width, self.levels, self.zeros = len(symbols), width, [], []
+        letters = int(symbols.max(initial=0)) + 1
         for level in range(width - 1, -1, -1):
             bit = (symbols >> level & 1).astype(bool)
             self.levels.append(Bits(bit))
             self.zeros.append(int(self.n - bit.sum()))
             symbols = np.concatenate([symbols[~bit], symbols[bit]])
+        #: Where each symbol's occurrences begin on the last level.
+        self.begin = self._down(np.arange(letters), np.zeros(letters, np.int64))
 
-    def rank(self, symbol: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the symbol's occurrences before start and before end lie, counted from its first."""
-        n = len(symbol)
-        at = np.concatenate([start, end, np.zeros(n, np.int64)])
+    def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k in range(self.width):
-            bit = (symbol >> (self.width - 1 - k) & 1).astype(bool)
             ones = self.levels[k].ones(at)
-            at = np.where(np.concatenate([bit, bit, bit]), self.zeros[k] + ones, at - ones)
-        return at[:n] - at[2 * n :], at[n : 2 * n] - at[2 * n :]
+            at = np.where(symbol & 1 << self.width - 1 - k, self.zeros[k] + ones, at - ones)
+        return at
+
+    def rank(self, symbol: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often the symbol occurs before start and before end."""
+        n = len(symbol)
+        at = self._down(np.concatenate([symbol, symbol]), np.concatenate([start, end]))
+        begin = self.begin[symbol]
+        return at[:n] - begin, at[n:] - begin
 
 
 class Minima:

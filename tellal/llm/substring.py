@@ -195,6 +195,9 @@ def owners_of_hot_runs(docs: DataFrame, frequent: np.ndarray, window: int) -> tu
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 words = word_hashes(text.encode().split(), known)
+                # an anchor is one of these; most texts have no frequent one
+                if len(words) < window or not hot.among(gram_hashes(words, min(GRAM, window)), frequent).any():
+                    continue
                 h, first, runs = anchors(words, window)
                 use = hot.among(h.astype(np.uint64), frequent)
                 if use.any():
@@ -226,7 +229,7 @@ def stretches(docs: DataFrame, shards: int, window: int, hot_runs: tuple[np.ndar
     digests, owners = hot_runs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pack = WordHash(), zstandard.ZstdCompressor(level=3)
+        known, pack = WordHash(), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             lines: dict[int, dict[bytes, int]] = {}
             places: dict[int, list[tuple]] = {}
