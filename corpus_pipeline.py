@@ -29,10 +29,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps one row of each group of texts whose five-word shingle sets have a Jaccard similarity of
     0.8 or more: that of the smallest doc_id. Texts without words are in no group: of them, and of
     any group, only rows with the same doc_id and text are one. Rows without a doc_id stay."""
-    groups = ngram_join.similar_components(docs, size=5, threshold="8/10", with_groups=True).where("doc_id is not null")
-    rows = groups.groupBy("group", "doc_id", "part").agg(F.count("*").alias("rows"))
-    first = rows.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "part", "rows")).alias("f")).select("f.*")
-    first = first.unionByName(rows.where("group is null").drop("group"))
+    chosen = shared_dir(spark)
+    with scratch(spark):
+        groups = ngram_join.similar_components(docs, size=5, threshold="8/10", with_groups=True).where("doc_id is not null")
+        rows = groups.groupBy("group", "doc_id", "part").agg(F.count("*").alias("rows"))
+        first = rows.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "part", "rows")).alias("f")).select("f.*")
+        first.unionByName(rows.where("group is null").drop("group")).write.parquet(chosen)
+    # which rows stay is all that is needed from here on
+    first = spark.read.parquet(chosen)
     kept = packed(docs).withColumn("part", F.xxhash64("text")).join(first.hint("merge"), ["doc_id", "part"])
     if first.where("rows > 1").limit(1).count():
         alike = Window.partitionBy("doc_id", "part").orderBy(F.xxhash64("rest"))
