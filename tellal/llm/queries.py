@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, license, ngram_join, quality, substring, token_count, winnow
+from . import bpe, chat, decontam, hard_negatives, langid, license, ngram_join, quality, substring, token_count, winnow
 from .common import remainder, table, texts
 
 
@@ -134,6 +134,28 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(hard_negatives.quantised(rows))
+
+
+OP11_SQL = """
+with r as (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.r, a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score
+  from r a join r b on a.r <> b.r where a.vec_id % 50 = 0),
+p as (
+  select r, anchor_id, other_id as positive_id, score as positive_score, row_number() over (partition by r order by score desc, other_id nulls last) as k
+  from s where same qualify k <= 5)
+select anchor_id, positive_id, cast(row_number() over (partition by r, k order by score desc, other_id nulls last) as int) as rank, other_id as negative_id, positive_score, score as negative_score
+from p join s using (r, anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify rank <= 3
+"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_compression_quality": op2_compression_quality,
@@ -146,5 +168,6 @@ QUERIES = {
     "op8_token_count": op8_token_count,
     "op9_decontamination": op9_decontamination,
     "op10_bpe": op10_bpe,
+    "op11_hard_negatives": op11_hard_negatives,
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op5_ngram_join": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_license_scan": OP7_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op5_ngram_join": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_license_scan": OP7_SQL, "op11_hard_negatives": OP11_SQL}
