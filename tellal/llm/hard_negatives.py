@@ -13,8 +13,7 @@ whatever the labels' or vectors' frequencies are; a cell returns a few rows for
 Rows of one label lie together, so positives are only sought in cells whose labels meet.
 
 Rows with a null label or vector, or with a null or non-finite component, take no part. A component x
-counts as floor(256 * x), kept within the bound at which an inner product still fits 64 bits
-(``component_bound``); vectors of different lengths are compared as if the shorter ended in zeros, and
+counts as floor(256 * x), kept within ``component_bound``, so that an inner product fits 64 bits; vectors of different lengths are compared as if the shorter ended in zeros, and
 an empty one scores 0 with every other. Every row is a row of its own: equal rows are each other's
 positives, and of anchors that occur twice each has results. Rows without a vec_id are no anchors and
 come last among ties. An anchor without positives or negatives has no rows; neither has an empty table.
@@ -40,23 +39,25 @@ STEP = 8
 SCALE = 256
 #: Bits of a block's number that count within a partition.
 PART = 24
-BLOCK = "block long, n int, dims int, labels binary, ids binary, uids binary, data binary, wide int"
+BLOCK = "block long, n int, dims int, kinds array<long>, labels binary, ids binary, uids binary, data binary, wide int"
 NO_ID = np.iinfo(np.int64).max
 
 
-def component_bound(dims: int) -> int:
+def component_bound(dims: np.ndarray) -> np.ndarray:
     """The magnitude to which components are kept, so that a product of dims of them fits 64 bits."""
-    return int((2**62 / max(1, dims)) ** 0.5)
+    return np.floor(np.sqrt(2.0**62 / np.maximum(dims, 1)))
 
 
-def quantised(rows: DataFrame, vector: str = "embedding") -> DataFrame:
-    """vec_id, label and v, the components as whole numbers, of the rows that take part."""
-    values = F.transform(F.col(vector), lambda x: x.cast("double"))
-    finite = ~F.exists(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    bound = (F.lit(2.0**62) / F.greatest(F.size(values), F.lit(1))) ** 0.5
-    whole = F.transform(values, lambda x: F.greatest(F.least(F.floor(x * SCALE).cast("double"), bound), -bound).cast("long"))
-    part = rows.where(F.col("label").isNotNull() & F.col(vector).isNotNull()).where(finite)
-    return part.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), whole.alias("v"))
+def quantised(offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which vectors take part, and the offsets and whole components of those that do."""
+    finite = np.isfinite(values)
+    wrong = np.concatenate([[0], np.cumsum(~finite)])
+    part = wrong[offsets[1:]] == wrong[offsets[:-1]]
+    size = np.diff(offsets)
+    most = np.repeat(component_bound(size), size)
+    used = np.repeat(part, size)
+    whole = np.clip(np.floor(values[used] * SCALE), -most[used], most[used]).astype(np.int64)
+    return part, np.concatenate([[0], np.cumsum(size[part])]), whole
 
 
 class Block:
@@ -81,18 +82,19 @@ def packed_rows(frames: list[tuple[np.ndarray, ...]], dims: int, block: int) ->
     most = int(np.abs(x).max(initial=0))
     wide = 2 if most < 1 << 15 else 4 if most < 1 << 31 else 8
     uids = uids if len(uids) and uids[0] >= 0 else block * ROWS + np.arange(len(ids))[np.argsort(order)]
-    return dict(block=block, n=len(ids), dims=dims, labels=labels[order].tobytes(), ids=ids[order].tobytes(), uids=uids[order].tobytes(), data=x[order].T.astype(f"i{wide}").tobytes(), wide=wide)
+    return dict(block=block, n=len(ids), dims=dims, kinds=np.unique(labels), labels=labels[order].tobytes(), ids=ids[order].tobytes(), uids=uids[order].tobytes(), data=x[order].T.astype(f"i{wide}").tobytes(), wide=wide)
 
 
-BLOCK_ARROW = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("dims", pa.int32()), *((c, pa.binary()) for c in ("labels", "ids", "uids", "data")), ("wide", pa.int32())])
+BLOCK_ARROW = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("dims", pa.int32()), ("kinds", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("labels", "ids", "uids", "data")), ("wide", pa.int32())])
 
 
 def blocks(rows: DataFrame, parts: int, most: int) -> DataFrame:
-    """rows (vec_id, label, v, and uid or none) in blocks of at most ``most``, cut off from their lineage.
-    Blocks are made of one label or neighbouring ones and numbered by partition and place in it."""
+    """rows in blocks of at most ``most``, cut off from their lineage: vec_id, label and embedding, or uid,
+    vec_id, label and v, whole components. Blocks are made of one label or neighbouring ones and numbered
+    by partition and place in it."""
     numbered = "uid" in rows.columns
-    rows = rows if numbered else rows.withColumn("uid", F.lit(-1).cast("long"))
-    rows = rows.repartitionByRange(parts, "label", F.xxhash64("vec_id", "v")).sortWithinPartitions("label")
+    rows = rows.select("vec_id", "label", "v", "uid") if numbered else rows.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = rows.where("label is not null and v is not null").repartitionByRange(parts, "label", F.xxhash64("vec_id", "v")).sortWithinPartitions("label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, made, frames, held, values = TaskContext.get().partitionId() << PART, 0, [], 0, 0
@@ -107,17 +109,26 @@ def blocks(rows: DataFrame, parts: int, most: int) -> DataFrame:
                 part = batch.slice(k, most - held)
                 k += part.num_rows
                 v = part.column("v")
-                lists = (np.asarray(v.offsets), np.asarray(v.flatten()))
-                ids, labels, uids = (part.column(c).fill_null(NO_ID).to_numpy(zero_copy_only=False) for c in ("vec_id", "label", "uid"))
-                frames.append((ids, labels, uids, *lists))
-                held, values = held + part.num_rows, values + len(lists[1])
+                offsets, x = np.asarray(v.offsets), v.flatten().to_numpy(zero_copy_only=False)
+                offsets = offsets - offsets[0]
+                ids, labels = (part.column(c).fill_null(NO_ID).to_numpy(zero_copy_only=False) for c in ("vec_id", "label"))
+                if numbered:
+                    uids = part.column("uid").to_numpy(zero_copy_only=False)
+                else:
+                    use, offsets, x = quantised(offsets, x.astype(np.float64))
+                    ids, labels = ids[use], labels[use]
+                    uids = np.full(len(ids), -1)
+                if not len(ids):
+                    continue
+                frames.append((ids, labels, uids, offsets, x))
+                held, values = held + len(ids), values + len(x)
                 if held == most or values >= COMPONENTS:
                     yield block()
                     made, frames, held, values = made + 1, [], 0, 0
         if held:
             yield block()
 
-    return stored(in_batches(rows.select("vec_id", "label", "uid", "v"), run, BLOCK))
+    return stored(in_batches(rows, run, BLOCK))
 
 
 def anchors_of(row_blocks: DataFrame, every: int) -> DataFrame:
@@ -239,25 +250,13 @@ def part_of(block: str) -> F.Column:
 def cells(row_blocks: DataFrame, anchor_blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs: block, part. Each block of rows beside each block of anchors of that part, as a struct, dealt
     by both: a row of the result is what one call of a scan holds."""
-    n = 4 * max(1, min(pairs.count(), 5000))
+    n = 4 * max(1, min(row_blocks.count() * anchor_blocks.count(), 5000))
     held = anchor_blocks.select(part_of("block").alias("part"), F.struct(*anchor_blocks.columns).alias("anchors"))
     left = row_blocks.join(pairs, "block").repartition(n, "block", "part")
     right = held.join(pairs, "part").repartition(n, "block", "part")
     return left.join(right.hint("merge"), ["block", "part"]).drop("part")
 
 
-def labels_of(blocks: DataFrame) -> DataFrame:
-    """(block, label) for each label that a block holds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                found = np.unique(np.frombuffer(row["labels"], np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), row["block"])), pa.array(found)], ["block", "label"])
-
-    return in_batches(blocks.select("block", "labels"), run, "block long, label long")
-
-
 def find_positives(row_blocks: DataFrame, anchor_blocks: DataFrame, most: int) -> DataFrame:
     """uid of an anchor, k (from 0), positive_id, positive_score."""
 
@@ -271,8 +270,8 @@ def find_positives(row_blocks: DataFrame, anchor_blocks: DataFrame, most: int) -
                     out.append((np.full(len(at), anchors.uids[a]), rows.ids[at], scores))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["uid", "id", "score"])
 
-    theirs = labels_of(anchor_blocks).select(part_of("block").alias("part"), "label").distinct()
-    pairs = labels_of(row_blocks).join(theirs, "label").select("block", "part").distinct()
+    theirs = anchor_blocks.select(part_of("block").alias("part"), F.explode("kinds").alias("label")).distinct()
+    pairs = row_blocks.select("block", F.explode("kinds").alias("label")).join(theirs, "label").select("block", "part").distinct()
     found = in_batches(cells(row_blocks, anchor_blocks, pairs), run, "uid long, id long, score long")
     order = Window.partitionBy("uid").orderBy(F.desc("score"), "id")
     top = found.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
@@ -320,7 +319,7 @@ def find_negatives(row_blocks: DataFrame, anchor_blocks: DataFrame, parts: int,
 
 
 def mine(rows: DataFrame, every: int = 50, positives: int = 5, negatives: int = 3, least: int = 50, greatest: int = 95) -> DataFrame:
-    """rows: vec_id, label and v as ``quantised`` gives them. For each row whose vec_id is divisible by
+    """rows: vec_id, label, embedding. For each row whose vec_id is divisible by
     ``every`` and each of its first ``positives`` rows of the same label, the first ``negatives`` rows of
     other labels whose score is between least and greatest hundredths of the positive's."""
     row_blocks = blocks(rows, max(1, -(-rows.count() // ROWS)), ROWS)
