@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, hard_negatives, langid, license, ngram_join, quality, substring, token_count, winnow
+from . import bpe, chat, chunked_bpe, decontam, hard_negatives, langid, license, ngram_join, quality, spelling, substring, token_count, winnow
 from .common import remainder, table, texts
 
 
@@ -137,7 +137,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
-    return hard_negatives.mine(hard_negatives.quantised(rows))
+    return hard_negatives.mine(rows)
 
 
 OP11_SQL = """
@@ -156,6 +156,40 @@ qualify rank <= 3
 """
 
 
+def op12_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunked_bpe.encode_texts(table(spark, sf_dir, "documents"), keep_ids=False)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+OP13_SQL = r"""
+with recursive crc as (
+  select list(c order by b) as tab from (select b, list_reduce(range(8), lambda c, k: xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end), b) as c from (select unnest(range(256)) as b))),
+runs as (
+  select doc_id, run, count(*) as times, any_value(hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || run))) as x
+  from (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) as run from documents)
+  where length(run) >= 6 group by all),
+hashed as (
+  select run, times, xor(list_reduce(list_transform(range(1, length(x), 2), lambda k: cast('0x' || substr(x, k, 2) as bigint)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) as h from runs, crc),
+words as (
+  select case when h % 199 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, cast(sum(times) as bigint) as n
+  from hashed group by 1 having length(word) >= 6 and sum(times) >= 5),
+d as (select word, k, left(word, k - 1) || substr(word, k + 1) as rest from (select word, unnest(range(1, length(word) + 1)) as k from words)),
+near as (
+  select a.word, b.word as other from d a join d b on a.rest = b.rest and a.k = b.k and a.word <> b.word
+  union select rest, word from d where rest in (select word from words)
+  union select word, rest from d where rest in (select word from words)),
+best as (
+  select near.word, count(*) as n_near, first(other order by o.n desc, other) as other, first(o.n order by o.n desc, other) as other_n from near join words o on o.word = other group by near.word),
+forms as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when other_n >= 5 * n then other end as form, case when other_n >= 5 * n then other_n end as form_n from words w left join best b on b.word = w.word),
+chain(word, last) as (select word, word from forms union all select c.word, f.form from chain c join forms f on f.word = c.last where f.form is not null)
+select f.word, f.form, c.last as root, f.n, f.n_near, f.form_n from forms f join chain c on c.word = f.word join forms e on e.word = c.last and e.form is null
+"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_compression_quality": op2_compression_quality,
@@ -169,5 +203,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_bpe": op10_bpe,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_chunked_bpe": op12_chunked_bpe,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op5_ngram_join": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_license_scan": OP7_SQL, "op11_hard_negatives": OP11_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op5_ngram_join": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_license_scan": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op13_spelling_variants": OP13_SQL}
