@@ -88,11 +88,10 @@ def packed_rows(frames: list[tuple[np.ndarray, ...]], dims: int, block: int) ->
 BLOCK_ARROW = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("dims", pa.int32()), ("kinds", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("labels", "ids", "uids", "data")), ("wide", pa.int32())])
 
 
-def blocks(rows: DataFrame, parts: int, most: int) -> DataFrame:
-    """rows in blocks of at most ``most``, cut off from their lineage: vec_id, label and embedding, or uid,
-    vec_id, label and v, whole components. Blocks are made of one label or neighbouring ones and numbered
+def blocks(rows: DataFrame, parts: int, most: int, numbered: bool = False) -> DataFrame:
+    """rows in blocks of at most ``most``, cut off from their lineage: vec_id, label and embedding, or, if
+    they are numbered, uid, vec_id, label and v, whole components. Blocks are made of one label or neighbouring ones and numbered
     by partition and place in it."""
-    numbered = "uid" in rows.columns
     rows = rows.select("vec_id", "label", "v", "uid") if numbered else rows.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.where("label is not null and v is not null").repartitionByRange(parts, "label", F.xxhash64("vec_id", "v")).sortWithinPartitions("label")
 
@@ -325,7 +324,7 @@ def mine(rows: DataFrame, every: int = 50, positives: int = 5, negatives: int =
     row_blocks = blocks(rows, max(1, -(-rows.count() // ROWS)), ROWS)
     chosen = stored(anchors_of(row_blocks, every))
     parts = max(1, -(-chosen.count() // ANCHORS))
-    anchor_blocks = blocks(chosen, parts, ANCHORS)
+    anchor_blocks = blocks(chosen, parts, ANCHORS, numbered=True)
     near = stored(find_positives(row_blocks, anchor_blocks, positives))
     far = find_negatives(row_blocks, anchor_blocks, parts, near, least, greatest, negatives)
     named = chosen.select("uid", F.col("vec_id").alias("anchor_id"))
