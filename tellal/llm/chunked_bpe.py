@@ -27,8 +27,9 @@ import uuid
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
+from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -108,17 +109,26 @@ class Ranks:
         return out
 
 
+class Piece(NamedTuple):
+    """The tokens of a pre-token, how many they are, their decimals with a space behind each, and their bytes."""
+
+    ids: list[int]
+    n: int
+    decimals: str
+    data: bytes
+
+
 class Known(dict):
-    """Pre-token to its tokens, their decimals with spaces between, and their bytes; starts anew when full."""
+    """Pre-token to Piece; starts anew when full."""
 
     def __init__(self, ranks: Ranks):
         self.ranks = ranks
 
-    def __missing__(self, piece: str) -> tuple[list[int], str, bytes]:
+    def __missing__(self, piece: str) -> Piece:
         if len(self) >= REMEMBERED:
             self.clear()
         ids = self.ranks.merge(piece.encode())
-        out = ids, " ".join(map(str, ids)), b"".join(map(self.ranks.bytes_of.__getitem__, ids))
+        out = Piece(ids, len(ids), "".join([f"{i} " for i in ids]), b"".join(map(self.ranks.bytes_of.__getitem__, ids)))
         if len(piece) <= 64:
             self[piece] = out
         return out
@@ -146,23 +156,29 @@ def cut(text: str) -> Iterator[tuple[int, int, int, str]]:
         begin, head = after, min(stop, len(text)) - after
 
 
-def sure_pieces(text: str, begin: int = 0) -> Iterator[tuple[int, str]]:
-    """Pre-tokens from a place on with their places, as far as what may follow the text cannot change them."""
-    for m in SPLIT.finditer(text, begin):
-        if m.end() + MARGIN > len(text):
-            return
-        yield m.start(), m[0]
+def sure_pieces(text: str) -> tuple[list[str], int]:
+    """The pre-tokens of a text's beginning that nothing behind the text can change, and where they end."""
+    pieces, end = SPLIT.findall(text), len(text)
+    while pieces and end + MARGIN > len(text):
+        end -= len(pieces.pop())
+    return pieces, end
 
 
-def chunk_pieces(text: str, core: int) -> tuple[list[tuple[int, str]], int]:
+def chunk_pieces(text: str, core: int) -> tuple[list[str], int]:
     """A chunk's pre-tokens up to where the next chunk takes over, and that place (-1: no next chunk)."""
     if core < 0:
-        return [(m.start(), m[0]) for m in SPLIT.finditer(text)], -1
-    mine = list(sure_pieces(text))
-    ends = {at + len(piece) for at, piece in mine} | {0}
-    theirs = [core, *(at + len(piece) for at, piece in sure_pieces(text, core))]
-    over = next(at for at in theirs if at in ends)
-    return [(at, piece) for at, piece in mine if at < over], over
+        return SPLIT.findall(text), -1
+    mine, end = sure_pieces(text)
+    theirs = {core + at for at in accumulate(map(len, sure_pieces(text[core:])[0]), initial=0)}
+    # both readings agree behind the first boundary that they share, so going back they agree down to it
+    over, kept = -1, len(mine)
+    for k in range(len(mine), -1, -1):
+        if end in theirs:
+            over, kept = end, k
+        if end <= core:
+            break
+        end -= len(mine[k - 1])
+    return mine[:kept], over
 
 
 def chunks_of(docs: DataFrame) -> DataFrame:
@@ -201,16 +217,13 @@ def encode_chunks(chunks: DataFrame, path: str) -> DataFrame:
             out = {k: [] for k in ("next", "starts", "before", "ids")}
             for begin, head, core, text in zip(*(batch.column(c).to_pylist() for c in ("begin", "head", "core", "text"))):
                 pieces, over = chunk_pieces(text, core)
-                ids, starts, before = array("i"), [0], [0]
-                for at, piece in pieces:
-                    ids.extend(known[piece][0])
-                    if (end := at + len(piece)) <= head:
-                        starts.append(end)
-                        before.append(len(ids))
+                found = [known[piece].ids for piece in pieces]
+                starts = [at for at in accumulate(map(len, pieces[:head]), initial=0) if at <= head]
+                before = [*accumulate(map(len, found[: len(starts) - 1]), initial=0)]
                 out["next"].append(begin + over if over >= 0 else -1)
                 out["starts"].append(starts)
                 out["before"].append(before)
-                out["ids"].append(np.frombuffer(ids, np.int32))
+                out["ids"].append(array("i", chain.from_iterable(found)))
             lists = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("document", "doc_id", "number", "begin")), pa.array(out["next"], pa.int64()), *(pa.array(out[c], lists) for c in ("starts", "before", "ids"))],
@@ -276,10 +289,10 @@ def encode_whole(docs: DataFrame, path: str, keep_ids: bool) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                found = [known[piece] for _, piece in chunk_pieces(text or "", -1)[0]]
-                ids_sha = hashlib.sha256(" ".join([f[1] for f in found]).encode()).hexdigest()
-                text_sha = hashlib.sha256(b"".join([f[2] for f in found])).hexdigest()
-                rows.append((doc_id, sum([len(f[0]) for f in found]), ids_sha, text_sha, *([[i for f in found for i in f[0]]] if keep_ids else [])))
+                found = [known[piece] for piece in chunk_pieces(text or "", -1)[0]]
+                ids, n, decimals, data = zip(*found) if found else ((), (), (), ())
+                shas = hashlib.sha256("".join(decimals)[:-1].encode()).hexdigest(), hashlib.sha256(b"".join(data)).hexdigest()
+                rows.append((doc_id, sum(n), *shas, *([[*chain.from_iterable(ids)]] if keep_ids else [])))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
     return in_batches(docs, run, ddl)

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -136,9 +137,10 @@ def stitched(text):
     ranks, out, entry, most = chunked_bpe.load(chunked_bpe.default_path()), [], 0, 0
     for begin, head, core, part in chunked_bpe.cut(text):
         pieces, over = chunked_bpe.chunk_pieces(part, core)
-        assert all(part.startswith(piece, at) for at, piece in pieces)
-        out += [i for at, piece in pieces if begin + at >= entry for i in ranks.merge(piece.encode())]
-        assert entry == begin or any(begin + at + len(piece) == entry <= begin + head for at, piece in pieces)
+        assert "".join(pieces) == (part[:over] if core >= 0 else part)
+        places = [*itertools.accumulate(map(len, pieces), initial=begin)]
+        out += [i for at, piece in zip(places, pieces) if at >= entry for i in ranks.merge(piece.encode())]
+        assert entry in places and entry <= begin + head
         entry, most = begin + over, max(most, len(part))
     return out, most
 
