@@ -26,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +36,8 @@ ROWS, ANCHORS, COMPONENTS = 8192, 2048, 1 << 22
 #: Dimensions that are read between two looks at the bounds.
 STEP = 8
 SCALE = 256
-#: Bits of a block's number that count within a partition.
-PART = 24
+#: Bits of a block's number that count within its part, and of a row's that count within its block.
+PART, ROWS_BITS = 24, 13
 BLOCK = "block long, n int, dims int, kinds array<long>, labels binary, ids binary, uids binary, data binary, wide int"
 NO_ID = np.iinfo(np.int64).max
 
@@ -81,31 +80,49 @@ def packed_rows(frames: list[tuple[np.ndarray, ...]], dims: int, block: int) ->
     order = np.lexsort((uids, ids, labels))
     most = int(np.abs(x).max(initial=0))
     wide = 2 if most < 1 << 15 else 4 if most < 1 << 31 else 8
-    uids = uids if len(uids) and uids[0] >= 0 else block * ROWS + np.arange(len(ids))[np.argsort(order)]
+    uids = uids if len(uids) and uids[0] >= 0 else (block << ROWS_BITS) + np.arange(len(ids))[np.argsort(order)]
     return dict(block=block, n=len(ids), dims=dims, kinds=np.unique(labels), labels=labels[order].tobytes(), ids=ids[order].tobytes(), uids=uids[order].tobytes(), data=x[order].T.astype(f"i{wide}").tobytes(), wide=wide)
 
 
 BLOCK_ARROW = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("dims", pa.int32()), ("kinds", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("labels", "ids", "uids", "data")), ("wide", pa.int32())])
 
 
-def blocks(rows: DataFrame, parts: int, most: int, numbered: bool = False) -> DataFrame:
-    """rows in blocks of at most ``most``, cut off from their lineage: vec_id, label and embedding, or, if
-    they are numbered, uid, vec_id, label and v, whole components. Blocks are made of one label or neighbouring ones and numbered
-    by partition and place in it."""
-    rows = rows.select("vec_id", "label", "v", "uid") if numbered else rows.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
-    rows = rows.where("label is not null and v is not null").repartitionByRange(parts, "label", F.xxhash64("vec_id", "v")).sortWithinPartitions("label")
+def row_blocks_of(rows: DataFrame) -> DataFrame:
+    """rows (vec_id, label, embedding) in blocks, cut off from their lineage, of one label or neighbouring ones."""
+    parts = max(1, -(-rows.count() // ROWS))
+    rows = rows.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = rows.where("label is not null and v is not null").repartitionByRange(parts, "label", F.xxhash64("vec_id", "v"))
+    return blocks(rows.withColumn("part", F.spark_partition_id()), ROWS, numbered=False)
+
+
+def anchor_blocks_of(anchors: DataFrame) -> DataFrame:
+    """Anchors in blocks of their own, those of neighbouring blocks of rows together."""
+    parts = F.floor((F.shiftright("uid", PART + ROWS_BITS)) * ROWS / (ANCHORS * 50)).cast("int")
+    return blocks(anchors.withColumn("part", parts).repartition("part"), ANCHORS, numbered=True)
+
+
+def blocks(rows: DataFrame, most: int, numbered: bool) -> DataFrame:
+    """Blocks of at most ``most`` rows of one part, numbered by part and place in it. Numbered rows have a
+    uid and whole components, the others get both here."""
+    rows = rows.select("part", "vec_id", "label", "v", *["uid"] * numbered).sortWithinPartitions("part", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, made, frames, held, values = TaskContext.get().partitionId() << PART, 0, [], 0, 0
+        now, made, frames, held, values = None, 0, [], 0, 0
 
         def block() -> pa.RecordBatch:
             dims = max(int(np.diff(f[3]).max(initial=0)) for f in frames)
-            return pa.RecordBatch.from_pylist([packed_rows(frames, dims, first + made)], BLOCK_ARROW)
+            return pa.RecordBatch.from_pylist([packed_rows(frames, dims, (now << PART) + made)], BLOCK_ARROW)
 
         for batch in batches:
             k = 0
+            parts = batch.column("part").to_numpy()
             while k < batch.num_rows:
-                part = batch.slice(k, most - held)
+                if parts[k] != now:
+                    if held:
+                        yield block()
+                    now, made, frames, held, values = int(parts[k]), 0, [], 0, 0
+                end = int(np.searchsorted(parts, now, "right"))
+                part = batch.slice(k, min(most - held, end - k))
                 k += part.num_rows
                 v = part.column("v")
                 offsets, x = np.asarray(v.offsets), v.flatten().to_numpy(zero_copy_only=False)
@@ -249,7 +266,7 @@ def part_of(block: str) -> F.Column:
 def cells(row_blocks: DataFrame, anchor_blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs: block, part. Each block of rows beside each block of anchors of that part, as a struct, dealt
     by both: a row of the result is what one call of a scan holds."""
-    n = 4 * max(1, min(row_blocks.count() * anchor_blocks.count(), 5000))
+    n = 2 * max(1, min(row_blocks.count() * anchor_blocks.count(), 10_000))
     held = anchor_blocks.select(part_of("block").alias("part"), F.struct(*anchor_blocks.columns).alias("anchors"))
     left = row_blocks.join(pairs, "block").repartition(n, "block", "part")
     right = held.join(pairs, "part").repartition(n, "block", "part")
@@ -277,7 +294,7 @@ def find_positives(row_blocks: DataFrame, anchor_blocks: DataFrame, most: int) -
     return top.select("uid", (F.col("k") - 1).alias("k"), F.when(F.col("id") != NO_ID, F.col("id")).alias("positive_id"), F.col("score").alias("positive_score"))
 
 
-def find_negatives(row_blocks: DataFrame, anchor_blocks: DataFrame, parts: int, positives: DataFrame, least: int, greatest: int, most: int) -> DataFrame:
+def find_negatives(row_blocks: DataFrame, anchor_blocks: DataFrame, positives: DataFrame, least: int, greatest: int, most: int) -> DataFrame:
     """uid, k, negative_id, negative_score, rank of what lies between least and greatest hundredths of a positive's score."""
     held = positives.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("k", "positive_score"))).alias("p"))
     members = anchor_blocks.select("block", "uids")
@@ -310,7 +327,8 @@ def find_negatives(row_blocks: DataFrame, anchor_blocks: DataFrame, parts: int,
                 cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (cols[0], cols[1].astype(np.int32), cols[2], cols[3])], ["uid", "k", "id", "score"])
 
-    pairs = row_blocks.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    parts = anchor_blocks.agg(F.max(part_of("block"))).first()[0] or 0
+    pairs = row_blocks.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts).cast("long"))).alias("part"))
     found = in_batches(cells(row_blocks, with_windows, pairs), run, "uid long, k int, id long, score long")
     order = Window.partitionBy("uid", "k").orderBy(F.desc("score"), "id")
     top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
@@ -321,11 +339,10 @@ def mine(rows: DataFrame, every: int = 50, positives: int = 5, negatives: int =
     """rows: vec_id, label, embedding. For each row whose vec_id is divisible by
     ``every`` and each of its first ``positives`` rows of the same label, the first ``negatives`` rows of
     other labels whose score is between least and greatest hundredths of the positive's."""
-    row_blocks = blocks(rows, max(1, -(-rows.count() // ROWS)), ROWS)
+    row_blocks = row_blocks_of(rows)
     chosen = stored(anchors_of(row_blocks, every))
-    parts = max(1, -(-chosen.count() // ANCHORS))
-    anchor_blocks = blocks(chosen, parts, ANCHORS, numbered=True)
+    anchor_blocks = anchor_blocks_of(chosen)
     near = stored(find_positives(row_blocks, anchor_blocks, positives))
-    far = find_negatives(row_blocks, anchor_blocks, parts, near, least, greatest, negatives)
+    far = find_negatives(row_blocks, anchor_blocks, near, least, greatest, negatives)
     named = chosen.select("uid", F.col("vec_id").alias("anchor_id"))
     return far.join(near, ["uid", "k"]).join(named, "uid").select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

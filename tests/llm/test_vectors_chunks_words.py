@@ -57,7 +57,7 @@ def vectors(seed, n=400, dims=12, labels=3):
     return [(int(k), [float(np.float32(x)) for x in rnd.normal(size=dims) * 0.2 + centres[c]], int(c)) for k, c in enumerate(label)]
 
 
-@pytest.mark.parametrize("rows,anchors,components", [(8192, 2048, 1 << 22), (17, 3, 100)])
+@pytest.mark.parametrize("rows,anchors,components", [(8192, 2048, 1 << 22), (64, 7, 300)])
 def test_negatives_are_those_of_all_pairs(spark, monkeypatch, rows, anchors, components):
     monkeypatch.setattr(hard_negatives, "ROWS", rows)
     monkeypatch.setattr(hard_negatives, "ANCHORS", anchors)
