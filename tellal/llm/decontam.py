@@ -4,8 +4,9 @@ An item of m characters, aligned with at most e edits, keeps m - q + 1 - q e of
 diagonals that are no more than e apart (the q-gram lemma). Shared q-grams of a document and an item
 are counted in overlapping bands of diagonals; a band that reaches the bound marks a region, and an
 alignment that keeps to the band decides it. Case and runs of white space do not count as
-differences. An item of more than ``LONG`` characters counts where an excerpt of it occurs: it is
-searched as overlapping segments, of which any stretch of ``LONG`` characters holds one.
+differences. An item counts where the whole of it occurs, however long it is. With ``excerpt`` given, a
+stretch of so many characters of any item is enough: an item is then searched as overlapping segments of
+two thirds of that, of which every such stretch holds one; shorter items as a whole.
 
 At most ``EDIT_RATE`` of an item's (or segment's) characters may differ, and no more than the lemma's
 bound allows: an item under two q-grams must occur as it is, as must one shorter than a q-gram. A
@@ -34,8 +35,6 @@ from .winnow import code_points, gram_hashes
 Q = 8
 #: Edits allowed per character of an item.
 EDIT_RATE = 0.08
-#: Items of more characters are searched as segments of SEGMENT characters, STRIDE apart.
-LONG, SEGMENT, STRIDE = 600, 400, 200
 #: Characters of benchmark text that go to the tasks at once; a larger benchmark goes in blocks.
 BLOCK_CHARS = 2_000_000
 #: A first look-up in a bit table of 2 ** TABLE_BITS entries.
@@ -70,9 +69,10 @@ class Items:
 
     ids: list[int]
     points: list[np.ndarray]
+    excerpt: int | None = None
 
     def __post_init__(self):
-        cut = [(k, part) for k, p in enumerate(self.points) for part in segments(p)]
+        cut = [(k, part) for k, p in enumerate(self.points) for part in segments(p, self.excerpt)]
         #: Of each pattern, the number of its item.
         self.of = [k for k, _ in cut]
         self.points = [part for _, part in cut]
@@ -159,11 +159,13 @@ class Items:
         return [(self.ids[k], int(where[a]), int(where[b - 1]) + 1, e) for k, (a, b, e) in sorted(best.items()) if b > a]
 
 
-def segments(points: np.ndarray) -> list[np.ndarray]:
-    """An item's patterns: itself, or of a long one its segments, the last one up to its end."""
-    if len(points) <= LONG:
+def segments(points: np.ndarray, excerpt: int | None = None) -> list[np.ndarray]:
+    """An item's patterns: itself, or, where excerpts count, its segments, the last one up to its end."""
+    if not excerpt or len(points) <= excerpt:
         return [points] if len(points) else []
-    return [points[k : k + SEGMENT] for k in [*range(0, len(points) - SEGMENT, STRIDE), len(points) - SEGMENT]]
+    stride = excerpt // 3 or 1
+    size = max(1, excerpt - stride)
+    return [points[k : k + size] for k in [*range(0, len(points) - size, stride), len(points) - size]]
 
 
 def place_of(pattern: np.ndarray, points: np.ndarray) -> int:
@@ -229,8 +231,8 @@ def item_blocks(benchmark: DataFrame) -> tuple[int, Callable[[int], tuple[list[i
     return blocks, fetch
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, begin, end and edits of every item that a document holds. One pass for each
+def find_leaks(docs: DataFrame, benchmark: DataFrame, excerpt: int | None = None) -> DataFrame:
+    """doc_id, item_id, begin, end and edits of every item, or excerpt of one, that a document holds. One pass for each
     block of the benchmark; the result of one is written before the next is fetched, so that the
     driver holds one block."""
     docs = texts(docs)
@@ -238,7 +240,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def search(ids: list[int], points: list[np.ndarray]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = Items(ids, points)
+            items = Items(ids, points, excerpt)
             for batch in batches:
                 rows = [(doc, *m) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for m in items.matches(text)]
                 types = [pa.int64()] * 4 + [pa.int32()]
@@ -251,13 +253,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, excerpt: int | None = None) -> DataFrame:
+    """The documents that hold no benchmark item, or excerpt of one, with all their columns."""
     text_at, schema = docs.columns.index("text"), docs.schema
 
     def without(docs: DataFrame, ids: list[int], points: list[np.ndarray]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = Items(ids, points)
+            items = Items(ids, points, excerpt)
             for batch in batches:
                 clean = [not items.matches(text) for text in batch.column(text_at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))

@@ -4,9 +4,8 @@ A known word scores its log frequency in each language. An unseen word is cut in
 n-grams the model knows, ``LONGEST`` characters first, shorter ones where those are unknown. The
 sum over a text, made a posterior, gives language and score.
 
-A model is fitted on a bounded sample: about ``SAMPLE`` documents of each of the ``MOST_LANGUAGES``
-languages that most documents have, of a longer one a slice of ``SAMPLE_CHARS`` characters from
-somewhere in it; only languages that the sample holds countable units of are ever predicted.
+A model is fitted on a bounded sample: about ``SAMPLE`` documents of each language that any document
+has, of a longer one a slice of ``SAMPLE_CHARS`` characters from somewhere in it; only languages that the sample holds countable units of are ever predicted.
 Prediction reads every whole text, however long, without a shuffle. Text that is null or holds no
 letter (digits, fractions and Roman numeral signs are none) is ``und`` with score 0, and so is every
 text if no language was learned. Ties go to the language that sorts first. Repeated rows are
@@ -30,7 +29,6 @@ from .common import in_batches, texts, with_fields
 
 SAMPLE = 500
 SAMPLE_CHARS = 20_000
-MOST_LANGUAGES = 500
 LONGEST = 5
 #: A word or n-gram must occur so often in the sample to be known.
 LEAST = 3
@@ -57,7 +55,7 @@ def counted(units: DataFrame, key: str) -> DataFrame:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """docs: doc_id, text, lang."""
     known = docs.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return LanguageModel([], {}, {}, np.zeros((0, 0)), np.zeros((0, 0)))
     million = 1_000_000
@@ -66,7 +64,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     begin = F.pmod(F.col("h"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
     some = some.select("lang", F.substring(F.col("text"), begin, F.lit(SAMPLE_CHARS)).alias("text"))
     words = some.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    words = words.where(F.length("word") <= 64).persist()
+    words = words.persist()
     marked = words.withColumn("w", F.concat(F.lit(" "), F.col("word"), F.lit(" ")))
     cut = F.expr(f"flatten(transform(sequence(1, {LONGEST}), k -> transform(sequence(1, greatest(length(w) - k + 1, 1)), p -> substring(w, p, k))))")
     grams = counted(marked.select("lang", "n", F.explode(cut).alias("gram")), "gram")

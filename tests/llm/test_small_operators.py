@@ -548,11 +548,28 @@ def test_leaks_are_exactly_what_edit_distances_say(spark):
     assert clean.columns == rows.columns and {r.doc_id for r in clean.collect()} == set(range(len(docs))) - {d for d, _ in expected}
 
 
-def test_an_excerpt_of_a_long_item_counts_and_of_a_short_one_does_not(spark):
+@pytest.mark.parametrize("n", [300, 598, 599, 600, 601, 602, 1200, 4000])
+def test_one_rule_for_items_of_every_length(spark, n):
+    rnd = random.Random(n)
+    item = "".join(rnd.choice("abcdefghij klmnop") for _ in range(n)).strip("  ")
+    item = " ".join(item.split())
+    s = list(item)
+    for k in rnd.sample(range(len(s)), decontam.allowed(len(s)) // 2):
+        s[k] = "z"
+    rows = [(1, f"before {item} after"), (2, "before " + item[: 3 * len(item) // 4] + " after"), (3, item[len(item) // 4 :].upper()), (4, "x " + "".join(s) + " y"), (5, "")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontam.find_leaks(docs, bench).collect()) == [1, 4]
+    for excerpt, expected in ((n // 2, [1, 2, 3, 4]), (n, [1, 4]), (10 * n, [1, 4])):
+        assert sorted(r.doc_id for r in decontam.find_leaks(docs, bench, excerpt).collect()) == expected
+        assert sorted(r.doc_id for r in decontam.drop_leaks(docs, bench, excerpt).collect()) == [d for d in range(1, 6) if d not in expected]
+
+
+def test_an_excerpt_counts_where_it_is_asked_for(spark):
     rnd = random.Random(17)
     words = ["river", "bridge", "harbour", "council", "winter", "paper", "letter", "seven", "green", "market"]
     long, short = (" ".join(rnd.choice(words) + str(rnd.randrange(100)) for _ in range(n)) for n in (260, 40))
-    rows = [(1, "before " + long[300:900] + " after"), (2, long[: decontam.LONG // 2]), (3, short[: len(short) // 2]), (4, "x " + long.upper()), (5, " ".join(words) + "\n" + short), (6, "very long " * 200_000 + short)]
+    rows = [(1, "before " + long[300:900] + " after"), (2, long[:300]), (3, short[: len(short) // 2]), (4, "x " + long.upper()), (5, " ".join(words) + "\n" + short), (6, "very long " * 200_000 + short)]
     bench = spark.createDataFrame([(1, long), (2, short), (3, None)], "item_id long, text string")
     docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string")
-    assert sorted((r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()) == [(1, 1), (1, 1), (4, 1), (5, 2), (6, 2)]
+    assert sorted((r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench, 600).collect()) == [(1, 1), (1, 1), (4, 1), (5, 2), (6, 2)]
+    assert sorted((r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()) == [(4, 1), (5, 2), (6, 2)]
