@@ -46,7 +46,7 @@ def by_name(name: str = "province_name") -> Column:
 
 
 def point_order(points: DataFrame) -> list[Column | str]:
-    place = [scope_order(), by_name()] if "province_scope" in points.columns else []
+    place = [scope_order(), by_name(), "province_code"] if "province_scope" in points.columns else []
     return ["event_type", "metric_type", *place, "occurred_on"]
 
 
@@ -91,7 +91,7 @@ def summary(star: Star, query: AnalyticsQuery = AnalyticsQuery()) -> DataFrame:
 
 
 def summary_order() -> list[Column]:
-    return [F.when(F.col("level") == "TOTAL", 1).otherwise(0), F.col("event_type").asc_nulls_last(), F.when(F.col("level") == "BREAKDOWN", 0).otherwise(1), scope_order(), by_name()]
+    return [F.when(F.col("level") == "TOTAL", 1).otherwise(0), F.col("event_type").asc_nulls_last(), F.when(F.col("level") == "BREAKDOWN", 0).otherwise(1), scope_order(), by_name(), F.col("province_code")]
 
 
 def summary_in_order(rows: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def summary_blocks(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """One row per event type: its own total (never the sum of its rows), its rows, and its metric
     keys in catalog order, unknown ones after them by name. catalog: event_type, metric_type, metric_ord."""
     parts = rows.where("level = 'BREAKDOWN'").groupBy("event_type").agg(
-        F.array_sort(F.collect_list(F.struct(scope_order().alias("o"), "province_name", "province_code", "province_scope", "incident_count"))).alias("rows"),
+        F.array_sort(F.collect_list(F.struct(scope_order().alias("o"), F.col("province_name").isNull().alias("nameless"), F.expr("collate(province_name, 'tr')").alias("name"), "province_code", "province_scope", "incident_count", "province_name"))).alias("rows"),
         F.array_distinct(F.flatten(F.collect_list(F.map_keys("metrics")))).alias("keys"),
     )
     ranked = (

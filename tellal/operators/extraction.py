@@ -108,27 +108,52 @@ def event_types() -> Column:
     )
 
 
+def rank(keys: str, points: str, equal: bool = False) -> str:
+    """SQL for how many of the points are less than (or equal to) each of the ascending keys: both are
+    sorted together, and a key's place there, less the keys before it, is its rank."""
+    key, point = (1, 0) if equal else (0, 1)
+    both = f"sort_array(concat(transform({keys}, (a, i) -> named_struct('at', a, 'side', {key}, 'i', i)), transform({points}, a -> named_struct('at', a, 'side', {point}, 'i', -1))))"
+    return f"transform(filter(transform({both}, (y, j) -> named_struct('i', y.i, 'j', j)), y -> y.i >= 0), (y, i) -> y.j - i)"
+
+
+def given_once(values: dict[str, str], body: str, name: str = "w") -> str:
+    """SQL for the body, in which name.x is the value of x. Each is evaluated once a row, also where the body
+    looks into it from a lambda; a column would be put in its place there and evaluated once an element."""
+    struct = ", ".join(f"'{k}', {v}" for k, v in values.items())
+    return f"element_at(transform(array(named_struct({struct})), {name} -> {body}), 1)"
+
+
 def understood(scanned: DataFrame) -> DataFrame:
     """Adds the date, provinces, event types, countable numbers and their attributions to scanned rows."""
     rows = scanned.withColumn("dates", date_mentions()).withColumn("types", event_types()).withColumn("provs", of_kind("PROVINCE")).withColumn("markers", of_kind("MARKER"))
     rows = rows.withColumn("day", F.expr("coalesce(try_element_at(filter(dates, d -> d.source = 'EXPLICIT'), 1), try_element_at(dates, 1))"))
     rows = rows.withColumn("codes", F.expr("array_distinct(transform(provs, p -> cast(p.detail as smallint)))"))
-    overlap = "n.begin < s.end and s.begin < n.end"
-    rows = rows.withColumn("countable", F.expr(f"filter(numbers, n -> not exists(dates, s -> {overlap}) and not exists(markers, s -> {overlap}))"))
-    sentence = "coalesce(try_element_at(filter(sentences, s -> n.begin >= s.begin and n.begin < s.end), 1), named_struct('begin', 0, 'end', greatest(1, length(value))))"
-    rows = rows.withColumn("placed", F.expr(f"transform(countable, (n, k) -> named_struct('n', n, 'pos', k, 'fits', n.value between -2147483648 and 2147483647, 's', {sentence}))"))
-    inside = "h.begin >= x.s.begin and h.begin < x.s.end"
-    own = f"filter(hits, h -> h.kind = 'METRIC' and h.key = t.key and {inside})"
+    # as-of look-ups on sorted spans: what stands before a number is found by its rank, not by a search
+    covers = "concat(transform(dates, s -> named_struct('begin', s.begin, 'end', s.end)), transform(markers, s -> named_struct('begin', s.begin, 'end', s.end)))"
+    free = given_once({"opened": rank("transform(v.n, n -> n.end)", "transform(v.c, s -> s.begin)"), "closed": rank("transform(v.n, n -> n.begin)", "transform(v.c, s -> s.end)", equal=True)}, "filter(v.n, (n, k) -> w.opened[k] = w.closed[k])")
+    rows = rows.withColumn("countable", F.expr(given_once({"n": "numbers", "c": covers}, free, "v")))
+    whole = "named_struct('begin', 0, 'end', greatest(1, length(value)))"
+    sentence = f"if(w.within[k] > 0 and n.begin < w.s[w.within[k] - 1].end, w.s[w.within[k] - 1], {whole})"
+    placed = f"transform(w.n, (n, k) -> named_struct('n', n, 'pos', k, 'fits', n.value between -2147483648 and 2147483647, 's', {sentence}))"
+    within = rank("transform(countable, n -> n.begin)", "transform(sentences, s -> s.begin)", equal=True)
+    rows = rows.withColumn("placed", F.expr(given_once({"n": "countable", "s": "sentences", "within": within}, placed)))
     hit = "named_struct('begin', h.begin, 'ord', {o}h.ord, 'metric', h.detail, 'raw', h.raw, 'char_start', h.char_start, 'char_end', h.char_end)"
-    after = f"array_min(transform(filter({own}, h -> h.begin >= x.n.end), h -> {hit.format(o='')}))"
-    before = f"array_max(transform(filter({own}, h -> h.begin < x.n.begin), h -> {hit.format(o='-')}))"
-    rows = rows.withColumn("linked", F.expr(f"transform(placed, x -> named_struct('x', x, 'm', try_element_at(filter(transform(types, t -> named_struct('type', t.key, 'hit', coalesce({after}, {before}))), c -> c.hit is not null), 1)))"))
-    here = "filter(provs, p -> p.begin >= l.x.s.begin and p.begin < l.x.s.end)"
-    owner = f"coalesce(try_element_at(filter({here}, p -> p.begin < l.x.n.begin), -1), try_element_at({here}, 1)).detail"
-    shared = "size(codes) > 1 and exists(markers, m -> m.begin >= l.x.s.begin and m.end <= l.x.s.end)"
-    code = f"cast(CASE WHEN {shared} THEN null WHEN size({here}) > 0 THEN {owner} WHEN size(codes) = 1 THEN codes[0] END as smallint)"
+    own = "filter(hits, h -> h.kind = 'METRIC' and h.key = t.key)"
+    ordered = f"transform(types, t -> named_struct('type', t.key, 'next', sort_array(transform({own}, h -> {hit.format(o='')})), 'last', sort_array(transform({own}, h -> {hit.format(o='-')}))))"
+    later, earlier = rank("transform(v.p, x -> x.n.end)", "transform(m.next, h -> h.begin)"), rank("transform(v.p, x -> x.n.begin)", "transform(m.last, h -> h.begin)")
+    ranked = f"transform(v.m, m -> named_struct('type', m.type, 'next', m.next, 'last', m.last, 'later', {later}, 'earlier', {earlier}))"
+    after = "if(m.later[k] < size(m.next) and m.next[m.later[k]].begin < x.s.end, m.next[m.later[k]], null)"
+    before = "if(m.earlier[k] > 0 and m.last[m.earlier[k] - 1].begin >= x.s.begin, m.last[m.earlier[k] - 1], null)"
+    linked = f"transform(v.p, (x, k) -> named_struct('x', x, 'm', try_element_at(filter(transform(w.m, m -> named_struct('type', m.type, 'hit', coalesce({after}, {before}))), c -> c.hit is not null), 1)))"
+    rows = rows.withColumn("linked", F.expr(given_once({"p": "placed", "m": ordered}, given_once({"m": ranked}, linked), "v")))
+    previous = "if(w.before[k] > 0 and v.p[w.before[k] - 1].begin >= l.x.s.begin, v.p[w.before[k] - 1].detail, null)"
+    following = "if(w.before[k] < size(v.p) and v.p[w.before[k]].begin < l.x.s.end, v.p[w.before[k]].detail, null)"
+    shared = "size(v.codes) > 1 and w.marked[k] < size(v.m) and coalesce(try_element_at(v.m, w.marked[k] + 1).end <= l.x.s.end, false)"
+    code = f"cast(CASE WHEN {shared} THEN null ELSE coalesce({previous}, {following}, if(size(v.codes) = 1, cast(v.codes[0] as string), null)) END as smallint)"
     made = f"named_struct('pos', l.x.pos, 'type', l.m.type, 'shared', {shared}, 'code', {code}, 'fits', l.x.fits, 'value', l.x.n.value, 'metric', l.m.hit.metric, 'raw', l.m.hit.raw, 'char_start', l.m.hit.char_start, 'char_end', l.m.hit.char_end)"
-    rows = rows.withColumn("given", F.expr(f"transform(filter(linked, l -> l.m is not null), l -> {made})"))
+    ranked = {"before": rank("transform(v.l, l -> l.x.n.begin)", "transform(v.p, p -> p.begin)"), "marked": rank("transform(v.l, l -> l.x.s.begin)", "transform(v.m, m -> m.begin)")}
+    given = given_once(ranked, f"filter(transform(v.l, (l, k) -> if(l.m is null, null, {made})), g -> g is not null)")
+    rows = rows.withColumn("given", F.expr(given_once({"l": "linked", "p": "sort_array(provs)", "m": "sort_array(markers)", "codes": "codes"}, given, "v")))
     sole = "if(size(codes) = 1, codes[0], cast(null as smallint))"
     bare = f"named_struct('pos', size(numbers) + k, 'type', t, 'shared', false, 'code', {sole}, 'fits', false, 'value', 0L, 'metric', cast(null as string), 'raw', cast(null as string), 'char_start', cast(null as int), 'char_end', cast(null as int))"
     silent = f"transform(array_except(transform(types, t -> t.key), transform(given, g -> g.type)), (t, k) -> {bare})"
@@ -145,15 +170,16 @@ def records(rows: DataFrame) -> DataFrame:
     key = "named_struct('type', x.type, 'shared', x.shared, 'code', x.code)"
     same = "x.type = k.type and x.shared = k.shared and x.code <=> k.code"
     counted = "filter(given, x -> %s and x.fits and x.metric is not null)" % same
-    metrics = f"transform(array_distinct(transform({counted}, x -> x.metric)), m -> named_struct('metric_type', m, 'metric_value', aggregate(filter({counted}, x -> x.metric = m), 0L, (n, x) -> n + x.value)))"
+    metrics = "transform(array_distinct(transform(w.c, x -> x.metric)), m -> named_struct('metric_type', m, 'metric_value', aggregate(filter(w.c, x -> x.metric = m), 0L, (n, x) -> n + x.value)))"
     word = "named_struct('keyword', {x}.raw, 'role', '{r}', 'char_start', {x}.char_start, 'char_end', {x}.char_end)"
     evidence = [
-        f"transform({counted}, x -> {word.format(x='x', r='METRIC')})",
+        f"transform(w.c, x -> {word.format(x='x', r='METRIC')})",
         f"if(day is null, cast(array() as array<{KEYWORD}>), array({word.format(x='day', r='DATE')}))",
         f"transform(filter(provs, p -> k.shared or cast(p.detail as smallint) = k.code), p -> {word.format(x='p', r='PROVINCE')})",
         f"transform(filter(hits, h -> h.kind = 'EVENT_TYPE' and h.key = k.type), h -> {word.format(x='h', r='EVENT_TYPE')})",
     ]
-    made = f"transform(array_distinct(transform(given, x -> {key})), (k, i) -> named_struct('ordinal', i, 'k', k, 'metrics', {metrics}, 'keywords', concat({', '.join(evidence)})))"
+    body = given_once({"c": counted}, f"named_struct('ordinal', i, 'k', k, 'metrics', {metrics}, 'keywords', concat({', '.join(evidence)}))")
+    made = f"transform(array_distinct(transform(given, x -> {key})), (k, i) -> {body})"
     few = rows.where("failure_reason is null").select("raw_report_id", "ref_date", "day", "codes", F.size("types").alias("n_types"), F.expr(made).alias("made"))
     each = few.select("raw_report_id", "ref_date", "day", "codes", "n_types", F.explode("made").alias("r"))
     return each.select(

@@ -140,7 +140,7 @@ from c left join m on c.level = m.level and c.event_type is not distinct from m.
     ),
     "series_line_keys": (
         lambda s: analytics.time_series(s, grouping=BY_PROVINCE).select("occurred_on", analytics.line_key().alias("line"), analytics.province_label().alias("label"), "value"),
-        STAR + ALL + "select occurred_on, event_type || '|' || metric_type || '|' || coalesce(cast(province_code as varchar), province_scope) as line, case province_scope when 'SINGLE' then name when 'SHARED' then 'shared' else 'unknown' end as label, cast(sum(metric_value) as bigint) as value from i join incident_metric on incident_id = id left join province on code = province_code group by occurred_on, event_type, metric_type, province_code, province_scope, name",
+        STAR + ALL + "select occurred_on, event_type || '|' || metric_type || '|' || coalesce(cast(province_code as varchar), province_scope) as line, case province_scope when 'SINGLE' then coalesce(name, 'unknown') when 'SHARED' then 'shared' else 'unknown' end as label, cast(sum(metric_value) as bigint) as value from i join incident_metric on incident_id = id left join province on code = province_code group by occurred_on, event_type, metric_type, province_code, province_scope, name",
     ),
     "series_nested": (
         lambda s: analytics.nested_series(analytics.time_series(s)).select("event_type", "metric_type", F.size("points").cast("long").alias("n_points"), F.expr("points[0].occurred_on").alias("first_day"), F.expr("points[0].value").alias("first_value")),
@@ -167,12 +167,12 @@ from c left join m on c.level = m.level and c.event_type is not distinct from m.
         STAR + ALL + "select raw_report_id, analyzed_at, count(*) over () as total_elements, cast(ceil(count(*) over () / 10.0) as bigint) as total_pages from result where status = 'FAILED' order by analyzed_at desc, raw_report_id limit 10 offset 10",
     ),
     "series_in_order": (
-        lambda s: (lambda p: analytics.numbered(p, analytics.point_order(p)))(analytics.time_series(s, AnalyticsQuery(date_to=TO), BY_PROVINCE).where("province_code is null or province_code <= 25")),
-        f"select *, row_number() over (order by event_type, metric_type, case province_scope when 'SINGLE' then 0 when 'SHARED' then 1 else 2 end, province_name nulls last, occurred_on)::int as position from ({series_sql(f"occurred_on <= date '{TO}'", place=True)}) where province_code is null or province_code <= 25",
+        lambda s: (lambda p: analytics.numbered(p, analytics.point_order(p)))(analytics.time_series(s, AnalyticsQuery(date_to=TO), BY_PROVINCE)),
+        f"select *, row_number() over (order by event_type, metric_type, case province_scope when 'SINGLE' then 0 when 'SHARED' then 1 else 2 end, province_name nulls last, province_code, occurred_on)::int as position from ({series_sql(f"occurred_on <= date '{TO}'", place=True)})",
     ),
     "summary_in_order": (
-        lambda s: analytics.numbered(analytics.summary_counts(s).where("province_code is null or province_code <= 25"), analytics.summary_order()),
-        f"select *, row_number() over (order by level = 'TOTAL', event_type nulls last, level <> 'BREAKDOWN', case province_scope when 'SINGLE' then 0 when 'SHARED' then 1 else 2 end, province_name nulls last)::int as position from ({counts_sql()}) where province_code is null or province_code <= 25",
+        lambda s: analytics.numbered(analytics.summary_counts(s), analytics.summary_order()),
+        f"select *, row_number() over (order by level = 'TOTAL', event_type nulls last, level <> 'BREAKDOWN', case province_scope when 'SINGLE' then 0 when 'SHARED' then 1 else 2 end, province_name nulls last, province_code)::int as position from ({counts_sql()})",
     ),
     "summary_blocks": (
         lambda s: analytics.summary_blocks(analytics.summary(s, AnalyticsQuery(date_to=TO)), s.incident.select("event_type").distinct().select("event_type", F.lit("M_B").alias("metric_type"), F.lit(0).alias("metric_ord"))).select(
@@ -184,7 +184,7 @@ m as (select event_type, metric_type, sum(metric_value) as v from i join inciden
 select event_type, cast(sum(n) as bigint) as incident_count,
   (select string_agg(metric_type, ',' order by case metric_type when 'M_B' then 0 else 1 end, metric_type) from m where m.event_type = n.event_type) as columns,
   coalesce((select string_agg(metric_type || '=' || v, ',' order by metric_type) from m where m.event_type = n.event_type), '') as metrics,
-  string_agg(coalesce(cast(province_code as varchar), province_scope) || '=' || n, ',' order by case province_scope when 'SINGLE' then 0 when 'SHARED' then 1 else 2 end, name nulls first, province_code) as rows
+  string_agg(coalesce(cast(province_code as varchar), province_scope) || '=' || n, ',' order by case province_scope when 'SINGLE' then 0 when 'SHARED' then 1 else 2 end, name nulls last, province_code) as rows
 from n group by event_type""",
     ),
     "summary_total_metrics": (
@@ -403,11 +403,36 @@ def records_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RECORDS_SQL = """select cast(o_orderkey as bigint) as order_key, 0 as ordinal, cast(o_orderdate as date) as occurred_on, 'EXPLICIT' as date_source, 'SINGLE' as province_scope, cast(o_custkey % 81 + 1 as int) as province_code, 'EPIDEMIC' as event_type,
   case when o_orderkey * 100000 <= 2147483647 then 'NEW_CASE=' || (o_orderkey * 100000) else '' end as metrics, case when o_orderkey * 100000 <= 2147483647 then 4 else 3 end as n_keywords from orders"""
+
+
+def records_of_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a report of two sentences a line, each with a place and a figure of its own: what its
+    records hold follows from the lines."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").cast("int").alias("q"))
+    places = F.array(*map(F.lit, PROVINCES))
+    place = [F.element_at(places, (F.col(c) % 81 + 1).cast("int")) for c in ("l_suppkey", "l_linenumber")]
+    first = F.concat(place[0], F.lit("'da "), F.col("q").cast("string"), F.lit(" yeni vaka tespit edildi. "))
+    second = F.concat(place[1], F.lit("'da "), (F.col("l_linenumber") * 3).cast("string"), F.lit(" kişi hayatını kaybetti. "))
+    both = lines.select("l_orderkey", "l_linenumber", F.concat(first, second).alias("t"))
+    keyed = both.withColumn("id", F.col("l_orderkey").cast("string")).repartition(spark.sparkContext.defaultParallelism, "id")
+    texts = keyed.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "t"))), lambda x: x["t"]), "").alias("raw_text"))
+    found, _ = extraction.extract(texts.select(F.col("id").alias("raw_report_id"), "raw_text", F.lit(REF).cast("date").alias("ref_date")))
+    metric = F.expr("array_join(transform(array_sort(metrics), m -> concat(m.metric_type, '=', m.metric_value)), ',')")
+    return found.select("raw_report_id", "event_type", "date_source", "province_scope", F.col("province_code").cast("int").alias("province_code"), metric.alias("metrics"))
+
+
+SHIPMENTS_SQL = """with l as (select cast(l_orderkey as varchar) as id, * from lineitem),
+f as (
+  select id, l_suppkey % 81 + 1 as code, 'NEW_CASE' as metric, cast(l_quantity as int) as v from l
+  union all select id, l_linenumber % 81 + 1, 'DEATH', l_linenumber * 3 from l),
+s as (select id, code, metric, sum(v) as v from f group by all)
+select id as raw_report_id, 'EPIDEMIC' as event_type, 'DEFAULTED' as date_source, 'SINGLE' as province_scope, cast(code as int) as province_code, string_agg(metric || '=' || v, ',' order by metric) as metrics from s group by id, code"""
 DIGITS = r"[0-9]{1,3}(?:\.[0-9]{3})+|[0-9]+(?:,[0-9]+)?"
 TEXT_QUERIES = {
     "receipts": (receipts, RECEIPTS_SQL),
     "stream_ingest": (stream_ingest, STREAM_SQL),
     "records_of_orders": (records_of_orders, RECORDS_SQL),
+    "records_of_shipments": (records_of_shipments, SHIPMENTS_SQL),
     "raw_reports_page": (
         lambda s, d: listing.with_totals(first_of_each(hashed(_submitted(s, d))), Page(2, 20, (("submitted_at", False), ("raw_report_id", False)))).select("raw_report_id", "submitted_at", "total_elements", "total_pages"),
         "select lpad(cast(doc_id as varchar), 24, '0') as raw_report_id, make_timestamp(doc_id * 1000000) as submitted_at, count(*) over () as total_elements, cast(ceil(count(*) over () / 20.0) as bigint) as total_pages from (select min(doc_id) as doc_id from documents group by text) order by submitted_at desc limit 20 offset 40",

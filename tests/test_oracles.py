@@ -1,12 +1,12 @@
-"""Every registered analytics query against its SQL in DuckDB, on the small tables."""
+"""Every registered analytics query against its SQL in DuckDB, on tables with every kind of row."""
 
 import duckdb
 import pytest
 
 from tellal.plans import registry
 
-DATA = "/root/testdata/sf0.001"
-TABLES = ["nation", "events", "documents", "orders"]
+DATA = "/root/testdata/sf0.01"
+TABLES = ["nation", "events", "documents", "orders", "lineitem"]
 
 
 @pytest.fixture(scope="module")
