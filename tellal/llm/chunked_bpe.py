@@ -28,8 +28,10 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate, chain
+from operator import itemgetter
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -55,6 +57,19 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+class Strings:
+    """Byte strings by number, of which many are joined at once."""
+
+    def __init__(self, strings: list[bytes]):
+        self.all, self.size = np.frombuffer(b"".join(strings), np.uint8), np.array([*map(len, strings)], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+
+    def joined(self, numbers: np.ndarray) -> bytes:
+        size = self.size[numbers]
+        before = np.cumsum(size) - size
+        return self.all[np.repeat(self.begin[numbers] - before, size) + np.arange(size.sum())].tobytes()
+
+
 class Ranks:
     """A table of ranks: lines of a token in base 64 and its rank, which is its id."""
 
@@ -64,6 +79,8 @@ class Ranks:
             self.rank = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.bytes_of = {i: token for token, i in self.rank.items()}
         self.known = Known(self)
+        n = 1 + max(self.bytes_of, default=-1)
+        self.decimals, self.data = Strings([b"%d " % i for i in range(n)]), Strings([self.bytes_of.get(i, b"") for i in range(n)])
 
     def merge(self, piece: bytes) -> list[int]:
         """The tokens of one pre-token."""
@@ -118,6 +135,9 @@ class Piece(NamedTuple):
     data: bytes
 
 
+TOKENS = itemgetter(0)
+
+
 class Known(dict):
     """Pre-token to Piece; starts anew when full."""
 
@@ -217,7 +237,7 @@ def encode_chunks(chunks: DataFrame, path: str) -> DataFrame:
             out = {k: [] for k in ("next", "starts", "before", "ids")}
             for begin, head, core, text in zip(*(batch.column(c).to_pylist() for c in ("begin", "head", "core", "text"))):
                 pieces, over = chunk_pieces(text, core)
-                found = [known[piece].ids for piece in pieces]
+                found = [*map(TOKENS, map(known.__getitem__, pieces))]
                 starts = [at for at in accumulate(map(len, pieces[:head]), initial=0) if at <= head]
                 before = [*accumulate(map(len, found[: len(starts) - 1]), initial=0)]
                 out["next"].append(begin + over if over >= 0 else -1)
@@ -240,13 +260,13 @@ class Digests:
         self.ranks, self.n, self.ids_sha, self.text_sha = ranks, 0, hashlib.sha256(), hashlib.sha256()
         self.ids = array("i") if keep_ids else None
 
-    def add(self, ids: list[int]) -> None:
+    def add(self, ids: np.ndarray) -> None:
         if len(ids):
-            self.ids_sha.update((" " * (self.n > 0) + " ".join(map(str, ids))).encode())
-            self.text_sha.update(b"".join(map(self.ranks.bytes_of.__getitem__, ids)))
+            self.ids_sha.update(b" " * (self.n > 0) + self.ranks.decimals.joined(ids)[:-1])
+            self.text_sha.update(self.ranks.data.joined(ids))
             self.n += len(ids)
             if self.ids is not None:
-                self.ids.extend(ids)
+                self.ids.frombytes(ids.astype(np.int32).tobytes())
 
     def row(self, doc_id: int | None) -> tuple:
         return (doc_id, self.n, self.ids_sha.hexdigest(), self.text_sha.hexdigest(), *([self.ids.tolist()] if self.ids is not None else []))
@@ -264,13 +284,14 @@ def joined(encoded: DataFrame, path: str, keep_ids: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, name, digests, entry, doc_id = load(path), None, None, 0, None
         for batch in batches:
-            done = []
-            for row in batch.to_pylist():
+            done, ids = [], batch.column("ids")
+            at, values = np.asarray(ids.offsets), np.asarray(ids.values)
+            for k, row in enumerate(batch.drop_columns(["ids"]).to_pylist()):
                 if row["document"] != name:
                     if digests:
                         done.append(digests.row(doc_id))
                     name, doc_id, digests, entry = row["document"], row["doc_id"], Digests(ranks, keep_ids), row["begin"]
-                digests.add(row["ids"][row["before"][row["starts"].index(entry - row["begin"])] :])
+                digests.add(values[at[k] + row["before"][row["starts"].index(entry - row["begin"])] : at[k + 1]])
                 entry = row["next"]
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), arrow)], schema=arrow)
@@ -289,7 +310,7 @@ def encode_whole(docs: DataFrame, path: str, keep_ids: bool) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                found = [known[piece] for piece in chunk_pieces(text or "", -1)[0]]
+                found = [*map(known.__getitem__, chunk_pieces(text or "", -1)[0])]
                 ids, n, decimals, data = zip(*found) if found else ((), (), (), ())
                 shas = hashlib.sha256("".join(decimals)[:-1].encode()).hexdigest(), hashlib.sha256(b"".join(data)).hexdigest()
                 rows.append((doc_id, sum(n), *shas, *([[*chain.from_iterable(ids)]] if keep_ids else [])))
