@@ -391,6 +391,34 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAM_SQL = f"select sha256(text) as text_hash, make_timestamp(min(doc_id) * 1000000) as submitted_at, 'ANALYZED' as status, timestamp '2024-01-01' as analyzed_at, 1::bigint as n_signals from documents where {ERROR_SQL} is null group by text"
 
 
+def stream_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that arrive as JSON lines, of which three in five cannot be read: what became of each. Refused
+    lines carry their number; of stored texts, the time is the number of the first."""
+    folder = work_folder(spark)
+    docs = _documents(spark, sf_dir)
+    plain = F.struct(F.col("text").alias("raw_text"), F.timestamp_seconds("doc_id").alias("submitted_at"))
+    kind = F.col("doc_id") % 5
+    line = (
+        F.when(kind == 1, F.to_json(F.struct(plain["raw_text"].alias("raw_text"), plain["submitted_at"].alias("submitted_at"), "doc_id")))
+        .when(kind == 2, F.to_json(F.struct(F.struct("doc_id", "text").alias("raw_text"), plain["submitted_at"].alias("submitted_at"))))
+        .when(kind == 3, F.regexp_replace(F.to_json(F.struct("doc_id", F.col("text").alias("raw_text"))), r"..$", ""))
+        .otherwise(F.to_json(plain))
+    )
+    docs.select(line.alias("value")).write.text(f"{folder}/arriving")
+    store = Store(spark, f"{folder}/store")
+    ingest.ingest(ingest.submissions(spark, f"{folder}/arriving"), store, f"{folder}/checkpoint", clock=lambda: dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)).awaitTermination()
+    number = F.coalesce(F.regexp_extract("line", '"doc_id":([0-9]+)', 1).try_cast("long"), F.unix_seconds("submitted_at"))
+    refused = store.read("refused").select(number.alias("doc_id"), F.col("error_code").alias("outcome"), F.regexp_replace("detail", ":.*", "").alias("detail"))
+    stored = store.read("raw_report").select(F.unix_seconds("submitted_at").alias("doc_id"), F.lit("stored").alias("outcome"), F.lit(None).cast("string").alias("detail"))
+    return stored.unionByName(refused)
+
+
+REFUSALS_SQL = f"""with d as (select doc_id, text, {ERROR_SQL} as e from documents)
+select min(doc_id) as doc_id, 'stored' as outcome, null::varchar as detail from d where doc_id % 5 in (0, 4) and e is null group by text
+union all select doc_id, e, null from d where doc_id % 5 in (0, 4) and e is not null
+union all select doc_id, 'request.bad-request', case doc_id % 5 when 1 then 'unknown field' when 2 then 'wrong type' else 'not a JSON object' end from d where doc_id % 5 in (1, 2, 3)"""
+
+
 def records_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a report, whose record follows from the order's columns; figures beyond an int are no counts."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -431,6 +459,7 @@ DIGITS = r"[0-9]{1,3}(?:\.[0-9]{3})+|[0-9]+(?:,[0-9]+)?"
 TEXT_QUERIES = {
     "receipts": (receipts, RECEIPTS_SQL),
     "stream_ingest": (stream_ingest, STREAM_SQL),
+    "stream_refusals": (stream_refusals, REFUSALS_SQL),
     "records_of_orders": (records_of_orders, RECORDS_SQL),
     "records_of_shipments": (records_of_shipments, SHIPMENTS_SQL),
     "raw_reports_page": (

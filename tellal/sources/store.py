@@ -34,6 +34,7 @@ SCHEMAS = {
     "incident_metric": "raw_report_id string, run_ts timestamp, incident_id bigint, metric_type string, metric_value bigint",
     "incident_shared_province": "raw_report_id string, run_ts timestamp, incident_id bigint, province_code smallint",
     "incident_keyword": "raw_report_id string, run_ts timestamp, incident_id bigint, keyword string, keyword_role string, char_start int, char_end int",
+    "refused": "raw_text string, submitted_at timestamp, line string, error_code string, detail string, refused_at timestamp",
     "signal": "raw_report_id string, run_ts timestamp, incidents array<struct<id:bigint,occurred_on:date,event_type:string,province_codes:array<smallint>>>",
 }
 
@@ -107,10 +108,11 @@ class Store:
         system, folder = self._hadoop(path)
         return [f.getPath().toString() for f in system.globStatus(folder) or ()]
 
-    def append(self, table: str, rows: DataFrame) -> DataFrame:
-        """Adds rows, in a folder of their own; returns what was added."""
-        folder = f"{self.path}/{table}/{uuid.uuid4().hex}"
-        rows.select(*[f.name for f in StructType.fromDDL(SCHEMAS[table])]).write.mode("append").parquet(folder)
+    def append(self, table: str, rows: DataFrame, name: str | None = None) -> DataFrame:
+        """Adds rows, in a folder of their own; returns what was added. Under a name, they replace what was
+        added under it before, so that work done again adds nothing twice."""
+        folder = f"{self.path}/{table}/{name or uuid.uuid4().hex}"
+        rows.select(*[f.name for f in StructType.fromDDL(SCHEMAS[table])]).write.mode("overwrite").parquet(folder)
         return self.spark.read.schema(SCHEMAS[table]).parquet(folder)
 
     def submit(self, submissions: DataFrame) -> DataFrame:
@@ -166,12 +168,30 @@ class Store:
         )
         written = self.append("analysis_result", result)
         codes = F.when(F.col("province_code").isNotNull(), F.array("province_code")).otherwise(F.col("shared_province_codes"))
-        each = good.groupBy("raw_report_id").agg(F.array_sort(F.collect_list(F.struct("id", "occurred_on", "event_type", codes.alias("province_codes")))).alias("incidents"))
-        announced = written.where("status = 'ANALYZED'").select("raw_report_id", "run_ts")
-        self.append("signal", announced.join(each, "raw_report_id", "left").withColumn("incidents", F.coalesce("incidents", F.array())))
+        self._announce(written, good.select("raw_report_id", "run_ts", "id", "occurred_on", "event_type", codes.alias("province_codes")))
         rows.unpersist()
         read.unpersist()
 
+    def _announce(self, outcome: DataFrame, found: DataFrame) -> None:
+        """Appends the signals of runs; found: their records with province_codes."""
+        keys = ["raw_report_id", "run_ts"]
+        each = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("id", "occurred_on", "event_type", "province_codes"))).alias("incidents"))
+        good = outcome.where("status = 'ANALYZED'").select(*keys)
+        self.append("signal", good.join(each, keys, "left").withColumn("incidents", F.coalesce("incidents", F.array())))
+
+    def announce_missing(self, reports: DataFrame) -> None:
+        """Signals of the reports' successful runs that have none: those of a process that ended between the
+        outcome and the signal, whose records are complete, as an outcome is written after them."""
+        keys = ["raw_report_id", "run_ts"]
+        ids = reports.select("raw_report_id").distinct()
+        silent = self.read("analysis_result").where("status = 'ANALYZED'").join(ids, "raw_report_id", "left_semi").join(self.read("signal").select(*keys), keys, "left_anti").persist()
+        if silent.take(1):
+            shared = self.read("incident_shared_province").groupBy(*keys, F.col("incident_id").alias("id")).agg(F.array_sort(F.collect_set("province_code")).alias("codes"))
+            found = self.read("incident").join(silent.select(*keys), keys, "left_semi").join(shared, [*keys, "id"], "left")
+            own = F.when(F.col("province_code").isNotNull(), F.array("province_code")).otherwise(F.coalesce("codes", F.array()))
+            self._announce(silent, found.select(*keys, "id", "occurred_on", "event_type", own.cast("array<smallint>").alias("province_codes")))
+        silent.unpersist()
+
     def reprocess(self, raw_report_ids: list[str], run_ts: dt.datetime, **options) -> None:
         """Runs stored reports again, with their original submission time."""
         self.analyse(self.read("raw_report").where(F.col("raw_report_id").isin(*raw_report_ids)), run_ts, **options)
@@ -180,21 +200,29 @@ class Store:
         """Batches whose analysis has not come to its end."""
         return [p.rsplit("/", 1)[1] for p in self._files(f"{self.path}/_pending/*")]
 
+    def _of_batches(self, batches: list[str]) -> DataFrame:
+        """Raw reports of batches."""
+        return self._raw(*(f for b in batches for f in self._files(f"{self.path}/raw_report/prefix=*/batch={b}")))
+
     def unanalysed(self, batches: list[str] | None = None) -> DataFrame:
         """Reports of pending batches without any outcome: new ones, and those of a run that broke off.
         Outcomes are looked up only for batches that another run may have begun."""
         batches = self.pending() if batches is None else batches
-        reports = self._raw(*(f for b in batches for f in self._files(f"{self.path}/raw_report/prefix=*/batch={b}")))
+        reports = self._of_batches(batches)
         new, begun = reports.where(F.col("batch").isin(*self.fresh)), reports.where(~F.col("batch").isin(*self.fresh))
         if set(batches) - self.fresh:
             new = new.unionByName(begun.join(self.read("analysis_result").select("raw_report_id"), "raw_report_id", "left_anti"))
         return new.drop("prefix", "batch")
 
     def analyse_pending(self, run_ts: dt.datetime, **options) -> None:
-        """Analyses what is pending and takes the batches' markers away."""
+        """Analyses what is pending, announces what a run that broke off analysed and did not announce, and
+        takes the batches' markers away."""
         batches = self.pending()
         if not batches:
             return
+        begun = [b for b in batches if b not in self.fresh]
+        if begun:
+            self.announce_missing(self._of_batches(begun))
         reports = self.unanalysed(batches)
         self.fresh.difference_update(batches)
         self.analyse(reports, run_ts, **options)

@@ -35,6 +35,43 @@ def test_what_the_stream_stored(store):
     assert store.unanalysed().count() == 0
 
 
+def test_what_the_stream_refused(store):
+    refused = store.read("refused").collect()
+    assert sorted((r.error_code, len(r.raw_text), r.detail) for r in refused) == [("report.text.blank", 2, None), ("report.text.too-long", 10_001, None)]
+    assert all(r.refused_at == EARLY for r in refused)
+
+
+LINES = {
+    '{"raw_text": "a", "submitted_at": "2020-01-01T00:00:00Z"}': ("a", None), '{"raw_text": "a", "submitted_at": null, "bogus": 1}': (None, "unknown field: bogus"),
+    '{"Raw_Text": "a", "x": 1}': (None, "unknown field: Raw_Text, x"), '{"raw_text": 5}': (None, "wrong type: raw_text"), '{"raw_text": {"a": 1}}': (None, "wrong type: raw_text"),
+    '{"raw_text": "a", "submitted_at": "later"}': (None, "wrong type: submitted_at"), '{"raw_text": "a", "submitted_at": 17}': (None, "wrong type: submitted_at"),
+    '{"raw_text": "a"': (None, "not a JSON object"), '["a"]': (None, "not a JSON object"), "null": (None, "not a JSON object"), '{"raw_text": "a", "raw_text": "b"}': (None, "not a JSON object"),
+    "{}": (None, None), '{"raw_text": null}': (None, None), '{"raw_text": "5"}': ("5", None), f'{{"raw_text": "{"ş" * 200_000}"}}': ("ş" * 200_000, None),
+}
+
+
+def test_lines_are_read_strictly(spark):
+    rows = spark.createDataFrame([(line, 7) for line in [*LINES, "", " \t", None]], "value string, raw_text int")
+    read = {r.line: r for r in ingest.read_lines(rows).collect()}
+    assert {k: (r.raw_text, r.detail) for k, r in read.items()} == LINES
+    assert all((r.error_code == ingest.UNREADABLE) == (r.detail is not None) and (r.submitted_at is None) == (r.detail is not None) for r in read.values())
+    assert not ingest.read_lines(rows.limit(0)).collect()
+
+
+def test_a_bad_line_stops_nothing_and_a_batch_run_again_refuses_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(['{"raw_text": "iyi"}', '{"raw_text": "iyi"', '{"raw_text": "iyi", "bogus": 1}', '{"raw_text": " "}']))
+    own = Store(spark, str(tmp_path / "store"))
+    for _ in range(2):
+        ingest.ingest(ingest.submissions(spark, str(tmp_path / "in")), own, str(tmp_path / "cp"), clock=lambda: EARLY).awaitTermination()
+        # the batch was done but not committed when the process died
+        (tmp_path / "cp" / "commits" / "0").unlink()
+        for crc in (tmp_path / "cp" / "commits").glob(".*.crc"):
+            crc.unlink()
+    assert own.read("raw_report").count() == 1 and own.read("signal").count() == 1
+    assert sorted((r.error_code, r.detail or "") for r in own.read("refused").collect()) == [("report.text.blank", ""), (ingest.UNREADABLE, "not a JSON object"), (ingest.UNREADABLE, "unknown field: bogus")]
+
+
 def test_series_and_summary(store):
     star = store.star()
     rows = analytics.in_order(analytics.time_series(star, AnalyticsQuery(("TRAFFIC_ACCIDENT",)), ProvinceGrouping.PROVINCE)).collect()
@@ -96,6 +133,33 @@ def test_a_broken_off_analysis_is_taken_up_and_finished_reports_are_left(spark,
     assert later.read("analysis_result").count() == 3
 
 
+@pytest.mark.parametrize("broken", ["signal", "analysis_result"])
+def test_every_report_is_announced_once_wherever_the_process_ends(spark, tmp_path, monkeypatch, broken):
+    folder = str(tmp_path / "s")
+    began = Store(spark, folder)
+    began.submit(spark.createDataFrame([(t, EARLY) for t in TEXTS], "raw_text string, submitted_at timestamp")).collect()
+
+    def append(self, table, rows, name=None, own=Store.append):
+        if table == broken:
+            raise RuntimeError("the process ends")
+        return own(self, table, rows, name)
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "append", append)
+        with pytest.raises(RuntimeError):
+            began.analyse_pending(EARLY)
+    for _ in range(2):
+        Store(spark, folder).analyse_pending(LATE)
+    later = Store(spark, folder)
+    assert not later.pending() and later.read("analysis_result").count() == 3
+    told = later.read("signal").collect()
+    assert len(told) == 3 and {r.raw_report_id for r in told} == {r.raw_report_id for r in later.read("raw_report").collect()}
+    assert {r.run_ts for r in told} == {EARLY if broken == "signal" else LATE}
+    # what is announced late is what the records say
+    rows = {r.raw_report_id: r.incidents for r in signals.signals(later.star()).collect()}
+    assert all([x.asDict() for x in r.incidents] == [x.asDict() for x in rows[r.raw_report_id]] for r in told)
+
+
 def test_one_report_that_fails_does_not_stop_the_others_and_sums_beyond_an_int_are_kept(spark, tmp_path):
     own = Store(spark, str(tmp_path / "s"))
     large = "Ankara'da 2.000.000.000 yeni vaka tespit edildi. Ankara'da 2.000.000.000 yeni vaka tespit edildi."
