@@ -15,7 +15,7 @@ from ..sources import catalog as catalogs
 from ..sources.reference_data import PROVINCES
 from ..sources.star import from_events
 from ..sources.store import Store, first_of_each, hashed, latest, validated, work_folder
-from ..streaming import ingest
+from ..streaming import ingest, refresh
 from .query import AnalyticsQuery, ChartOptions, IncidentQuery, Page, ProvinceGrouping
 
 BY_PROVINCE = ProvinceGrouping.PROVINCE
@@ -419,6 +419,25 @@ union all select doc_id, e, null from d where doc_id % 5 in (0, 4) and e is not
 union all select doc_id, 'request.bad-request', case doc_id % 5 when 1 then 'unknown field' when 2 then 'wrong type' else 'not a JSON object' end from d where doc_id % 5 in (1, 2, 3)"""
 
 
+def stream_refreshes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as signals, each user's a view's, replayed at their own times: when each view is refreshed, at
+    most once in six hours. A last signal a day later brings the watermark past all others."""
+    folder = work_folder(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("view"), F.col("ts").alias("at"))
+    last = events.agg((F.max("at") + F.expr("interval 1 day")).alias("at")).select(F.lit("last").alias("view"), "at")
+    events.unionByName(last).write.parquet(f"{folder}/arriving")
+    told = refresh.refreshes(spark.readStream.schema("view string, at timestamp").parquet(f"{folder}/arriving"), "6 hours", "0 seconds")
+    refresh.start(told, lambda rows, k: rows.write.mode("overwrite").parquet(f"{folder}/shown/{k}"), f"{folder}/checkpoint", {"availableNow": True}).awaitTermination()
+    return spark.read.schema("view string, refreshed_at timestamp, n_signals long, waited boolean").parquet(f"{folder}/shown/*").where("view <> 'last'")
+
+
+REFRESHES_SQL = """with recursive s as (select cast(user_id as varchar) as view, epoch_us(ts) // 1000 as ms from events),
+r as (
+  select view, min(ms) as ms, false as waited from s group by view
+  union all select r.view, greatest(min(s.ms), r.ms + 21600000), min(s.ms) < r.ms + 21600000 from r join s on s.view = r.view and s.ms > r.ms group by r.view, r.ms)
+select view, make_timestamp(due * 1000) as refreshed_at, count(*) as n_signals, waited from (select s.view, r.ms as due, r.waited from s asof join r on s.view = r.view and s.ms <= r.ms) group by all"""
+
+
 def records_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a report, whose record follows from the order's columns; figures beyond an int are no counts."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -459,6 +478,7 @@ DIGITS = r"[0-9]{1,3}(?:\.[0-9]{3})+|[0-9]+(?:,[0-9]+)?"
 TEXT_QUERIES = {
     "receipts": (receipts, RECEIPTS_SQL),
     "stream_ingest": (stream_ingest, STREAM_SQL),
+    "stream_refreshes": (stream_refreshes, REFRESHES_SQL),
     "stream_refusals": (stream_refusals, REFUSALS_SQL),
     "records_of_orders": (records_of_orders, RECORDS_SQL),
     "records_of_shipments": (records_of_shipments, SHIPMENTS_SQL),

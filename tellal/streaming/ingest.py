@@ -83,13 +83,3 @@ def ingest(stream: DataFrame, store: Store, checkpoint: str, clock: Callable[[],
 def signal_stream(spark: SparkSession, store: Store) -> DataFrame:
     """Signals as they are appended."""
     return spark.readStream.schema(SCHEMAS["signal"]).option("recursiveFileLookup", "true").parquet(f"{store.path}/signal")
-
-
-def refreshes(signals: DataFrame, show: Callable[[DataFrame], None], checkpoint: str, every: str = "1 second") -> StreamingQuery:
-    """Calls show with the signals of each interval together: one refresh at once, the next after it."""
-
-    def batch(rows: DataFrame, _: int) -> None:
-        if rows.take(1):
-            show(rows)
-
-    return signals.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tellal.operators import analytics, highlight, listing, signals
 from tellal.plans.query import AnalyticsQuery, IncidentQuery, NotFound, Page, ProvinceGrouping
 from tellal.sources.store import Store
-from tellal.streaming import ingest
+from tellal.streaming import ingest, refresh
 
 TEXTS = [
     "20.04.2020 tarihinde Ankara'da 15 yeni vaka tespit edildi.",
@@ -172,25 +172,70 @@ def test_one_report_that_fails_does_not_stop_the_others_and_sums_beyond_an_int_a
     assert sorted(r.raw_report_id for r in own.read("signal").collect()) == ["b", "c"]
 
 
-def test_refreshes_come_at_once_and_then_together(spark, tmp_path):
-    """The first signal is shown at once, a burst that follows together at the end of the interval."""
+def plain_refreshes(times, window):
+    """Refreshes of one view by walking its signals: (at, signals covered, waited)."""
+    out, pending = [], None
+    for t in sorted(times):
+        if pending and t > pending[0]:
+            out.append(tuple(pending))
+            pending = None
+        if pending:
+            pending[1] += 1
+        elif not out or t >= out[-1][0] + window:
+            out.append((t, 1, False)) if not out or t > out[-1][0] else None
+        elif t == out[-1][0]:
+            out[-1] = (t, out[-1][1] + 1, out[-1][2])
+        else:
+            pending = [out[-1][0] + window, 1, True]
+    return out + ([tuple(pending)] if pending else [])
+
+
+def test_ten_signals_are_two_refreshes_and_a_replay_in_pieces_gives_the_same(spark, tmp_path):
+    import random
+
+    draw = random.Random(5)
+    times = {"burst": [50_000 + 10 * k for k in range(10)], "trickle": [700 * k for k in range(60)], "twice": [1000, 1000, 1000, 2000, 2000, 2001, 3000]}
+    times["any"] = [draw.randrange(120_000) for _ in range(150)]
+    times = {v: [t + 1 for t in ts] for v, ts in times.items()}
+    signals = sorted((t, v) for v, ts in times.items() for t in ts)
+    # a piece begins where time goes on: what is as old as the watermark is late
+    cuts, folder = [0, *(next(c for c in range(k, len(signals)) if signals[c][0] > signals[c - 1][0]) for k in (40, 130)), len(signals)], tmp_path / "in"
+    folder.mkdir()
+    schema = "view string, at timestamp, n_signals int"
+    parts = [[*((v, t) for t, v in signals[a:b]), (None, 5), ("none", None)] for a, b in zip(cuts, cuts[1:])] + [[("last", 10_000_000)]]
+    told = refresh.refreshes(spark.readStream.schema(schema).parquet(str(folder)), "1 second", "0 seconds")
+    for k, part in enumerate(parts):
+        rows = spark.createDataFrame([(v, t) for v, t in part], "view string, ms long").select("view", F.timestamp_millis("ms").alias("at"), F.lit(9).alias("n_signals"))
+        rows.coalesce(1).write.mode("append").parquet(str(folder))
+        # started anew for each piece, so the state comes from the checkpoint
+        refresh.start(told, lambda rows, k: rows.write.mode("overwrite").parquet(f"{tmp_path}/out/{k}"), str(tmp_path / "cp"), {"availableNow": True}).awaitTermination()
+    shown = spark.read.parquet(f"{tmp_path}/out/*").where("view <> 'last'").select("view", F.unix_millis("refreshed_at").alias("at"), "n_signals", "waited").collect()
+    assert sorted((r.view, r["at"], r.n_signals, r.waited) for r in shown) == sorted((v, *x) for v, ts in times.items() for x in plain_refreshes(ts, 1000))
+    assert len([r for r in shown if r.view == "burst"]) == 2 and sum(r.n_signals for r in shown) == len(signals)
+
+
+def test_live_refreshes_come_at_once_and_then_together(spark, tmp_path):
+    """The first signal is shown at once, a burst that follows by one refresh at the window's end."""
     import time
 
-    signals = tmp_path / "signal"
-    signals.mkdir()
     row = spark.createDataFrame([("r", EARLY, [])], "raw_report_id string, run_ts timestamp, incidents array<struct<id:bigint,occurred_on:date,event_type:string,province_codes:array<smallint>>>").coalesce(1)
+    (tmp_path / "signal").mkdir()
+    stale = refresh.stale_views(ingest.signal_stream(spark, Store(spark, str(tmp_path))), {"all": AnalyticsQuery(), "floods": AnalyticsQuery(("FLOOD",))})
     shown = []
-    query = ingest.refreshes(ingest.signal_stream(spark, Store(spark, str(tmp_path))), lambda rows: shown.append(rows.count()), str(tmp_path / "cp"), every="6 seconds")
+    query = refresh.start(refresh.refreshes(stale, "15 seconds"), lambda rows, _: shown.extend(rows.collect()), str(tmp_path / "cp"))
     try:
-        time.sleep(2)
-        for _ in range(4):
-            row.write.mode("append").parquet(str(signals))
+        for k in range(5):
+            row.write.mode("append").parquet(str(tmp_path / "signal"))
+            deadline = time.time() + 60
+            while k == 0 and not shown and time.time() < deadline:
+                time.sleep(0.1)
         deadline = time.time() + 60
-        while sum(shown) < 4 and time.time() < deadline:
+        while sum(r.n_signals for r in shown) < 5 and time.time() < deadline:
             time.sleep(0.2)
     finally:
         query.stop()
-    assert sum(shown) == 4 and len(shown) <= 2
+    assert [(r.view, r.n_signals, r.waited) for r in shown] == [("all", 1, False), ("all", 4, True)]
+    assert shown[1].refreshed_at - shown[0].refreshed_at == dt.timedelta(seconds=15)
 
 
 def test_a_rerun_replaces_and_a_failed_one_does_not(store):
