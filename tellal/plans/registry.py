@@ -16,6 +16,7 @@ from ..sources.reference_data import PROVINCES
 from ..sources.star import from_events
 from ..sources.store import Store, first_of_each, hashed, latest, validated, work_folder
 from ..streaming import ingest, refresh
+from .notices import NOTICE_QUERIES
 from .query import AnalyticsQuery, ChartOptions, IncidentQuery, Page, ProvinceGrouping
 
 BY_PROVINCE = ProvinceGrouping.PROVINCE
@@ -520,8 +521,8 @@ TEXT_QUERIES = {
 def queries() -> dict:
     out = {name: (lambda spark, sf_dir, f=f: f(from_events(spark, sf_dir))) for name, (f, _) in STAR_QUERIES.items()}
     out |= {name: (lambda spark, sf_dir, f=f: f(spark)) for name, (f, _) in LITERAL_QUERIES.items()}
-    return out | {name: f for name, (f, _) in TEXT_QUERIES.items()}
+    return out | {name: f for name, (f, _) in (TEXT_QUERIES | NOTICE_QUERIES).items()}
 
 
 def oracles() -> dict[str, str]:
-    return {name: sql for part in (STAR_QUERIES, LITERAL_QUERIES, TEXT_QUERIES) for name, (_, sql) in part.items() if sql}
+    return {name: sql for part in (STAR_QUERIES, LITERAL_QUERIES, TEXT_QUERIES, NOTICE_QUERIES) for name, (_, sql) in part.items() if sql}

@@ -6,7 +6,7 @@ import pytest
 from tellal.plans import registry
 
 DATA = "/root/testdata/sf0.01"
-TABLES = ["nation", "events", "documents", "orders", "lineitem"]
+TABLES = ["nation", "events", "documents", "orders", "lineitem", "customer"]
 
 
 @pytest.fixture(scope="module")
