@@ -10,10 +10,12 @@
 3. Sets that common lists connect are searched together, with an inverted index of their shingles:
    each set is a query on the others; the short lists are heap-merged, skipping what cannot reach the
    count, the long ones are probed by binary search for what the short ones leave (DivideSkip), and
-   sets that reach the overlap are linked. A candidate that is connected already needs no probe.
+   sets that reach the overlap are linked. A candidate that is connected already needs no probe, and
+   one whose first common shingle, rarest first, comes too late in either set for the overlap is left
+   out beforehand (positions), so texts of one template that do not link are not merged.
    Where common lists connect more sets than a task can hold, they are searched in blocks, then
    delegates of the components found, and then, one by one, only those lists of the prefixes on which
-   two components still meet.
+   two components still meet, without the sets that come too late on a list for any size on it.
 4. Links and classes give components.
 
 Classes are told apart by 128 bits of a digest. Nulls and empty texts link with nothing and are their
@@ -63,6 +65,8 @@ GUESSES = 3
 DELEGATES = 8
 #: Parts of a list whose members are looked up.
 SALTS = 16
+#: Ranges of sizes for each factor of e.
+SIZE_RANGES = 50
 REMEMBERED = 1_000_000
 SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -212,13 +216,14 @@ def by_node(node: np.ndarray, sig: np.ndarray, many: np.ndarray) -> pa.RecordBat
 
 
 def prefixes(classes: DataFrame, shared: DataFrame, threshold: Fraction) -> DataFrame:
-    """node and signatures: the shingles of a class's prefix that another class may have."""
+    """node, signatures: the shingles of a class's prefix that another class may have, and rooms: what
+    it can share with a class whose first common shingle, in the fixed order, is that one."""
     own = shared.groupBy("node").agg(F.collect_list(F.struct("shared", "many")).alias("parts"))
     rows = classes.join(own, "node", "left").where("parts is not null or late is not null").select("node", "n_shingles", "n_sampled", "late", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, out = [], []
+            nodes, out, rooms = [], [], []
             for node, n, n_sampled, late, parts in zip(*(batch.column(c).to_pylist() for c in ("node", "n_shingles", "n_sampled", "late", "parts"))):
                 sig = np.frombuffer(b"".join(p["shared"] for p in parts or []), np.uint64)
                 many = np.frombuffer(b"".join(p["many"] for p in parts or []), np.uint32)
@@ -227,9 +232,12 @@ def prefixes(classes: DataFrame, shared: DataFrame, threshold: Fraction) -> Data
                 if take > 0 or late:
                     nodes.append(node)
                     out.append(sig[np.lexsort((sig, many))[: max(0, take)]].tobytes() + (late or b""))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], ["node", "signatures"])
+                    # shingles of its own come first, the late ones after all sampled ones
+                    place = np.concatenate([n_sampled - len(sig) + np.arange(max(0, take)), n_sampled + np.arange(len(late or b"") // 8)])
+                    rooms.append((n - place).astype(np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary()), pa.array(rooms, pa.binary())], ["node", "signatures", "rooms"])
 
-    return in_batches(rows, run, "node long, signatures binary")
+    return in_batches(rows, run, "node long, signatures binary, rooms binary")
 
 
 def candidate_edges(classes: DataFrame, total: int) -> DataFrame:
@@ -307,18 +315,26 @@ class Index:
         self.element = np.split(element, np.cumsum(self.size)[:-1])
         doc = np.repeat(np.arange(n), self.size)
         #: Sorted by element, then by document: list e is keys[start[e]:start[e + 1]] - e * n.
-        self.keys = np.sort(element.astype(np.int64) * n + doc)
+        keys = element.astype(np.int64) * n + doc
+        by_key = np.argsort(keys)
+        self.keys = keys[by_key]
         self.length = np.bincount(element)
         self.start = np.concatenate([[0], np.cumsum(self.length)])
-
-    def lists(self, elements: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        """The documents in [lo, hi) on the elements' lists, one list after the other, and where each begins."""
+        #: What a key's document can share with one whose first common element, rarest first, is the key's.
+        rarest = np.lexsort((element, self.length[element], doc))
+        room = np.empty(len(flat), np.int64)
+        room[rarest] = np.repeat(np.cumsum(self.size), self.size) - np.arange(len(flat))
+        self.room = room[by_key]
+
+    def lists(self, elements: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The documents in [lo, hi) on the elements' lists, one list after the other, where each begins,
+        and the places of their keys."""
         a = np.searchsorted(self.keys, elements * self.docs + lo)
         b = np.searchsorted(self.keys, elements * self.docs + hi)
         n = b - a
         begins = np.concatenate([[0], np.cumsum(n)])
         at = np.repeat(a - begins[:-1], n) + np.arange(begins[-1])
-        return self.keys[at] - np.repeat(elements * self.docs, n), begins
+        return self.keys[at] - np.repeat(elements * self.docs, n), begins, at
 
     def probed(self, elements: np.ndarray, docs: np.ndarray) -> np.ndarray:
         """On how many of the lists each document is."""
@@ -376,18 +392,26 @@ def search_links(sets: list[np.ndarray], threshold: Fraction, side: np.ndarray |
         if lo >= q or (root[lo:q] == root[q]).all():
             continue
         elements = index.element[q][np.argsort(index.length[index.element[q]], kind="stable")]
+        docs, begins, at = index.lists(elements[: n - need + 1], lo, q)
+        room = np.minimum(index.room[at], n - np.repeat(np.arange(n - need + 1), np.diff(begins)))
+        docs = docs[(den + num) * room >= num * (n + index.size[docs])]
+        docs = docs[root[docs] != root[q]]
+        if sides is not None:
+            docs = docs[sides[docs] != sides[q]]
+        if not len(docs):
+            continue
+        able = np.zeros(q, bool)
+        able[docs] = True
         longest = int(index.length[elements[-1]])
         skipped = min(need - 1, int(need / (PROBE_COST * math.log2(longest + 1) + 1)))
         short, long = np.sort(elements[: n - skipped]), elements[n - skipped :]
-        docs, begins = index.lists(short, lo, q)
+        docs, begins, _ = index.lists(short, lo, q)
+        begins = np.concatenate([[0], np.cumsum(able[docs])])[begins]
+        docs = docs[able[docs]]
         # the last set on a short list is likely a copy: once linked, its component needs no merge
         some = np.unique(docs[begins[1:][np.diff(begins) > 0] - 1])[-GUESSES:]
-        if some := [d for d in some.tolist() if root[d] != root[q] and (sides is None or sides[d] != sides[q])]:
-            some = np.array(some)
-            linked(q, some, index.probed(elements, some))
+        linked(q, some, index.probed(elements, some))
         apart = root[docs] != root[q]
-        if sides is not None:
-            apart &= sides[docs] != sides[q]
         ends = np.concatenate([[0], np.cumsum(apart)])[begins]
         docs = docs[apart].tolist()
         lists = [docs[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()) if b > a]
@@ -452,23 +476,28 @@ def blocks_of(shingles: str) -> Column:
 
 
 def on_lists(chosen: DataFrame) -> DataFrame:
-    """chosen: node, signatures, known, shard, block. One row for each node and signature (list)."""
-    names = ["node", "known", "shard", "block"]
+    """chosen: node, signatures, rooms, n, known, shard, block. One row for each node and signature (list)."""
+    names = ["node", "n", "known", "shard", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sigs = [np.frombuffer(b, np.int64) for b in batch.column("signatures").to_pylist()]
+            rooms = [np.frombuffer(b, np.int64) for b in batch.column("rooms").to_pylist()]
             n = [len(s) for s in sigs]
             rows = [np.repeat(batch.column(c).to_numpy(), n) for c in names]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)), *map(pa.array, rows)], ["list", *names])
+            both = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (sigs, rooms)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, both), *map(pa.array, rows)], ["list", "room", *names])
 
-    return in_batches(chosen.select("signatures", *names), run, "list long, node long, known long, shard long, block int")
+    return in_batches(chosen.select("signatures", "rooms", *names), run, "list long, room long, node long, n long, known long, shard long, block int")
 
 
 def links_on_lists(rows: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """rows: list, node, known (its component so far), shard, block; sets: node, n, shingles. Links
-    that connect what is connected on each list, but for what is known.
+    """rows: list, node, n, room, known (its component so far), shard, block; sets: node, n, shingles.
+    Links that connect what is connected on each list, but for what is known.
 
+    Two nodes need min(room) >= the overlap of their sizes on the first list that both are on. So a
+    list's rooms and sizes are told in about a hundred ranges of sizes, and a node which none of them
+    lets reach the overlap needs nothing on that list.
     Lists on which only one component is left need nothing. Of two nodes of different components on a
     list one is outside the list's largest component: such a node is a query to the other blocks that
     have a node on one of its lists, to each once, whichever lists lead there. A block with many
@@ -476,9 +505,13 @@ def links_on_lists(rows: DataFrame, sets: DataFrame, threshold: Fraction) -> Dat
     """
     sizes = rows.groupBy("list", "known").agg(F.count("*").alias("size"))
     open_ = sizes.groupBy("list").agg(F.max_by("known", F.struct("size", "known")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = open_.select("list", "largest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    ranges = rows.groupBy("list", F.floor(F.log("n") * SIZE_RANGES).alias("range")).agg(F.min("n").alias("n"), F.max("room").alias("room"))
+    met = ranges.groupBy("list").agg(F.collect_list(F.struct("n", "room")).alias("met"))
+    open_ = open_.join(met, "list").select("list", "largest", "met", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    touched = stored(salted.join(open_, ["list", "salt"]).drop("salt"))
+    num, both = threshold.numerator, threshold.numerator + threshold.denominator
+    able = F.exists("met", lambda m: both * F.least("room", m["room"]) >= num * (F.col("n") + m["n"]))
+    touched = stored(salted.join(open_, ["list", "salt"]).where(able).drop("salt", "met", "room", "n"))
     there = touched.select("list", F.col("block").alias("k1")).distinct()
     asking = touched.where("known <> largest").join(there, "list").where("k1 <> block").select("node", "known", "shard", "k1").distinct()
     probes = stored(asking.join(sets.select("node", "n"), "node"))
@@ -523,7 +556,7 @@ def shard_components(sets: DataFrame, chosen: DataFrame, threshold: Fraction) ->
     links = stored(links.unionByName(links_within(delegates.join(large.select("node", "n", "shingles"), "node"), threshold)))
 
     now = grouped(links)
-    rows = on_lists(chosen.join(now.select("node", "known", "shard", "block"), "node"))
+    rows = on_lists(chosen.join(now.select("node", "n", "known", "shard", "block"), "node"))
     return components(links.unionByName(links_on_lists(rows, large, threshold)))
 
 

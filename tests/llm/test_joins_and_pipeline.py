@@ -100,6 +100,52 @@ def test_a_chain_of_lists_without_links_and_a_shingle_that_all_have(spark, monke
         assert out == brute_components(rows, size, Fraction(threshold))
 
 
+def templated(n, seed):
+    """Texts of one template: each has a word of its own at some place, every tenth one is a near copy
+    of the one before it, and every eleventh has a longer text with the template in it."""
+    rnd = random.Random(seed)
+    base = [f"t{k}" for k in range(42)]
+    texts = []
+    for k in range(n):
+        words = list(base)
+        if k % 10 == 9:
+            words = [*texts[-1].split(), f"more{k}"]
+        else:
+            words[rnd.randrange(2, 40)] = f"own{k}"
+        if k % 11 == 10:
+            words += [f"tail{k}x{j}" for j in range(rnd.randint(1, 12))]
+        texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("block", [7, 4000])
+@pytest.mark.parametrize("size, threshold", [(3, "9/10"), (5, "8/10")])
+def test_texts_of_one_template(spark, monkeypatch, block, size, threshold):
+    """Most do not link; those that do are found in every block."""
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)
+    rows = [(3 * k, t, 1, "x") for k, t in enumerate(templated(80, block))]
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(spark.createDataFrame(rows, DOCS), size, threshold).collect()}
+    assert out == brute_components(rows, size, Fraction(threshold))
+
+
+def test_positions_spare_the_merge(monkeypatch):
+    """Three own shingles before 37 common ones leave no room for an overlap of 38: nothing is merged."""
+    known, base = ngram_join.WordHash(), [f"t{k}" for k in range(42)]
+    sets = [ngram_join.shingle_set(" ".join([*base[: 2 + k % 38], f"own{k}", *base[3 + k % 38 :]]), 3, known) for k in range(400)]
+    monkeypatch.setattr(ngram_join, "merge_skip", None)
+    assert ngram_join.search_links(sets, Fraction(9, 10)) == []
+
+
+def test_lists_on_which_no_set_can_reach_the_overlap_stay_closed(spark):
+    """Sets of 40 with room for 37 ask nothing; one with room for 40 meets all that can reach it."""
+    schema = "list long, room long, node long, n long, known long, shard long, block int"
+    sets = spark.createDataFrame([(k, 3, np.arange(3 * (k // 2), 3 * (k // 2) + 3, dtype=np.uint64).tobytes()) for k in range(8)], "node long, n long, shingles binary")
+    for rooms, expected in (([37] * 8, 0), ([40] * 8, 4)):
+        rows = [(1, room, k, 40, k, 0, k % 2) for k, room in enumerate(rooms)]
+        links = ngram_join.links_on_lists(spark.createDataFrame(rows, schema), sets, Fraction(9, 10)).collect()
+        assert len({frozenset(x) for x in links}) == expected and all(a // 2 == b // 2 for a, b in links)
+
+
 def test_hot_keys_and_joins_on_them(spark, monkeypatch):
     monkeypatch.setattr(hot, "CHUNK", 1000)
     df = spark.range(0, 6000, 1, 3).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") + 10).alias("k"))
