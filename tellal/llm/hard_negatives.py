@@ -268,8 +268,10 @@ def cells(row_blocks: DataFrame, anchor_blocks: DataFrame, pairs: DataFrame) ->
     by both: a row of the result is what one call of a scan holds."""
     n = 2 * max(1, min(row_blocks.count() * anchor_blocks.count(), 10_000))
     held = anchor_blocks.select(part_of("block").alias("part"), F.struct(*anchor_blocks.columns).alias("anchors"))
-    left = row_blocks.join(pairs, "block").repartition(n, "block", "part")
-    right = held.join(pairs, "part").repartition(n, "block", "part")
+    left, right = row_blocks.join(pairs, "block"), held.join(pairs, "part")
+    if n > int(row_blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        left, right = (x.repartition(n, "block", "part") for x in (left, right))
+    # few cells go with the join's own shuffle, whose empty partitions are put together
     return left.join(right.hint("merge"), ["block", "part"]).drop("part")
 
 
