@@ -58,3 +58,11 @@ def test_all_provinces_are_found_by_their_names():
         assert [h["detail"] for h in hits] == [str(code)]
     with pytest.raises(ValueError):
         Scanner(load_catalog(), {})
+
+
+def test_no_pattern_is_compiled_for_a_text(monkeypatch):
+    scanner = Scanner(load_catalog(), dict(enumerate(PROVINCES, 1)))
+    monkeypatch.setattr("tellal.functions.scan.re.compile", None)
+    for a, b in zip(PROVINCES, PROVINCES[1:]):
+        hits = scanner.hits(normalise(f"{a}'da 3, {b}'nde 4 kişi hayatını kaybetti.")[0])
+        assert [h["key"] for h in hits if h["kind"] == "PROVINCE"] == [normalise(a)[0], normalise(b)[0]]
