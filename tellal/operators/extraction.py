@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,14 +28,18 @@ WIDE = re.compile("[\U00010000-\U0010ffff]")
 SPAN = pa.struct([("begin", pa.int32()), ("end", pa.int32())])
 NUMBER = pa.struct([("value", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("notation", pa.string())])
 HIT = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("ord", pa.int32()), ("kind", pa.string()), ("key", pa.string()), ("detail", pa.string()), ("raw", pa.string()), ("char_start", pa.int32()), ("char_end", pa.int32())])
+FIELDS = itemgetter(*(f.name for f in HIT))
+#: Rows and bytes of text, about, that are held as Python objects at once: Spark's batches may hold 10,000 long texts.
+PIECE_ROWS, PIECE_BYTES = 500, 1 << 20
 SCANNED = (
     "raw_report_id string, ref_date date, value string, sentences array<struct<begin:int,end:int>>, numbers array<struct<value:bigint,begin:int,end:int,notation:string>>, "
     "hits array<struct<begin:int,end:int,ord:int,kind:string,key:string,detail:string,raw:string,char_start:int,char_end:int>>, failure_reason string"
 )
 
 
-def scan_one(scanner: Scanner, raw: str) -> tuple[str, list, list, list]:
-    """Where a hit stands in the source is looked up for hits alone."""
+def scan_one(scanner: Scanner, raw: str) -> tuple[str, list[tuple], list[tuple], list[tuple]]:
+    """The normalised text, and the fields of its sentences, numbers and hits. Where a hit stands in the
+    source is looked up for hits alone."""
     value = normalised(raw)
     hits = scanner.hits(value)
     if hits:
@@ -42,7 +48,21 @@ def scan_one(scanner: Scanner, raw: str) -> tuple[str, list, list, list]:
         for h in hits:
             a, b = begin[h["begin"]], end[h["end"] - 1]
             h.update(raw=raw[a:b], char_start=a + bisect_left(wide, a), char_end=b + bisect_left(wide, b))
-    return value, [dict(begin=a, end=b) for a, b in sentences(value)], [dict(value=v, begin=a, end=b, notation=n) for v, a, b, n in numbers(value)], hits
+    return value, sentences(value), numbers(value), [FIELDS(h) for h in hits]
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    step = max(1, min(PIECE_ROWS, batch.num_rows * PIECE_BYTES // max(1, batch.column("raw_text").nbytes)))
+    return (batch.slice(k, step) for k in range(0, batch.num_rows, step))
+
+
+def listed(rows: tuple[list[tuple] | None, ...], kind: pa.StructType) -> pa.Array:
+    """Each row's tuples as structs, made column by column."""
+    flat = [x for row in rows if row for x in row]
+    columns = zip(*flat) if flat else [()] * kind.num_fields
+    held = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], fields=list(kind))
+    ends = accumulate((len(row or ()) for row in rows), initial=0)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held, mask=pa.array([row is None for row in rows], pa.bool_()))
 
 
 def scan(reports: DataFrame, catalog: Catalog | None = None, provinces: dict[int, str] | None = None) -> DataFrame:
@@ -53,7 +73,7 @@ def scan(reports: DataFrame, catalog: Catalog | None = None, provinces: dict[int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(catalog, provinces)
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             rows, failures = [], []
             for raw in batch.column("raw_text").to_pylist():
                 try:
@@ -64,9 +84,9 @@ def scan(reports: DataFrame, catalog: Catalog | None = None, provinces: dict[int
                 except Exception as e:  # one report's failure must not stop the others
                     rows.append((None, None, None, None))
                     failures.append(f"{type(e).__name__}: {e}"[:LONGEST_REASON])
-            value, sent, num, hits = zip(*rows) if rows else ((), (), (), ())
+            value, sent, num, hits = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("raw_report_id"), batch.column("ref_date"), pa.array(value, pa.string()), pa.array(sent, pa.list_(SPAN)), pa.array(num, pa.list_(NUMBER)), pa.array(hits, pa.list_(HIT)), pa.array(failures, pa.string())],
+                [batch.column("raw_report_id"), batch.column("ref_date"), pa.array(value, pa.string()), listed(sent, SPAN), listed(num, NUMBER), listed(hits, HIT), pa.array(failures, pa.string())],
                 ["raw_report_id", "ref_date", "value", "sentences", "numbers", "hits", "failure_reason"],
             )
 
