@@ -201,7 +201,9 @@ def records(rows: DataFrame) -> DataFrame:
     body = given_once({"c": counted}, f"named_struct('ordinal', i, 'k', k, 'metrics', {metrics}, 'keywords', concat({', '.join(evidence)}))")
     made = f"transform(array_distinct(transform(given, x -> {key})), (k, i) -> {body})"
     few = rows.where("failure_reason is null").select("raw_report_id", "ref_date", "day", "codes", F.size("types").alias("n_types"), F.expr(made).alias("made"))
-    each = few.select("raw_report_id", "ref_date", "day", "codes", "n_types", F.explode("made").alias("r"))
+    # a plain explode would have the optimiser test the size of the whole expression beforehand, spelled out on the
+    # scanned columns, where every step that is used twice is computed twice; no report is without a record
+    each = few.select("raw_report_id", "ref_date", "day", "codes", "n_types", F.explode_outer("made").alias("r"))
     return each.select(
         "raw_report_id", F.col("r.ordinal").cast("int").alias("ordinal"), F.coalesce("day.date", "ref_date").alias("occurred_on"), F.coalesce("day.source", F.lit("DEFAULTED")).alias("date_source"),
         F.expr("CASE WHEN r.k.shared THEN 'SHARED' WHEN r.k.code is null THEN 'UNKNOWN' ELSE 'SINGLE' END").alias("province_scope"), F.col("r.k.code").alias("province_code"),

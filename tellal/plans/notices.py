@@ -20,10 +20,15 @@ ENDINGS = ["'da", "'de", "'nde", "'un", "'ta"]
 NAMES_SQL = f"p as (select unnest(range(1, {len(PROVINCES) + 1})) as code, unnest([{', '.join(repr(x) for x in PROVINCES)}]) as name)"
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows that texts are made of, dealt out first: reading a text costs far more than moving its row."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three columns, dealt out first: reading a text costs far more than moving the row it is made of."""
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("k"), F.col("o_custkey").cast("long").alias("c"), F.col("o_orderdate").cast("date").alias("d"))
-    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return dealt(rows)
 
 
 def _one_of(values: list[str], index: Column | str) -> Column:

@@ -16,7 +16,7 @@ from ..sources.reference_data import PROVINCES
 from ..sources.star import from_events
 from ..sources.store import Store, first_of_each, hashed, latest, validated, work_folder
 from ..streaming import ingest, refresh
-from .notices import NOTICE_QUERIES
+from .notices import NOTICE_QUERIES, dealt
 from .query import AnalyticsQuery, ChartOptions, IncidentQuery, Page, ProvinceGrouping
 
 BY_PROVINCE = ProvinceGrouping.PROVINCE
@@ -441,7 +441,7 @@ select view, make_timestamp(due * 1000) as refreshed_at, count(*) as n_signals,
 
 def records_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a report, whose record follows from the order's columns; figures beyond an int are no counts."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = dealt(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate"))
     place = F.element_at(F.array(*map(F.lit, PROVINCES)), (F.col("o_custkey") % 81 + 1).cast("int"))
     text = F.concat(F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(" tarihinde "), place, F.lit("'da "), (F.col("o_orderkey") * 100_000).cast("string"), F.lit(" yeni vaka tespit edildi."))
     found, _ = extraction.extract(orders.select(F.col("o_orderkey").cast("string").alias("raw_report_id"), text.alias("raw_text"), F.lit(REF).cast("date").alias("ref_date")))

@@ -5,6 +5,14 @@ import pyarrow as pa
 from tellal.operators import extraction
 
 
+def test_records_are_not_computed_twice_by_an_inferred_filter(spark):
+    reports = spark.createDataFrame([("1", "Dün Ankara'da 3 kişi yaralandı; kaza sürüyor.", None)], "raw_report_id string, raw_text string, ref_date date")
+    found, _ = extraction.extract(reports)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("format_string") <= 5
+    assert [r["event_type"] for r in found.collect()] == ["TRAFFIC_ACCIDENT"]
+
+
 def test_long_texts_are_held_in_small_pieces():
     batch = pa.RecordBatch.from_pydict({"raw_text": ["x" * 20_000] * 2000})
     sizes = [p.num_rows for p in extraction.pieces(batch)]
