@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .extraction import given_once
+
 
 def in_characters(texts: DataFrame) -> DataFrame:
     """Keyword offsets in characters instead of UTF-16 units, of which some characters take two."""
@@ -22,12 +24,11 @@ def segments(texts: DataFrame) -> DataFrame:
     texts = in_characters(texts)
     valid = F.filter("keywords", lambda k: (k["char_start"] >= 0) & (k["char_end"] > k["char_start"]) & (k["char_end"] <= n))
     rows = texts.where(n > 0).select("id", "raw_text", valid.alias("k"))
-    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), F.length("raw_text")), F.transform("k", lambda x: x["char_start"]), F.transform("k", lambda x: x["char_end"]))))
-    pieces = rows.withColumn("cuts", cuts).withColumn("p", F.expr("explode(transform(slice(cuts, 1, size(cuts) - 1), (b, i) -> struct(b as begin, cuts[i + 1] as end)))"))
-    roles = F.expr("array_sort(array_distinct(transform(filter(k, x -> x.char_start <= p.begin and x.char_end >= p.end), x -> x.role)))")
-    flat = pieces.select("id", "raw_text", "p.begin", "p.end", roles.alias("roles"))
-    by_place = Window.partitionBy("id").orderBy("begin")
-    fresh = F.coalesce((F.lag("roles").over(by_place) != F.col("roles")).cast("int"), F.lit(1))
-    islands = flat.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(by_place))
-    merged = islands.groupBy("id", "island", "roles").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.first("raw_text").alias("raw_text"))
-    return merged.select("id", "begin", "end", F.expr("substring(raw_text, begin + 1, end - begin)").alias("text"), "roles")
+    # within the text's row: no piece is shuffled to meet its neighbour. Every range ends at a cut, so what covers
+    # a piece's beginning covers all of it
+    cuts = "array_sort(array_distinct(concat(array(0), transform(k, x -> x.char_start), filter(transform(k, x -> x.char_end), e -> e < length(raw_text)))))"
+    roles = "array_sort(array_distinct(transform(filter(k, x -> x.char_start <= b and x.char_end > b), x -> x.role)))"
+    fresh = given_once({"p": f"transform({cuts}, b -> named_struct('begin', b, 'roles', {roles}))"}, "filter(w.p, (x, i) -> i = 0 or w.p[i - 1].roles != x.roles)")
+    merged = given_once({"f": fresh}, "transform(v.f, (x, i) -> named_struct('begin', x.begin, 'end', if(i + 1 < size(v.f), v.f[i + 1].begin, length(raw_text)), 'roles', x.roles))", "v")
+    each = rows.select("id", "raw_text", F.expr(merged).alias("pieces")).select("id", "raw_text", F.explode_outer("pieces").alias("p"))
+    return each.select("id", "p.begin", "p.end", F.expr("substring(raw_text, p.begin + 1, p.end - p.begin)").alias("text"), "p.roles")

@@ -2,7 +2,7 @@
 
 import pyarrow as pa
 
-from tellal.operators import extraction
+from tellal.operators import extraction, highlight
 
 
 def test_records_are_not_computed_twice_by_an_inferred_filter(spark):
@@ -27,3 +27,14 @@ def test_absent_texts_and_texts_without_anything(spark):
     assert found["1"]["hits"] is None and found["1"]["sentences"] is None and found["1"]["failure_reason"]
     assert found["2"]["hits"] == [] and found["2"]["numbers"] == []
     assert [n["value"] for n in found["3"]["numbers"]] == [3]
+
+
+def test_pieces_of_a_text_are_not_shuffled(spark):
+    texts = spark.sql("""select explode(array(
+        named_struct('id', 1L, 'raw_text', 'abcdef', 'keywords', array(named_struct('role', 'A', 'char_start', 1, 'char_end', 3), named_struct('role', 'A', 'char_start', 3, 'char_end', 4), named_struct('role', 'B', 'char_start', 5, 'char_end', 6))),
+        named_struct('id', 1L, 'raw_text', 'xy', 'keywords', cast(array() as array<struct<role:string,char_start:int,char_end:int>>)),
+        named_struct('id', 2L, 'raw_text', '', 'keywords', array(named_struct('role', 'A', 'char_start', 0, 'char_end', 1))))) as r""").select("r.*")
+    found = highlight.segments(texts)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((r["id"], r["begin"], r["end"], r["text"], ",".join(r["roles"])) for r in found.collect())
+    assert rows == [(1, 0, 1, "a", ""), (1, 0, 2, "xy", ""), (1, 1, 4, "bcd", "A"), (1, 4, 5, "e", ""), (1, 5, 6, "f", "B")]
