@@ -10,7 +10,9 @@ which loses no pair, and a pair of the join counts if its edit distance is one.
 
 Counting words is a partial aggregation, so a word that is everywhere is one row a task. A word's form is
 its commonest near word, if that is at least ``factor`` times as frequent; as counts then grow at least
-so much along forms, chains are short and end, and roots are found by doubling their steps.
+so much along forms, chains are short and end, and roots are found by doubling their steps. Tables of
+words are merged, never broadcast: below the size at which Spark broadcasts, their files are packed, and the
+driver would unpack them.
 
 A null text has no words; a null doc_id counts as the empty text in the digest that misspells. Repeated
 rows count as often as they occur; an empty table gives an empty result; other columns are not looked
@@ -108,7 +110,7 @@ def near_words(words: DataFrame, replaced: tuple[int, int, int] = REPLACED, inse
 
     def joined(left: DataFrame, right: DataFrame, condition: F.Column) -> DataFrame:
         a, b = left.alias("a"), right.withColumnRenamed("word", "near").alias("b")
-        return a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key] + [condition & apart]).select("word", "near")
+        return a.join(b.hint("merge"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key] + [condition & apart]).select("word", "near")
 
     same = joined(signed(words, replaced), signed(words, replaced), F.col("word") < F.col("near"))
     longer = joined(signed(words, inserted), signed(words, inserted, 1), F.lit(True))
@@ -121,7 +123,7 @@ def roots(forms: DataFrame, steps: int) -> DataFrame:
     now = stored(forms.select("word", F.col("form").alias("root")))
     for _ in range(max(0, math.ceil(math.log2(max(1, steps))))):
         onward = now.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        now = stored(now.join(onward, "root", "left").select("word", F.coalesce("further", "root").alias("root")))
+        now = stored(now.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root")))
     return now
 
 
@@ -129,10 +131,10 @@ def variants(words: DataFrame, factor: int = FACTOR) -> DataFrame:
     """words: word, n. Each with its number of near words, its form and the form's n, and its root."""
     words = stored(words)
     counts = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
-    near = near_words(words).join(counts, "near").groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), "near")).alias("best"))
+    near = near_words(words).join(counts.hint("merge"), "near").groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), "near")).alias("best"))
     fits = -F.col("best.minus") >= F.col("n") * factor
-    found = stored(words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(fits, F.col("best.near")).alias("form"), F.when(fits, -F.col("best.minus")).alias("form_n")))
+    found = stored(words.join(near.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(fits, F.col("best.near")).alias("form"), F.when(fits, -F.col("best.minus")).alias("form_n")))
     least, most = found.agg(F.min("n"), F.max("n")).first()
     steps = math.ceil(math.log(most / least, factor)) + 1 if most else 0
     ends = roots(found.where("form is not null"), steps)
-    return found.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

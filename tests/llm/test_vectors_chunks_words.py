@@ -286,3 +286,11 @@ def test_signatures_keep_most_other_words_apart():
     keys = spelling.signatures(words, *spelling.REPLACED)
     met = sum((keys[i] == keys[j]).any() for i in range(len(words)) for j in range(i))
     assert met < len(words) * (len(words) - 1) / 2 / 500
+
+
+def test_tables_of_words_are_not_sent_to_the_driver(spark):
+    words = spark.createDataFrame([("kitaplar", 50), ("kitaplr", 5), ("kitaplara", 6)], "word string, n long")
+    found = spelling.variants(words)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in spelling.near_words(words)._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["word"], r["form"]) for r in found.collect()) == [("kitaplar", None), ("kitaplara", "kitaplar"), ("kitaplr", "kitaplar")]
