@@ -8,15 +8,16 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterator
 from itertools import accumulate
 from operator import itemgetter
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scan import MONTHS, Scanner, normalise, normalised, numbers, sentences
+from ..functions.scan import MONTHS, NUMBER_HINT, Scanner, normalise, normalised, numbers, sentences
 from ..sources.catalog import OTHER, Catalog, load_catalog
 from ..sources.reference_data import PROVINCES
 
@@ -31,24 +32,49 @@ HIT = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("ord", pa.int32())
 FIELDS = itemgetter(*(f.name for f in HIT))
 #: Rows and bytes of text, about, that are held as Python objects at once: Spark's batches may hold 10,000 long texts.
 PIECE_ROWS, PIECE_BYTES = 500, 1 << 20
+#: What a scan looks for.
+PARTS = ("sentences", "numbers", "hits")
 SCANNED = (
     "raw_report_id string, ref_date date, value string, sentences array<struct<begin:int,end:int>>, numbers array<struct<value:bigint,begin:int,end:int,notation:string>>, "
     "hits array<struct<begin:int,end:int,ord:int,kind:string,key:string,detail:string,raw:string,char_start:int,char_end:int>>, failure_reason string"
 )
 
 
-def scan_one(scanner: Scanner, raw: str) -> tuple[str, list[tuple], list[tuple], list[tuple]]:
-    """The normalised text, and the fields of its sentences, numbers and hits. Where a hit stands in the
-    source is looked up for hits alone."""
-    value = normalised(raw)
-    hits = scanner.hits(value)
+def scan_one(scanner: Scanner, raw: str, value: str, kinds: list[str], counts: bool, parts: Collection[str]) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """The fields of a text's sentences, numbers and hits; kinds and counts: what the hints leave of hits and
+    numbers. Where a hit stands in the source is looked up for hits alone."""
+    hits = scanner.hits(value, kinds) if kinds else []
     if hits:
         _, begin, end = normalise(raw)
         wide = [m.start() for m in WIDE.finditer(raw)]
         for h in hits:
             a, b = begin[h["begin"]], end[h["end"] - 1]
             h.update(raw=raw[a:b], char_start=a + bisect_left(wide, a), char_end=b + bisect_left(wide, b))
-    return value, sentences(value), numbers(value), [FIELDS(h) for h in hits]
+    return sentences(value) if "sentences" in parts else [], numbers(value) if counts else [], [FIELDS(h) for h in hits]
+
+
+def read_texts(scanner: Scanner, texts: list[str | None], parts: Collection[str] = PARTS) -> tuple[pa.Array, list[tuple], list[str | None]]:
+    """The normalised texts, what scan_one gives of each, and why a text could not be read."""
+    values, rows, failures = [None] * len(texts), [(None, None, None)] * len(texts), [None] * len(texts)
+
+    def tried(k: int, step: Callable[[], object]) -> object:
+        try:  # one report's failure must not stop the others
+            return step()
+        except Exception as e:
+            values[k], failures[k] = None, f"{type(e).__name__}: {e}"[:LONGEST_REASON]
+
+    for k, raw in enumerate(texts):
+        if raw is None:
+            failures[k] = "ValueError: text must not be null"
+        else:
+            values[k] = tried(k, lambda: normalised(raw))
+    array = pa.array(values, pa.string())
+    left = {kind: pc.match_substring_regex(array, hint).to_pylist() for kind, hint in scanner.hints.items()} if "hits" in parts else {}
+    counts = pc.match_substring_regex(array, NUMBER_HINT).to_pylist() if "numbers" in parts else [False] * len(texts)
+    for k, (raw, value) in enumerate(zip(texts, values)):
+        if value is not None:
+            rows[k] = tried(k, lambda: scan_one(scanner, raw, value, [kind for kind, there in left.items() if there[k]], counts[k], parts)) or rows[k]
+    return pa.array(values, pa.string()), rows, failures
 
 
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -65,28 +91,20 @@ def listed(rows: tuple[list[tuple] | None, ...], kind: pa.StructType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held, mask=pa.array([row is None for row in rows], pa.bool_()))
 
 
-def scan(reports: DataFrame, catalog: Catalog | None = None, provinces: dict[int, str] | None = None) -> DataFrame:
+def scan(reports: DataFrame, catalog: Catalog | None = None, provinces: dict[int, str] | None = None, parts: Collection[str] = PARTS) -> DataFrame:
     """reports: raw_report_id, raw_text, ref_date. One row per report with what its text holds; a text
-    that cannot be read has a failure_reason and nothing else."""
+    that cannot be read has a failure_reason and nothing else. Of sentences, numbers and hits only the parts asked
+    for are looked for; the others are empty."""
     catalog, provinces = catalog or load_catalog(), provinces or dict(enumerate(PROVINCES, 1))
     Scanner(catalog, provinces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(catalog, provinces)
         for batch in (piece for whole in batches for piece in pieces(whole)):
-            rows, failures = [], []
-            for raw in batch.column("raw_text").to_pylist():
-                try:
-                    if raw is None:
-                        raise ValueError("text must not be null")
-                    rows.append(scan_one(scanner, raw))
-                    failures.append(None)
-                except Exception as e:  # one report's failure must not stop the others
-                    rows.append((None, None, None, None))
-                    failures.append(f"{type(e).__name__}: {e}"[:LONGEST_REASON])
-            value, sent, num, hits = zip(*rows)
+            value, rows, failures = read_texts(scanner, batch.column("raw_text").to_pylist(), parts)
+            sent, num, hits = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("raw_report_id"), batch.column("ref_date"), pa.array(value, pa.string()), listed(sent, SPAN), listed(num, NUMBER), listed(hits, HIT), pa.array(failures, pa.string())],
+                [batch.column("raw_report_id"), batch.column("ref_date"), value, listed(sent, SPAN), listed(num, NUMBER), listed(hits, HIT), pa.array(failures, pa.string())],
                 ["raw_report_id", "ref_date", "value", "sentences", "numbers", "hits", "failure_reason"],
             )
 

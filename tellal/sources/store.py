@@ -58,9 +58,11 @@ def utf16_length(text: str) -> F.Column:
 
 
 def validated(submissions: DataFrame, longest: int = LONGEST_TEXT) -> DataFrame:
-    """With error_code: blank text, too long text, or null."""
-    blank = F.col("raw_text").isNull() | (F.regexp_replace("raw_text", r"[\s\p{Z}\x1c-\x1f]+", "") == "")
-    return submissions.withColumn("error_code", F.when(blank, "report.text.blank").when(utf16_length("raw_text") > longest, "report.text.too-long"))
+    """With error_code: blank text, too long text, or null. A text has no more UTF-16 units than bytes and no
+    fewer than characters, so few are counted."""
+    blank = F.col("raw_text").isNull() | ~F.col("raw_text").rlike(r"[^\s\p{Z}\x1c-\x1f]")
+    long = (F.octet_length("raw_text") > longest) & ((F.length("raw_text") > longest) | (utf16_length("raw_text") > longest))
+    return submissions.withColumn("error_code", F.when(blank, "report.text.blank").when(long, "report.text.too-long"))
 
 
 def hashed(submissions: DataFrame) -> DataFrame:
@@ -123,7 +125,7 @@ class Store:
         checked = validated(submissions)
         mine = hashed(checked.where("error_code is null"))
         firsts = first_of_each(mine).withColumn("prefix", F.expr(PREFIX))
-        folders = [r["prefix"] for r in firsts.select("prefix").distinct().collect()]
+        folders = [r["prefix"] for r in mine.select(F.expr(PREFIX).alias("prefix")).distinct().collect()]
         older = self._raw(*(f"{self.path}/raw_report/prefix={p}" for p in folders)).where(F.col("batch") != batch)
         older = older.groupBy("text_hash").agg(F.min_by(F.struct("raw_report_id", "submitted_at"), F.struct("submitted_at", "raw_report_id")).alias("old"))
         known = firsts.join(older, "text_hash", "left")

@@ -31,7 +31,7 @@ def read_lines(lines: DataFrame) -> DataFrame:
     that of the batch. What follows the object in its line is not read. Blank and null lines are no
     submissions. Other columns are not looked at.
     """
-    read = lines.select(F.col("value").alias("line")).where(F.trim(F.regexp_replace("line", r"[\s\x00-\x20]+", " ")) != "")
+    read = lines.select(F.col("value").alias("line")).where(F.col("line").rlike(r"[^\x00-\x20]"))
     fields = read.withColumn("fields", F.expr("try_cast(try_parse_json(line) as map<string, variant>)"))
     value = {f: F.element_at("fields", f) for f in FIELDS}
     strange = F.array_except(F.map_keys("fields"), F.array(*map(F.lit, FIELDS)))
@@ -68,12 +68,11 @@ def ingest(stream: DataFrame, store: Store, checkpoint: str, clock: Callable[[],
 
     def batch(rows: DataFrame, number: int) -> None:
         told = rows if "error_code" in rows.columns else rows.withColumns({c: F.lit(None).cast("string") for c in ("line", "error_code", "detail")})
-        told = told.persist()
-        readable = told.where("error_code is null").drop("error_code")
-        invalid = validated(readable).where("error_code is not null")
-        refused = told.where("error_code is not null").unionByName(invalid).withColumn("refused_at", F.lit(clock()).cast("timestamp"))
-        store.append("refused", refused, f"{source}-{number}")
-        store.submit(readable.select("raw_text", "submitted_at"))
+        told = validated(told.withColumnRenamed("error_code", "unreadable")).withColumn("error_code", F.coalesce("unreadable", "error_code")).drop("unreadable")
+        # a line that is stored has all that matters in its text
+        told = told.withColumn("line", F.when(F.col("error_code").isNotNull(), F.col("line"))).persist()
+        store.append("refused", told.where("error_code is not null").withColumn("refused_at", F.lit(clock()).cast("timestamp")), f"{source}-{number}")
+        store.submit(told.where("error_code is null").select("raw_text", "submitted_at"))
         store.analyse_pending(clock(), **options)
         told.unpersist()
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tellal.operators import analytics, highlight, listing, signals
 from tellal.plans.query import AnalyticsQuery, IncidentQuery, NotFound, Page, ProvinceGrouping
-from tellal.sources.store import Store
+from tellal.sources.store import Store, validated
 from tellal.streaming import ingest, refresh
 
 TEXTS = [
@@ -269,3 +269,15 @@ def test_pieces_make_up_the_text(spark):
     rows = spark.sql("select 1L as id, 'abc def' as raw_text, array(named_struct('role', 'DATE', 'char_start', 0, 'char_end', 3), named_struct('role', 'DATE', 'char_start', 3, 'char_end', 5), named_struct('role', 'X', 'char_start', 5, 'char_end', 5)) as keywords union all select 2L, 'xy', array() union all select 3L, '🙂 kaza 🙂', array(named_struct('role', 'M', 'char_start', 3, 'char_end', 7))")
     out = highlight.segments(rows).orderBy("id", "begin").collect()
     assert [(r.id, r.text, r.roles) for r in out] == [(1, "abc d", ["DATE"]), (1, "ef", []), (2, "xy", []), (3, "🙂 ", []), (3, "kaza", ["M"]), (3, " 🙂", [])]
+
+
+def test_texts_are_validated_by_their_utf16_units_and_lines_without_rewriting_them(spark):
+    texts = ["", " \t\u00a0\u2003\x1c", "\u200b", " a", "x" * 10, "x" * 11, "ş" * 10, "ş" * 11, "\U0001F600" * 5, "\U0001F600" * 5 + "x", None]
+    rows = validated(spark.createDataFrame([(t,) for t in texts], "raw_text string"), 10)
+    codes = ["report.text.blank"] * 2 + [None] * 3 + ["report.text.too-long", None, "report.text.too-long", None, "report.text.too-long", "report.text.blank"]
+    assert [r.error_code for r in rows.collect()] == codes
+    # a whole text is written anew only where its units must be counted
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 1
+    lines = spark.createDataFrame([(x,) for x in ("", " \x00\x1f\t", None, "\u00a0")], "value string")
+    read = ingest.read_lines(lines)
+    assert [r.line for r in read.collect()] == ["\u00a0"] and "regexp_replace" not in read._jdf.queryExecution().optimizedPlan().toString()
