@@ -36,10 +36,10 @@ def _one_of(values: list[str], index: Column | str) -> Column:
     return F.get(F.array(*map(F.lit, values)), F.expr(index).cast("int") if isinstance(index, str) else index.cast("int"))
 
 
-def _understood(rows: DataFrame, text: Column, day: Column | str) -> DataFrame:
-    """k and what is understood of the text, read on a day."""
+def _understood(rows: DataFrame, text: Column, day: Column | str, *parts: str) -> DataFrame:
+    """k and what is understood of the text, read on a day, from parts of the scan."""
     reports = rows.select(F.col("k").cast("string").alias("raw_report_id"), text.alias("raw_text"), F.expr(day).alias("ref_date") if isinstance(day, str) else day.alias("ref_date"))
-    return extraction.understood(extraction.scan(reports)).withColumn("k", F.col("raw_report_id").cast("long"))
+    return extraction.understood(extraction.scan(reports, parts=parts)).withColumn("k", F.col("raw_report_id").cast("long"))
 
 
 def in_words(n: Column) -> Column:
@@ -62,7 +62,7 @@ def number_words_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = (F.col("k") * 7919 + F.col("c") * 104_729) % 999_999_999 + 1
     grouped = F.replace(F.format_number("k", 0), F.lit(","), F.lit("."))
     text = F.concat(in_words(n), F.lit(" kişi yaralandı. Onlarca kişi ve "), grouped, F.lit(" araç E-80 karayolunda kaldı."))
-    return _understood(_orders(spark, sf_dir), text, "d").select("k", F.expr("array_join(transform(numbers, x -> cast(x.value as string)), ',')").alias("figures"))
+    return _understood(_orders(spark, sf_dir), text, "d", "numbers").select("k", F.expr("array_join(transform(numbers, x -> cast(x.value as string)), ',')").alias("figures"))
 
 
 NUMBER_WORDS_SQL = "select cast(o_orderkey as bigint) as k, ((o_orderkey * 7919 + o_custkey * 104729) % 999999999 + 1) || ',' || o_orderkey as figures from orders"
@@ -76,7 +76,7 @@ def dates_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         *map(F.lit, ("dün", "önceki gün", "geçen hafta", "geçen ay", "bugün", "henüz")),
     ]
     text = F.concat(F.get(F.array(*ways), (F.col("k") % 10).cast("int")), F.lit(" Ankara'da kaza oldu."))
-    read = _understood(_orders(spark, sf_dir), text, "date_add(d, cast((k * 31 + c) % 700 as int))")
+    read = _understood(_orders(spark, sf_dir), text, "date_add(d, cast((k * 31 + c) % 700 as int))", "hits")
     return read.select("k", F.expr("coalesce(day.date, ref_date)").alias("day"), F.expr("coalesce(day.source, 'DEFAULTED')").alias("source"))
 
 
@@ -91,7 +91,7 @@ def places_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two places with endings, and a district of the name of a province, which is none."""
     first, second = _one_of(PROVINCES, "c % 81"), _one_of(PROVINCES, "(c + k) % 81")
     text = F.concat(first, _one_of(ENDINGS, "k % 5"), F.lit(" ve "), second, _one_of(ENDINGS, "c % 5"), F.lit(" kaza oldu. Aksaray ilçesinde yol kapandı."))
-    return _understood(_orders(spark, sf_dir), text, "d").select("k", F.expr("array_join(transform(provs, p -> p.detail), ',')").alias("places"))
+    return _understood(_orders(spark, sf_dir), text, "d", "hits").select("k", F.expr("array_join(transform(provs, p -> p.detail), ',')").alias("places"))
 
 
 PLACES_SQL = "select cast(o_orderkey as bigint) as k, (o_custkey % 81 + 1) || ',' || ((o_custkey + o_orderkey) % 81 + 1) as places from orders"
@@ -172,7 +172,7 @@ OUTCOMES_SQL = f"""select cast(o_orderkey as bigint) as k, case when o_orderkey
 def sentences_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences with abbreviations, decimals and addresses, which end none."""
     text = F.expr("concat('Dr. ', c, ' geldi. Tutar ', k, ',5 lira! Bkz. www.ornek', k, '.gov… ', 'son ', d, '?')")
-    return _understood(_orders(spark, sf_dir), text, "d").select("k", F.expr("array_join(transform(sentences, x -> substring(value, x.begin + 1, x.end - x.begin)), '|')").alias("parts"))
+    return _understood(_orders(spark, sf_dir), text, "d", *extraction.PARTS).select("k", F.expr("array_join(transform(sentences, x -> substring(value, x.begin + 1, x.end - x.begin)), '|')").alias("parts"))
 
 
 SENTENCES_SQL = "select cast(o_orderkey as bigint) as k, 'dr. ' || o_custkey || ' geldi.|tutar ' || o_orderkey || ',5 lira!|bkz. www.ornek' || o_orderkey || '.gov…|son ' || cast(o_orderdate as date) || '?' as parts from orders"
