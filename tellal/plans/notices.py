@@ -172,7 +172,7 @@ OUTCOMES_SQL = f"""select cast(o_orderkey as bigint) as k, case when o_orderkey
 def sentences_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences with abbreviations, decimals and addresses, which end none."""
     text = F.expr("concat('Dr. ', c, ' geldi. Tutar ', k, ',5 lira! Bkz. www.ornek', k, '.gov… ', 'son ', d, '?')")
-    return _understood(_orders(spark, sf_dir), text, "d", *extraction.PARTS).select("k", F.expr("array_join(transform(sentences, x -> substring(value, x.begin + 1, x.end - x.begin)), '|')").alias("parts"))
+    return _understood(_orders(spark, sf_dir), text, "d", "sentences").select("k", F.expr("array_join(transform(sentences, x -> substring(value, x.begin + 1, x.end - x.begin)), '|')").alias("parts"))
 
 
 SENTENCES_SQL = "select cast(o_orderkey as bigint) as k, 'dr. ' || o_custkey || ' geldi.|tutar ' || o_orderkey || ',5 lira!|bkz. www.ornek' || o_orderkey || '.gov…|son ' || cast(o_orderdate as date) || '?' as parts from orders"
