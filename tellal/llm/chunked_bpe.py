@@ -89,18 +89,18 @@ class Ranks:
         return self._merge_short(piece) if len(piece) <= 64 else self._merge_long(piece)
 
     def _merge_short(self, piece: bytes) -> list[int]:
+        # parts are places in the piece, so that a merge takes one away and makes no bytes but those looked up
         rank, never = self.rank, len(self.rank) << 1
-        parts = [piece[k : k + 1] for k in range(len(piece))]
-        ranks = [rank.get(a + b, never) for a, b in zip(parts, parts[1:])]
+        get, cuts = rank.get, list(range(len(piece) + 1))
+        ranks = [get(piece[k : k + 2], never) for k in range(len(piece) - 1)]
         while ranks and (least := min(ranks)) < never:
             k = ranks.index(least)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-            del ranks[k]
+            del ranks[k], cuts[k + 1]
             if k < len(ranks):
-                ranks[k] = rank.get(parts[k] + parts[k + 1], never)
+                ranks[k] = get(piece[cuts[k] : cuts[k + 2]], never)
             if k:
-                ranks[k - 1] = rank.get(parts[k - 1] + parts[k], never)
-        return [rank[p] for p in parts]
+                ranks[k - 1] = get(piece[cuts[k - 1] : cuts[k + 1]], never)
+        return [rank[piece[a:b]] for a, b in zip(cuts, cuts[1:])]
 
     def _merge_long(self, piece: bytes) -> list[int]:
         """The same with a heap of pairs, for pieces in which looking for the least pair would take long."""

@@ -174,6 +174,25 @@ def test_long_pieces_merge_like_short_ones(library, letters, n):
         assert ranks._merge_short(data) == ranks._merge_long(data)
 
 
+def test_short_pieces_are_merged_without_making_parts(library):
+    class Whole(bytes):
+        """Bytes whose slices are counted; parts that are joined would be plain bytes that no slice counts."""
+
+        made = 0
+
+        def __getitem__(self, key):
+            Whole.made += 1
+            return bytes(self)[key]
+
+    ranks, rnd = chunked_bpe.load(chunked_bpe.default_path()), random.Random(4)
+    for _ in range(300):
+        text = "".join(rnd.choice("abcdehinorst") for _ in range(rnd.randint(2, 30)))
+        ids, Whole.made = library.encode_ordinary(text), 0
+        if len(ids) > 1:
+            assert ranks._merge_short(Whole(text.encode())) == ids
+            assert Whole.made <= len(text) - 1 + 2 * (len(text) - len(ids)) + len(ids) and Whole.made >= len(text) - 1 + len(ids)
+
+
 @pytest.mark.parametrize("size,overlap", [(1 << 14, 256), (40, 10)])
 def test_documents_are_encoded_as_by_the_library(spark, monkeypatch, library, size, overlap):
     monkeypatch.setattr(chunked_bpe, "CHUNK", size)
