@@ -1,23 +1,23 @@
-"""From raw texts to records: one scan in Python, everything it implies in column expressions.
+"""From raw texts to records: one scan in Python, what it implies in column expressions.
 
-A report's hits stay in its row as arrays, so dates, classification, attribution and the assembly of
-records need no shuffle, and nothing is copied for each number of a text.
+A report's hits stay in its row as arrays, so dates and the assembly of records need no shuffle, and nothing is
+copied for each number of a text. What stands nearest to a number is looked up where the sorted spans are, in the scan.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections.abc import Callable, Collection, Iterator
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
+from collections.abc import Collection, Iterator
 from itertools import accumulate
-from operator import itemgetter
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scan import MONTHS, NUMBER_HINT, Scanner, normalise, normalised, numbers, sentences
+from ..functions.scan import BETWEEN, MONTHS, NUMBER_HINT, Scanner, Together, moved, normalise, normalised, numbers, sentences
 from ..sources.catalog import OTHER, Catalog, load_catalog
 from ..sources.reference_data import PROVINCES
 
@@ -29,52 +29,164 @@ WIDE = re.compile("[\U00010000-\U0010ffff]")
 SPAN = pa.struct([("begin", pa.int32()), ("end", pa.int32())])
 NUMBER = pa.struct([("value", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("notation", pa.string())])
 HIT = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("ord", pa.int32()), ("kind", pa.string()), ("key", pa.string()), ("detail", pa.string()), ("raw", pa.string()), ("char_start", pa.int32()), ("char_end", pa.int32())])
-FIELDS = itemgetter(*(f.name for f in HIT))
+#: What a number counts: the event type, whether provinces share it, else the province, the metric and its evidence;
+#: dated: whether the number lies in a relative date (1) or one of the calendar (2).
+LINK = pa.struct([
+    ("type", pa.string()), ("shared", pa.bool_()), ("code", pa.int16()), ("fits", pa.bool_()), ("value", pa.int64()), ("metric", pa.string()), ("raw", pa.string()), ("char_start", pa.int32()), ("char_end", pa.int32()),
+    ("begin", pa.int32()), ("end", pa.int32()), ("dated", pa.int32()),
+])
 #: Rows and bytes of text, about, that are held as Python objects at once: Spark's batches may hold 10,000 long texts.
 PIECE_ROWS, PIECE_BYTES = 500, 1 << 20
+#: How many pieces are searched without a hint that left nearly all texts of the last one.
+PIECES_WITHOUT_HINT = 50
 #: What a scan looks for.
 PARTS = ("sentences", "numbers", "hits")
 SCANNED = (
     "raw_report_id string, ref_date date, value string, sentences array<struct<begin:int,end:int>>, numbers array<struct<value:bigint,begin:int,end:int,notation:string>>, "
-    "hits array<struct<begin:int,end:int,ord:int,kind:string,key:string,detail:string,raw:string,char_start:int,char_end:int>>, failure_reason string"
+    "hits array<struct<begin:int,end:int,ord:int,kind:string,key:string,detail:string,raw:string,char_start:int,char_end:int>>, failure_reason string, types array<string>, "
+    "links array<struct<type:string,shared:boolean,code:smallint,fits:boolean,value:bigint,metric:string,raw:string,char_start:int,char_end:int,begin:int,end:int,dated:int>>"
 )
-
-
-def scan_one(scanner: Scanner, raw: str, value: str, kinds: list[str], counts: bool, parts: Collection[str]) -> tuple[list[tuple], list[tuple], list[tuple]]:
-    """The fields of a text's sentences, numbers and hits; kinds and counts: what the hints leave of hits and
-    numbers. Where a hit stands in the source is looked up for hits alone."""
-    hits = scanner.hits(value, kinds) if kinds else []
-    if hits:
-        _, begin, end = normalise(raw)
-        wide = [m.start() for m in WIDE.finditer(raw)]
-        for h in hits:
-            a, b = begin[h["begin"]], end[h["end"] - 1]
-            h.update(raw=raw[a:b], char_start=a + bisect_left(wide, a), char_end=b + bisect_left(wide, b))
-    return sentences(value) if "sentences" in parts else [], numbers(value) if counts else [], [FIELDS(h) for h in hits]
-
-
-def read_texts(scanner: Scanner, texts: list[str | None], parts: Collection[str] = PARTS) -> tuple[pa.Array, list[tuple], list[str | None]]:
-    """The normalised texts, what scan_one gives of each, and why a text could not be read."""
+CALENDAR = ("ISO", "NUMERIC", "NAMED")
+#: Hits that records are made of; those of metrics and markers are in the links.
+SHOWN = ("DATE", "PROVINCE", "EVENT_TYPE")
+
+
+def sourced(raw: str, value: str, hits: list[tuple]) -> list[tuple]:
+    """The hits with what stands there in the source and where (UTF-16 units)."""
+    by = moved(raw, value)
+    _, begin, end = normalise(raw) if by is None else (None, None, None)
+    wide = [m.start() for m in WIDE.finditer(raw)] if WIDE.search(raw) else None
+    out = []
+    for h in hits:
+        a, b = (h[0] + by, h[1] + by) if by is not None else (begin[h[0]], end[h[1] - 1])
+        out.append((*h, raw[a:b], a + bisect_left(wide, a), b + bisect_left(wide, b)) if wide else (*h, raw[a:b], a, b))
+    return out
+
+
+def read_together(scanner: Scanner, texts: list[str], values: list[str], parts: Collection[str], all_metrics: bool) -> list[tuple[list[tuple], list[tuple], list[tuple]]]:
+    """The fields of each text's sentences, numbers and hits; the patterns go over all texts at once. Hints leave
+    texts out of the search; where a hit stands in the source is looked up for hits alone."""
+    array, every = pa.array(values, pa.string()), range(len(values))
+
+    def left(kind: str, hint: str) -> list[int]:
+        """The texts that a hint leaves. One that left nearly all is not asked for the next pieces."""
+        if scanner.idle.get(kind, 0) > 0:
+            scanner.idle[kind] -= 1
+            return list(every)
+        some = [k for k, there in zip(every, pc.match_substring_regex(array, hint).to_pylist()) if there]
+        scanner.idle[kind] = PIECES_WITHOUT_HINT if len(some) > 0.9 * len(values) > 9 else 0
+        return some
+
+    found, counted = {}, defaultdict(list)
+    if "hits" in parts:
+        asked = {kind: some for kind, hint in scanner.hints.items() if (some := left(kind, hint))}
+        found = scanner.hits_of(values, asked, all_metrics) if asked else {}
+        found = {k: sourced(texts[k], values[k], hits) for k, hits in found.items()}
+    if "numbers" in parts and (some := left("NUMBER", NUMBER_HINT)):
+        together = Together([values[k] for k in some], some)
+        for n, a, b, notation in numbers(together.text):
+            k = bisect_right(together.starts, a) - 1
+            counted[some[k]].append((n, a - together.starts[k], b - together.starts[k], notation))
+    return [(sentences(value) if "sentences" in parts else [], counted.get(k, []), found.get(k, [])) for k, value in enumerate(values)]
+
+
+def read_texts(scanner: Scanner, texts: list[str | None], parts: Collection[str] = PARTS, all_metrics: bool = True) -> tuple[pa.Array, list[tuple], list[str | None]]:
+    """The normalised texts, the sentences, numbers and hits of each, and why a text could not be read."""
     values, rows, failures = [None] * len(texts), [(None, None, None)] * len(texts), [None] * len(texts)
 
-    def tried(k: int, step: Callable[[], object]) -> object:
+    def failed(k: int, e: Exception) -> None:
+        values[k], failures[k] = None, f"{type(e).__name__}: {e}"[:LONGEST_REASON]
+
+    for k, raw in enumerate(texts):
         try:  # one report's failure must not stop the others
-            return step()
+            if raw is None:
+                raise ValueError("text must not be null")
+            values[k] = normalised(raw)
         except Exception as e:
-            values[k], failures[k] = None, f"{type(e).__name__}: {e}"[:LONGEST_REASON]
+            failed(k, e)
+    whole = [k for k, value in enumerate(values) if value is not None]
+    groups = [[k for k in whole if BETWEEN not in values[k]], *([k] for k in whole if BETWEEN in values[k])]
+    while groups:
+        group = groups.pop()
+        try:
+            for k, row in zip(group, read_together(scanner, [texts[k] for k in group], [values[k] for k in group], parts, all_metrics) if group else ()):
+                rows[k] = row
+        except Exception as e:
+            if len(group) == 1:
+                failed(group[0], e)
+            else:  # some text among them cannot be read: each by itself
+                groups += ([k] for k in group)
+    return pa.array(values, pa.string()), rows, failures
 
-    for k, raw in enumerate(texts):
-        if raw is None:
-            failures[k] = "ValueError: text must not be null"
+
+def ranked_types(hits: list[tuple]) -> list[str]:
+    """Event types with a trigger in the text: most triggers, then longest evidence, then catalog order."""
+    triggers, length = defaultdict(set), defaultdict(int)
+    for h in hits:
+        if h[3] == "EVENT_TYPE":
+            triggers[h[2], h[4]].add(h[5])
+            length[h[2], h[4]] += len(h[6])
+    return [key for _, key in sorted(triggers, key=lambda t: (-len(triggers[t]), -length[t], t[0]))]
+
+
+class Spans:
+    """Sorted spans, and whether one of them overlaps another span."""
+
+    def __init__(self, hits: list[tuple]):
+        self.begin, self.end = sorted(h[0] for h in hits), sorted(h[1] for h in hits)
+
+    def overlap(self, begin: int, end: int) -> bool:
+        return bisect_left(self.begin, end) != bisect_right(self.end, begin)
+
+
+def links_of(length: int, ends: list[tuple], counts: list[tuple], hits: list[tuple], types: list[str]) -> list[tuple]:
+    """What each number counts: as-of look-ups of what stands next to it in its sentence, on sorted spans. Numbers in
+    markers count nothing."""
+    if not counts or not types:
+        return []
+    kinds, metrics = defaultdict(list), {t: {} for t in types}
+    for h in hits:
+        if h[3] != "METRIC":
+            kinds[h[3] if h[3] != "DATE" else "CALENDAR" if h[4] in CALENDAR else "RELATIVE"].append(h)
+        elif (own := metrics.get(h[4])) is not None and (h[0] not in own or own[h[0]][2] > h[2]):
+            own[h[0]] = h  # of those that begin at one place, the first of the catalog
+    listed = [(t, own, sorted(own)) for t, own in metrics.items() if own]
+    if not listed:
+        return []
+    places, markers = sorted(kinds["PROVINCE"]), sorted(kinds["MARKER"])
+    place_begins, marker_begins, sentence_begins = [p[0] for p in places], [m[0] for m in markers], [s[0] for s in ends]
+    codes = {p[5] for p in places}
+    sole = int(next(iter(codes))) if len(codes) == 1 else None
+    marked, relative, calendar = (Spans(kinds[kind]) if kind in kinds else None for kind in ("MARKER", "RELATIVE", "CALENDAR"))
+    out = []
+    for value, a, b, _ in counts:
+        if marked and marked.overlap(a, b):
+            continue
+        k = bisect_right(sentence_begins, a)
+        begin, end = ends[k - 1] if k and a < ends[k - 1][1] else (0, max(1, length))
+        for event, own, begins in listed:
+            if (k := bisect_left(begins, b)) < len(begins) and begins[k] < end:
+                hit = own[begins[k]]
+                break
+            if (k := bisect_left(begins, a)) and begins[k - 1] >= begin:
+                hit = own[begins[k - 1]]
+                break
         else:
-            values[k] = tried(k, lambda: normalised(raw))
-    array = pa.array(values, pa.string())
-    left = {kind: pc.match_substring_regex(array, hint).to_pylist() for kind, hint in scanner.hints.items()} if "hits" in parts else {}
-    counts = pc.match_substring_regex(array, NUMBER_HINT).to_pylist() if "numbers" in parts else [False] * len(texts)
-    for k, (raw, value) in enumerate(zip(texts, values)):
-        if value is not None:
-            rows[k] = tried(k, lambda: scan_one(scanner, raw, value, [kind for kind, there in left.items() if there[k]], counts[k], parts)) or rows[k]
-    return pa.array(values, pa.string()), rows, failures
+            continue
+        k = bisect_left(marker_begins, begin)
+        shared = len(codes) > 1 and k < len(markers) and markers[k][1] <= end
+        k = bisect_left(place_begins, a)
+        if shared:
+            code = None
+        elif k and place_begins[k - 1] >= begin:
+            code = int(places[k - 1][5])
+        elif k < len(places) and place_begins[k] < end:
+            code = int(places[k][5])
+        else:
+            code = sole
+        dated = 2 if calendar and calendar.overlap(a, b) else 1 if relative and relative.overlap(a, b) else 0
+        out.append((event, shared, code, -(2**31) <= value < 2**31, value, hit[5], hit[6], hit[7], hit[8], a, b, dated))
+    return out
 
 
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -91,21 +203,28 @@ def listed(rows: tuple[list[tuple] | None, ...], kind: pa.StructType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held, mask=pa.array([row is None for row in rows], pa.bool_()))
 
 
-def scan(reports: DataFrame, catalog: Catalog | None = None, provinces: dict[int, str] | None = None, parts: Collection[str] = PARTS) -> DataFrame:
+def scan(reports: DataFrame, catalog: Catalog | None = None, provinces: dict[int, str] | None = None, parts: Collection[str] = PARTS, brief: bool = False) -> DataFrame:
     """reports: raw_report_id, raw_text, ref_date. One row per report with what its text holds; a text
     that cannot be read has a failure_reason and nothing else. Of sentences, numbers and hits only the parts asked
-    for are looked for; the others are empty."""
+    for are looked for; the others are empty, and links, which need all of them, too. brief: hands on only what records
+    and outcomes are made of."""
     catalog, provinces = catalog or load_catalog(), provinces or dict(enumerate(PROVINCES, 1))
     Scanner(catalog, provinces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(catalog, provinces)
         for batch in (piece for whole in batches for piece in pieces(whole)):
-            value, rows, failures = read_texts(scanner, batch.column("raw_text").to_pylist(), parts)
+            value, rows, failures = read_texts(scanner, batch.column("raw_text").to_pylist(), parts, not brief)
+            lengths = pc.utf8_length(value).to_pylist()
+            types = [None if hits is None else ranked_types(hits) for _, _, hits in rows]
+            links = [None if hits is None else links_of(n, sent, num, hits, of) for n, (sent, num, hits), of in zip(lengths, rows, types)]
+            if brief:
+                value = pa.nulls(len(rows), pa.string())
+                rows = [row if row[2] is None else ([], [], [h for h in row[2] if h[3] in SHOWN]) for row in rows]
             sent, num, hits = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("raw_report_id"), batch.column("ref_date"), value, listed(sent, SPAN), listed(num, NUMBER), listed(hits, HIT), pa.array(failures, pa.string())],
-                ["raw_report_id", "ref_date", "value", "sentences", "numbers", "hits", "failure_reason"],
+                [batch.column("raw_report_id"), batch.column("ref_date"), value, listed(sent, SPAN), listed(num, NUMBER), listed(hits, HIT), pa.array(failures, pa.string()), pa.array(types, pa.list_(pa.string())), listed(links, LINK)],
+                ["raw_report_id", "ref_date", "value", "sentences", "numbers", "hits", "failure_reason", "types", "links"],
             )
 
     return reports.select("raw_report_id", "raw_text", "ref_date").mapInArrow(run, SCANNED)
@@ -136,16 +255,6 @@ def date_mentions() -> Column:
     return F.expr(f"array_sort(filter(transform(filter(hits, h -> h.kind = 'DATE'), h -> {mention}), d -> d.date is not null))")
 
 
-def event_types() -> Column:
-    """Event types with a trigger in the text: most triggers, then longest evidence, then catalog order."""
-    triggers = "filter(hits, h -> h.kind = 'EVENT_TYPE')"
-    own = f"filter({triggers}, h -> h.ord = t)"
-    return F.expr(
-        f"array_sort(transform(array_distinct(transform({triggers}, h -> h.ord)), t -> named_struct("
-        f"'minus_score', -size(array_distinct(transform({own}, h -> h.detail))), 'minus_length', -aggregate({own}, 0, (n, h) -> n + length(h.raw)), 'ord', t, 'key', {own}[0].key)))"
-    )
-
-
 def rank(keys: str, points: str, equal: bool = False) -> str:
     """SQL for how many of the points are less than (or equal to) each of the ascending keys: both are
     sorted together, and a key's place there, less the keys before it, is its rank."""
@@ -162,41 +271,20 @@ def given_once(values: dict[str, str], body: str, name: str = "w") -> str:
 
 
 def understood(scanned: DataFrame) -> DataFrame:
-    """Adds the date, provinces, event types, countable numbers and their attributions to scanned rows."""
-    rows = scanned.withColumn("dates", date_mentions()).withColumn("types", event_types()).withColumn("provs", of_kind("PROVINCE")).withColumn("markers", of_kind("MARKER"))
+    """Adds the date, provinces and what the countable numbers are given to (type, place, metric) to scanned rows."""
+    rows = scanned.withColumn("dates", date_mentions()).withColumn("provs", of_kind("PROVINCE"))
     rows = rows.withColumn("day", F.expr("coalesce(try_element_at(filter(dates, d -> d.source = 'EXPLICIT'), 1), try_element_at(dates, 1))"))
     rows = rows.withColumn("codes", F.expr("array_distinct(transform(provs, p -> cast(p.detail as smallint)))"))
-    # as-of look-ups on sorted spans: what stands before a number is found by its rank, not by a search
-    covers = "concat(transform(dates, s -> named_struct('begin', s.begin, 'end', s.end)), transform(markers, s -> named_struct('begin', s.begin, 'end', s.end)))"
-    free = given_once({"opened": rank("transform(v.n, n -> n.end)", "transform(v.c, s -> s.begin)"), "closed": rank("transform(v.n, n -> n.begin)", "transform(v.c, s -> s.end)", equal=True)}, "filter(v.n, (n, k) -> w.opened[k] = w.closed[k])")
-    rows = rows.withColumn("countable", F.expr(given_once({"n": "numbers", "c": covers}, free, "v")))
-    whole = "named_struct('begin', 0, 'end', greatest(1, length(value)))"
-    sentence = f"if(w.within[k] > 0 and n.begin < w.s[w.within[k] - 1].end, w.s[w.within[k] - 1], {whole})"
-    placed = f"transform(w.n, (n, k) -> named_struct('n', n, 'pos', k, 'fits', n.value between -2147483648 and 2147483647, 's', {sentence}))"
-    within = rank("transform(countable, n -> n.begin)", "transform(sentences, s -> s.begin)", equal=True)
-    rows = rows.withColumn("placed", F.expr(given_once({"n": "countable", "s": "sentences", "within": within}, placed)))
-    hit = "named_struct('begin', h.begin, 'ord', {o}h.ord, 'metric', h.detail, 'raw', h.raw, 'char_start', h.char_start, 'char_end', h.char_end)"
-    own = "filter(hits, h -> h.kind = 'METRIC' and h.key = t.key)"
-    ordered = f"transform(types, t -> named_struct('type', t.key, 'next', sort_array(transform({own}, h -> {hit.format(o='')})), 'last', sort_array(transform({own}, h -> {hit.format(o='-')}))))"
-    later, earlier = rank("transform(v.p, x -> x.n.end)", "transform(m.next, h -> h.begin)"), rank("transform(v.p, x -> x.n.begin)", "transform(m.last, h -> h.begin)")
-    ranked = f"transform(v.m, m -> named_struct('type', m.type, 'next', m.next, 'last', m.last, 'later', {later}, 'earlier', {earlier}))"
-    after = "if(m.later[k] < size(m.next) and m.next[m.later[k]].begin < x.s.end, m.next[m.later[k]], null)"
-    before = "if(m.earlier[k] > 0 and m.last[m.earlier[k] - 1].begin >= x.s.begin, m.last[m.earlier[k] - 1], null)"
-    linked = f"transform(v.p, (x, k) -> named_struct('x', x, 'm', try_element_at(filter(transform(w.m, m -> named_struct('type', m.type, 'hit', coalesce({after}, {before}))), c -> c.hit is not null), 1)))"
-    rows = rows.withColumn("linked", F.expr(given_once({"p": "placed", "m": ordered}, given_once({"m": ranked}, linked), "v")))
-    previous = "if(w.before[k] > 0 and v.p[w.before[k] - 1].begin >= l.x.s.begin, v.p[w.before[k] - 1].detail, null)"
-    following = "if(w.before[k] < size(v.p) and v.p[w.before[k]].begin < l.x.s.end, v.p[w.before[k]].detail, null)"
-    shared = "size(v.codes) > 1 and w.marked[k] < size(v.m) and coalesce(try_element_at(v.m, w.marked[k] + 1).end <= l.x.s.end, false)"
-    code = f"cast(CASE WHEN {shared} THEN null ELSE coalesce({previous}, {following}, if(size(v.codes) = 1, cast(v.codes[0] as string), null)) END as smallint)"
-    made = f"named_struct('pos', l.x.pos, 'type', l.m.type, 'shared', {shared}, 'code', {code}, 'fits', l.x.fits, 'value', l.x.n.value, 'metric', l.m.hit.metric, 'raw', l.m.hit.raw, 'char_start', l.m.hit.char_start, 'char_end', l.m.hit.char_end)"
-    ranked = {"before": rank("transform(v.l, l -> l.x.n.begin)", "transform(v.p, p -> p.begin)"), "marked": rank("transform(v.l, l -> l.x.s.begin)", "transform(v.m, m -> m.begin)")}
-    given = given_once(ranked, f"filter(transform(v.l, (l, k) -> if(l.m is null, null, {made})), g -> g is not null)")
-    rows = rows.withColumn("given", F.expr(given_once({"l": "linked", "p": "sort_array(provs)", "m": "sort_array(markers)", "codes": "codes"}, given, "v")))
+    # whether a figure is part of a date is open where the calendar may not have the day
+    free = given_once({"opened": rank("transform(v.l, n -> n.end)", "transform(v.d, s -> s.begin)"), "closed": rank("transform(v.l, n -> n.begin)", "transform(v.d, s -> s.end)", equal=True)}, "filter(v.l, (n, k) -> w.opened[k] = w.closed[k])")
+    counted = "filter(links, l -> l.dated <> 1 or ref_date is null)"
+    rows = rows.withColumn("links", F.expr(f"if(exists(links, l -> l.dated > 0), {counted}, links)"))
+    rows = rows.withColumn("links", F.expr(f"if(exists(links, l -> l.dated > 0), {given_once({'l': 'links', 'd': 'dates'}, free, 'v')}, links)"))
     sole = "if(size(codes) = 1, codes[0], cast(null as smallint))"
-    bare = f"named_struct('pos', size(numbers) + k, 'type', t, 'shared', false, 'code', {sole}, 'fits', false, 'value', 0L, 'metric', cast(null as string), 'raw', cast(null as string), 'char_start', cast(null as int), 'char_end', cast(null as int))"
-    silent = f"transform(array_except(transform(types, t -> t.key), transform(given, g -> g.type)), (t, k) -> {bare})"
-    other = f"if(size(types) = 0, transform(array('{OTHER}'), (t, k) -> {bare}), transform(array(), (t, k) -> {bare}))"
-    return rows.withColumn("given", F.expr(f"concat(given, {silent}, {other})"))
+    given = "named_struct('type', l.type, 'shared', l.shared, 'code', l.code, 'fits', l.fits, 'value', l.value, 'metric', l.metric, 'raw', l.raw, 'char_start', l.char_start, 'char_end', l.char_end)"
+    bare = f"named_struct('type', t, 'shared', false, 'code', {sole}, 'fits', false, 'value', 0L, 'metric', cast(null as string), 'raw', cast(null as string), 'char_start', cast(null as int), 'char_end', cast(null as int))"
+    silent = f"transform(if(size(types) = 0, array('{OTHER}'), array_except(types, transform(links, l -> l.type))), t -> {bare})"
+    return rows.withColumn("given", F.expr(f"concat(transform(links, l -> {given}), {silent})"))
 
 
 KEYWORD = "struct<keyword:string,role:string,char_start:int,char_end:int>"
@@ -216,17 +304,19 @@ def records(rows: DataFrame) -> DataFrame:
         f"transform(filter(provs, p -> k.shared or cast(p.detail as smallint) = k.code), p -> {word.format(x='p', r='PROVINCE')})",
         f"transform(filter(hits, h -> h.kind = 'EVENT_TYPE' and h.key = k.type), h -> {word.format(x='h', r='EVENT_TYPE')})",
     ]
-    body = given_once({"c": counted}, f"named_struct('ordinal', i, 'k', k, 'metrics', {metrics}, 'keywords', concat({', '.join(evidence)}))")
-    made = f"transform(array_distinct(transform(given, x -> {key})), (k, i) -> {body})"
-    few = rows.where("failure_reason is null").select("raw_report_id", "ref_date", "day", "codes", F.size("types").alias("n_types"), F.expr(made).alias("made"))
+    body = given_once({"c": counted}, f"named_struct('ordinal', i, 'k', k, 'metrics', {metrics})")
+    few = rows.where("failure_reason is null").select("*", F.size("types").alias("n_types"), F.expr(f"array_distinct(transform(given, x -> {key}))").alias("keys"))
+    words = given_once({"c": counted}, f"concat({', '.join(evidence)})")
+    few = few.select("raw_report_id", "ref_date", "day", "codes", "n_types", F.expr(f"transform(keys, (k, i) -> {body})").alias("made"), F.expr(f"transform(keys, k -> {words})").alias("words"))
+    # the evidence is a column by itself, which is not made where it is not read;
     # a plain explode would have the optimiser test the size of the whole expression beforehand, spelled out on the
     # scanned columns, where every step that is used twice is computed twice; no report is without a record
-    each = few.select("raw_report_id", "ref_date", "day", "codes", "n_types", F.explode_outer("made").alias("r"))
+    each = few.select("raw_report_id", "ref_date", "day", "codes", "n_types", "words", F.explode_outer("made").alias("r"))
     return each.select(
         "raw_report_id", F.col("r.ordinal").cast("int").alias("ordinal"), F.coalesce("day.date", "ref_date").alias("occurred_on"), F.coalesce("day.source", F.lit("DEFAULTED")).alias("date_source"),
         F.expr("CASE WHEN r.k.shared THEN 'SHARED' WHEN r.k.code is null THEN 'UNKNOWN' ELSE 'SINGLE' END").alias("province_scope"), F.col("r.k.code").alias("province_code"),
         F.expr("if(r.k.shared, array_sort(codes), cast(array() as array<smallint>))").alias("shared_province_codes"), F.col("r.k.type").alias("event_type"),
-        F.when(F.col("n_types") == 0, "UNCLASSIFIED").otherwise("CLASSIFIED").alias("classification"), F.col("r.metrics").alias("metrics"), F.col("r.keywords").alias("keywords"),
+        F.when(F.col("n_types") == 0, "UNCLASSIFIED").otherwise("CLASSIFIED").alias("classification"), F.col("r.metrics").alias("metrics"), F.expr("words[r.ordinal]").alias("keywords"),
     )
 
 
@@ -239,5 +329,5 @@ def outcomes(rows: DataFrame) -> DataFrame:
 
 def extract(reports: DataFrame, catalog: Catalog | None = None, provinces: dict[int, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, outcomes) of reports: raw_report_id, raw_text, ref_date."""
-    rows = understood(scan(reports, catalog, provinces))
+    rows = understood(scan(reports, catalog, provinces, brief=True))
     return records(rows), outcomes(rows)

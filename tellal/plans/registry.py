@@ -341,7 +341,7 @@ LITERAL_QUERIES = {
     "number_words": (lambda s: _understood(s, NUMBER_TEXTS, "array_join(transform(numbers, n -> cast(n.value as string)), ',')"), _expected(NUMBER_TEXTS)),
     "date_resolution": (lambda s: _understood(s, DATE_TEXTS, "concat(coalesce(day.date, ref_date), ' ', coalesce(day.source, 'DEFAULTED'))"), _expected(DATE_TEXTS)),
     "province_mentions": (lambda s: _understood(s, PLACE_TEXTS, "array_join(transform(provs, p -> p.detail), ',')"), _expected(PLACE_TEXTS)),
-    "classify_rank": (lambda s: _understood(s, TYPE_TEXTS, "array_join(transform(types, t -> t.key), ',')"), _expected(TYPE_TEXTS)),
+    "classify_rank": (lambda s: _understood(s, TYPE_TEXTS, "array_join(types, ',')"), _expected(TYPE_TEXTS)),
     "sentence_split": (lambda s: _understood(s, SENTENCE_TEXTS, "array_join(transform(sentences, x -> substring(value, x.begin + 1, x.end - x.begin)), '|')"), _expected(SENTENCE_TEXTS)),
     "normalisation": (lambda s: _understood(s, NORMAL_TEXTS, "value"), _expected(NORMAL_TEXTS)),
     "evidence_offsets": (evidence_offsets, _values([("TRAFFIC_ACCIDENT", "DATE:Dün@0-3,EVENT_TYPE:kaza@33-37,METRIC:yaralandı@22-31,PROVINCE:ANKARA’da@5-14")], "event_type, evidence")),

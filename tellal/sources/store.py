@@ -150,7 +150,7 @@ class Store:
         """Runs the extraction over raw reports and appends what it gives; never fails for one report.
         The day of a report is its submission day in the zone."""
         known = list(range(1, len(PROVINCES) + 1)) if provinces is None else [*provinces]
-        read = understood(scan(reports.withColumn("ref_date", reporting_day("submitted_at", zone)), catalog, provinces)).persist()
+        read = understood(scan(reports.withColumn("ref_date", reporting_day("submitted_at", zone)), catalog, provinces, brief=True)).persist()
         found, outcome = records(read), outcomes(read)
         stamp = F.lit(run_ts).cast("timestamp")
         strange = F.exists(F.concat("shared_province_codes", F.array("province_code")), lambda c: c.isNotNull() & ~c.isin(*known))
