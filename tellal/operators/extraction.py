@@ -203,11 +203,11 @@ def listed(rows: tuple[list[tuple] | None, ...], kind: pa.StructType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held, mask=pa.array([row is None for row in rows], pa.bool_()))
 
 
-def scan(reports: DataFrame, catalog: Catalog | None = None, provinces: dict[int, str] | None = None, parts: Collection[str] = PARTS, brief: bool = False) -> DataFrame:
+def scan(reports: DataFrame, catalog: Catalog | None = None, provinces: dict[int, str] | None = None, parts: Collection[str] = PARTS, brief: bool = False, evidence: bool = True) -> DataFrame:
     """reports: raw_report_id, raw_text, ref_date. One row per report with what its text holds; a text
     that cannot be read has a failure_reason and nothing else. Of sentences, numbers and hits only the parts asked
     for are looked for; the others are empty, and links, which need all of them, too. brief: hands on only what records
-    and outcomes are made of."""
+    and outcomes are made of; without evidence, not where it stands either."""
     catalog, provinces = catalog or load_catalog(), provinces or dict(enumerate(PROVINCES, 1))
     Scanner(catalog, provinces)
 
@@ -220,7 +220,11 @@ def scan(reports: DataFrame, catalog: Catalog | None = None, provinces: dict[int
             links = [None if hits is None else links_of(n, sent, num, hits, of) for n, (sent, num, hits), of in zip(lengths, rows, types)]
             if brief:
                 value = pa.nulls(len(rows), pa.string())
-                rows = [row if row[2] is None else ([], [], [h for h in row[2] if h[3] in SHOWN]) for row in rows]
+                shown = SHOWN if evidence else ("DATE", "PROVINCE")
+                rows = [row if row[2] is None else ([], [], [h for h in row[2] if h[3] in shown]) for row in rows]
+            if not evidence:  # as narrow as it can be
+                rows = [row if row[2] is None else (*row[:2], [(*h[:6], None, None, None) for h in row[2]]) for row in rows]
+                links = [row and [(*x[:6], None, None, None, *x[9:]) for x in row] for row in links]
             sent, num, hits = zip(*rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("raw_report_id"), batch.column("ref_date"), value, listed(sent, SPAN), listed(num, NUMBER), listed(hits, HIT), pa.array(failures, pa.string()), pa.array(types, pa.list_(pa.string())), listed(links, LINK)],
@@ -327,7 +331,8 @@ def outcomes(rows: DataFrame) -> DataFrame:
     return rows.select("raw_report_id", F.when(failed, "FAILED").otherwise("ANALYZED").alias("status"), "failure_reason", F.when(failed, F.array().cast("array<string>")).otherwise(warned).alias("warnings"))
 
 
-def extract(reports: DataFrame, catalog: Catalog | None = None, provinces: dict[int, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, outcomes) of reports: raw_report_id, raw_text, ref_date."""
-    rows = understood(scan(reports, catalog, provinces, brief=True))
-    return records(rows), outcomes(rows)
+def extract(reports: DataFrame, catalog: Catalog | None = None, provinces: dict[int, str] | None = None, evidence: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(records, outcomes) of reports: raw_report_id, raw_text, ref_date. Without evidence, records have no keywords."""
+    rows = understood(scan(reports, catalog, provinces, brief=True, evidence=evidence))
+    found = records(rows)
+    return found if evidence else found.drop("keywords"), outcomes(rows)

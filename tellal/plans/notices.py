@@ -20,10 +20,10 @@ ENDINGS = ["'da", "'de", "'nde", "'un", "'ta"]
 NAMES_SQL = f"p as (select unnest(range(1, {len(PROVINCES) + 1})) as code, unnest([{', '.join(repr(x) for x in PROVINCES)}]) as name)"
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """The rows that texts are made of, dealt out first: reading a text costs far more than moving its row."""
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """The rows that texts are made of, dealt out first, if need be by columns: reading a text costs far more than moving its row."""
     spark = rows.sparkSession
-    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ def shared_records_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Her iki ilde toplam "), figure[4], F.lit(" kişi yaralı olarak hastaneye kaldırıldı.")),
     ]
     orders = [F.concat_ws(" ", *(parts[i] for i in order)) for order in permutations(range(3))]
-    found, _ = extraction.extract(rows.select(F.col("k").cast("string").alias("raw_report_id"), F.get(F.array(*orders), (F.col("k") % 6).cast("int")).alias("raw_text"), F.col("d").alias("ref_date")))
+    found, _ = extraction.extract(rows.select(F.col("k").cast("string").alias("raw_report_id"), F.get(F.array(*orders), (F.col("k") % 6).cast("int")).alias("raw_text"), F.col("d").alias("ref_date")), evidence=False)
     place = F.expr("if(province_scope = 'SHARED', array_join(transform(array_sort(shared_province_codes), x -> cast(x as string)), '+'), cast(province_code as string))")
     metric = F.expr("array_join(array_sort(transform(metrics, m -> concat(m.metric_type, '=', m.metric_value))), ',')")
     return found.select(F.col("raw_report_id").cast("long").alias("k"), "event_type", "occurred_on", "date_source", "province_scope", place.alias("place"), metric.alias("metrics"))

@@ -462,9 +462,9 @@ def records_of_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.concat(place[0], F.lit("'da "), F.col("q").cast("string"), F.lit(" yeni vaka tespit edildi. "))
     second = F.concat(place[1], F.lit("'da "), (F.col("l_linenumber") * 3).cast("string"), F.lit(" kişi hayatını kaybetti. "))
     both = lines.select("l_orderkey", "l_linenumber", F.concat(first, second).alias("t"))
-    keyed = both.withColumn("id", F.col("l_orderkey").cast("string")).repartition(spark.sparkContext.defaultParallelism, "id")
+    keyed = dealt(both.withColumn("id", F.col("l_orderkey").cast("string")), "id")
     texts = keyed.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "t"))), lambda x: x["t"]), "").alias("raw_text"))
-    found, _ = extraction.extract(texts.select(F.col("id").alias("raw_report_id"), "raw_text", F.lit(REF).cast("date").alias("ref_date")))
+    found, _ = extraction.extract(texts.select(F.col("id").alias("raw_report_id"), "raw_text", F.lit(REF).cast("date").alias("ref_date")), evidence=False)
     metric = F.expr("array_join(transform(array_sort(metrics), m -> concat(m.metric_type, '=', m.metric_value)), ',')")
     return found.select("raw_report_id", "event_type", "date_source", "province_scope", F.col("province_code").cast("int").alias("province_code"), metric.alias("metrics"))
 

@@ -1,9 +1,13 @@
 """How the extraction runs: what it holds at once, and what Spark makes of its expressions."""
 
+import datetime as dt
+import re
+
 import pyarrow as pa
 
-from tellal.functions.scan import Scanner
+from tellal.functions.scan import LETTER, SHARED_MARKER, Scanner
 from tellal.operators import extraction, highlight
+from tellal.plans.notices import dealt
 from tellal.sources.catalog import load_catalog
 from tellal.sources.reference_data import PROVINCES
 
@@ -89,3 +93,25 @@ def test_evidence_is_not_made_where_it_is_not_read(spark):
     found, _ = extraction.extract(reports)
     assert "keyword" not in found.select("raw_report_id", "metrics")._jdf.queryExecution().optimizedPlan().toString()
     assert len(found.first()["keywords"]) == 3
+
+
+def test_records_without_evidence_are_the_same(spark):
+    rows = [(str(k), t, dt.date(2024, 3, 1)) for k, t in enumerate(ODD)]
+    reports = spark.createDataFrame(rows, "raw_report_id string, raw_text string, ref_date date")
+    (found, _), (bare, _) = extraction.extract(reports), extraction.extract(reports, evidence=False)
+    assert "keywords" not in bare.columns and sorted(map(str, bare.collect())) == sorted(map(str, found.drop("keywords").collect()))
+
+
+def test_lines_are_dealt_out_as_finely_as_shuffles_are(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        assert dealt(spark.range(100), "id").rdd.getNumPartitions() == 9
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_markers_are_found_by_their_first_characters():
+    texts = ["her iki ilde", "iki ilde", "her 12 ilde", "3 ilde", "12 şehirde", "123 ilde", "x3 ilde", "iller", "şehirlerde", "biller", "altı ildeki", "her iki yolda", "üç  şehirden iller", "٣ ilde", "il", "dört il"]
+    plain = re.compile(rf"\b(?:(?:her\s+)?(?:iki|üç|dört|beş|altı|\d{{1,2}})\s+(?:il|şehir){LETTER}*|(?:il|şehir)ler{LETTER}*)\b")
+    found = [[m.span() for m in re.finditer(SHARED_MARKER, t)] for t in texts]
+    assert found == [[m.span() for m in plain.finditer(t)] for t in texts] and sum(map(bool, found)) == 11
