@@ -6,10 +6,12 @@ copied for each number of a text. What stands nearest to a number is looked up w
 
 from __future__ import annotations
 
+import gc
 import re
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Collection, Iterator
+from contextlib import contextmanager
 from itertools import accumulate
 
 import pyarrow as pa
@@ -203,6 +205,16 @@ def listed(rows: tuple[list[tuple] | None, ...], kind: pa.StructType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held, mask=pa.array([row is None for row in rows], pa.bool_()))
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the search for cycles: a piece makes many tuples and no cycles."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def scan(reports: DataFrame, catalog: Catalog | None = None, provinces: dict[int, str] | None = None, parts: Collection[str] = PARTS, brief: bool = False, evidence: bool = True) -> DataFrame:
     """reports: raw_report_id, raw_text, ref_date. One row per report with what its text holds; a text
     that cannot be read has a failure_reason and nothing else. Of sentences, numbers and hits only the parts asked
@@ -214,18 +226,19 @@ def scan(reports: DataFrame, catalog: Catalog | None = None, provinces: dict[int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(catalog, provinces)
         for batch in (piece for whole in batches for piece in pieces(whole)):
-            value, rows, failures = read_texts(scanner, batch.column("raw_text").to_pylist(), parts, not brief)
-            lengths = pc.utf8_length(value).to_pylist()
-            types = [None if hits is None else ranked_types(hits) for _, _, hits in rows]
-            links = [None if hits is None else links_of(n, sent, num, hits, of) for n, (sent, num, hits), of in zip(lengths, rows, types)]
-            if brief:
-                value = pa.nulls(len(rows), pa.string())
-                shown = SHOWN if evidence else ("DATE", "PROVINCE")
-                rows = [row if row[2] is None else ([], [], [h for h in row[2] if h[3] in shown]) for row in rows]
-            if not evidence:  # as narrow as it can be
-                rows = [row if row[2] is None else (*row[:2], [(*h[:6], None, None, None) for h in row[2]]) for row in rows]
-                links = [row and [(*x[:6], None, None, None, *x[9:]) for x in row] for row in links]
-            sent, num, hits = zip(*rows)
+            with uncollected():
+                value, rows, failures = read_texts(scanner, batch.column("raw_text").to_pylist(), parts, not brief)
+                lengths = pc.utf8_length(value).to_pylist()
+                types = [None if hits is None else ranked_types(hits) for _, _, hits in rows]
+                links = [None if hits is None else links_of(n, sent, num, hits, of) for n, (sent, num, hits), of in zip(lengths, rows, types)]
+                if brief:
+                    value = pa.nulls(len(rows), pa.string())
+                    shown = SHOWN if evidence else ("DATE", "PROVINCE")
+                    rows = [row if row[2] is None else ([], [], [h for h in row[2] if h[3] in shown]) for row in rows]
+                if not evidence:  # as narrow as it can be
+                    rows = [row if row[2] is None else (*row[:2], [(*h[:6], None, None, None) for h in row[2]]) for row in rows]
+                    links = [row and [(*x[:6], None, None, None, *x[9:]) for x in row] for row in links]
+                sent, num, hits = zip(*rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("raw_report_id"), batch.column("ref_date"), value, listed(sent, SPAN), listed(num, NUMBER), listed(hits, HIT), pa.array(failures, pa.string()), pa.array(types, pa.list_(pa.string())), listed(links, LINK)],
                 ["raw_report_id", "ref_date", "value", "sentences", "numbers", "hits", "failure_reason", "types", "links"],

@@ -1,9 +1,11 @@
 """How the extraction runs: what it holds at once, and what Spark makes of its expressions."""
 
 import datetime as dt
+import gc
 import re
 
 import pyarrow as pa
+import pytest
 
 from tellal.functions.scan import LETTER, SHARED_MARKER, Scanner
 from tellal.operators import extraction, highlight
@@ -115,3 +117,10 @@ def test_markers_are_found_by_their_first_characters():
     plain = re.compile(rf"\b(?:(?:her\s+)?(?:iki|üç|dört|beş|altı|\d{{1,2}})\s+(?:il|şehir){LETTER}*|(?:il|şehir)ler{LETTER}*)\b")
     found = [[m.span() for m in re.finditer(SHARED_MARKER, t)] for t in texts]
     assert found == [[m.span() for m in plain.finditer(t)] for t in texts] and sum(map(bool, found)) == 11
+
+
+def test_cycles_are_looked_for_again_after_a_piece():
+    with pytest.raises(ValueError), extraction.uncollected():
+        assert not gc.isenabled()
+        raise ValueError
+    assert gc.isenabled()
